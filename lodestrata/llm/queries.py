@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import simhash
+from lodestrata.llm import decontaminate, simhash
 from lodestrata.llm.common import table
 
 QUERIES: dict = {}
@@ -19,3 +19,37 @@ def query(f):
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _words_sql(col: str) -> str:
+    lower = f"translate({col}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"coalesce(regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+
+
+ORACLE["op3_benchmark_decontamination"] = f"""
+with d as (select doc_id, {_words_sql("text")} as w from documents),
+i as (select item_id, {_words_sql("text")} as w from benchmark),
+iw as (
+  select distinct item_id, list_slice(w, s, s + least(13, len(w)) - 1) as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as s from i where len(w) > 0)
+),
+lens as (select distinct len(win) as n from iw),
+dw as (
+  select doc_id, s, n, list_slice(w, s, s + n - 1) as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from d, lens where len(w) >= n)
+),
+found as (select doc_id, s, n, item_id from dw join iw using (win)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from found) group by doc_id),
+listed as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id
+)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (doc_id) left join listed using (doc_id)
+"""
