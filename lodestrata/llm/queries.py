@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import decontaminate, langid, simhash, toxicity
+from lodestrata.llm import chat, decontaminate, langid, simhash, toxicity
 from lodestrata.llm.common import table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def query(f):
@@ -63,3 +66,31 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    rows = [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)]
+    every = given.union(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.formatted(every, f"{TOKENIZERS}/byte_bpe_50k.json"))
+
+
+ORACLE["op6_chat_formatting"] = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) as v(conv_id, turn, role, text)
+),
+e as (
+  select *, length(text) + len(regexp_extract_all(text, '\\|###|</turn>|: ')) as n,
+    length(role) + len(regexp_extract_all(role, '\\|###|</turn>|: ')) as m
+  from c
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(4 + m + 2 + n + 8) as bigint) as formatted_chars
+from e group by conv_id
+"""
