@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import chat, decontaminate, langid, simhash, toxicity
+from lodestrata.llm import chat, decontaminate, langid, phrases, simhash, toxicity
 from lodestrata.llm.common import table
 
 QUERIES: dict = {}
@@ -94,3 +94,22 @@ select conv_id, count(*) as n_turns,
   cast(sum(4 + m + 2 + n + 8) as bigint) as formatted_chars
 from e group by conv_id
 """
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.deduplicated(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op9_substring_dedup"] = r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+s as (select doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) as p from d where len(w) >= 50),
+h as (select doc_id, p, md5_number(array_to_string(list_slice(w, p, p + 49), ' ')) as k from s),
+f as (select k, min(doc_id) as first from h group by k having count(*) > 1),
+dup as (select distinct doc_id, unnest(range(p, p + 50)) as i from h join f using (k) where doc_id > first),
+gone as (select doc_id, list(i) as gone from dup group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  sha256(case when gone is null then array_to_string(w, ' ')
+    else coalesce(array_to_string(list_filter(w, lambda x, i: not list_contains(gone, i)), ' '), '') end) as kept_sha256
+from d left join gone using (doc_id)
+"""
