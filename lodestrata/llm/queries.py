@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import chat, decontaminate, langid, phrases, simhash, toxicity
+from lodestrata.llm import chat, decontaminate, langid, phrases, runindex, simhash, toxicity
 from lodestrata.llm.common import table
 
 QUERIES: dict = {}
@@ -113,3 +113,8 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as
     else coalesce(array_to_string(list_filter(w, lambda x, i: not list_contains(gone, i)), ' '), '') end) as kept_sha256
 from d left join gone using (doc_id)
 """
+
+
+@query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.deduplicated(table(spark, sf_dir, "documents"))
