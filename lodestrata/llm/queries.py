@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import chat, decontaminate, langid, phrases, runindex, simhash, toxicity
+from lodestrata.llm import chat, decontaminate, langid, oneperm, phrases, runindex, simhash, toxicity
 from lodestrata.llm.common import table
 
 QUERIES: dict = {}
@@ -118,3 +118,8 @@ from d left join gone using (doc_id)
 @query
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runindex.deduplicated(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oneperm.fingerprints(table(spark, sf_dir, "documents"))
