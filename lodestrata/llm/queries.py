@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import chat, decontaminate, langid, oneperm, phrases, runindex, simhash, toxicity
+from lodestrata.llm import chat, decontaminate, langid, mergedrop, oneperm, phrases, runindex, simhash, toxicity
 from lodestrata.llm.common import table
 
 QUERIES: dict = {}
@@ -123,3 +123,8 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oneperm.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mergedrop.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
