@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import chat, decontaminate, langid, mergedrop, oneperm, phrases, runindex, simhash, toxicity
+from lodestrata.llm import chat, decontaminate, langid, mergedrop, oneperm, phrases, runindex, simhash, toxicity, urlquery
 from lodestrata.llm.common import table
 
 QUERIES: dict = {}
@@ -128,3 +128,7 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mergedrop.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+QUERIES["op4_url_filters"] = urlquery.query
+ORACLE["op4_url_filters"] = urlquery.SQL
