@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEARNED = ("assistant",)
+CONVERSATIONS_AT_ONCE = 128
 _MARKS = r"\\|###|</turn>|: "  # a backslash, the head, the foot, and what ends a role
 _ESCAPE = re.compile(_MARKS)
 _UNESCAPE = re.compile(rf"\\({_MARKS})")
@@ -97,25 +98,25 @@ def formatted(conversations: DataFrame, tokenizer_file: str, learned=LEARNED) ->
 
         tok = Tokenizer.from_file(tokenizer_file)
         tok.encode_special_tokens = True
-        for b in batches:
-            texts, spans = [], []
-            for turns in b.column(1).to_pylist():
-                t, s = render([(x["role"], x["text"]) for x in turns], learned)
-                texts.append(t)
-                spans.append(s)
-            ids, starts, stops = [], [], []
-            for e, s in zip(tok.encode_batch(texts, add_special_tokens=False), spans):
-                own = np.array(e.offsets, np.int64).reshape(-1, 2)
-                token, lo, hi = mask(own, s)
-                start, stop = own[:, 0].copy(), own[:, 0].copy()
-                start[token], stop[token] = lo, hi
-                ids.append(e.ids)
-                starts.append(start)
-                stops.append(stop)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(texts, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32()))],
-                ["conv_id", "formatted", "ids", "loss_start", "loss_stop"],
-            )
+        for batch in batches:
+            for b in (batch.slice(i, CONVERSATIONS_AT_ONCE) for i in range(0, batch.num_rows, CONVERSATIONS_AT_ONCE)):
+                texts, spans = [], []
+                for turns in b.column(1).to_pylist():
+                    t, s = render([(x["role"], x["text"]) for x in turns], learned)
+                    texts.append(t)
+                    spans.append(s)
+                ids, starts, stops = [], [], []
+                for t, s in zip(texts, spans):
+                    e = tok.encode(t, add_special_tokens=False)
+                    own = np.array(e.offsets, np.int64).reshape(-1, 2)
+                    token, lo, hi = mask(own, s)
+                    start = own[:, 0].astype(np.int32)
+                    stop = start.copy()
+                    start[token], stop[token] = lo, hi
+                    ids.append(np.array(e.ids, np.int32))
+                    starts.append(start)
+                    stops.append(stop)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *(pa.array(x, pa.list_(pa.int32())) for x in (ids, starts, stops))], ["conv_id", "formatted", "ids", "loss_start", "loss_stop"])
 
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -127,7 +128,7 @@ def read_back(output: DataFrame) -> DataFrame:
     """What the output of ``formatted`` holds: turns, and the text under the loss mask."""
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(i, CONVERSATIONS_AT_ONCE) for x in batches for i in range(0, x.num_rows, CONVERSATIONS_AT_ONCE)):
             rows = []
             for conv, text, start, stop in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4))):
                 turns = parse(text)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import pieces, utf8
 from lodestrata.llm.folds import held_out
 
+UNKNOWN = "und"
 ORDER = 3
 BUCKETS = 4096
 ROUNDS = 12
@@ -121,40 +122,53 @@ def mixtures(c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return top, chosen[np.arange(rows), top] * sure
 
 
+def judge(data: np.ndarray, at: np.ndarray, langs: int, p: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Language number (``langs`` for none) and score of each text."""
+    rows, buckets = len(at) - 1, p.shape[1] if langs else 1
+    lang, score = np.full(rows, langs), np.zeros(rows)
+    for lo, hi in pieces(at, SLICE) if langs else ():
+        for i in range(lo, hi, DOCS_AT_ONCE):
+            j = min(hi, i + DOCS_AT_ONCE)
+            top, sure = mixtures(gram_counts(data, at[i : j + 1], order, buckets), p)
+            for k in range(j - i):
+                own = data[at[i + k] : at[i + k + 1]]
+                if not np.any((own | 32) - 97 < 26) and not has_letter(own.tobytes()):
+                    top[k], sure[k] = langs, 0
+            lang[i:j], score[i:j] = top, sure
+    return lang, np.clip(score, 0, 1)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, extra: tuple = ()) -> DataFrame:
     """(doc_id, lang_pred, score), with the columns of ``extra`` kept."""
     langs, probabilities = model
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(probabilities)
-    buckets = probabilities.shape[1] if len(langs) else 1
-    names = pa.array([*langs, "und"], pa.string())
+    held = docs.sparkSession.sparkContext.broadcast(probabilities)
+    names = pa.array([*langs, UNKNOWN], pa.string())
 
     def run(batches):
-        p = held.value
         for b in batches:
-            data, at = utf8(b.column(1))
-            lang, score = np.full(b.num_rows, len(langs)), np.zeros(b.num_rows)
-            for lo, hi in pieces(at, SLICE) if len(langs) else ():
-                for i in range(lo, hi, DOCS_AT_ONCE):
-                    j = min(hi, i + DOCS_AT_ONCE)
-                    c = gram_counts(data, at[i : j + 1], order, buckets)
-                    top, sure = mixtures(c, p)
-                    for k in np.flatnonzero(c.sum(1) < 4):  # hardly any n-gram: look for letters
-                        if not has_letter(data[at[i + k] : at[i + k + 1]].tobytes()):
-                            top[k], sure[k] = len(langs), 0
-                    odd = np.flatnonzero([not np.any((x := data[at[i + k] : at[i + k + 1]] | 32) - 97 < 26) for k in range(j - i)])
-                    for k in odd:  # no ASCII letter at all
-                        if top[k] < len(langs) and not has_letter(data[at[i + k] : at[i + k + 1]].tobytes()):
-                            top[k], sure[k] = len(langs), 0
-                    lang[i:j], score[i:j] = top, sure
+            lang, score = judge(*utf8(b.column(1)), len(langs), held.value, order)
             rest = [b.column(k) for k in range(2, b.num_columns)]
-            yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(lang)), pa.array(np.clip(score, 0, 1).astype(np.float64)), *rest], names=["doc_id", "lang_pred", "score", *extra])
+            yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(lang)), pa.array(score), *rest], names=["doc_id", "lang_pred", "score", *extra])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra)
     kept = "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in extra)
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double{kept}")
 
 
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """The rows of ``docs`` whose text has a language; all columns stay."""
+    langs, probabilities = model
+    held = docs.sparkSession.sparkContext.broadcast(probabilities)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            lang, _ = judge(*utf8(b.column(at_text)), len(langs), held.value, order)
+            yield b.filter(pa.array(lang < len(langs)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """Learn from the rows that are not held out, and judge every row."""
     model = learn(docs.where(~held_out("doc_id")))
