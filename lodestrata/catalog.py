@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lodestrata.plans import demand, quality, sales  # noqa: F401  they register their queries
+from lodestrata.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
