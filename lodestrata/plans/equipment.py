@@ -48,9 +48,9 @@ def sensor_week_stats(spark, sf):
     return w.withColumns({c: F.round(c, 6) for c in ("mean", "std", "range")})
 
 
-@query(_READ + _WEEK + "select equipment_id, week_end, sensor, round(trend * 86400, 6) as trend_per_day from w")
+@query(_READ + _WEEK + "select equipment_id, week_end, sensor, round(trend * 86400, 2) + 0.0 as trend_per_day from w")
 def sensor_trend(spark, sf):
-    return equipment.weekly(readings(spark, sf)).select("equipment_id", "week_end", "sensor", F.round(F.col("trend") * 86400, 6).alias("trend_per_day"))
+    return equipment.weekly(readings(spark, sf)).select("equipment_id", "week_end", "sensor", (F.round(F.col("trend") * 86400, 2) + 0.0).alias("trend_per_day"))
 
 
 @query(_READ + _WEEK + "select equipment_id, week_end, " + ", ".join(f"round(coalesce(max({x}) filter (where sensor = '{s}'), 0), 6) as {s}_{x}" for s in _sensors() for x in ("mean", "std", "min", "max", "range")) + " from w group by 1, 2")
