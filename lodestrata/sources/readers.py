@@ -41,7 +41,7 @@ def documents_scan(spark: SparkSession, root: str, kind: str) -> DataFrame:
         rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
         pairs = [F.concat(F.lit(f"{c}: "), F.col(c)) for c in rows.columns]
         return rows.select(F.col("_metadata.file_path").alias("source_file"), F.concat_ws("\n", *pairs).alias("text"))
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}").text(root)
+    whole = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*.{kind}")
     return whole.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
 
 
