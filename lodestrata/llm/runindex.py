@@ -26,30 +26,36 @@ from lodestrata.llm.repeats import keyed, removals, removed, span_rows
 
 WINDOW = 100
 GRAM = 16
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
 BORDER = 255  # never a byte of UTF-8
 
 
 def suffix_ranks(text: np.ndarray, left: np.ndarray, depth: int) -> dict[int, np.ndarray]:
-    """Dense ranks of all suffixes by their first 8, 16, ... bytes, up to ``depth`` at
-    least.  A suffix ends with its border, ``left`` bytes from its start."""
+    """Dense ranks of all suffixes by their first 8, 24, 72, ... bytes, up to ``depth`` at
+    least.  A suffix ends with its border, ``left`` bytes from its start.  Three ranks
+    make a key where they fit into 63 bits, two otherwise."""
     n = len(text)
     padded = np.r_[text, np.zeros(8, np.uint8)]
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | np.where(left > i, padded[i : i + n], 0).astype(np.uint64)
+    bits = (n + 1).bit_length()
+    many = 3 if 3 * bits <= 63 else 2
     ranks, k = {}, 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         own = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, own[1:] != own[:-1]])
         ranks[k] = rank
         if k >= depth:
             return ranks
-        key = (rank + 1).astype(np.uint64) << np.uint64(32)
-        key[: n - k] |= np.where(left[: n - k] > k, rank[k:] + 1, 0).astype(np.uint64)
-        k *= 2
+        key = (rank + 1).astype(np.uint64)
+        for i in range(1, many):
+            key <<= np.uint64(bits)
+            if i * k < n:
+                key[: n - i * k] |= np.where(left[: n - i * k] > i * k, rank[i * k :] + 1, 0).astype(np.uint64)
+        k *= many
 
 
 class RunIndex:
@@ -65,7 +71,7 @@ class RunIndex:
         borders = np.flatnonzero(text == BORDER)
         left = borders[np.searchsorted(borders, np.arange(n))] - np.arange(n) + 1
         ranks = suffix_ranks(text, left, max(depth, int(left.max())))
-        sa = np.argsort(ranks[max(ranks)], kind="stable")
+        sa = np.argsort(ranks[max(ranks)] * n + np.arange(n))
         bwt = text[sa - 1]  # the first suffix is preceded by the last border
         edge = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         self.n, self.run_start, self.head = n, edge, bwt[edge]
@@ -95,9 +101,11 @@ class RunIndex:
         # base counts all characters that sort before this run, smaller ones included
         return np.where(mine, self.base[ok] + inside, self.total[c])
 
-    def stream(self, text: np.ndarray, stop: np.ndarray, sizes: np.ndarray):
+    def stream(self, text: np.ndarray, stop: np.ndarray, sizes: np.ndarray, indexed: bool = False):
         """Matching statistics of many patterns at once, each read backwards from
-        ``stop``: yields (patterns, offset from the end, interval start, interval end)."""
+        ``stop``: yields (patterns, offset from the end, interval start, interval end).
+        Where all patterns are ``indexed`` texts no interval is empty, and only the starts
+        are followed (the ends are None)."""
         order = np.argsort(-sizes, kind="stable")
         lo, hi = np.zeros(len(order), np.int64), np.full(len(order), self.n)
         live = len(order)
@@ -105,7 +113,7 @@ class RunIndex:
             while live and sizes[order[live - 1]] < k:
                 live -= 1
             c = text[stop[order[:live]] - k]
-            lo, hi = self.step(c, lo[:live]), self.step(c, hi[:live])
+            lo, hi = self.step(c, lo[:live]), None if indexed else self.step(c, hi[:live])
             yield order[:live], k, lo, hi
 
     def earliest(self, row: np.ndarray) -> np.ndarray:
@@ -123,12 +131,10 @@ def matcher(window: int):
         place = np.repeat(doc.astype(np.int64) << 40 | t.column(3).to_numpy(), sizes + 1) + np.arange(len(text)) - np.repeat(began, sizes + 1)
         index = RunIndex(text, place, window)
         rows, starts = [], []
-        for who, k, lo, hi in index.stream(text, began + sizes, sizes):
+        for who, k, lo, _ in index.stream(text, began + sizes, sizes, indexed=True):
             if k < window:
                 continue
-            matched = np.flatnonzero(hi > lo)  # the whole rest of the context, k bytes
-            at = (began + sizes)[who[matched]] - k
-            hit = matched[index.earliest(lo[matched]) < place[at]]
+            hit = np.flatnonzero(index.earliest(lo) < place[(began + sizes)[who] - k])
             rows.append(who[hit])
             starts.append((sizes - k)[who[hit]])
         if not rows:
@@ -165,6 +171,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     own = keyed(docs, id_col, text_col)
-    spans = removals(own, False, window, min(GRAM, window), True, matcher(window), SHARD_BYTES)
+    spans = removals(own, False, window, min(GRAM, window), True, matcher(window), SHARD_BYTES, False)
     joined = own.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
