@@ -1,7 +1,7 @@
 """Substring deduplication over words, with automata of repeated phrases.
 
 Windows of 50 words that occur in several documents are found at anchors (see
-``repeats``).  Equal contexts collapse; the different contexts of one anchor are
+``repeats``).  Of equal contexts two stand for all; the contexts of one anchor are
 sharded by it.  A shard confirms which windows recur, joins neighbouring windows that
 the same contexts share into phrases, compiles the phrases into an Aho-Corasick
 automaton over word numbers, and streams all its contexts to locate every occurrence.
@@ -115,7 +115,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     own = keyed(docs, id_col, text_col)
-    spans = removals(own, True, window, min(GRAM, window), False, matcher(window), SHARD_BYTES)
+    spans = removals(own, True, window, min(GRAM, window), False, matcher(window), SHARD_BYTES, True)
     return own.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -123,7 +123,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with the repeated words taken out of the texts that have any; all other
     texts stay as they are, white space included.  A text of which nothing is left goes."""
     own = docs.withColumns({"_id": F.col(id_col).cast("long"), "_th": F.hash(text_col)})
-    spans = removals(keyed(docs, id_col, text_col), True, window, min(GRAM, window), False, matcher(window), SHARD_BYTES).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    spans = removals(keyed(docs, id_col, text_col), True, window, min(GRAM, window), False, matcher(window), SHARD_BYTES, True).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     at = docs.columns.index(text_col)
     names = docs.columns
 

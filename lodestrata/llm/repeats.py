@@ -5,7 +5,8 @@ the least hash, the leftmost of equals, is its anchor.  Equal windows have equal
 anchors at equal places, wherever they occur.  The windows that share one anchor form
 its context, a stretch of text that is known by two hashes: that of the anchor's gram
 and that of the whole stretch.  Contexts whose gram occurs once in the corpus cannot
-hold a repeated window and are dropped after one shuffle; equal contexts collapse.
+hold a repeated window and are dropped after one shuffle; equal contexts collapse to
+the first two.
 """
 
 from __future__ import annotations
@@ -127,30 +128,59 @@ def contexts(sym: np.ndarray, first: np.ndarray, window: int, gram: int):
     return g[anchor[new]].view(np.int64), digest.view(np.int64), d, lo - first[d], n
 
 
-ANCHOR = "h long, dg long, doc_id long, th int, lo int, n int"
+def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """What turns the key of a row into one of its own, and back."""
+    return mixed(doc.astype(np.uint64) << np.uint64(24) ^ start.astype(np.uint64)).view(np.int64)
 
 
-def anchors(docs: DataFrame, words: bool, window: int, gram: int) -> DataFrame:
-    """(doc_id, th, text) -> a row per anchor; a row without id or text has none."""
+ANCHOR = "h long, dg long, doc_id long, th int, lo int, n int, known boolean"
+
+
+def anchors(docs: DataFrame, words: bool, window: int, gram: int, same_text_counts: bool) -> DataFrame:
+    """(doc_id, th, text) -> a row per anchor; a row without id or text has none.
+
+    Within a batch of texts equal contexts meet before any shuffle: all that an equal
+    one precedes are repeats, whatever other batches hold.  All but one of these are
+    marked ``known``: they wait for the verdict on the context and get a key of their own,
+    which deals them out evenly, so that a passage of a third of all texts sends two
+    rows from each batch to its own key.
+    """
 
     def run(batches):
         for b in batches:
             data, at = utf8(b.column(2))
+            found = []
             for lo, hi in pieces(at, SLICE):
                 sym, first = symbols(data, at[lo : hi + 1], words)
                 h, dg, d, start, n = contexts(sym, first, window, gram)
-                row = pa.array(d + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(dg), b.column(0).take(row), b.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["h", "dg", "doc_id", "th", "lo", "n"],
-                )
+                found.append((h, dg, d + lo, start, n))
+            if not found:
+                continue
+            h, dg, row, start, n = (np.concatenate(x) for x in zip(*found))
+            doc = b.column(0).to_numpy(zero_copy_only=False)[row]
+            same = mixed(h.view(np.uint64) * np.uint64(3) ^ dg.view(np.uint64))
+            order = np.lexsort((start, doc, same))
+            new = np.r_[True, same[order][1:] != same[order][:-1]][: len(order)]
+            top = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            after = (doc[order] != doc[top]) | ((start[order] != start[top]) if same_text_counts else False)
+            known = np.zeros(len(h), bool)
+            known[order] = after & np.r_[False, after[:-1] & ~new[1:]]
+            own = h ^ _spread(doc, start)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.where(known, own, h)), pa.array(dg), b.column(0).take(take), b.column(1).take(take),
+                    pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(known),
+                ],
+                ["h", "dg", "doc_id", "th", "lo", "n", "known"],
+            )
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(run, ANCHOR)
 
 
 def recurring(rows: DataFrame, same_text_counts: bool) -> DataFrame:
     """Anchors whose gram occurs elsewhere, each marked as ``later`` if an equal context
-    starts earlier.
+    starts earlier, and as ``second`` if it is the first of those.
 
     Earlier means a smaller doc_id or, if ``same_text_counts``, the same one and an
     earlier start.  Rows arrive sorted, so one row of look-ahead is all that is kept.
@@ -170,6 +200,7 @@ def recurring(rows: DataFrame, same_text_counts: bool) -> DataFrame:
             else:
                 t = kept
             h, dg, doc, lo = (t.column(k).to_numpy() for k in (0, 1, 2, 4))
+            known = t.column(6).to_numpy(zero_copy_only=False)
             # a carried row is judged by the row before it, remembered in ``began``
             ph = np.r_[began[0] if began else ~h[0], h[:-1]]
             pd = np.r_[began[1] if began else ~dg[0], dg[:-1]]
@@ -178,20 +209,22 @@ def recurring(rows: DataFrame, same_text_counts: bool) -> DataFrame:
             start = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
             fd = np.where(start >= 0, doc[start], began[2] if began else 0)
             fl = np.where(start >= 0, lo[start], began[3] if began else 0)
-            later = (doc != fd) | ((lo != fl) if same_text_counts else False)
-            rec = (h == ph) | (h == nh)
+            later = known | (doc != fd) | ((lo != fl) if same_text_counts else False)
+            rec = known | (h == ph) | (h == nh)
+            second = later & ~known & ~(np.r_[began[4] if began else False, later[:-1]] & ~new)
             stop = len(h) if b is None else len(h) - 1
             i = np.flatnonzero(rec[:stop])
             if len(i):
                 out = t.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(later[i])], [*out.schema.names, "later"])
+                gram = np.where(known, h ^ _spread(doc, lo), h)[i]
+                yield pa.RecordBatch.from_arrays([pa.array(gram), *out.columns[1:], pa.array(later[i]), pa.array(second[i])], [*out.schema.names, "later", "second"])
             if b is None:
                 return
             k = len(h) - 2
-            began = (h[k], dg[k], fd[k], fl[k])
+            began = (h[k], dg[k], fd[k], fl[k], bool(later[k]))
             kept = t.slice(len(h) - 1)
 
-    return rows.repartition("h").sortWithinPartitions(*order).mapInArrow(run, ANCHOR + ", later boolean")
+    return rows.repartition("h").sortWithinPartitions(*order).mapInArrow(run, ANCHOR + ", later boolean, second boolean")
 
 
 def _with_end(batches):
@@ -204,21 +237,21 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
 
 
-CUT = "h long, doc_id long, th int, lo int, n int, body binary"
+CUT = "h long, doc_id long, th int, lo int, n int, body binary, dg long, second boolean"
 
 
 def cut(docs: DataFrame, wanted: DataFrame, words: bool, window: int) -> DataFrame:
-    """The stretches of text behind contexts (h, doc_id, th, lo, n); words are joined by
-    one space."""
+    """The stretches of text behind contexts (columns of ``CUT`` but the body); words are
+    joined by one space."""
 
     def run(batches):
         for b in batches:
             data, at = utf8(b.column(2))
             asked = b.column(3).combine_chunks() if isinstance(b.column(3), pa.ChunkedArray) else b.column(3)
             from_, flat = np.asarray(asked.offsets), asked.values
-            h, lo, n = (flat.field(k).to_numpy() for k in ("h", "lo", "n"))
+            flat = flat.slice(from_[0], from_[-1] - from_[0])
+            lo, n = (flat.field(k).to_numpy() for k in ("lo", "n"))
             row = np.repeat(np.arange(b.num_rows), np.diff(from_))
-            h, lo, n = (x[from_[0] : from_[-1]] for x in (h, lo, n))
             body = []
             for i in range(b.num_rows):
                 own = data[at[i] : at[i + 1]].tobytes()
@@ -228,10 +261,11 @@ def cut(docs: DataFrame, wanted: DataFrame, words: bool, window: int) -> DataFra
                     body.append(b" ".join(piece) if words else piece)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), b.column(0).take(take), b.column(1).take(take), pa.array(lo), pa.array(n), pa.array(body, pa.binary())], ["h", "doc_id", "th", "lo", "n", "body"]
+                [flat.field("h"), b.column(0).take(take), b.column(1).take(take), pa.array(lo), pa.array(n), pa.array(body, pa.binary()), flat.field("dg"), flat.field("second")],
+                ["h", "doc_id", "th", "lo", "n", "body", "dg", "second"],
             )
 
-    per_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "lo", "n")).alias("asked"))
+    per_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "lo", "n", "dg", "second")).alias("asked"))
     return docs.join(per_doc, ["doc_id", "th"]).select("doc_id", "th", "text", "asked").mapInArrow(run, CUT)
 
 
@@ -253,31 +287,43 @@ def groups(batches, most_bytes: int):
         yield pa.Table.from_batches(kept).combine_chunks()
 
 
-def removals(docs: DataFrame, words: bool, window: int, gram: int, same_text_counts: bool, match, most_bytes: int) -> DataFrame:
+def removals(docs: DataFrame, words: bool, window: int, gram: int, same_text_counts: bool, match, most_bytes: int, copies_too: bool) -> DataFrame:
     """(doc_id, th, spans): for each text with repeats, the stretches (start, len) of
     symbols that windows with an earlier start cover.
 
-    ``match`` finds, among the different contexts of one gram, the repeated windows:
-    it maps a table of whole groups (columns of ``CUT``) to arrays row, start, len.
+    ``match`` finds the repeated windows among the contexts of one gram: it maps a table of
+    whole groups (columns of ``CUT``) to arrays row, start, len.  With ``copies_too`` it gets
+    the first two of equal contexts, and what it finds in the second holds for all later
+    ones.  Otherwise it gets the first alone, where a gram has different contexts, and
+    later copies are covered by an equal context, hence throughout.
     """
-    found = stored(recurring(anchors(docs, words, window, gram), same_text_counts))
-    firsts = found.where("not later").select("h", "dg", "doc_id", "th", "lo", "n")
-    several = firsts.groupBy("h").agg(F.min("dg").alias("a"), F.max("dg").alias("b")).where("a <> b").select("h")
-    bodies = cut(docs, firsts.join(several, "h"), words, window)
+    found = stored(recurring(anchors(docs, words, window, gram, same_text_counts), same_text_counts))
+    if copies_too:
+        asked = found.where("not known and (second or not later)")
+    else:
+        firsts = found.where("not later")
+        several = firsts.groupBy("h").agg(F.min("dg").alias("a"), F.max("dg").alias("b")).where("a <> b").select("h")
+        asked = firsts.join(several, "h")
+    bodies = cut(docs, asked, words, window)
 
     def run(batches):
         for t in groups(batches, most_bytes):
             row, start, n = match(t)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [t.column(k).combine_chunks().take(take) for k in (1, 2)]
-                + [pa.array((t.column(3).to_numpy()[row] + start).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["doc_id", "th", "start", "len"],
+                [t.column(k).combine_chunks().take(take) for k in (1, 2, 3, 0, 6, 7)] + [pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+                ["doc_id", "th", "lo", "h", "dg", "second", "at", "len"],
             )
 
-    between = bodies.repartition("h").sortWithinPartitions("h", "doc_id", "lo").mapInArrow(run, "doc_id long, th int, start int, len int")
-    copies = found.where("later").select("doc_id", "th", F.col("lo").alias("start"), (F.col("n") + (window - 1)).alias("len"))
-    return between.union(copies).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
+    matched = bodies.repartition("h").sortWithinPartitions("h", "doc_id", "lo").mapInArrow(run, "doc_id long, th int, lo int, h long, dg long, second boolean, at int, len int")
+    if copies_too:
+        matched = stored(matched)
+        verdict = matched.where("second").select("h", "dg", "at", "len").distinct()
+        copies = found.where("later and not second").join(verdict, ["h", "dg"]).select("doc_id", "th", (F.col("lo") + F.col("at")).alias("start"), "len")
+    else:
+        copies = found.where("later").select("doc_id", "th", F.col("lo").alias("start"), (F.col("n") + (window - 1)).alias("len"))
+    every = matched.select("doc_id", "th", (F.col("lo") + F.col("at")).alias("start"), "len").union(copies)
+    return every.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
 
 
 def removed(n: int, spans) -> np.ndarray:

@@ -61,6 +61,15 @@ def test_words_match_brute_force(spark, seed, vocab):
     assert sorted(got, key=key) == sorted(brute_words(rows), key=key)
 
 
+def test_batches_of_texts_do_not_matter(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = [tuple(r) for r in phrases.deduplicated(df).collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=key) == sorted(brute_words(rows), key=key)
+
+
 def test_small_shards_and_slices_give_the_same(spark, monkeypatch):
     rows = corpus()
     monkeypatch.setattr(phrases, "SHARD_BYTES", 100)
@@ -85,7 +94,7 @@ def test_without_repeats_keeps_columns_and_clean_texts(spark):
 def test_rows_wait_for_the_next_batch(spark):
     """Marks do not depend on where batches end."""
     rng = np.random.default_rng(0)
-    rows = [(int(h), int(d), int(i), 0, int(lo), 1) for h, d, i, lo in zip(rng.integers(0, 30, 400), rng.integers(0, 2, 400), rng.integers(0, 6, 400), rng.integers(0, 4, 400))]
+    rows = [(int(h), int(d), int(i), 0, int(lo), 1, False) for h, d, i, lo in zip(rng.integers(0, 30, 400), rng.integers(0, 2, 400), rng.integers(0, 6, 400), rng.integers(0, 4, 400))]
     df = spark.createDataFrame(rows, repeats.ANCHOR)
     out = []
     for size in ("1", "3", "1000"):
@@ -95,9 +104,11 @@ def test_rows_wait_for_the_next_batch(spark):
     groups = defaultdict(list)
     for r in rows:
         groups[r[0]].append(r)
-    want = []
+    want, seconds = [], 0
     for h, g in groups.items():
         for r in g if len(g) > 1 else ():
             first = min((x[2], x[4]) for x in g if x[1] == r[1])
             want.append((*r, (r[2], r[4]) != first))
-    assert out[0] == out[1] == out[2] == sorted(want)
+        seconds += sum(len({(x[2], x[4]) for x in g if x[1] == d}) > 1 for d in {x[1] for x in g})
+    assert out[0] == out[1] == out[2] and [r[:-1] for r in out[0]] == sorted(want)
+    assert sum(r[-1] for r in out[0]) == seconds
