@@ -80,7 +80,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def successors(keys: DataFrame) -> DataFrame:
-    """(k, doc_id, n) -> (k, n, next_k) in the order of (doc_id, k), the last followed by
+    """(k, doc_id, n) -> the same with next_k, in the order of (doc_id, k), the last followed by
     the first.  Ranges of the order are linked inside, and their heads to one another:
     one row per range is all that meets in one place."""
     parts = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -90,19 +90,21 @@ def successors(keys: DataFrame) -> DataFrame:
     heads = ranged.groupBy("part").agg(F.min(F.struct("doc_id", "k")).alias("head")).select("part", F.col("head.k").alias("head_k"))
     across = Window.orderBy("part")
     follow = heads.select("part", F.coalesce(F.lead("head_k").over(across), F.first("head_k").over(across)).alias("next_head"))
-    return linked.join(follow, "part").select("k", "n", F.coalesce("inner_k", "next_head").alias("next_k"))
+    return linked.join(follow, "part").select("k", "doc_id", "n", F.coalesce("inner_k", "next_head").alias("next_k"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its fingerprint, that of its edited text, and likenesses."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    own = own.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
-    keys = own.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max(F.length("text")).alias("n"))
+    given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    given = given.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
+    keys = given.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max(F.length("text")).alias("n"))
     chain = stored(successors(keys))
+    # both joins below read the texts in the same two columns, so that they share one shuffle
+    own = given.select("k", "text")
     quarter = F.floor(F.col("n") / 4).cast("int")
-    asked = chain.select(F.col("next_k").alias("k"), F.col("k").alias("for_k"), quarter.alias("q"))
-    parts = own.join(asked, "k").select("for_k", F.expr("left(text, q)").alias("head"))
-    parts = parts.groupBy(F.col("for_k").alias("k")).agg(F.first("head").alias("head"))
+    asked = chain.select(F.col("next_k").alias("k"), F.col("k").alias("for_k"), "doc_id", quarter.alias("q"))
+    parts = own.join(asked, "k").select("for_k", "doc_id", F.expr("left(text, q)").alias("head"))
+    parts = parts.groupBy(F.col("for_k").alias("k")).agg(F.first("doc_id").alias("doc_id"), F.first("head").alias("head"))
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), "head")
     both = own.join(parts, "k").select("k", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
