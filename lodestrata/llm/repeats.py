@@ -253,7 +253,7 @@ def cut(docs: DataFrame, wanted: DataFrame, words: bool, window: int) -> DataFra
             lo, n = (flat.field(k).to_numpy() for k in ("lo", "n"))
             row = np.repeat(np.arange(b.num_rows), np.diff(from_))
             body = []
-            for i in range(b.num_rows):
+            for i in np.flatnonzero(np.diff(from_)):
                 own = data[at[i] : at[i + 1]].tobytes()
                 part = own.split() if words else own
                 for k in range(from_[i] - from_[0], from_[i + 1] - from_[0]):
@@ -265,8 +265,10 @@ def cut(docs: DataFrame, wanted: DataFrame, words: bool, window: int) -> DataFra
                 ["h", "doc_id", "th", "lo", "n", "body", "dg", "second"],
             )
 
+    # a left join, like the one that ends the job, so that both read one shuffle of the texts;
+    # texts that nothing is asked of yield nothing above
     per_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "lo", "n", "dg", "second")).alias("asked"))
-    return docs.join(per_doc, ["doc_id", "th"]).select("doc_id", "th", "text", "asked").mapInArrow(run, CUT)
+    return docs.join(per_doc, ["doc_id", "th"], "left").select("doc_id", "th", "text", "asked").mapInArrow(run, CUT)
 
 
 def groups(batches, most_bytes: int):
