@@ -54,7 +54,7 @@ def cost_shares(costs: DataFrame, name: str, cost: str, n: int, day: int, days_i
     """The n largest costs, their share, and the month's projection; crumbs are dropped."""
     sums = costs.groupBy(name).agg(F.sum(cost).alias("cost")).where(F.col("cost") > least)
     whole = Window.partitionBy()
-    shared = sums.withColumns({"share_pct": F.round(100 * F.col("cost") / F.sum("cost").over(whole), 4), "projected": F.round(F.col("cost") / day * days_in_month, 2)})
+    shared = sums.withColumns({"share_pct": F.round(100 * F.col("cost") / F.sum("cost").over(whole), 4), "projected": F.round(F.col("cost") / day * days_in_month, 4)})
     return shared.orderBy(F.desc("cost"), name).limit(n)
 
 

@@ -140,7 +140,7 @@ def top_error_groups(spark, sf):
 
 
 @query("""with s as (select c_mktsegment as service, sum(cast(c_acctbal as decimal(18,2))) as cost from customer where c_acctbal > 0 group by 1)
-select service, cast(cost as double) as cost, round(100 * cast(cost as double) / cast(sum(cost) over () as double), 4) as share_pct, round(cast(cost as double) / 12 * 30, 2) as projected from s where cost > 0.001 order by cost desc, service limit 10""")
+select service, cast(cost as double) as cost, round(100 * cast(cost as double) / cast(sum(cost) over () as double), 4) as share_pct, round(cast(cost as double) / 12 * 30, 4) as projected from s where cost > 0.001 order by cost desc, service limit 10""")
 def cost_share_projection(spark, sf):
     costs = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_mktsegment").alias("service"), F.col("c_acctbal").cast("decimal(18,2)").alias("c"))
     doubles = costs.groupBy("service").agg(F.sum("c").cast("double").alias("c"))
