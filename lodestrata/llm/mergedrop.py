@@ -216,12 +216,13 @@ def decode(v: Vocabulary, ids) -> str:
 def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
     """``docs`` without ``text_col``, plus ids (array<int>), decoded (string) and
     lossless: whether decoding the ids gave the text back."""
-    held = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
+    held = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(model_file)))  # plain data: tasks need no import
     names = [c for c in docs.columns if c != text_col]
     variant = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(variants)), F.lit(0)).cast("int")
 
     def run(batches):
-        v = held.value
+        v = Vocabulary.__new__(Vocabulary)
+        vars(v).update(held.value)
         encoder = Encoder(v, dropout, seed)
         for batch in batches:
             for b in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)):

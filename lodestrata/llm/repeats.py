@@ -11,8 +11,6 @@ the first two.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,20 +23,25 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _ALL = (1 << 64) - 1
 
 
-@lru_cache(2)
+_tables: dict = {}  # what a task has computed; a plain dict travels with the functions
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return tuple(out)
+    if len(_tables.get("powers", ((),))[0]) < n:
+        out = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _tables["powers"] = tuple(out)
+    return _tables["powers"]
 
 
-@lru_cache(1)
 def byte_values() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    if "bytes" not in _tables:
+        _tables["bytes"] = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return _tables["bytes"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
