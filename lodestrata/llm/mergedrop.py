@@ -79,8 +79,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def segment_key(segment: str, variant: int, seed: int) -> int:
-    return (zlib.crc32(segment.encode()) << 32 ^ (variant + 1) * 0x9E3779B97F4A7C15 ^ seed * 0xC2B2AE3D27D4EB4F) % (1 << 64)
+def segment_keys(segments: list[str], variants: list[int], seed: int) -> np.ndarray:
+    crc = np.fromiter((zlib.crc32(s.encode()) for s in segments), np.uint64, len(segments))
+    x = np.array(variants, np.uint64) + np.uint64(1)
+    return crc << np.uint64(32) ^ x * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed * 0xC2B2AE3D27D4EB4F % (1 << 64))
 
 
 def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray, dropout: float) -> np.ndarray:
@@ -139,8 +141,9 @@ def encode_long(v: Vocabulary, segment: str, key: int, dropout: float) -> np.nda
     return spell(v, np.array([sym[k] for k in at], np.int64), chars[at])
 
 
-def encode_short(v: Vocabulary, segments: list[str], keys: np.ndarray, dropout: float) -> list[np.ndarray]:
-    """Many agendas at once: each round merges the best candidate of every segment."""
+def encode_short(v: Vocabulary, segments: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
+    """Many agendas at once: each round merges the best candidate of every segment.  The
+    pieces come as the bytes of 32-bit numbers."""
     chars = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int64)
     sizes = np.array([len(s) for s in segments])
     seg = np.repeat(np.arange(len(segments)), sizes)
@@ -172,11 +175,11 @@ def encode_short(v: Vocabulary, segments: list[str], keys: np.ndarray, dropout:
     where, sym, first = (np.concatenate(x) for x in zip(*done))
     order = np.argsort(where, kind="stable")
     where, sym, first = where[order], sym[order], first[order]
-    cuts = np.flatnonzero(np.r_[where[1:] != where[:-1]]) + 1
-    out = np.split(sym, cuts)
+    cuts = np.searchsorted(where, np.arange(len(segments) + 1)).tolist()
+    raw = sym.astype(np.int32).tobytes()
+    out = [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
     for k in set(where[sym < 0].tolist()):
-        lo, hi = np.searchsorted(where, [k, k + 1])
-        out[k] = spell(v, sym[lo:hi], first[lo:hi])
+        out[k] = spell(v, sym[cuts[k] : cuts[k + 1]], first[cuts[k] : cuts[k + 1]]).astype(np.int32).tobytes()
     return out
 
 
@@ -193,18 +196,19 @@ class Encoder:
         for t, x in zip(texts, variants):
             own = _SEGMENT.findall(" " + t) if t else []
             parts.append(own)
-            known = self.known.setdefault(x, {})
-            asked.setdefault(x, set()).update(s for s in own if s not in known)
-        flat = [(x, s) for x, new in asked.items() for s in new]
-        self.size += len(flat)
-        short = [(x, s) for x, s in flat if len(s) < LONG]
-        for x, s in flat:
-            if len(s) >= LONG:
-                self.known[x][s] = encode_long(self.v, s, segment_key(s, x, self.seed), self.dropout).astype(np.int32).tobytes()
-        if short:
-            keys = np.array([segment_key(s, x, self.seed) for x, s in short], np.uint64)
-            for (x, s), ids in zip(short, encode_short(self.v, [s for _, s in short], keys, self.dropout)):
-                self.known[x][s] = ids.astype(np.int32).tobytes()
+            asked.setdefault(x, set()).update(own)
+        flat = [(x, s) for x, new in asked.items() for s in new.difference(self.known.setdefault(x, {}))]
+        if flat:
+            self.size += len(flat)
+            keys = segment_keys([s for _, s in flat], [x for x, _ in flat], self.seed)
+            sizes = np.array([len(s) for _, s in flat])
+            short = np.flatnonzero(sizes < LONG).tolist()
+            if short:
+                for i, ids in zip(short, encode_short(self.v, [flat[i][1] for i in short], keys[short], self.dropout)):
+                    self.known[flat[i][0]][flat[i][1]] = ids
+            for i in np.flatnonzero(sizes >= LONG).tolist():
+                x, s = flat[i]
+                self.known[x][s] = encode_long(self.v, s, int(keys[i]), self.dropout).astype(np.int32).tobytes()
         return [np.frombuffer(b"".join(map(self.known[x].__getitem__, own)), np.int32) for own, x in zip(parts, variants)]
 
 
