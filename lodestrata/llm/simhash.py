@@ -181,9 +181,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, once each.
+    """The rows of ``docs`` whose id is the smallest of their component.
 
-    Rows without an id cannot be told apart from their group and are kept.
+    Rows that share that id stay together; rows without an id are kept.
     """
     found = near_duplicates(docs, **options)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
