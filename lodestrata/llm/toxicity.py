@@ -9,9 +9,10 @@ and only the two back-off weights of its context remain.  A document's score is
 calibrated function of its length-normalised log-likelihood ratios, over the whole text
 and over its most telling stretch of ``WINDOW`` n-grams.
 
-``MODEL_GRAMS`` bounds the model that is sent to the tasks (the most frequent
-n-grams are kept; counts and statistics are taken over all before), and
-``CALIBRATION_ROWS`` the labelled rows that the final logistic curve is fitted on.
+The ``MODEL_GRAMS`` most frequent n-grams and contexts are sent to the tasks.  If there
+are more, no score changes: each chunk of texts asks for the n-grams it has beyond those, once
+each, in a join with the whole stored tables.  ``CALIBRATION_ROWS`` bounds the labelled
+rows that the final logistic curve is fitted on.
 
 Edge cases: null and empty texts get the curve's value for a ratio of 0; without
 labelled rows of both classes all scores are the share of toxic labels (0 if none);
@@ -20,6 +21,8 @@ several labels of a document count as their maximum; null labels teach nothing.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +34,7 @@ from lodestrata.llm.folds import fold, held_out
 ORDER = 5
 WINDOW = 32
 DISCOUNT = 0.75
-MODEL_GRAMS = 3_000_000
+MODEL_GRAMS = 3_000_000  # broadcast up to here; the rest is joined
 CALIBRATION_ROWS = 30_000
 CALIBRATION_FOLD = 4
 LABEL_ROWS = 1_000_000  # broadcast up to here; two numbers a row
@@ -124,8 +127,8 @@ def ratios(g: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
     return full, context.select("h", (F.col("nt") + F.col("no")).alias("n"), (F.log(weight("tt", "nt")) - F.log(weight("to", "no"))).alias("llr"))
 
 
-def bounded(df: DataFrame, most: int) -> DataFrame:
-    """All rows, or those with at least the count that leaves at most ``most``."""
+def least_sent(df: DataFrame, most: int) -> int:
+    """The least count for which at most ``most`` rows have it or a higher one."""
     by_n = df.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).limit(1_000_000).collect()
     left, least = most, 1
     for r in by_n:
@@ -133,7 +136,7 @@ def bounded(df: DataFrame, most: int) -> DataFrame:
         if left < 0:
             least = r.n + 1
             break
-    return df.where(F.col("n") >= least)
+    return least
 
 
 class Lookup:
@@ -171,20 +174,67 @@ class Lookup:
         return out, np.concatenate(missing) if missing else left
 
 
-def learn(rows: DataFrame, order: int = ORDER, most: int = MODEL_GRAMS) -> tuple[Lookup, Lookup]:
-    """(text, toxic) -> lookups of n-gram and context ratios."""
+class Model:
+    """The most frequent n-gram and context ratios as lookups, and all of them as tables
+    if that is not the whole model (None if it is)."""
+
+    def __init__(self, seen: Lookup, context: Lookup, tables: tuple[DataFrame, DataFrame] | None):
+        self.seen, self.context, self.tables = seen, context, tables
+
+
+def learn(rows: DataFrame, order: int = ORDER, most: int = MODEL_GRAMS) -> Model:
+    """(text, toxic) -> n-gram and context ratios."""
     g = stored(counts(rows, order))
-    out = []
+    tables, lookups, whole = [], [], True
     for df in ratios(g, order):
-        t = bounded(stored(df), most).toArrow()
-        out.append(Lookup(t.column(0).to_numpy(), t.column(2).to_numpy()))
-    return tuple(out)
+        df = stored(df)
+        least = least_sent(df, most)
+        whole = whole and least == 1
+        t = df.where(F.col("n") >= least).toArrow()
+        tables.append(df)
+        lookups.append(Lookup(t.column(0).to_numpy(), t.column(2).to_numpy()))
+    return Model(*lookups, None if whole else tuple(tables))
+
+
+def measured(g: np.ndarray, doc: np.ndarray, v: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum, number and peak of the n-grams' ratios ``v`` for each of ``rows`` texts."""
+    total, n, peak = np.bincount(doc, v, rows), np.bincount(doc, minlength=rows), np.full(rows, -np.inf)
+    if len(v) >= WINDOW:
+        c = np.r_[0.0, np.cumsum(v, dtype=np.float64)]
+        inside = np.flatnonzero(doc[: len(v) - WINDOW + 1] == doc[WINDOW - 1 :])
+        np.maximum.at(peak, doc[inside], c[inside + WINDOW] - c[inside])
+    return total, n, np.where(np.isfinite(peak), peak, total) / WINDOW
+
+
+def answers(docs: DataFrame, seen, tables: tuple[DataFrame, DataFrame], order: int) -> DataFrame:
+    """(chunk, gram, llr): the ratio of each n-gram that is in a chunk and not in ``seen``.
+    A chunk asks once, so an n-gram that all texts have comes once a chunk."""
+
+    def ask(batches):
+        lookup = Lookup.__new__(Lookup)
+        vars(lookup).update(seen.value[0])
+        for b in batches:
+            data, at = utf8(b.column(0))
+            chunk = b.column(1).to_numpy()
+            for lo, hi in pieces(at, SLICE):
+                g, doc = grams(data, at[lo : hi + 1], order)
+                missing = lookup.get(g)[1]
+                owner = chunk[lo:hi][doc[missing]]
+                for c in np.unique(owner):
+                    own = np.unique(g[missing[owner == c]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), c)), pa.array(own)], ["chunk", "gram"])
+
+    asked = docs.select("text", "chunk").mapInArrow(ask, "chunk long, gram long").withColumn("h", F.shiftright("gram", 8))
+    full, context = tables[0].select("gram", F.col("llr").alias("own")), tables[1].select("h", F.col("llr").alias("back"))
+    found = asked.join(full, "gram", "left").join(context, "h", "left")
+    return found.select("chunk", "gram", F.coalesce("own", "back").cast("float").alias("llr")).where("llr <> 0")
 
 
-def score_rows(docs: DataFrame, model: tuple[Lookup, Lookup], keep: list[str], order: int = ORDER) -> DataFrame:
+def score_rows(docs: DataFrame, model: Model, keep: list[str], order: int = ORDER) -> DataFrame:
     """``keep`` columns, the summed log-likelihood ratio of each text, its n-grams, and the
     highest mean ratio of ``WINDOW`` n-grams in a row (over all, if there are fewer)."""
-    held = docs.sparkSession.sparkContext.broadcast([vars(x) for x in model])  # plain data: tasks need no import
+    held = docs.sparkSession.sparkContext.broadcast([vars(model.seen), vars(model.context)])  # plain data: tasks need no import
+    names = [*keep, "llr", "n", "peak"]
 
     def run(batches):
         seen, context = (Lookup.__new__(Lookup) for _ in range(2))
@@ -192,23 +242,40 @@ def score_rows(docs: DataFrame, model: tuple[Lookup, Lookup], keep: list[str], o
             vars(x).update(parts)
         for b in batches:
             data, at = utf8(b.column(0))
-            total, n, peak = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), np.full(b.num_rows, -np.inf)
+            found = [np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)]
             for lo, hi in pieces(at, SLICE):
                 g, doc = grams(data, at[lo : hi + 1], order)
                 v, missing = seen.get(g)
                 v[missing] = context.get(g[missing] >> 8)[0]
-                total[lo:hi] += np.bincount(doc, v, hi - lo)
-                n[lo:hi] += np.bincount(doc, minlength=hi - lo)
-                if len(v) >= WINDOW:
-                    c = np.r_[0.0, np.cumsum(v, dtype=np.float64)]
-                    inside = np.flatnonzero(doc[: len(v) - WINDOW + 1] == doc[WINDOW - 1 :])
-                    np.maximum.at(peak[lo:hi], doc[inside], c[inside + WINDOW] - c[inside])
-            peak = np.where(np.isfinite(peak), peak, total) / WINDOW
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(1, b.num_columns)), pa.array(total), pa.array(n), pa.array(peak)], [*keep, "llr", "n", "peak"])
+                for all_rows, part in zip(found, measured(g, doc, v, hi - lo)):
+                    all_rows[lo:hi] = part
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(1, b.num_columns)), *map(pa.array, found)], names)
 
     own = docs.select("text", *keep)
     kept = "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in keep)
-    return own.mapInArrow(run, f"{kept}llr double, n long, peak double")
+    schema = f"{kept}llr double, n long, peak double"
+    if model.tables is None:
+        return own.mapInArrow(run, schema)
+
+    def dealt(batches):
+        for b in batches:
+            _, at = utf8(b.column(0))
+            chunk = np.zeros(b.num_rows, np.int64)
+            for lo, hi in pieces(at, SLICE):
+                chunk[lo:hi] = uuid.uuid4().int >> 65
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunk)], ["text", *keep, "chunk"])
+
+    def score(texts, given):
+        seen = Lookup.__new__(Lookup)
+        vars(seen).update(held.value[0])
+        data, at = utf8(texts.column("text"))
+        g, doc = grams(data, at, order)
+        v, missing = seen.get(g)
+        v[missing] = Lookup(given.column("gram").to_numpy(), given.column("llr").to_numpy()).get(g[missing])[0]
+        return pa.Table.from_arrays([*(texts.column(c) for c in keep), *map(pa.array, measured(g, doc, v, len(texts)))], names)
+
+    chunks = stored(own.mapInArrow(dealt, f"text string, {kept}chunk long"))  # a chunk must not change when a task runs again
+    return chunks.groupBy("chunk").cogroup(answers(chunks, held, model.tables, order).groupBy("chunk")).applyInArrow(score, schema)
 
 
 def features(llr, n, peak):

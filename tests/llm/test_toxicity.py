@@ -82,3 +82,17 @@ def test_one_class_or_nothing(spark):
     assert {r.score for r in toxicity.toxicity(d, l.limit(0)).collect()} == {0.0}
     assert {r.score for r in toxicity.toxicity(d, l.selectExpr("doc_id", "0 as toxic")).collect()} == {0.0}
     assert toxicity.toxicity(d.limit(0), l).count() == 0
+
+
+def test_a_model_larger_than_what_is_sent_scores_the_same(spark):
+    docs, labels = corpus(30)
+    rows = [(t, bool(x)) for (_, t), (_, x) in zip(docs, labels)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic boolean"), most=100)
+    asked = [docs[0][1], "moronish idiots THING", "abc", "", "zzzzzzzz anything", None, docs[1][1]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "i long, text string")
+    got = toxicity.score_rows(df.repartition(2), model, ["i"]).collect()
+    whole = {r.i: r for r in toxicity.score_rows(df, toxicity.learn(spark.createDataFrame(rows, "text string, toxic boolean")), ["i"]).collect()}
+    assert sorted(r.i for r in got) == list(range(len(asked)))
+    for r in got:
+        assert abs(r.llr - brute_llr(rows, asked[r.i] or "")) < 1e-3
+        assert r.n == whole[r.i].n and abs(r.peak - whole[r.i].peak) < 1e-6
