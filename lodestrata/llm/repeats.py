@@ -6,7 +6,9 @@ anchors at equal places, wherever they occur.  The windows that share one anchor
 its context, a stretch of text that is known by two hashes: that of the anchor's gram
 and that of the whole stretch.  Contexts whose gram occurs once in the corpus cannot
 hold a repeated window and are dropped after one shuffle; equal contexts collapse to
-the first two.
+the first two.  Where one gram has so many different contexts that they would not fit
+into a shard, each of their windows becomes a context of its own, under the hash of the
+whole window, and equal ones meet and collapse as before.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import pieces, stored, utf8
 
 SLICE = 1 << 19
+WORD_BYTES = 8  # about what a word and its space take
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ALL = (1 << 64) - 1
 
@@ -139,6 +142,26 @@ def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
 ANCHOR = "h long, dg long, doc_id long, th int, lo int, n int, known boolean"
 
 
+def marked(h, dg, ids, th, row, start, n, same_text_counts: bool) -> pa.RecordBatch:
+    """Rows of ``ANCHOR`` of one batch, with all but one of the later equal ones ``known``."""
+    doc = ids.to_numpy(zero_copy_only=False)[row]
+    same = mixed(h.view(np.uint64) * np.uint64(3) ^ dg.view(np.uint64))
+    order = np.lexsort((start, doc, same))
+    new = np.r_[True, same[order][1:] != same[order][:-1]][: len(order)]
+    top = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    after = (doc[order] != doc[top]) | ((start[order] != start[top]) if same_text_counts else False)
+    known = np.zeros(len(h), bool)
+    known[order] = after & np.r_[False, after[:-1] & ~new[1:]]
+    take = pa.array(row)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.where(known, h ^ _spread(doc, start), h)), pa.array(dg), ids.take(take), th.take(take),
+            pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(known),
+        ],
+        ["h", "dg", "doc_id", "th", "lo", "n", "known"],
+    )
+
+
 def anchors(docs: DataFrame, words: bool, window: int, gram: int, same_text_counts: bool) -> DataFrame:
     """(doc_id, th, text) -> a row per anchor; a row without id or text has none.
 
@@ -160,23 +183,7 @@ def anchors(docs: DataFrame, words: bool, window: int, gram: int, same_text_coun
             if not found:
                 continue
             h, dg, row, start, n = (np.concatenate(x) for x in zip(*found))
-            doc = b.column(0).to_numpy(zero_copy_only=False)[row]
-            same = mixed(h.view(np.uint64) * np.uint64(3) ^ dg.view(np.uint64))
-            order = np.lexsort((start, doc, same))
-            new = np.r_[True, same[order][1:] != same[order][:-1]][: len(order)]
-            top = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-            after = (doc[order] != doc[top]) | ((start[order] != start[top]) if same_text_counts else False)
-            known = np.zeros(len(h), bool)
-            known[order] = after & np.r_[False, after[:-1] & ~new[1:]]
-            own = h ^ _spread(doc, start)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.where(known, own, h)), pa.array(dg), b.column(0).take(take), b.column(1).take(take),
-                    pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(known),
-                ],
-                ["h", "dg", "doc_id", "th", "lo", "n", "known"],
-            )
+            yield marked(h, dg, b.column(0), b.column(1), row, start, n, same_text_counts)
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(run, ANCHOR)
 
@@ -275,8 +282,7 @@ def cut(docs: DataFrame, wanted: DataFrame, words: bool, window: int) -> DataFra
 
 
 def groups(batches, most_bytes: int):
-    """Rows sorted by h, in lists of whole h groups of about ``most_bytes`` of text.  A
-    group that alone is larger comes whole."""
+    """Rows sorted by h, in lists of whole h groups of about ``most_bytes`` of text."""
     kept, size = [], 0
     for b in batches:
         h = b.column(0).to_numpy()
@@ -292,6 +298,27 @@ def groups(batches, most_bytes: int):
         yield pa.Table.from_batches(kept).combine_chunks()
 
 
+def by_window(bodies: DataFrame, words: bool, window: int, same_text_counts: bool) -> DataFrame:
+    """A row of ``ANCHOR`` for each window of the contexts, with two hashes of all of it."""
+
+    def run(batches):
+        for b in batches:
+            data, at = utf8(b.column(5))
+            doc_lo = b.column(3).to_numpy()
+            for lo, hi in pieces(at, SLICE):
+                sym, first = symbols(data, at[lo : hi + 1], words)
+                m = len(sym) - window + 1
+                owner = np.repeat(np.arange(hi - lo), np.diff(first))
+                w = np.flatnonzero(owner[:m] == owner[window - 1 :]) if m > 0 else np.zeros(0, np.int64)
+                if not len(w):
+                    continue
+                h, dg = (mixed(Prefix(x).of(w, w + window)).view(np.int64) for x in (sym, mixed(sym + np.uint64(_BASE))))
+                d = owner[w]
+                yield marked(h, dg, b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), d, doc_lo[lo:hi][d] + w - first[d], np.ones(len(w), np.int64), same_text_counts)
+
+    return bodies.mapInArrow(run, ANCHOR)
+
+
 def removals(docs: DataFrame, words: bool, window: int, gram: int, same_text_counts: bool, match, most_bytes: int, copies_too: bool) -> DataFrame:
     """(doc_id, th, spans): for each text with repeats, the stretches (start, len) of
     symbols that windows with an earlier start cover.
@@ -300,15 +327,27 @@ def removals(docs: DataFrame, words: bool, window: int, gram: int, same_text_cou
     whole groups (columns of ``CUT``) to arrays row, start, len.  With ``copies_too`` it gets
     the first two of equal contexts, and what it finds in the second holds for all later
     ones.  Otherwise it gets the first alone, where a gram has different contexts, and
-    later copies are covered by an equal context, hence throughout.
+    later copies are covered by an equal context, hence throughout.  Groups of more than
+    about ``most_bytes`` are matched window by window instead.
     """
     found = stored(recurring(anchors(docs, words, window, gram, same_text_counts), same_text_counts))
+    size = F.sum(F.col("n").cast("long") + (window - 1)) * (WORD_BYTES if words else 1)
     if copies_too:
         asked = found.where("not known and (second or not later)")
+        large = asked.groupBy("h").agg(size.alias("size")).where(F.col("size") > most_bytes)
     else:
         firsts = found.where("not later")
-        several = firsts.groupBy("h").agg(F.min("dg").alias("a"), F.max("dg").alias("b")).where("a <> b").select("h")
-        asked = firsts.join(several, "h")
+        several = stored(firsts.groupBy("h").agg(F.min("dg").alias("a"), F.max("dg").alias("b"), size.alias("size")).where("a <> b").select("h", "size"))
+        asked = firsts.join(several.select("h"), "h")
+        large = several.where(F.col("size") > most_bytes)
+    large = stored(large.select("h"))
+    parted = None
+    if not large.isEmpty():
+        split = stored(asked.join(large, "h"))
+        asked = asked.join(large, "h", "left_anti")
+        parted = stored(recurring(by_window(cut(docs, split, words, window), words, window, same_text_counts), same_text_counts))
+        if copies_too:
+            asked = asked.unionByName(parted.where("not known and (second or not later)"))
     bodies = cut(docs, asked, words, window)
 
     def run(batches):
@@ -321,13 +360,22 @@ def removals(docs: DataFrame, words: bool, window: int, gram: int, same_text_cou
             )
 
     matched = bodies.repartition("h").sortWithinPartitions("h", "doc_id", "lo").mapInArrow(run, "doc_id long, th int, lo int, h long, dg long, second boolean, at int, len int")
+    where = lambda df: df.select("doc_id", "th", (F.col("lo") + F.col("at")).alias("start"), "len")
+    of_copies = lambda rows, verdict: where(rows.where("later and not second").join(verdict, ["h", "dg"]))
+    throughout = lambda rows: rows.where("later").select("doc_id", "th", F.col("lo").alias("start"), (F.col("n") + (window - 1)).alias("len"))
     if copies_too:
         matched = stored(matched)
         verdict = matched.where("second").select("h", "dg", "at", "len").distinct()
-        copies = found.where("later and not second").join(verdict, ["h", "dg"]).select("doc_id", "th", (F.col("lo") + F.col("at")).alias("start"), "len")
+        every = where(matched).union(of_copies(found, verdict))
+        if parted is not None:
+            # what was found window by window in the second of equal contexts holds for its later copies
+            every = stored(every.union(of_copies(parted, verdict)))
+            inside = split.where("second").join(every, ["doc_id", "th"]).where("start >= lo and start < lo + n and len = %d" % window)
+            every = every.union(of_copies(found, inside.select("h", "dg", (F.col("start") - F.col("lo")).alias("at"), "len").distinct()))
     else:
-        copies = found.where("later").select("doc_id", "th", F.col("lo").alias("start"), (F.col("n") + (window - 1)).alias("len"))
-    every = matched.select("doc_id", "th", (F.col("lo") + F.col("at")).alias("start"), "len").union(copies)
+        every = where(matched).union(throughout(found))
+        if parted is not None:
+            every = every.union(throughout(parted))
     return every.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
 
 

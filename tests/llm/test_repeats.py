@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestrata.llm import phrases, repeats
+from lodestrata.llm import phrases, repeats, runindex
 
 
 def brute_words(rows, window=50):
@@ -112,3 +112,32 @@ def test_rows_wait_for_the_next_batch(spark):
         seconds += sum(len({(x[2], x[4]) for x in g if x[1] == d}) > 1 for d in {x[1] for x in g})
     assert out[0] == out[1] == out[2] and [r[:-1] for r in out[0]] == sorted(want)
     assert sum(r[-1] for r in out[0]) == seconds
+
+
+@pytest.mark.parametrize("module", [phrases, runindex])
+def test_a_line_with_other_text_around_it_makes_no_large_shard(spark, monkeypatch, module):
+    most = 8000
+    rng = np.random.default_rng(5)
+    line = " ".join(f"b{i}" for i in range(30))
+    other = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
+    rows = [(i, f"{other(60)} {line} {other(60)}") for i in range(150)]
+    rows += [(1000 + i, f"{other(3)} {rows[i][1]}") for i in range(0, 40, 2)] + [(2000 + i, rows[i // 2][1]) for i in range(20)]
+    make = module.matcher
+
+    def bounded(window):
+        match = make(window)
+
+        def checked(t):
+            size = sum(map(len, t.column(5).to_pylist()))
+            if size > 2 * most:
+                raise ValueError(f"a shard of {size} bytes")
+            return match(t)
+
+        return checked
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((tuple(r) for r in module.deduplicated(df).collect()), key=key)
+    assert sum(r[2] > 0 for r in want) >= 40
+    monkeypatch.setattr(module, "SHARD_BYTES", most)
+    monkeypatch.setattr(module, "matcher", bounded)
+    assert sorted((tuple(r) for r in module.deduplicated(df).collect()), key=key) == want
