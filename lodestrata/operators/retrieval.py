@@ -34,8 +34,9 @@ def semantic_then_threshold(vectors: DataFrame, wanted: list[float], k: int, lea
     return semantic(vectors, wanted, k, None, **columns).where(F.col("similarity") >= least)
 
 
-def keyword(docs: DataFrame, query: str, k: int, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """Rows that hold all terms of the query, by cover density; none for stop words alone.
+def keyword(docs: DataFrame, query: str, k: int | None, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """Rows that hold all terms of the query, the k best by cover density, or all in no order
+    if k is None; none for stop words alone.
 
     The match is decided in built-in functions; only matching rows go through Arrow.
     """
@@ -44,7 +45,8 @@ def keyword(docs: DataFrame, query: str, k: int, id_col: str = "id", text_col: s
         return docs.limit(0).withColumn("rank", F.lit(0.0))
     found = docs.withColumn("_terms", textsearch.terms(F.col(text_col)))
     hits = found.where(F.size(F.array_intersect("_terms", F.array(*map(F.lit, asked)))) == len(asked))
-    return hits.withColumn("rank", textsearch.cover_density(asked)("_terms")).drop("_terms").orderBy(F.desc("rank"), id_col).limit(k)
+    ranked = hits.withColumn("rank", textsearch.cover_density(asked)("_terms")).drop("_terms")
+    return ranked if k is None else ranked.orderBy(F.desc("rank"), id_col).limit(k)
 
 
 def fused(semantic_hits: DataFrame, keyword_hits: DataFrame, k: int, weights: tuple[float, float] = (0.7, 0.3), rrf_k: int = 60, id_col: str = "id") -> DataFrame:

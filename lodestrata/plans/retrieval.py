@@ -43,7 +43,7 @@ def _contains_sql():
 @query(_contains_sql())
 def keyword_match_set(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return retrieval.keyword(docs, ASKED, 1_000_000).select("id")
+    return retrieval.keyword(docs, ASKED, None).select("id")
 
 
 @query()

@@ -214,3 +214,12 @@ def test_model(spark):
     scored = maintenance_model.probabilities(model, split.where("not is_train"), 2)
     m = maintenance_model.metrics(maintenance_model.confusion(scored, "label")).first()
     assert m.accuracy == 1.0 and m.f1_macro == 1.0
+
+
+def test_keyword_match_set_is_unlimited(spark, tmp_path):
+    from lodestrata.plans import retrieval as plans
+
+    spark.range(50).selectExpr("id as doc_id", f"if(id % 2 = 0, '{plans.ASKED}', 'other') as text").write.parquet(str(tmp_path / "documents.parquet"))
+    found = plans.keyword_match_set(spark, str(tmp_path))
+    assert "Limit" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id for r in found.collect()} == set(range(0, 50, 2))
