@@ -21,8 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MOST_PATHS = 4  # leading path segments that entries may name
-
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(kind, pattern, category, verdict, valid_from, valid_to); an open end is null."""
@@ -43,9 +41,9 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def patterns(host_col: str, path_col: str) -> Column:
-    """All (kind, pattern, weight) a URL falls under; the weight grows with how specific
-    the pattern is."""
+def patterns(host_col: str, path_col: str, deepest_col: str) -> Column:
+    """All (kind, pattern, weight) a URL falls under, with as many leading path segments as
+    ``deepest_col`` says; the weight grows with how specific the pattern is."""
     labels = F.split(host_col, r"\.")
     n = F.size(labels)
     domains = F.transform(
@@ -53,7 +51,7 @@ def patterns(host_col: str, path_col: str) -> Column:
     )
     whole = F.array(F.struct(F.lit("host").alias("kind"), F.col(host_col).alias("pattern"), F.lit(1000).alias("weight")))
     steps = F.filter(F.split(F.lower(path_col), "/"), lambda x: x != "")
-    depth = F.least(F.size(steps), F.lit(MOST_PATHS))
+    depth = F.least(F.size(steps), F.col(deepest_col))
     paths = F.when(
         depth > 0,
         F.transform(
@@ -72,9 +70,11 @@ def judged(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url
     the first join's partial sums and by its captures' keys.
     """
     own = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at"))
-    asked = own.distinct().withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).withColumn("asked", patterns("host", "path"))
-    keys = asked.select("page_id", "url", "fetched_at", F.explode("asked").alias("a")).select("page_id", "url", "fetched_at", "a.*")
     listed = intervals(entries)
+    deepest = listed.where("kind = 'path'").agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("deepest"))
+    urls = own.distinct().withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).crossJoin(F.broadcast(deepest))
+    asked = urls.withColumn("asked", patterns("host", "path", "deepest"))
+    keys = asked.select("page_id", "url", "fetched_at", F.explode("asked").alias("a")).select("page_id", "url", "fetched_at", "a.*")
     active = (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     hits = keys.join(listed, ["kind", "pattern"]).where(active)
     best = F.max(F.struct("weight", F.when(F.col("verdict") == "allow", 1).otherwise(0).alias("allows"), "kind", "pattern", "category", "valid_from")).alias("best")

@@ -34,3 +34,12 @@ def test_empty_tables(spark):
     none, c = spark.createDataFrame([], ENTRY), spark.createDataFrame([(1, "http://a.example", T("2024-01-01"))], CAPTURE)
     assert not urllist.judged(c, none).first().blocked
     assert urllist.judged(c.limit(0), none).count() == 0
+
+
+def test_deep_path_entries(spark):
+    deep = "site.example/a/b/c/d/e/f"
+    entries = [("path", deep, "p", "block", T("2024-01-01")), ("path", "site.example/a/b", "p", "allow", T("2024-01-01"))]
+    captures = [(1, f"http://{deep}/g/h", T("2024-02-01")), (2, f"http://{deep}", T("2024-02-01")), (3, "http://site.example/a/b/c/d/e/g", T("2024-02-01")), (4, "http://site.example", T("2024-02-01"))]
+    got = {r.page_id: r for r in urllist.judged(spark.createDataFrame(captures, CAPTURE), spark.createDataFrame(entries, ENTRY)).collect()}
+    assert {k: r.blocked for k, r in got.items()} == {1: True, 2: True, 3: False, 4: False}
+    assert got[1].rule == deep and got[1].n_active == 2 and got[3].rule == "site.example/a/b" and got[4].rule is None
