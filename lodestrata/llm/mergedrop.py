@@ -3,17 +3,18 @@
 Text is cut into segments (spaces, then everything up to the next space), as no piece
 of the vocabulary reaches over such a border.  In a segment the agenda always holds
 all neighbouring pairs whose union is a piece; the best score, then the leftmost, is
-merged next.  A candidate is skipped for good if a hash of seed, variant, segment and
-the candidate's borders falls below the dropout rate, so a run can be repeated
-anywhere.  The variant of a document is a hash of its id; equal segments of equal
-variant are encoded once per task.  Characters outside the vocabulary, and a literal
+merged next.  A candidate is skipped for good if a hash of seed, document, the segment's
+place in it, the segment and the candidate's borders falls below the dropout rate, so a
+run can be repeated anywhere and each occurrence has draws of its own.  What a segment
+becomes depends only on which of its possible candidates are dropped, so that a task
+remembers it by the segment and the set of these.  Characters outside the vocabulary, and a literal
 U+2581, become byte pieces, so every text decodes to itself.
 
 Short segments are merged together, one step of all agendas at a time, in arrays; long
 ones go through a heap.  Both give the same pieces.
 
 Edge cases: a null or empty text has no tokens and decodes to null or empty; a null id
-has variant 0; repeated rows get equal results; extra columns are ignored.
+counts as document 0; repeated rows get equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 
 DROPOUT = 0.1
 SEED = 20240229
-VARIANTS = 16
+SHORT = 32  # characters below which the possible candidates of a segment are listed
 LONG = 96  # characters from which a segment goes through the heap
-CACHE = 400_000  # segments a task remembers before it starts anew
+CACHE = 400_000  # encodings a task remembers before it starts anew
+MOST_CANDIDATES = 62  # a segment with more is encoded anew each time
 ROWS_AT_ONCE = 256
 _SEGMENT = re.compile(r" *[^ ]+| +")
 _NO = np.int64(1) << 62
@@ -72,6 +74,11 @@ class Vocabulary:
         self.key = np.array(sorted(merges), np.int64)
         self.rank, self.merged = (np.array([merges[k][j] for k in self.key.tolist()], np.int64) for j in (0, 1))
 
+    def merges(self) -> dict[int, int]:
+        if not hasattr(self, "_merges"):
+            self._merges = dict(zip(self.key.tolist(), self.merged.tolist()))
+        return self._merges
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -79,10 +86,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def segment_keys(segments: list[str], variants: list[int], seed: int) -> np.ndarray:
-    crc = np.fromiter((zlib.crc32(s.encode()) for s in segments), np.uint64, len(segments))
-    x = np.array(variants, np.uint64) + np.uint64(1)
-    return crc << np.uint64(32) ^ x * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed * 0xC2B2AE3D27D4EB4F % (1 << 64))
+def checksums(segments: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(s.encode()) for s in segments), np.uint64, len(segments))
+
+
+def occurrence_keys(crc: np.ndarray, documents: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
+    """Keys of segments (by checksum) at places of documents (64-bit numbers)."""
+    own = _mix(documents * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed * 0xC2B2AE3D27D4EB4F % (1 << 64)))
+    return _mix(own + places * np.uint64(0xD6E8FEB86659FD93)) ^ crc << np.uint64(32)
+
+
+def segment_keys(segments: list[str], documents: list[int], seed: int) -> np.ndarray:
+    """Keys of segments that begin their documents."""
+    return occurrence_keys(checksums(segments), np.array(documents, np.int64).view(np.uint64), np.zeros(len(segments), np.uint64), seed)
 
 
 def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray, dropout: float) -> np.ndarray:
@@ -183,33 +199,87 @@ def encode_short(v: Vocabulary, segments: list[str], keys: np.ndarray, dropout:
     return out
 
 
+def possible(v: Vocabulary, segment: str) -> list[tuple[int, int, int]]:
+    """Borders of all candidates that any dropout could bring up: spans that merges reach."""
+    n = len(segment)
+    piece = {(i, i + 1): int(v.char_id[ord(c)]) for i, c in enumerate(segment)}
+    merges, out = v.merges(), []
+    for size in range(2, n + 1):
+        for lo in range(n - size + 1):
+            for mid in range(lo + 1, lo + size):
+                a, b = piece.get((lo, mid), -1), piece.get((mid, lo + size), -1)
+                made = merges.get(a << 32 | b) if a >= 0 and b >= 0 else None
+                if made is not None:
+                    piece[lo, lo + size] = made
+                    out.append((lo, mid, lo + size))
+    return out
+
+
 class Encoder:
-    """Encodes texts; remembers segments per variant."""
+    """Encodes texts; remembers segments with what is dropped in them."""
 
     def __init__(self, v: Vocabulary, dropout: float, seed: int):
-        self.v, self.dropout, self.seed, self.known, self.size = v, dropout, seed, {}, 0
-
-    def encode(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
-        if self.size > CACHE:
-            self.known, self.size = {}, 0
-        parts, asked = [], {}
-        for t, x in zip(texts, variants):
-            own = _SEGMENT.findall(" " + t) if t else []
-            parts.append(own)
-            asked.setdefault(x, set()).update(own)
-        flat = [(x, s) for x, new in asked.items() for s in new.difference(self.known.setdefault(x, {}))]
-        if flat:
-            self.size += len(flat)
-            keys = segment_keys([s for _, s in flat], [x for x, _ in flat], self.seed)
-            sizes = np.array([len(s) for _, s in flat])
-            short = np.flatnonzero(sizes < LONG).tolist()
-            if short:
-                for i, ids in zip(short, encode_short(self.v, [flat[i][1] for i in short], keys[short], self.dropout)):
-                    self.known[flat[i][0]][flat[i][1]] = ids
-            for i in np.flatnonzero(sizes >= LONG).tolist():
-                x, s = flat[i]
-                self.known[x][s] = encode_long(self.v, s, int(keys[i]), self.dropout).astype(np.int32).tobytes()
-        return [np.frombuffer(b"".join(map(self.known[x].__getitem__, own)), np.int32) for own, x in zip(parts, variants)]
+        self.v, self.dropout, self.seed = v, dropout, seed
+        self.forget()
+
+    def forget(self):
+        self.number, self.known = {}, {}
+        self.crc, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.first, self.borders = np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
+
+    def learn(self, new: list[str]):
+        """Numbers and possible candidates of segments (-1 of them: too many to remember)."""
+        for s in new:
+            self.number[s] = len(self.number)
+        lists = [possible(self.v, s) if len(s) < SHORT else None for s in new]
+        lists = [x if x is not None and len(x) <= MOST_CANDIDATES else None for x in lists]
+        sizes = np.array([-1 if x is None else len(x) for x in lists], np.int64)
+        flat = np.array([c for x in lists for c in x or ()], np.int64).reshape(-1, 3)
+        held = np.maximum(sizes, 0)
+        self.first = np.r_[self.first, len(self.borders) + np.cumsum(held) - held]
+        self.crc, self.n, self.borders = np.r_[self.crc, checksums(new)], np.r_[self.n, sizes], np.r_[self.borders, flat]
+
+    def dropped(self, which: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The set of dropped candidates of each occurrence, as bits."""
+        n = np.maximum(self.n[which], 0)
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        bit = np.arange(total) - np.repeat(end - n, n)
+        borders = self.borders[np.repeat(self.first[which], n) + bit]
+        hit = np.flatnonzero(skipped(np.repeat(keys, n), *borders.T, self.dropout))
+        out = np.zeros(len(which), np.int64)
+        np.bitwise_or.at(out, np.searchsorted(end, hit, "right"), np.int64(1) << bit[hit])
+        return out
+
+    def encode(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
+        if len(self.number) > CACHE // 4:
+            self.forget()
+        if len(self.known) > CACHE:
+            self.known = {}
+        parts = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
+        flat = [s for own in parts for s in own]
+        new = set(flat).difference(self.number)
+        if new:
+            self.learn(sorted(new))
+        sizes = np.array([len(x) for x in parts], np.int64)
+        which = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        places = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        of = np.repeat(np.array(documents, np.int64), sizes).view(np.uint64)
+        keys = occurrence_keys(self.crc[which], of, places.astype(np.uint64), self.seed)
+        asked = list(zip(which.tolist(), self.dropped(which, keys).tolist()))
+        for i in np.flatnonzero(self.n[which] < 0).tolist():
+            asked[i] = (-1, i)
+        todo = {x: i for i, x in enumerate(asked) if x not in self.known}
+        at = list(todo.values())
+        short = [i for i in at if len(flat[i]) < LONG]
+        found = dict(zip(short, encode_short(self.v, [flat[i] for i in short], keys[short], self.dropout))) if short else {}
+        for i in at:
+            found[i] = found[i] if i in found else encode_long(self.v, flat[i], int(keys[i]), self.dropout).astype(np.int32).tobytes()
+        once = {x: found[i] for x, i in todo.items() if x[0] < 0}
+        self.known.update((x, found[i]) for x, i in todo.items() if x[0] >= 0)
+        given = [once[x] if x[0] < 0 else self.known[x] for x in asked]
+        stops = np.cumsum(sizes).tolist()
+        return [np.frombuffer(b"".join(given[b - n : b]), np.int32) for n, b in zip(sizes.tolist(), stops)]
 
 
 def decode(v: Vocabulary, ids) -> str:
@@ -217,12 +287,12 @@ def decode(v: Vocabulary, ids) -> str:
     return b"".join(map(v.bytes_of.__getitem__, ids)).decode()[1:]
 
 
-def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """``docs`` without ``text_col``, plus ids (array<int>), decoded (string) and
     lossless: whether decoding the ids gave the text back."""
     held = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(model_file)))  # plain data: tasks need no import
     names = [c for c in docs.columns if c != text_col]
-    variant = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(variants)), F.lit(0)).cast("int")
+    document = F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(F.xxhash64(F.lit(seed), F.col(id_col))).cast("long")
 
     def run(batches):
         v = Vocabulary.__new__(Vocabulary)
@@ -236,7 +306,7 @@ def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
                 made = [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string()), pa.array([x == t for x, t in zip(back, given)])]
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(2, b.num_columns)), *made], [*names, "ids", "decoded", "lossless"])
 
-    own = docs.select(F.col(text_col).alias("_text"), variant.alias("_variant"), *names)
+    own = docs.select(F.col(text_col).alias("_text"), document.alias("_document"), *names)
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
     return own.mapInArrow(run, f"{kept}ids array<int>, decoded string, lossless boolean")
 

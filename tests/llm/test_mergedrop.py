@@ -66,3 +66,24 @@ def test_spark(spark):
     varied = m.encoded(spark.createDataFrame([(i, "internationalization " * 5) for i in range(30)], "doc_id long, text string"), MODEL).collect()
     assert len({tuple(r.ids) for r in varied}) > 5
     assert m.digests(df.limit(0), MODEL).count() == 0
+
+
+def test_each_occurrence_has_its_own_draws(spark):
+    word = "internationalization"
+    rows = [(i, f"{word} " * 20) for i in range(100)]
+    got = m.encoded(spark.createDataFrame(rows, "doc_id long, text string"), MODEL).collect()
+    assert len({tuple(r.ids) for r in got}) > 90  # by document
+    split = m.Encoder(V, 0.1, 1).encode([f" {word}".join([""] * 200)], [5])[0]
+    kinds = {tuple(w) for w in np.split(split, np.flatnonzero([V.bytes_of[i].startswith(b" ") for i in split.tolist()])) if len(w)}
+    assert len(kinds) > 16  # within one
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abetnrs ing▁é\n", max_size=60), min_size=1, max_size=5), st.floats(0, 1))
+def test_what_is_remembered_equals_the_agenda(texts, dropout):
+    e = m.Encoder(V, dropout, 5)
+    for _ in range(2):
+        for d, (t, ids) in enumerate(zip(texts, e.encode(texts, list(range(len(texts)))))):
+            own = m._SEGMENT.findall(" " + t) if t else []
+            keys = m.occurrence_keys(m.checksums(own), np.full(len(own), d, np.uint64), np.arange(len(own), dtype=np.uint64), 5).tolist()
+            assert ids.tolist() == [i for s, k in zip(own, keys) for i in agenda(s, k, dropout)]
