@@ -3,32 +3,59 @@
 Every window of ``window`` symbols contains ``window - gram + 1`` grams; the one with
 the least hash, the leftmost of equals, is its anchor.  Equal windows have equal
 anchors at equal places, wherever they occur.  The windows that share one anchor form
-its context, a stretch of text that is known by two hashes: that of the anchor's gram
-and that of the whole stretch.  Contexts whose gram occurs once in the corpus cannot
-hold a repeated window and are dropped after one shuffle; equal contexts collapse to
-the first two.  Where one gram has so many different contexts that they would not fit
-into a shard, each of their windows becomes a context of its own, under the hash of the
-whole window, and equal ones meet and collapse as before.
+its context, a stretch of text that is known by the hash of its anchor's gram and by an
+XXH3 digest of all its symbols.  Contexts whose gram occurs once cannot hold a repeated window.
+
+Grams that very many contexts have (``hot_grams``, counted over all texts) anchor a window only
+if it has no other gram.  So a line that a third of all texts share does not gather all texts around
+it: windows that reach beyond the line have their anchors there, and windows inside it are
+equal contexts, of which the first stands for all.  A gram with still more different
+contexts than a shard holds is settled window by window in one more shuffle.
+
+Digests only say where to look.  ``claims`` are stretches of a text with the place where
+they are said to have occurred first; texts are dealt out to shards, each shard is
+given the passages its texts claim, and the callers (``phrases``, ``runindex``) find these in the
+texts symbol by symbol.  So nothing is removed on the strength of a hash.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.llm.common import pieces, stored, utf8
 
 SLICE = 1 << 19
-WORD_BYTES = 8  # about what a word and its space take
+SHARD_TEXT = 1 << 22  # bytes of text in a shard, about
+SHARDS_AT_ONCE = 64  # shards that one row of a source text serves
+HOT_FROM = 500  # occurrences from which a gram is hot
+HOT_HERE = 4
+HOT_FLUSH = 4_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
-_ALL = (1 << 64) - 1
-
+_LOW = np.uint64((1 << 32) - 1)
+_TOP = np.uint64(1 << 63)
 
 _tables: dict = {}  # what a task has computed; a plain dict travels with the functions
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What is compared: words or bytes, in windows of so many; whether an earlier start in
+    the same text counts; and the bytes of different contexts of one gram that a task takes."""
+
+    words: bool
+    window: int
+    gram: int
+    same_text_counts: bool
+    most_bytes: int
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     if len(_tables.get("powers", ((),))[0]) < n:
@@ -93,13 +120,40 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, stops, np.searchsorted(starts, own)
 
 
-def symbols(data: np.ndarray, at: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit value for each symbol, and where each text's symbols start."""
-    values = byte_values()[data[at[0] : at[-1]]]
+@dataclass
+class Symbols:
+    """Symbols of some texts: a 64-bit value of each, where each text's begin, and a buffer
+    in which equal stretches of symbols are equal bytes, from ``start`` to ``stop`` of them."""
+
+    value: np.ndarray
+    first: np.ndarray
+    buffer: memoryview
+    start: np.ndarray | None
+    stop: np.ndarray | None
+
+    def bounds(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (lo, hi) if self.start is None else (self.start[lo], self.stop[hi - 1])
+
+    def digests(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """XXH3 of each stretch of symbols."""
+        f, b = xxhash.xxh3_64_intdigest, self.buffer
+        a, z = self.bounds(lo, hi)
+        return np.fromiter((f(b[i:j]) for i, j in zip(a.tolist(), z.tolist())), np.uint64, len(lo)).view(np.int64)
+
+
+def symbols(data: np.ndarray, at: np.ndarray, words: bool) -> Symbols:
+    """Words are parted by one space in the buffer; bytes are their own."""
+    own = data[at[0] : at[-1]]
     if not words:
-        return values, at - at[0]
+        return Symbols(byte_values()[own], at - at[0], memoryview(own), None, None)
     starts, stops, first = word_spans(data, at)
-    return mixed(Prefix(values).of(starts, stops)), first
+    size = stops - starts
+    value = mixed(Prefix(byte_values()[own]).of(starts, stops))
+    begin = np.cumsum(size) - size + np.arange(len(size))
+    flat = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    kept = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)
+    flat[kept] = own[~_SPACE[own]]
+    return Symbols(value, first, memoryview(flat), begin, begin + size)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -111,185 +165,179 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
-def contexts(sym: np.ndarray, first: np.ndarray, window: int, gram: int):
-    """(gram hash, context hash, text, start within the text, windows) of each anchor."""
+def contexts(s: Symbols, window: int, gram: int, hot: np.ndarray | None = None):
+    """(gram hash, text, first symbol, windows) of each anchor's context.
+
+    A gram is hot if the table ``hot`` (a power of two of flags) says so for its last bits;
+    what anchors a window thus depends on nothing but the window.
+    """
     none = np.zeros(0, np.int64)
-    if len(sym) < window:
-        return none, none, none, none, none
-    run = Prefix(sym)
-    g = mixed(run.grams(gram))
-    low = np.uint64((1 << max(20, int(len(sym)).bit_length())) - 1)
-    key = (g & ~low) | np.arange(len(g), dtype=np.uint64)
-    anchor = (sliding_min(key, window - gram + 1) & low).astype(np.int64)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    if len(s.value) < window:
+        return none, none, none, none
+    g = mixed(Prefix(s.value).grams(gram))
+    key = g >> np.uint64(1)
+    if hot is not None and len(hot):
+        key |= np.where(hot[g & np.uint64(len(hot) - 1)], _TOP, np.uint64(0))
+    key = (key & ~_LOW) | np.arange(len(g), dtype=np.uint64)
+    anchor = (sliding_min(key, window - gram + 1) & _LOW).astype(np.int64)
+    doc = np.repeat(np.arange(len(s.first) - 1), np.diff(s.first))
     ok = np.flatnonzero(doc[: len(anchor)] == doc[window - 1 :])
     if not len(ok):
-        return none, none, none, none, none
+        return none, none, none, none
     anchor = anchor[ok]
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1] + 1)])
-    n = np.diff(np.r_[new, len(ok)])
     lo = ok[new]
-    digest = mixed(run.of(lo, lo + n + window - 1) + (anchor[new] - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    d = doc[lo]
-    return g[anchor[new]].view(np.int64), digest.view(np.int64), d, lo - first[d], n
-
-
-def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """What turns the key of a row into one of its own, and back."""
-    return mixed(doc.astype(np.uint64) << np.uint64(24) ^ start.astype(np.uint64)).view(np.int64)
-
-
-ANCHOR = "h long, dg long, doc_id long, th int, lo int, n int, known boolean"
-
-
-def marked(h, dg, ids, th, row, start, n, same_text_counts: bool) -> pa.RecordBatch:
-    """Rows of ``ANCHOR`` of one batch, with all but one of the later equal ones ``known``."""
-    doc = ids.to_numpy(zero_copy_only=False)[row]
-    same = mixed(h.view(np.uint64) * np.uint64(3) ^ dg.view(np.uint64))
-    order = np.lexsort((start, doc, same))
-    new = np.r_[True, same[order][1:] != same[order][:-1]][: len(order)]
-    top = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    after = (doc[order] != doc[top]) | ((start[order] != start[top]) if same_text_counts else False)
-    known = np.zeros(len(h), bool)
-    known[order] = after & np.r_[False, after[:-1] & ~new[1:]]
-    take = pa.array(row)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.where(known, h ^ _spread(doc, start), h)), pa.array(dg), ids.take(take), th.take(take),
-            pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(known),
-        ],
-        ["h", "dg", "doc_id", "th", "lo", "n", "known"],
-    )
+    return g[anchor[new]].view(np.int64), doc[lo], lo, np.diff(np.r_[new, len(ok)])
+
+
+def hot_grams(docs: DataFrame, unit: Unit) -> tuple[np.ndarray, int]:
+    """The table of hot grams (a flag for each value of their last bits), and the bytes of all texts.
+
+    A partition sends the grams that ``HOT_FLUSH`` of its grams have ``HOT_HERE`` times or more; most
+    are ruled out by a count per bucket of hashes.  A gram that is rarer everywhere stays below, which
+    costs time, not results.  The bound for a hot gram grows with the corpus beyond 16 GB, so
+    that no more than some millions are hot.
+    """
+    buckets = np.uint64((1 << 22) - 1)
+
+    def run(batches):
+        kept, rows, size = [], 0, 0
+
+        def often():
+            g = np.concatenate(kept)
+            full = np.bincount((g & buckets).view(np.int64), minlength=int(buckets) + 1) >= HOT_HERE
+            g, n = np.unique(g[full[g & buckets]], return_counts=True)
+            ok = n >= HOT_HERE
+            return pa.RecordBatch.from_arrays([pa.array(g[ok].view(np.int64)), pa.array(n[ok])], ["h", "n"])
+
+        for b in batches:
+            data, at = utf8(b.column(0))
+            size += int(at[-1] - at[0])
+            for lo, hi in pieces(at, SLICE):
+                value = symbols(data, at[lo : hi + 1], unit.words).value
+                if len(value) >= unit.gram:
+                    kept.append(mixed(Prefix(value).grams(unit.gram)))
+                    rows += len(kept[-1])
+                if rows > HOT_FLUSH:
+                    yield often()
+                    kept, rows = [], 0
+        if rows:
+            yield often()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([size], pa.int64())], ["h", "n"])
 
+    counts = stored(docs.where("doc_id is not null and text is not null").select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"h is null or n >= {HOT_FROM}"))
+    size = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
+    found = counts.where(f"h is not null and n >= {max(HOT_FROM, size >> 25)}").select("h").toArrow().column(0).to_numpy()
+    flags = np.zeros(1 << max(10, len(found).bit_length() + 6) if len(found) else 0, bool)
+    if len(found):
+        flags[found.view(np.uint64) & np.uint64(len(flags) - 1)] = True
+    return flags, size
 
-def anchors(docs: DataFrame, words: bool, window: int, gram: int, same_text_counts: bool) -> DataFrame:
-    """(doc_id, th, text) -> a row per anchor; a row without id or text has none.
 
-    Within a batch of texts equal contexts meet before any shuffle: all that an equal
+ANCHOR = "key long, h long, dg long, doc_id long, th int, lo int, n int, known boolean"
+
+
+def anchors(docs: DataFrame, unit: Unit, hot: np.ndarray) -> DataFrame:
+    """(doc_id, th, text) -> a row per context; a row without id or text has none.
+
+    Within a batch of texts equal contexts meet before any shuffle: those that an equal
     one precedes are repeats, whatever other batches hold.  All but one of these are
-    marked ``known``: they wait for the verdict on the context and get a key of their own,
+    ``known``: they wait for what is found out about the context and get a key of their own,
     which deals them out evenly, so that a passage of a third of all texts sends two
     rows from each batch to its own key.
     """
+    held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         for b in batches:
             data, at = utf8(b.column(2))
             found = []
             for lo, hi in pieces(at, SLICE):
-                sym, first = symbols(data, at[lo : hi + 1], words)
-                h, dg, d, start, n = contexts(sym, first, window, gram)
-                found.append((h, dg, d + lo, start, n))
+                s = symbols(data, at[lo : hi + 1], unit.words)
+                h, d, start, n = contexts(s, unit.window, unit.gram, held.value)
+                found.append((h, s.digests(start, start + n + (unit.window - 1)), d + lo, start - s.first[d], n))
             if not found:
                 continue
             h, dg, row, start, n = (np.concatenate(x) for x in zip(*found))
-            yield marked(h, dg, b.column(0), b.column(1), row, start, n, same_text_counts)
+            doc = b.column(0).to_numpy(zero_copy_only=False)[row]
+            same = mixed(h.view(np.uint64) * np.uint64(3) ^ dg.view(np.uint64))
+            order = np.lexsort((start, doc, same))
+            new = np.r_[True, same[order][1:] != same[order][:-1]][: len(order)]
+            top = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            after = (doc[order] != doc[top]) | ((start[order] != start[top]) if unit.same_text_counts else False)
+            known = np.zeros(len(h), bool)
+            known[order] = after & np.r_[False, after[:-1] & ~new[1:]][: len(order)]
+            own = mixed(doc.astype(np.uint64) << np.uint64(24) ^ start.astype(np.uint64)).view(np.int64)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.where(known, own, h)), pa.array(h), pa.array(dg), b.column(0).take(take), b.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(known)],
+                ["key", "h", "dg", "doc_id", "th", "lo", "n", "known"],
+            )
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(run, ANCHOR)
 
 
-def recurring(rows: DataFrame, same_text_counts: bool) -> DataFrame:
-    """Anchors whose gram occurs elsewhere, each marked as ``later`` if an equal context
-    starts earlier, and as ``second`` if it is the first of those.
-
-    Earlier means a smaller doc_id or, if ``same_text_counts``, the same one and an
-    earlier start.  Rows arrive sorted, so one row of look-ahead is all that is kept.
-    """
-    order = ["h", "dg", "doc_id", "lo"]
-
-    def run(batches):
-        kept, began = None, None  # rows that wait for the next; the first (h, dg, doc_id, lo) of the open context
-        for b in _with_end(batches):
-            if b is not None:
-                t = b if kept is None else pa.Table.from_batches([kept, b]).combine_chunks().to_batches()[0]
-                if t.num_rows < 2:
-                    kept = t
-                    continue
-            elif kept is None:
-                return
-            else:
-                t = kept
-            h, dg, doc, lo = (t.column(k).to_numpy() for k in (0, 1, 2, 4))
-            known = t.column(6).to_numpy(zero_copy_only=False)
-            # a carried row is judged by the row before it, remembered in ``began``
-            ph = np.r_[began[0] if began else ~h[0], h[:-1]]
-            pd = np.r_[began[1] if began else ~dg[0], dg[:-1]]
-            nh = np.r_[h[1:], ~h[-1]]
-            new = (h != ph) | (dg != pd)
-            start = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            fd = np.where(start >= 0, doc[start], began[2] if began else 0)
-            fl = np.where(start >= 0, lo[start], began[3] if began else 0)
-            later = known | (doc != fd) | ((lo != fl) if same_text_counts else False)
-            rec = known | (h == ph) | (h == nh)
-            second = later & ~known & ~(np.r_[began[4] if began else False, later[:-1]] & ~new)
-            stop = len(h) if b is None else len(h) - 1
-            i = np.flatnonzero(rec[:stop])
-            if len(i):
-                out = t.take(pa.array(i))
-                gram = np.where(known, h ^ _spread(doc, lo), h)[i]
-                yield pa.RecordBatch.from_arrays([pa.array(gram), *out.columns[1:], pa.array(later[i]), pa.array(second[i])], [*out.schema.names, "later", "second"])
-            if b is None:
-                return
-            k = len(h) - 2
-            began = (h[k], dg[k], fd[k], fl[k], bool(later[k]))
-            kept = t.slice(len(h) - 1)
-
-    return rows.repartition("h").sortWithinPartitions(*order).mapInArrow(run, ANCHOR + ", later boolean, second boolean")
-
-
-def _with_end(batches):
-    yield from batches
-    yield None
+def recurring(rows: DataFrame) -> DataFrame:
+    """Contexts whose gram occurs elsewhere: with the place of the first equal one (src_doc,
+    src_th, src_lo), their number among the equal ones, whether those are several places, and
+    whether the gram has different contexts.  All of that is null for a ``known`` row."""
+    equal = Window.partitionBy("key", "dg").orderBy("doc_id", "lo", "th")
+    all_equal = Window.partitionBy("key", "dg")
+    gram = Window.partitionBy("key")
+    src = F.first(F.struct("doc_id", "th", "lo")).over(equal)
+    marked = rows.repartition("key").withColumns({"src": src, "rank": F.row_number().over(equal)})
+    marked = marked.withColumn("copied", F.count("*").over(all_equal) > 1)
+    marked = marked.withColumns({"rows": F.count("*").over(gram), "several": F.min("dg").over(gram) != F.max("dg").over(gram)}).where("known or rows > 1")
+    of = lambda c: F.when(~F.col("known"), F.col(c))
+    return marked.select(
+        "h", "dg", "doc_id", "th", "lo", "n", "known", of("src.doc_id").alias("src_doc"), of("src.th").alias("src_th"), of("src.lo").alias("src_lo"),
+        of("rank").alias("rank"), of("copied").alias("copied"), of("several").alias("several"),
+    )
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, text): rows that share an id are told apart by a hash of their text."""
+    """(doc_id, th, text): rows that share an id are told apart by a hash of their text.  Ids
+    must be whole numbers, or text that is one."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
 
 
-CUT = "h long, doc_id long, th int, lo int, n int, body binary, dg long, second boolean"
-
-
-def cut(docs: DataFrame, wanted: DataFrame, words: bool, window: int) -> DataFrame:
-    """The stretches of text behind contexts (columns of ``CUT`` but the body); words are
-    joined by one space."""
+def cut(docs: DataFrame, asked: DataFrame, unit: Unit, carried: list[str]) -> DataFrame:
+    """``asked`` (doc_id, th, lo, n, ...) -> its ``carried`` columns and body: the symbols of n
+    windows from lo on, words joined by one space.  Equal rows of ``docs`` answer once."""
+    names = ["doc_id", "th", "lo", "n", *carried]
+    per_doc = asked.groupBy("doc_id", "th", *(["part"] if "part" in asked.columns else [])).agg(F.collect_list(F.struct("lo", "n", *carried)).alias("asked"))
+    kind = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
 
     def run(batches):
         for b in batches:
             data, at = utf8(b.column(2))
-            asked = b.column(3).combine_chunks() if isinstance(b.column(3), pa.ChunkedArray) else b.column(3)
-            from_, flat = np.asarray(asked.offsets), asked.values
+            own = b.column(3).combine_chunks() if isinstance(b.column(3), pa.ChunkedArray) else b.column(3)
+            from_, flat = np.asarray(own.offsets), own.values
             flat = flat.slice(from_[0], from_[-1] - from_[0])
-            lo, n = (flat.field(k).to_numpy() for k in ("lo", "n"))
-            row = np.repeat(np.arange(b.num_rows), np.diff(from_))
-            body = []
-            for i in np.flatnonzero(np.diff(from_)):
-                own = data[at[i] : at[i + 1]].tobytes()
-                part = own.split() if words else own
+            lo, n = (flat.field(k).to_numpy().tolist() for k in (0, 1))
+            row, body = np.repeat(np.arange(b.num_rows), np.diff(from_)), []
+            for i in range(b.num_rows):
+                text = data[at[i] : at[i + 1]].tobytes()
+                part = text.split() if unit.words else text
                 for k in range(from_[i] - from_[0], from_[i + 1] - from_[0]):
-                    piece = part[lo[k] : lo[k] + n[k] + window - 1]
-                    body.append(b" ".join(piece) if words else piece)
+                    piece = part[lo[k] : lo[k] + n[k] + unit.window - 1]
+                    body.append(b" ".join(piece) if unit.words else piece)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [flat.field("h"), b.column(0).take(take), b.column(1).take(take), pa.array(lo), pa.array(n), pa.array(body, pa.binary()), flat.field("dg"), flat.field("second")],
-                ["h", "doc_id", "th", "lo", "n", "body", "dg", "second"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(flat.field(k) for k in range(2 + len(carried))), pa.array(body, pa.binary())], [*names, "body"])
 
-    # a left join, like the one that ends the job, so that both read one shuffle of the texts;
-    # texts that nothing is asked of yield nothing above
-    per_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "lo", "n", "dg", "second")).alias("asked"))
-    return docs.join(per_doc, ["doc_id", "th"], "left").select("doc_id", "th", "text", "asked").mapInArrow(run, CUT)
+    texts = docs.where("doc_id is not null and text is not null").groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    return texts.join(per_doc, ["doc_id", "th"]).select("doc_id", "th", "text", "asked").mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in names) + ", body binary")
 
 
 def groups(batches, most_bytes: int):
-    """Rows sorted by h, in lists of whole h groups of about ``most_bytes`` of text."""
+    """Rows sorted by h, in tables of whole h groups of about ``most_bytes`` of bodies."""
     kept, size = [], 0
     for b in batches:
-        h = b.column(0).to_numpy()
-        lens = np.diff(utf8(b.column(5))[1])
-        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        h = b.column("h").to_numpy()
+        lens = np.diff(utf8(b.column("body"))[1])
+        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
         for lo, hi in zip(edge, np.r_[edge[1:], len(h)]):
-            if kept and size > most_bytes and kept[-1].column(0)[-1].as_py() != h[lo]:
+            if kept and size > most_bytes and kept[-1].column("h")[-1].as_py() != h[lo]:
                 yield pa.Table.from_batches(kept).combine_chunks()
                 kept, size = [], 0
             kept.append(b.slice(lo, hi - lo))
@@ -298,100 +346,165 @@ def groups(batches, most_bytes: int):
         yield pa.Table.from_batches(kept).combine_chunks()
 
 
-def by_window(bodies: DataFrame, words: bool, window: int, same_text_counts: bool) -> DataFrame:
-    """A row of ``ANCHOR`` for each window of the contexts, with two hashes of all of it."""
+def numbered(bodies: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all bodies one after the other, as numbers from 1 (equal if and only if
+    they are the same symbol), a 0 after each; and how many each body takes."""
+    if not words:
+        flat = np.frombuffer(b"\xff".join(bodies) + b"\xff", np.uint8).astype(np.int64) + 1
+        flat[flat == 256] = 0  # never a byte of UTF-8
+        return flat, np.array([len(x) + 1 for x in bodies])
+    number: dict[bytes, int] = {}
+    flat, sizes = [], []
+    for body in bodies:
+        own = [number.setdefault(w, len(number) + 1) for w in body.split()]
+        sizes.append(len(own) + 1)
+        flat += own
+        flat.append(0)
+    return np.array(flat, np.int64), np.array(sizes)
+
+
+def first_places(t: pa.Table, unit: Unit):
+    """The windows of a shard's contexts that recur -> (context, at, windows, context of the
+    first occurrence, its start there): runs of windows whose first occurrences are neighbours."""
+    none = (np.zeros(0, np.int64),) * 5
+    ids, sizes = numbered(t.column("body").to_pylist(), unit.words)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    began = np.cumsum(sizes) - sizes
+    m = len(ids) - unit.window + 1
+    if m <= 0:
+        return none
+    zeros = np.r_[0, np.cumsum(ids == 0)]
+    at = np.flatnonzero(zeros[unit.window :][:m] == zeros[:m])
+    if not len(at):
+        return none
+    hash_of = mixed(Prefix(mixed(ids.astype(np.uint64))).of(at, at + unit.window))
+    doc, lo = t.column("doc_id").to_numpy(), t.column("lo").to_numpy()
+    pos = lo[row[at]] + at - began[row[at]]
+    order = np.lexsort((pos, doc[row[at]], hash_of))
+    new = np.r_[True, hash_of[order][1:] != hash_of[order][:-1]]
+    first = np.empty(len(at), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    copied = t.column("copied").to_numpy(zero_copy_only=False).astype(bool)
+    own, theirs = doc[row[at]], doc[row[at[first]]]
+    earlier = theirs < own
+    if unit.same_text_counts:
+        earlier |= (theirs == own) & (pos[first] < pos)
+    i = np.flatnonzero(earlier | copied[row[at]])
+    if not len(i):
+        return none
+    a, f = at[i], at[first[i]]
+    edge = np.flatnonzero(np.r_[True, (a[1:] != a[:-1] + 1) | (f[1:] != f[:-1] + 1) | (row[a[1:]] != row[a[:-1]])])
+    r, fr = row[a[edge]], row[f[edge]]
+    return r, a[edge] - began[r], np.diff(np.r_[edge, len(i)]), fr, f[edge] - began[fr]
+
+
+FOUND = "h long, dg long, at int, n int, src_doc long, src_th int, src_lo int"
+
+
+def joined_runs(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, lo, n, src_doc, src_th, src_lo) with neighbouring ones made one where
+    their sources are neighbours too."""
+    w = Window.partitionBy(*keys).orderBy("lo", "src_doc", "src_th", "src_lo")
+    follows = (
+        (F.lag(F.col("lo") + F.col("n")).over(w) == F.col("lo"))
+        & (F.lag("src_doc").over(w) == F.col("src_doc"))
+        & (F.lag("src_th").over(w) == F.col("src_th"))
+        & (F.lag(F.col("src_lo") - F.col("lo")).over(w) == F.col("src_lo") - F.col("lo"))
+    )
+    run = F.sum(F.when(follows, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    parts = df.withColumn("run", run).groupBy(*keys, "run")
+    return parts.agg(F.min("lo").alias("lo"), F.sum("n").cast("int").alias("n"), F.first("src_doc").alias("src_doc"), F.first("src_th").alias("src_th"), F.min("src_lo").alias("src_lo")).drop("run")
+
+
+def by_window(bodies: DataFrame, unit: Unit) -> DataFrame:
+    """``FOUND`` for contexts of grams with too many of them: each window goes to its own
+    128-bit hash, and what it meets there tells its first occurrence."""
 
     def run(batches):
         for b in batches:
-            data, at = utf8(b.column(5))
-            doc_lo = b.column(3).to_numpy()
+            data, at = utf8(b.column("body"))
             for lo, hi in pieces(at, SLICE):
-                sym, first = symbols(data, at[lo : hi + 1], words)
-                m = len(sym) - window + 1
-                owner = np.repeat(np.arange(hi - lo), np.diff(first))
-                w = np.flatnonzero(owner[:m] == owner[window - 1 :]) if m > 0 else np.zeros(0, np.int64)
-                if not len(w):
-                    continue
-                h, dg = (mixed(Prefix(x).of(w, w + window)).view(np.int64) for x in (sym, mixed(sym + np.uint64(_BASE))))
-                d = owner[w]
-                yield marked(h, dg, b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), d, doc_lo[lo:hi][d] + w - first[d], np.ones(len(w), np.int64), same_text_counts)
-
-    return bodies.mapInArrow(run, ANCHOR)
-
-
-def removals(docs: DataFrame, words: bool, window: int, gram: int, same_text_counts: bool, match, most_bytes: int, copies_too: bool) -> DataFrame:
-    """(doc_id, th, spans): for each text with repeats, the stretches (start, len) of
-    symbols that windows with an earlier start cover.
-
-    ``match`` finds the repeated windows among the contexts of one gram: it maps a table of
-    whole groups (columns of ``CUT``) to arrays row, start, len.  With ``copies_too`` it gets
-    the first two of equal contexts, and what it finds in the second holds for all later
-    ones.  Otherwise it gets the first alone, where a gram has different contexts, and
-    later copies are covered by an equal context, hence throughout.  Groups of more than
-    about ``most_bytes`` are matched window by window instead.
-    """
-    found = stored(recurring(anchors(docs, words, window, gram, same_text_counts), same_text_counts))
-    size = F.sum(F.col("n").cast("long") + (window - 1)) * (WORD_BYTES if words else 1)
-    if copies_too:
-        asked = found.where("not known and (second or not later)")
-        large = asked.groupBy("h").agg(size.alias("size")).where(F.col("size") > most_bytes)
-    else:
-        firsts = found.where("not later")
-        several = stored(firsts.groupBy("h").agg(F.min("dg").alias("a"), F.max("dg").alias("b"), size.alias("size")).where("a <> b").select("h", "size"))
-        asked = firsts.join(several.select("h"), "h")
-        large = several.where(F.col("size") > most_bytes)
-    large = stored(large.select("h"))
-    parted = None
+                s = symbols(data, at[lo : hi + 1], unit.words)
+                m = len(s.value) - unit.window + 1
+                owner = np.repeat(np.arange(hi - lo), np.diff(s.first))
+                w = np.flatnonzero(owner[:m] == owner[unit.window - 1 :]) if m > 0 else np.zeros(0, np.int64)
+                a, z = s.bounds(w, w + unit.window)
+                digest = b"".join(xxhash.xxh3_128_digest(s.buffer[i:j]) for i, j in zip(a.tolist(), z.tolist()))
+                h = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                take, offset = pa.array(owner[w] + lo), (w - s.first[owner[w]]).astype(np.int32)
+                own = [b.column(c).take(take) for c in ("h", "dg", "doc_id", "th", "lo", "copied")]
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), *own, pa.array(offset)], ["w1", "w2", "h", "dg", "doc_id", "th", "from", "copied", "at"])
+
+    windows = stored(bodies.mapInArrow(run, "w1 long, w2 long, h long, dg long, doc_id long, th int, `from` int, copied boolean, at int"))
+    place = F.struct("doc_id", (F.col("from") + F.col("at")).alias("lo"), "th")
+    first = windows.groupBy("w1", "w2").agg(F.min(place).alias("src"))
+    earlier = F.col("src.doc_id") < F.col("doc_id")
+    if unit.same_text_counts:
+        earlier = earlier | ((F.col("src.doc_id") == F.col("doc_id")) & (F.col("src.lo") < F.col("from") + F.col("at")))
+    rows = windows.join(first, ["w1", "w2"]).where(earlier | F.col("copied"))
+    rows = rows.select("h", "dg", F.col("at").alias("lo"), F.lit(1).alias("n"), F.col("src.doc_id").alias("src_doc"), F.col("src.th").alias("src_th"), F.col("src.lo").alias("src_lo"))
+    return joined_runs(rows, ["h", "dg"]).withColumnRenamed("lo", "at")
+
+
+def settled(docs: DataFrame, found: DataFrame, unit: Unit) -> DataFrame:
+    """``FOUND`` for the grams with different contexts: which windows of a context occurred
+    first where."""
+    firsts = found.where("several and rank = 1")
+    size = F.sum(F.col("n").cast("long") + (unit.window - 1)) * (8 if unit.words else 1)
+    large = stored(firsts.groupBy("h").agg(size.alias("size")).where(F.col("size") > unit.most_bytes).select("h"))
+    carried = ["h", "dg", "copied"]
+    split = None
     if not large.isEmpty():
-        split = stored(asked.join(large, "h"))
-        asked = asked.join(large, "h", "left_anti")
-        parted = stored(recurring(by_window(cut(docs, split, words, window), words, window, same_text_counts), same_text_counts))
-        if copies_too:
-            asked = asked.unionByName(parted.where("not known and (second or not later)"))
-    bodies = cut(docs, asked, words, window)
+        split = by_window(cut(docs, firsts.join(large, "h"), unit, carried), unit)
+        firsts = firsts.join(large, "h", "left_anti")
 
     def run(batches):
-        for t in groups(batches, most_bytes):
-            row, start, n = match(t)
-            take = pa.array(row)
+        for t in groups(batches, unit.most_bytes):
+            row, at, n, src, src_at = first_places(t, unit)
+            own, theirs = pa.array(row), pa.array(src)
+            lo = t.column("lo").to_numpy()[src] + src_at
             yield pa.RecordBatch.from_arrays(
-                [t.column(k).combine_chunks().take(take) for k in (1, 2, 3, 0, 6, 7)] + [pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["doc_id", "th", "lo", "h", "dg", "second", "at", "len"],
-            )
-
-    matched = bodies.repartition("h").sortWithinPartitions("h", "doc_id", "lo").mapInArrow(run, "doc_id long, th int, lo int, h long, dg long, second boolean, at int, len int")
-    where = lambda df: df.select("doc_id", "th", (F.col("lo") + F.col("at")).alias("start"), "len")
-    of_copies = lambda rows, verdict: where(rows.where("later and not second").join(verdict, ["h", "dg"]))
-    throughout = lambda rows: rows.where("later").select("doc_id", "th", F.col("lo").alias("start"), (F.col("n") + (window - 1)).alias("len"))
-    if copies_too:
-        matched = stored(matched)
-        verdict = matched.where("second").select("h", "dg", "at", "len").distinct()
-        every = where(matched).union(of_copies(found, verdict))
-        if parted is not None:
-            # what was found window by window in the second of equal contexts holds for its later copies
-            every = stored(every.union(of_copies(parted, verdict)))
-            inside = split.where("second").join(every, ["doc_id", "th"]).where("start >= lo and start < lo + n and len = %d" % window)
-            every = every.union(of_copies(found, inside.select("h", "dg", (F.col("start") - F.col("lo")).alias("at"), "len").distinct()))
-    else:
-        every = where(matched).union(throughout(found))
-        if parted is not None:
-            every = every.union(throughout(parted))
-    return every.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
-
-
-def removed(n: int, spans) -> np.ndarray:
-    """A mask over ``n`` symbols, True where a span (start, len) lies."""
+                [*(t.column(c).combine_chunks().take(own) for c in ("h", "dg")), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)),
+                 *(t.column(c).combine_chunks().take(theirs) for c in ("doc_id", "th")), pa.array(lo.astype(np.int32))],
+                ["h", "dg", "at", "n", "src_doc", "src_th", "src_lo"],
+            )
+
+    out = cut(docs, firsts, unit, carried).repartition("h").sortWithinPartitions("h").mapInArrow(run, FOUND)
+    return out if split is None else out.unionByName(split)
+
+
+def claims(docs: DataFrame, unit: Unit) -> tuple[DataFrame, int]:
+    """(shard, doc_id, th, lo, n, src_doc, src_th, src_lo): n windows from lo on that are
+    said to have occurred first in src_doc from src_lo on; and the number of shards."""
+    hot, size = hot_grams(docs, unit)
+    shards = max(1, -(-size // SHARD_TEXT))
+    found = stored(recurring(anchors(docs, unit, hot)))
+    several = stored(settled(docs, found, unit))
+    once = found.where("not known and not several and copied and rank = 1")
+    verdict = several.unionByName(once.select("h", "dg", F.lit(0).alias("at"), "n", "src_doc", "src_th", "src_lo"))
+    direct = found.where("not known and not several and rank > 1").select("doc_id", "th", "lo", "n", "src_doc", "src_th", "src_lo")
+    asking = found.where("known or several").select("h", "dg", "doc_id", "th", F.col("lo").alias("from"))
+    answered = asking.join(verdict, ["h", "dg"]).select("doc_id", "th", (F.col("from") + F.col("at")).alias("lo"), "n", "src_doc", "src_th", "src_lo")
+    earlier = F.col("src_doc") < F.col("doc_id")
+    if unit.same_text_counts:
+        earlier = earlier | ((F.col("src_doc") == F.col("doc_id")) & (F.col("src_lo") < F.col("lo")))
+    every = joined_runs(direct.unionByName(answered).where(earlier), ["doc_id", "th"])
+    return stored(every.withColumn("shard", shard_of(shards))), shards
+
+
+def shard_of(shards: int):
+    return F.pmod(F.xxhash64("doc_id", "th"), F.lit(shards)).cast("int")
+
+
+def passages(docs: DataFrame, claimed: DataFrame, unit: Unit) -> DataFrame:
+    """(shard, doc_id, th, lo, n, body): the passages that the texts of each shard claim."""
+    asked = claimed.select("shard", F.col("src_doc").alias("doc_id"), F.col("src_th").alias("th"), F.col("src_lo").alias("lo"), "n").distinct()
+    return cut(docs, asked.withColumn("part", F.floor(F.col("shard") / SHARDS_AT_ONCE)), unit, ["shard"])
+
+
+def removed(n: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A mask over ``n`` symbols, True where one of the stretches lies."""
     change = np.zeros(n + 1, np.int32)
-    np.add.at(change, spans["start"], 1)
-    np.add.at(change, spans["start"] + spans["len"], -1)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + size, -1)
     return np.cumsum(change[:-1]) > 0
-
-
-def span_rows(column) -> list:
-    """The spans of each row of an Arrow list column as arrays; None without any."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    at, flat = np.asarray(column.offsets), column.values
-    start, n = flat.field("start").to_numpy(), flat.field("len").to_numpy()
-    there = column.is_valid().to_numpy(zero_copy_only=False)
-    return [{"start": start[a:b], "len": n[a:b]} if ok and b > a else None for a, b, ok in zip(at[:-1], at[1:], there)]

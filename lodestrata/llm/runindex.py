@@ -1,17 +1,21 @@
 """Substring deduplication over bytes, with a run-length index.
 
-Strings of 100 bytes that occur more than once are found at anchors (see ``repeats``).
-Equal contexts collapse to one; the different contexts of one anchor are sharded by
-it.  Each shard builds the Burrows-Wheeler transform of its contexts, keeps it as runs
-with the suffix positions sampled at both ends of each run, and streams the contexts
-backwards through it: rank queries over the runs give, for every start, the interval
-of suffixes that the rest of the context matches, and the matching length.  Where that
-length reaches 100, the least place among the suffixes that share 100 bytes decides
-whether the string starts earlier.
-
-Edge cases: a null text is empty; a row without id is neither removed from nor a
-source; rows that share an id count as one document; repeated rows get equal results;
-extra columns are ignored.
+Strings of 100 bytes that occur more than once are found at anchors (see ``repeats``),
+which says where a stretch of a text is claimed to have occurred first.  Texts are
+dealt out to shards.  The passages that a shard's texts claim are indexed: their
+Burrows-Wheeler transform is kept as runs with the suffix positions sampled at both ends
+of each run.  The claimed stretches of all texts, copies included, are streamed backwards
+through it for their matching statistics, the length of the longest match of each
+position and one place of it.  A match is extended while the run holds the next byte;
+where it does not, the sampled ends of the neighbouring runs of that byte give the
+places whose match, cut back to what they share, goes on.  A string whose match reaches 100
+bytes at a place of the corpus before its own is removed.  As places and lengths come from
+the bytes themselves, no hash removes anything.
+
+Edge cases: a null text is empty; an empty table has no rows; a row without id is neither
+removed from nor a source; rows that share an id count as one document; repeated rows get
+equal results; a very long text is streamed in pieces that overlap by a window; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,36 +24,41 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestrata.llm.repeats import keyed, removals, removed, span_rows
+from lodestrata.llm.repeats import Unit, claims, keyed, passages, removed, shard_of
 
 WINDOW = 100
 GRAM = 16
 SHARD_BYTES = 1 << 18
+PIECE = 512  # windows of a passage that are indexed, or streamed, together
 BORDER = 255  # never a byte of UTF-8
 
 
-def suffix_ranks(text: np.ndarray, left: np.ndarray, depth: int) -> dict[int, np.ndarray]:
-    """Dense ranks of all suffixes by their first 8, 24, 72, ... bytes, up to ``depth`` at
-    least.  A suffix ends with its border, ``left`` bytes from its start.  Three ranks
-    make a key where they fit into 63 bits, two otherwise."""
+def unit_of(window: int) -> Unit:
+    return Unit(False, window, min(GRAM, window), True, SHARD_BYTES)
+
+
+def suffix_ranks(text: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Dense ranks of all suffixes by their first ``depth`` bytes at least.  A suffix ends with its
+    border, ``left`` bytes from its start.  Three ranks of the first 8, 24, 72, ... bytes make
+    a key where they fit into 63 bits, two otherwise."""
     n = len(text)
     padded = np.r_[text, np.zeros(8, np.uint8)]
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | np.where(left > i, padded[i : i + n], 0).astype(np.uint64)
     bits = (n + 1).bit_length()
-    many = 3 if 3 * bits <= 63 else 2
-    ranks, k = {}, 8
+    many, k = 3 if 3 * bits <= 63 else 2, 8
     while True:
         order = np.argsort(key)
         own = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, own[1:] != own[:-1]])
-        ranks[k] = rank
-        if k >= depth:
-            return ranks
+        if k >= depth or rank[order[-1]] == n - 1:
+            return rank
         key = (rank + 1).astype(np.uint64)
         for i in range(1, many):
             key <<= np.uint64(bits)
@@ -59,118 +68,165 @@ def suffix_ranks(text: np.ndarray, left: np.ndarray, depth: int) -> dict[int, np
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of texts that each end in a border;
-    suffixes that are equal up to their borders stand in the order of the texts.
+    """Run-compressed Burrows-Wheeler transform of texts that each end in a border; suffixes
+    that are equal up to their borders stand in the order of the texts.
 
-    ``depth`` is 8 or more; ``place`` orders the positions of the text; ``least`` has, for each group of
-    suffixes with the same first ``depth`` bytes, the least of their places.
+    Held are the text, and of each run, in the order of their characters, then of
+    their rows: its character, first row and length, the number of characters that sort
+    before its own, and the suffix positions at its first and last row.
     """
 
-    def __init__(self, text: np.ndarray, place: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray):
         n = len(text)
         borders = np.flatnonzero(text == BORDER)
         left = borders[np.searchsorted(borders, np.arange(n))] - np.arange(n) + 1
-        ranks = suffix_ranks(text, left, max(depth, int(left.max())))
-        sa = np.argsort(ranks[max(ranks)] * n + np.arange(n))
+        sa = np.argsort(suffix_ranks(text, left, int(left.max())) * n + np.arange(n))
         bwt = text[sa - 1]  # the first suffix is preceded by the last border
         edge = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
-        self.n, self.run_start, self.head = n, edge, bwt[edge]
         length = np.diff(np.r_[edge, n])
-        self.first_sample, self.last_sample = sa[edge], sa[edge + length - 1]
-        # runs by character: where they start, and how many equal characters come before
-        by = np.argsort(self.head, kind="stable")
-        self.key = self.head[by].astype(np.int64) * n + edge[by]
-        before = np.cumsum(length[by]) - length[by]
-        self.base, self.length = before, length[by]
-        self.total = np.zeros(257, np.int64)
-        np.cumsum(np.bincount(text, minlength=256), out=self.total[1:])
-        half = max(k for k in ranks if k <= depth)
-        a = ranks[half][sa]
-        b = ranks[half][np.minimum(sa + (depth - half), n - 1)]
-        self.group = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        self.least = np.minimum.reduceat(place[sa], self.group)
-
-    def step(self, c: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """The row that ``row`` maps to when ``c`` is put in front: all smaller
-        characters, and the c's above the row, which end inside or before a run."""
-        at = np.searchsorted(self.key, c.astype(np.int64) * self.n + row, "left") - 1
-        ok = np.maximum(at, 0)
-        run = self.key[ok]
-        mine = (at >= 0) & (run // self.n == c)
-        inside = np.minimum(row - run % self.n, self.length[ok])
-        # base counts all characters that sort before this run, smaller ones included
-        return np.where(mine, self.base[ok] + inside, self.total[c])
-
-    def stream(self, text: np.ndarray, stop: np.ndarray, sizes: np.ndarray, indexed: bool = False):
-        """Matching statistics of many patterns at once, each read backwards from
-        ``stop``: yields (patterns, offset from the end, interval start, interval end).
-        Where all patterns are ``indexed`` texts no interval is empty, and only the starts
-        are followed (the ends are None)."""
+        by = np.argsort(bwt[edge], kind="stable")
+        self.text, self.n = text, n
+        self.head, self.start, self.length = bwt[edge][by].astype(np.int64), edge[by], length[by]
+        self.key = self.head * n + self.start
+        self.base = np.cumsum(self.length) - self.length
+        self.first_sample, self.last_sample = sa[edge][by], sa[edge + length - 1][by]
+
+    def shared(self, pattern: np.ndarray, at: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Bytes that pattern[at:] and text[place:] share, up to ``most``."""
+        out, live, k = np.zeros(len(at), np.int64), np.flatnonzero(most > 0), 0
+        while len(live):
+            i = k + np.arange(32)
+            a = pattern[np.minimum(at[live, None] + i, len(pattern) - 1)]
+            b = self.text[np.minimum(place[live, None] + i, self.n - 1)]
+            ok = (a == b) & (i < most[live, None])
+            n = np.where(ok.all(1), 32, ok.argmin(1))
+            out[live] += n
+            live, k = live[n == 32], k + 32
+        return out
+
+    def statistics(self, pattern: np.ndarray, stop: np.ndarray, sizes: np.ndarray):
+        """Matching statistics of many patterns at once, each read backwards from ``stop``:
+        yields (patterns, offset from the end, match length, a place of the match)."""
         order = np.argsort(-sizes, kind="stable")
-        lo, hi = np.zeros(len(order), np.int64), np.full(len(order), self.n)
-        live = len(order)
+        stop, sizes = stop[order], sizes[order]
+        row, place, size = np.zeros(len(order), np.int64), np.full(len(order), self.n - 1), np.zeros(len(order), np.int64)
+        last, live = len(self.key) - 1, len(order)
         for k in range(1, int(sizes.max(initial=0)) + 1):
-            while live and sizes[order[live - 1]] < k:
+            while live and sizes[live - 1] < k:
                 live -= 1
-            c = text[stop[order[:live]] - k]
-            lo, hi = self.step(c, lo[:live]), None if indexed else self.step(c, hi[:live])
-            yield order[:live], k, lo, hi
-
-    def earliest(self, row: np.ndarray) -> np.ndarray:
-        return self.least[np.searchsorted(self.group, row, "right") - 1]
-
-
-def matcher(window: int):
-    def match(t: pa.Table):
-        """Strings of a shard's contexts that start earlier in it -> (row, start, len)."""
-        bodies = t.column(5).to_pylist()
-        sizes = np.array([len(b) for b in bodies])
-        text = np.frombuffer(b"\xff".join(bodies) + b"\xff", np.uint8)
-        began = np.cumsum(sizes + 1) - sizes - 1
-        _, doc = np.unique(t.column(1).to_numpy(), return_inverse=True)
-        place = np.repeat(doc.astype(np.int64) << 40 | t.column(3).to_numpy(), sizes + 1) + np.arange(len(text)) - np.repeat(began, sizes + 1)
-        index = RunIndex(text, place, window)
-        rows, starts = [], []
-        for who, k, lo, _ in index.stream(text, began + sizes, sizes, indexed=True):
-            if k < window:
-                continue
-            hit = np.flatnonzero(index.earliest(lo) < place[(began + sizes)[who] - k])
-            rows.append(who[hit])
-            starts.append((sizes - k)[who[hit]])
-        if not rows:
-            return (np.zeros(0, np.int64),) * 3
-        row, start = np.concatenate(rows), np.concatenate(starts)
-        order = np.lexsort((start, row))
-        row, start = row[order], start[order]
-        if not len(row):
-            return row, start, start
-        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])
-        return row[new], start[new], np.diff(np.r_[new, len(row)]) + window - 1
-
-    return match
+            row, place, size = row[:live], place[:live], size[:live]
+            c = pattern[stop[:live] - k].astype(np.int64)
+            at = np.searchsorted(self.key, c * self.n + row, "right") - 1
+            above = np.maximum(at, 0)
+            inside = row - self.start[above]
+            ok = (self.head[above] == c) & (at >= 0) & (inside < self.length[above])
+            to, from_, long = self.base[above] + inside, place - 1, size + 1
+            i = np.flatnonzero(~ok)
+            if len(i):
+                up, down = above[i], np.minimum(at[i] + 1, last)
+                has_up, has_down = (self.head[up] == c[i]) & (at[i] >= 0), self.head[down] == c[i]
+                begin = stop[i] - k + 1
+                by_up = np.where(has_up, self.shared(pattern, begin, self.last_sample[up], np.where(has_up, size[i], 0)), -1)
+                by_down = np.where(has_down, self.shared(pattern, begin, self.first_sample[down], np.where(has_down, size[i], 0)), -1)
+                lower = by_down > by_up
+                run = np.where(lower, down, up)
+                to[i] = self.base[run] + np.where(lower, 0, self.length[run] - 1)
+                from_[i] = np.where(lower, self.first_sample[run], self.last_sample[run]) - 1
+                long[i] = np.maximum(by_up, by_down) + 1
+                lost = i[(by_up < 0) & (by_down < 0)]  # the byte is nowhere in the text
+                to[lost], from_[lost] = 0, self.n - 1
+            row, place, size = to, from_, long
+            yield order[:live], k, size, place
+
+
+def pieced(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of ``size`` windows in pieces: (stretch, first window, windows)."""
+    n = -(-size // PIECE)
+    which = np.repeat(np.arange(len(size)), n)
+    at = (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)) * PIECE
+    return which, at, np.minimum(PIECE, size[which] - at)
+
+
+def indexed(bodies: list[bytes], source: np.ndarray, start: np.ndarray, window: int):
+    """The index of passages, each of which lies at ``start`` of ``source``, and (source, start)
+    of every position of its text.  Passages of one source that overlap are indexed once."""
+    size = np.array([len(b) - window + 1 for b in bodies])
+    merged: list[tuple[int, int, bytearray]] = []
+    for i in np.lexsort((-size, start, source)).tolist():
+        s, a = int(source[i]), int(start[i])
+        if merged and merged[-1][0] == s and a <= (end := merged[-1][1] + len(merged[-1][2]) - window + 1):
+            merged[-1][2].extend(bodies[i][end - a + window - 1 :])
+        else:
+            merged.append((s, a, bytearray(bodies[i])))
+    which, at, n = pieced(np.array([len(b) - window + 1 for _, _, b in merged]))
+    text = bytearray()
+    for i, a, k in zip(which.tolist(), at.tolist(), n.tolist()):
+        text += merged[i][2][a : a + k + window - 1] + b"\xff"
+    length = n + window
+    pos = np.repeat(np.array([m[1] for m in merged])[which] + at, length) + np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
+    return RunIndex(np.frombuffer(bytes(text), np.uint8)), np.repeat(np.array([m[0] for m in merged])[which], length), pos
+
+
+def repeats_of(bodies, source, start, texts: list[bytes], docs: np.ndarray, asked: tuple, window: int):
+    """Strings of the ``asked`` stretches (text, start, windows) that have an earlier place ->
+    (text, start, len): runs of them."""
+    none = (np.zeros(0, np.int64),) * 3
+    if not bodies or not len(asked[0]):
+        return none
+    index, src, pos = indexed(bodies, source, start, window)
+    which, at, n = pieced(asked[2])
+    row, lo = asked[0][which], asked[1][which] + at
+    pattern = np.frombuffer(b"".join(texts[r][a : a + k + window - 1] for r, a, k in zip(row.tolist(), lo.tolist(), n.tolist())), np.uint8)
+    sizes = n + window - 1
+    stop = np.cumsum(sizes)
+    rows, starts = [], []
+    for who, k, size, place in index.statistics(pattern, stop, sizes):
+        if k < window:
+            continue
+        there = np.flatnonzero(size >= window)
+        w, p = who[there], place[there]
+        own = lo[w] + sizes[w] - k
+        hit = (src[p] < docs[row[w]]) | ((src[p] == docs[row[w]]) & (pos[p] < own))
+        rows.append(row[w[hit]])
+        starts.append(own[hit])
+    row, begin = np.concatenate(rows or [none[0]]), np.concatenate(starts or [none[0]])
+    if not len(row):
+        return none
+    order = np.lexsort((begin, row))
+    row, begin = row[order], begin[order]
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (begin[1:] != begin[:-1] + 1)])
+    return row[new], begin[new], np.diff(np.r_[new, len(row)]) + window - 1
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """A row per document: its bytes, the bytes and maximal runs removed, and a hash of
     what is kept."""
-
-    def run(batches):
-        for b in batches:
-            size, gone, runs, digest = [], [], [], []
-            texts = b.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist()
-            for text, spans in zip(texts, span_rows(b.column(2))):
-                size.append(len(text))
-                drop = removed(len(text), spans) if spans is not None else np.zeros(0, bool)
-                gone.append(int(drop.sum()))
-                runs.append(int((np.diff(np.r_[0, drop.astype(np.int8)]) == 1).sum()))
-                if gone[-1]:
-                    text = np.frombuffer(text, np.uint8)[~drop].tobytes()
-                digest.append(hashlib.sha256(text).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            )
-
+    unit = unit_of(window)
     own = keyed(docs, id_col, text_col)
-    spans = removals(own, False, window, min(GRAM, window), True, matcher(window), SHARD_BYTES, False)
-    joined = own.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    claimed, shards = claims(own, unit)
+    texts_of = own.select("doc_id", "th", "text", F.coalesce(shard_of(shards), F.lit(0)).alias("shard"))
+    given = passages(own, claimed, unit).unionByName(claimed.select("shard", "doc_id", "th", "lo", "n"), allowMissingColumns=True)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = [t.encode() if t is not None else b"" for t in left.column("text").to_pylist()]
+        ids, th = left.column("doc_id").combine_chunks(), left.column("th").to_numpy()
+        docs_of = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        is_passage = right.column("body").combine_chunks().is_valid()
+        source, claim = right.filter(is_passage), right.filter(pc.invert(is_passage))
+        rows_of: dict = {}
+        for i, key in enumerate(zip(ids.to_pylist(), th.tolist())):
+            rows_of.setdefault(key, []).append(i)  # repeated rows
+        asked = [(i, lo, n) for d, t, lo, n in zip(*(claim.column(c).to_pylist() for c in ("doc_id", "th", "lo", "n"))) for i in rows_of.get((d, t), ())]
+        asked = tuple(np.array(asked, np.int64).reshape(-1, 3).T)
+        row, start, n = repeats_of(source.column("body").to_pylist(), source.column("doc_id").to_numpy(), source.column("lo").to_numpy(), texts, docs_of, asked, window)
+        size, gone, runs, digest = [], [], [], []
+        edges = np.searchsorted(row, np.arange(len(texts) + 1))
+        for text, a, z in zip(texts, edges, edges[1:]):
+            drop = removed(len(text), start[a:z], n[a:z]) if z > a else np.zeros(0, bool)
+            size.append(len(text))
+            gone.append(int(drop.sum()))
+            runs.append(int((np.diff(np.r_[0, drop.astype(np.int8)]) == 1).sum()))
+            digest.append(hashlib.sha256(np.frombuffer(text, np.uint8)[~drop].tobytes() if gone[-1] else text).hexdigest())
+        return pa.Table.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return texts_of.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

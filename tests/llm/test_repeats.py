@@ -1,8 +1,6 @@
 import hashlib
-from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from lodestrata.llm import phrases, repeats, runindex
@@ -70,10 +68,14 @@ def test_batches_of_texts_do_not_matter(spark):
     assert sorted(got, key=key) == sorted(brute_words(rows), key=key)
 
 
-def test_small_shards_and_slices_give_the_same(spark, monkeypatch):
-    rows = corpus()
+@pytest.mark.parametrize("vocab", [30, 2])
+def test_small_shards_and_slices_give_the_same(spark, monkeypatch, vocab):
+    rows = corpus(vocab=vocab)
     monkeypatch.setattr(phrases, "SHARD_BYTES", 100)
     monkeypatch.setattr(repeats, "SLICE", 500)
+    monkeypatch.setattr(repeats, "HOT_FROM", 5)
+    monkeypatch.setattr(repeats, "SHARD_TEXT", 3000)
+    monkeypatch.setattr(repeats, "SHARDS_AT_ONCE", 2)
     got = [tuple(r) for r in phrases.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=key) == sorted(brute_words(rows), key=key)
 
@@ -91,53 +93,61 @@ def test_without_repeats_keeps_columns_and_clean_texts(spark):
     assert got[3].text == "pre fix" and got[5].text == " two  spaces " and got[1].text == rows[0][2] and got[4].text is None
 
 
-def test_rows_wait_for_the_next_batch(spark):
-    """Marks do not depend on where batches end."""
-    rng = np.random.default_rng(0)
-    rows = [(int(h), int(d), int(i), 0, int(lo), 1, False) for h, d, i, lo in zip(rng.integers(0, 30, 400), rng.integers(0, 2, 400), rng.integers(0, 6, 400), rng.integers(0, 4, 400))]
-    df = spark.createDataFrame(rows, repeats.ANCHOR)
-    out = []
-    for size in ("1", "3", "1000"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        out.append(sorted(tuple(r) for r in repeats.recurring(df, True).collect()))
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    groups = defaultdict(list)
-    for r in rows:
-        groups[r[0]].append(r)
-    want, seconds = [], 0
-    for h, g in groups.items():
-        for r in g if len(g) > 1 else ():
-            first = min((x[2], x[4]) for x in g if x[1] == r[1])
-            want.append((*r, (r[2], r[4]) != first))
-        seconds += sum(len({(x[2], x[4]) for x in g if x[1] == d}) > 1 for d in {x[1] for x in g})
-    assert out[0] == out[1] == out[2] and [r[:-1] for r in out[0]] == sorted(want)
-    assert sum(r[-1] for r in out[0]) == seconds
+def thue_morse(a, b, k):
+    x, y = a, b
+    for _ in range(k):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("kinds", [(0, 1, 0), (0, 1, 1), (1, 0, 0), (0, 0, 1)])
+def test_words_that_a_sum_modulo_2_64_confuses(spark, kinds):
+    pair = thue_morse("a", "b", 10)
+    rows = [(i, " ".join(f"v{j}" for j in range(49)) + " " + pair[k]) for i, k in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in phrases.deduplicated(df).collect()) == sorted(brute_words(rows))
+
+
+def test_a_claim_that_the_words_deny_removes_nothing():
+    a, b = (" ".join(f"{x}{i}" for i in range(60)).encode() for x in "ab")
+    assert not len(phrases.occurrences([a], np.array([1]), [b], np.array([2]))[0])
+    assert [x.tolist() for x in phrases.occurrences([a, a], np.array([4, 1]), [b + b" " + a, a], np.array([2, 1]))] == [[0], [60], [60]]
+
+
+def test_clashing_columns_are_carried(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(80)), 7, "s", [1], {"a": 1}) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, spans string, shard array<int>, row map<string,int>")
+    df = df.selectExpr("*", "9 as th", "named_struct('x', 1) as body", "8 as n", "'h' as h")
+    got = phrases.without_repeats(df)
+    assert got.columns == df.columns
+    assert [tuple(r) for r in got.collect()] == [tuple(df.first())]
+
+
+def test_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(1, long), (2, "x " + long[100:]), (3, "y z")]
+    got = {r.doc_id: r for r in phrases.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed > 149_900 and got[3].n_words == 2
 
 
 @pytest.mark.parametrize("module", [phrases, runindex])
-def test_a_line_with_other_text_around_it_makes_no_large_shard(spark, monkeypatch, module):
-    most = 8000
+def test_a_line_with_other_text_around_it_makes_no_large_group(spark, monkeypatch, module):
     rng = np.random.default_rng(5)
     line = " ".join(f"b{i}" for i in range(30))
     other = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
     rows = [(i, f"{other(60)} {line} {other(60)}") for i in range(150)]
     rows += [(1000 + i, f"{other(3)} {rows[i][1]}") for i in range(0, 40, 2)] + [(2000 + i, rows[i // 2][1]) for i in range(20)]
-    make = module.matcher
-
-    def bounded(window):
-        match = make(window)
-
-        def checked(t):
-            size = sum(map(len, t.column(5).to_pylist()))
-            if size > 2 * most:
-                raise ValueError(f"a shard of {size} bytes")
-            return match(t)
-
-        return checked
-
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted((tuple(r) for r in module.deduplicated(df).collect()), key=key)
     assert sum(r[2] > 0 for r in want) >= 40
-    monkeypatch.setattr(module, "SHARD_BYTES", most)
-    monkeypatch.setattr(module, "matcher", bounded)
+    unit = module.unit_of(module.WINDOW)
+
+    def largest():
+        own = repeats.keyed(df, "doc_id", "text")
+        hot, _ = repeats.hot_grams(own, unit)
+        return repeats.recurring(repeats.anchors(own, unit, hot)).where("several and rank = 1").groupBy("h").count().agg({"count": "max"}).first()[0]
+
+    assert largest() > 100
+    monkeypatch.setattr(repeats, "HOT_FROM", 20)
+    assert largest() < 40
     assert sorted((tuple(r) for r in module.deduplicated(df).collect()), key=key) == want

@@ -53,29 +53,56 @@ def test_bytes_match_brute_force(spark, seed, letters):
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
 
 
-def test_small_shards_and_slices_give_the_same(spark, monkeypatch):
-    rows = corpus(5, "abcdé €")
+@pytest.mark.parametrize("letters", ["abcdé €", "ab"])
+def test_small_shards_and_slices_give_the_same(spark, monkeypatch, letters):
+    rows = corpus(5, letters)
     monkeypatch.setattr(runindex, "SHARD_BYTES", 100)
+    monkeypatch.setattr(runindex, "PIECE", 40)
     monkeypatch.setattr(repeats, "SLICE", 700)
+    monkeypatch.setattr(repeats, "HOT_FROM", 5)
+    monkeypatch.setattr(repeats, "SHARD_TEXT", 3000)
+    monkeypatch.setattr(repeats, "SHARDS_AT_ONCE", 2)
     got = [tuple(r) for r in runindex.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
 
 
-def test_intervals_are_those_of_a_suffix_array():
-    rng = np.random.default_rng(1)
-    bodies = [rng.choice(list(b"abc"), int(n)).astype(np.uint8).tobytes() for n in rng.integers(1, 60, 20)]
-    text = np.frombuffer(b"\xff".join(bodies) + b"\xff", np.uint8)
-    index = runindex.RunIndex(text, np.arange(len(text)), 8)
-    sizes = np.array([len(b) for b in bodies])
-    stop = np.cumsum(sizes + 1) - 1
-    raw = text.tobytes()
-    for who, k, lo, hi in index.stream(text, stop, sizes):
-        for w, a, b in zip(who, lo, hi):
-            p = raw[stop[w] - k : stop[w]]
-            assert b - a == sum(raw.startswith(p, i) for i in range(len(raw)))
-            if k >= 8:
-                assert index.earliest(np.array([a]))[0] == raw.find(p[:8])
-    assert (raw[int(index.first_sample[3]) - 1]) == index.head[3] == raw[int(index.last_sample[3]) - 1]
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_statistics_are_longest_matches(seed):
+    rng = np.random.default_rng(seed)
+    say = lambda n: rng.choice(list(b"abc"), int(n)).astype(np.uint8).tobytes()
+    bodies = [say(n) for n in rng.integers(1, 60, 20)] + [b"a" * 90, b"ab" * 40]
+    raw = b"\xff".join(bodies) + b"\xff"
+    index = runindex.RunIndex(np.frombuffer(raw, np.uint8))
+    patterns = [say(n) for n in rng.integers(1, 80, 15)] + [b"zza" + bodies[0], bodies[1] + bodies[2], b"a" * 120]
+    flat = np.frombuffer(b"".join(patterns), np.uint8)
+    sizes = np.array([len(p) for p in patterns])
+    seen = 0
+    for who, k, size, place in index.statistics(flat, np.cumsum(sizes), sizes):
+        for w, n, at in zip(who.tolist(), size.tolist(), place.tolist()):
+            rest = patterns[w][len(patterns[w]) - k :]
+            best = max(m for m in range(len(rest) + 1) if rest[:m] in raw)
+            assert n == best and (n == 0 or raw[at : at + n] == rest[:n])
+            seen += 1
+    assert seen == sizes.sum()
+    assert [raw[i - 1] for i in index.first_sample] == index.head.tolist() == [raw[i - 1] for i in index.last_sample]
+    assert len(index.key) < len(raw)  # runs, not positions
+
+
+def test_a_claim_that_the_bytes_deny_removes_nothing():
+    a, b = b"x" * 60 + b"a" * 60, b"x" * 60 + b"b" * 60
+    asked = (np.array([0]), np.array([0]), np.array([21]))
+    out = runindex.repeats_of([a], np.array([1]), np.array([0]), [b], np.array([2]), asked, 100)
+    assert not len(out[0])
+    out = runindex.repeats_of([a], np.array([1]), np.array([0]), [a], np.array([2]), asked, 100)
+    assert [x.tolist() for x in out] == [[0], [0], [120]]
+
+
+def test_long_text(spark):
+    rng = np.random.default_rng(2)
+    long = bytes(rng.integers(97, 123, 1 << 20, np.uint8)).decode()
+    rows = [(1, long), (2, "y" + long[1000:900000] + "z"), (3, long[5:200])]
+    got = {r.doc_id: r for r in runindex.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_spans, got[3].n_removed) == (0, 899000, 1, 195)
 
 
 def test_empty_table(spark):
