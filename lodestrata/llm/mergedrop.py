@@ -1,20 +1,26 @@
 """Encoding and decoding with a merge-type vocabulary and seeded merge dropout.
 
 Text is cut into segments (spaces, then everything up to the next space), as no piece
-of the vocabulary reaches over such a border.  In a segment the agenda always holds
-all neighbouring pairs whose union is a piece; the best score, then the leftmost, is
-merged next.  A candidate is skipped for good if a hash of seed, document, the segment's
-place in it, the segment and the candidate's borders falls below the dropout rate, so a
-run can be repeated anywhere and each occurrence has draws of its own.  What a segment
-becomes depends only on which of its possible candidates are dropped, so that a task
-remembers it by the segment and the set of these.  Characters outside the vocabulary, and a literal
-U+2581, become byte pieces, so every text decodes to itself.
-
-Short segments are merged together, one step of all agendas at a time, in arrays; long
-ones go through a heap.  Both give the same pieces.
-
-Edge cases: a null or empty text has no tokens and decodes to null or empty; a null id
-counts as document 0; repeated rows get equal results; extra columns are ignored.
+of the vocabulary reaches over such a border.  In a segment the agenda holds all
+neighbouring pairs whose union is a piece; the best score, then the leftmost, is popped.
+A popped candidate is skipped for good if a hash of seed, document, the segment's place
+in it, the segment and the candidate's borders falls below the dropout rate, and merged
+otherwise.  So a run can be repeated anywhere, and each occurrence has draws of its own.
+Characters outside the vocabulary, and a literal U+2581, become byte pieces, so every text
+decodes to itself.
+
+Which candidates are popped depends only on which of those before were skipped.  So a task
+remembers, for a segment and the candidates skipped so far, the pops that follow as long as
+nothing more is skipped: a path.  All occurrences of a batch look for their first skip
+on the path they are on, and turn off there, together; paths that are missing are worked out
+together too, one pop of all their agendas at a time.  Nothing limits how many ways a
+segment can be cut.  Segments of ``LONG`` characters or more go through a heap of their own
+each time.  Both give the same pieces.
+
+Edge cases: a null or empty text has no tokens and decodes to null or empty; an empty
+table has no rows; a null id counts as document 0; repeated rows get equal results; a very
+long text, or one without a space, is encoded whole; extra columns are carried, but for those
+named ids, decoded or lossless, which the results replace.
 """
 
 from __future__ import annotations
@@ -27,15 +33,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
+
+from lodestrata.llm.common import pieces, utf8
 
 DROPOUT = 0.1
 SEED = 20240229
-SHORT = 32  # characters below which the possible candidates of a segment are listed
-LONG = 96  # characters from which a segment goes through the heap
-CACHE = 400_000  # encodings a task remembers before it starts anew
-MOST_CANDIDATES = 62  # a segment with more is encoded anew each time
-ROWS_AT_ONCE = 256
+LONG = 48  # characters from which a segment goes through the heap
+MOST_PATHS = 500_000  # paths a task remembers before it starts anew
+MOST_IDS = 8_000_000  # their pieces, likewise
+BYTES_AT_ONCE = 1 << 20
 _SEGMENT = re.compile(r" *[^ ]+| +")
+_ALL = (1 << 64) - 1
 _NO = np.int64(1) << 62
 
 
@@ -74,11 +83,19 @@ class Vocabulary:
         self.key = np.array(sorted(merges), np.int64)
         self.rank, self.merged = (np.array([merges[k][j] for k in self.key.tolist()], np.int64) for j in (0, 1))
 
-    def merges(self) -> dict[int, int]:
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """Pair -> rank and merged piece."""
         if not hasattr(self, "_merges"):
-            self._merges = dict(zip(self.key.tolist(), self.merged.tolist()))
+            self._merges = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.merged.tolist())))
         return self._merges
 
+    def spell(self, symbols, text: str, ends) -> list[int]:
+        """Pieces of a segment whose symbols end at ``ends``: unknown characters as bytes."""
+        out = []
+        for s, end in zip(symbols, ends):
+            out += [s] if s >= 0 else [self.byte_id[b] for b in text[end - 1].encode()]
+        return out
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -86,6 +103,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _mix_one(x: int) -> int:
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL
+    return x ^ x >> 31
+
+
 def checksums(segments: list[str]) -> np.ndarray:
     return np.fromiter((zlib.crc32(s.encode()) for s in segments), np.uint64, len(segments))
 
@@ -96,166 +119,207 @@ def occurrence_keys(crc: np.ndarray, documents: np.ndarray, places: np.ndarray,
     return _mix(own + places * np.uint64(0xD6E8FEB86659FD93)) ^ crc << np.uint64(32)
 
 
-def segment_keys(segments: list[str], documents: list[int], seed: int) -> np.ndarray:
-    """Keys of segments that begin their documents."""
-    return occurrence_keys(checksums(segments), np.array(documents, np.int64).view(np.uint64), np.zeros(len(segments), np.uint64), seed)
-
+def candidate(start: int, middle: int, stop: int) -> int:
+    """A number for the candidate with these borders (in characters), to be mixed with a key."""
+    return _mix_one((start << 42 | middle << 21 | stop) & _ALL)
 
-def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray, dropout: float) -> np.ndarray:
-    """Whether the candidate with these borders (in characters) is dropped."""
-    at = (start.astype(np.uint64) << np.uint64(42)) | (middle.astype(np.uint64) << np.uint64(21)) | stop.astype(np.uint64)
-    return _mix(_mix(at) ^ key) < np.uint64(min(int(dropout * 2**64), 2**64 - 1)) if dropout > 0 else np.zeros(len(at), bool)
 
-
-def candidates(v: Vocabulary, left, right, key, start, middle, stop, dropout):
-    """Rank (``_NO`` if there is no merge, or it is dropped) and merged piece."""
-    pair = (left << 32) | right
-    at = np.minimum(np.searchsorted(v.key, pair), len(v.key) - 1)
-    ok = (v.key[at] == pair) & (left >= 0) & (right >= 0)
-    ok &= ~skipped(key, start, middle, stop, dropout)
-    return np.where(ok, v.rank[at], _NO), v.merged[at]
+def bound(dropout: float) -> int:
+    """Hashes below it are skipped."""
+    return min(int(dropout * 2**64), _ALL)
 
 
-def spell(v: Vocabulary, symbols, chars) -> np.ndarray:
-    """Pieces of one segment: unknown characters as bytes."""
-    if symbols.min(initial=0) >= 0:
-        return symbols
-    out = []
-    for s, c in zip(symbols.tolist(), chars.tolist()):
-        out += [s] if s >= 0 else [v.byte_id[b] for b in chr(c).encode()]
-    return np.array(out, np.int64)
+def encode_long(v: Vocabulary, segment: str, key: int, dropout: float) -> list[int]:
+    """One agenda, as a heap."""
+    n, merges, below = len(segment), v.merges(), bound(dropout)
+    sym, end, prev = v.char_id[[ord(c) for c in segment]].tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    agenda, live = [], [True] * n
 
+    def ask(a, b):
+        hit = merges.get(sym[a] << 32 | sym[b]) if sym[a] >= 0 and sym[b] >= 0 else None
+        if hit is not None:
+            agenda.append((hit[0], a, b, end[b], hit[1]))
 
-def encode_long(v: Vocabulary, segment: str, key: int, dropout: float) -> np.ndarray:
-    """One agenda, as a heap."""
-    chars = np.array([ord(c) for c in segment], np.int64)
-    n = len(chars)
-    sym, end, prev = v.char_id[chars].tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-    own = np.array([key], np.uint64)
-    ask = lambda *x: candidates(v, *(np.array([y], np.int64) for y in x[:2]), own, *(np.array([y]) for y in x[2:]), dropout)
-    i = np.arange(n - 1)
-    rank, merged = candidates(v, np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64), np.repeat(own, n - 1), i, i + 1, i + 2, dropout)
-    agenda = [(r, k, k + 1, k + 2, m) for k, (r, m) in enumerate(zip(rank.tolist(), merged.tolist())) if r != _NO]
+    for k in range(n - 1):
+        ask(k, k + 1)
     heapq.heapify(agenda)
-    live = [True] * n
     while agenda:
         _, a, b, stop, m = heapq.heappop(agenda)
-        if not (live[a] and b < n and live[b] and end[a] == b and end[b] == stop):
+        if not (live[a] and b < n and live[b] and end[a] == b and end[b] == stop) or _mix_one(candidate(a, b, stop) ^ key) < below:
             continue
         sym[a], end[a], live[b] = m, stop, False
+        size = len(agenda)
         if stop < n:
             prev[stop] = a
-            r, x = ask(m, sym[stop], a, stop, end[stop])
-            if r[0] != _NO:
-                heapq.heappush(agenda, (int(r[0]), a, stop, end[stop], int(x[0])))
-        p = prev[a]
-        if p >= 0:
-            r, x = ask(sym[p], m, p, a, stop)
-            if r[0] != _NO:
-                heapq.heappush(agenda, (int(r[0]), p, a, stop, int(x[0])))
+            ask(a, stop)
+        if prev[a] >= 0:
+            ask(prev[a], a)
+        for new in [agenda.pop() for _ in range(len(agenda) - size)]:
+            heapq.heappush(agenda, new)
     at = [k for k in range(n) if live[k]]
-    return spell(v, np.array([sym[k] for k in at], np.int64), chars[at])
+    return v.spell([sym[k] for k in at], segment, [end[k] for k in at])
+
+
+class Rows:
+    """Arrays of one length that grow together."""
+
+    def __init__(self, **kinds):
+        self.n, self.of = 0, {name: np.zeros(1024, kind) for name, kind in kinds.items()}
 
+    def add(self, n: int, **values) -> int:
+        lo, self.n = self.n, self.n + n
+        for name, x in self.of.items():
+            if self.n > len(x):
+                self.of[name] = x = np.r_[x, np.zeros(max(len(x), self.n - len(x)), x.dtype)]
+            x[lo : self.n] = values[name]
+        return lo
 
-def encode_short(v: Vocabulary, segments: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
-    """Many agendas at once: each round merges the best candidate of every segment.  The
-    pieces come as the bytes of 32-bit numbers."""
-    chars = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int64)
-    sizes = np.array([len(s) for s in segments])
-    seg = np.repeat(np.arange(len(segments)), sizes)
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.of[name]
+
+
+def ragged(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the stretches (first, n), and the stretch of each."""
+    end = np.cumsum(n)
+    own = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(own)) + (first - end + n)[own], own
+
+
+def pairs(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank (``_NO`` if there is no merge) and merged piece of neighbours."""
+    pair = (left << 32) | right
+    at = np.minimum(np.searchsorted(v.key, pair), len(v.key) - 1)
+    ok = (v.key[at] == pair) & (left >= 0) & (right >= 0)
+    return np.where(ok, v.rank[at], _NO), v.merged[at]
+
+
+def agendas(v: Vocabulary, segments: list[str], skips: np.ndarray, depth: np.ndarray):
+    """Many agendas at once, each of which skips its own ``depth`` candidates (rows of ``skips``, in the
+    order of their pops) and no others -> (segment, candidate) of all pops after the last
+    skip, in order; and the pieces, with the number of each segment's."""
+    chars = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(x) for x in segments])
+    own = np.repeat(np.arange(len(segments)), sizes)
     start = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    stop, sym, first = start + 1, v.char_id[chars], chars
-    done = []
-    while len(seg):
-        pair = np.flatnonzero(seg[1:] == seg[:-1])
-        rank, merged = candidates(v, sym[pair], sym[pair + 1], keys[seg[pair]], start[pair], start[pair + 1], stop[pair + 1], dropout)
-        ok = np.flatnonzero(rank != _NO)
-        pair, rank, merged = pair[ok], rank[ok], merged[ok]
-        owner = seg[pair]
-        active = np.zeros(len(segments), bool)
-        active[owner] = True
-        rest = ~active[seg]
-        if rest.any():
-            done.append((seg[rest], sym[rest], first[rest]))
-        if not len(pair):
-            break
-        new = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        best = np.minimum.reduceat(rank << 24 | np.arange(len(pair)) - np.repeat(new, np.diff(np.r_[new, len(pair)])), new)
-        pick = new + (best & ((1 << 24) - 1))
-        sym, stop = sym.copy(), stop.copy()
-        sym[pair[pick]] = merged[pick]
-        stop[pair[pick]] = stop[pair[pick] + 1]
-        keep = ~rest
-        keep[pair[pick] + 1] = False
-        seg, start, stop, sym, first = (x[keep] for x in (seg, start, stop, sym, first))
-    where, sym, first = (np.concatenate(x) for x in zip(*done))
-    order = np.argsort(where, kind="stable")
-    where, sym, first = where[order], sym[order], first[order]
-    cuts = np.searchsorted(where, np.arange(len(segments) + 1)).tolist()
-    raw = sym.astype(np.int32).tobytes()
-    out = [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
-    for k in set(where[sym < 0].tolist()):
-        out[k] = spell(v, sym[cuts[k] : cuts[k + 1]], first[cuts[k] : cuts[k + 1]]).astype(np.int32).tobytes()
-    return out
-
-
-def possible(v: Vocabulary, segment: str) -> list[tuple[int, int, int]]:
-    """Borders of all candidates that any dropout could bring up: spans that merges reach."""
-    n = len(segment)
-    piece = {(i, i + 1): int(v.char_id[ord(c)]) for i, c in enumerate(segment)}
-    merges, out = v.merges(), []
-    for size in range(2, n + 1):
-        for lo in range(n - size + 1):
-            for mid in range(lo + 1, lo + size):
-                a, b = piece.get((lo, mid), -1), piece.get((mid, lo + size), -1)
-                made = merges.get(a << 32 | b) if a >= 0 and b >= 0 else None
-                if made is not None:
-                    piece[lo, lo + size] = made
-                    out.append((lo, mid, lo + size))
-    return out
+    stop, sym, point = start + 1, v.char_id[chars], chars.astype(np.int64)
+    rank, made = np.full(len(chars), _NO), np.zeros(len(chars), np.int64)
+    inner = np.flatnonzero(own[1:] == own[:-1])
+    rank[inner], made[inner] = pairs(v, sym[inner], sym[inner + 1])
+    seen, done, path = np.zeros(len(segments), np.int64), [], []
+    while len(own):
+        new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        best = np.minimum.reduceat(rank, new)
+        least = np.repeat(best, np.diff(np.r_[new, len(own)]))
+        over = least == _NO
+        if over.any():
+            done.append((own[over], sym[over], point[over]))
+            own, start, stop, sym, point, rank, made, least = (x[~over] for x in (own, start, stop, sym, point, rank, made, least))
+            if not len(own):
+                break
+        pop = np.flatnonzero(rank == least)
+        pop = pop[np.r_[True, own[pop[1:]] != own[pop[:-1]]]]
+        who = own[pop]
+        cand = start[pop] << 42 | start[pop + 1] << 21 | stop[pop + 1]
+        skip = seen[who] < depth[who]
+        if skips.shape[1]:
+            skip &= skips[who, np.minimum(seen[who], skips.shape[1] - 1)] == cand
+        else:
+            skip[:] = False
+        rank[pop[skip]] = _NO
+        seen[who[skip]] += 1
+        pop, who, cand = pop[~skip], who[~skip], cand[~skip]
+        if not len(pop):
+            continue
+        after = seen[who] == depth[who]
+        path.append((who[after], cand[after]))
+        sym[pop], stop[pop] = made[pop], stop[pop + 1]
+        rank[pop] = _NO
+        last = len(own) - 1
+        follows = np.minimum(pop + 2, last)
+        right = (pop + 2 <= last) & (own[follows] == who)
+        before = np.maximum(pop - 1, 0)
+        left = (pop > 0) & (own[before] == who)
+        a, b = np.r_[pop[right], before[left]], np.r_[follows[right], pop[left]]
+        rank[a], made[a] = pairs(v, sym[a], sym[b])
+        keep = np.ones(len(own), bool)
+        keep[pop + 1] = False
+        own, start, stop, sym, point, rank, made = (x[keep] for x in (own, start, stop, sym, point, rank, made))
+    own, sym, point = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(own, kind="stable")
+    own, sym, point = own[order], sym[order], point[order]
+    odd = np.flatnonzero(sym < 0)
+    if len(odd):  # characters outside the vocabulary become their bytes
+        spelt = [[v.byte_id[b] for b in chr(c).encode()] for c in point[odd].tolist()]
+        n = np.ones(len(own), np.int64)
+        n[odd] = [len(x) for x in spelt]
+        at = np.cumsum(n) - n
+        own, sym = np.repeat(own, n), np.repeat(sym, n)
+        for i, x in zip(at[odd].tolist(), spelt):
+            sym[i : i + len(x)] = x
+    who, cand = (np.concatenate(x) for x in zip(*path)) if path else (np.zeros(0, np.int64),) * 2
+    order = np.argsort(who, kind="stable")
+    return who[order], cand[order], sym, np.bincount(own, minlength=len(segments))
 
 
 class Encoder:
-    """Encodes texts; remembers segments with what is dropped in them."""
+    """Encodes texts; remembers the paths that segments have gone."""
 
     def __init__(self, v: Vocabulary, dropout: float, seed: int):
         self.v, self.dropout, self.seed = v, dropout, seed
         self.forget()
 
     def forget(self):
-        self.number, self.known = {}, {}
-        self.crc, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.borders = np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
+        self.number: dict[str, int] = {}  # segment -> its place in ``words``
+        self.texts: list[str] = []
+        self.words = Rows(root=np.int64, crc=np.uint64)
+        self.paths = Rows(word=np.int64, parent=np.int64, via=np.int64, depth=np.int64, first=np.int64, pops=np.int64, ids=np.int64, n_ids=np.int64)
+        self.pops = Rows(hash=np.uint64, cand=np.int64, turn=np.int64)  # turn: the path after a skip here, -1 if unknown
+        self.ids = Rows(id=np.int32)
+
+    def work_out(self, word: np.ndarray, parent: np.ndarray, via: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """New paths, each with one skip (``via``) more than its parent (-1 for none)."""
+        skips = np.zeros((len(word), int(depth.max(initial=0))), np.int64)
+        up, skipped = parent.copy(), via.copy()
+        for k in range(skips.shape[1]):
+            live = np.flatnonzero(depth > k)
+            skips[live, depth[live] - 1 - k] = skipped[live]
+            skipped[live], up[live] = self.paths["via"][up[live]], self.paths["parent"][up[live]]
+        who, cand, sym, n_ids = agendas(self.v, [self.texts[w] for w in word.tolist()], skips, depth)
+        n = np.bincount(who, minlength=len(word))
+        at = cand.view(np.uint64)
+        first = self.pops.add(len(cand), hash=_mix(at), cand=cand, turn=-1) + np.cumsum(n) - n
+        ids = self.ids.add(len(sym), id=sym) + np.cumsum(n_ids) - n_ids
+        lo = self.paths.add(len(word), word=word, parent=parent, via=via, depth=depth, first=first, pops=n, ids=ids, n_ids=n_ids)
+        return np.arange(lo, lo + len(word))
 
     def learn(self, new: list[str]):
-        """Numbers and possible candidates of segments (-1 of them: too many to remember)."""
-        for s in new:
-            self.number[s] = len(self.number)
-        lists = [possible(self.v, s) if len(s) < SHORT else None for s in new]
-        lists = [x if x is not None and len(x) <= MOST_CANDIDATES else None for x in lists]
-        sizes = np.array([-1 if x is None else len(x) for x in lists], np.int64)
-        flat = np.array([c for x in lists for c in x or ()], np.int64).reshape(-1, 3)
-        held = np.maximum(sizes, 0)
-        self.first = np.r_[self.first, len(self.borders) + np.cumsum(held) - held]
-        self.crc, self.n, self.borders = np.r_[self.crc, checksums(new)], np.r_[self.n, sizes], np.r_[self.borders, flat]
-
-    def dropped(self, which: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The set of dropped candidates of each occurrence, as bits."""
-        n = np.maximum(self.n[which], 0)
-        end = np.cumsum(n)
-        total = int(end[-1]) if len(end) else 0
-        bit = np.arange(total) - np.repeat(end - n, n)
-        borders = self.borders[np.repeat(self.first[which], n) + bit]
-        hit = np.flatnonzero(skipped(np.repeat(keys, n), *borders.T, self.dropout))
-        out = np.zeros(len(which), np.int64)
-        np.bitwise_or.at(out, np.searchsorted(end, hit, "right"), np.int64(1) << bit[hit])
-        return out
-
-    def encode(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
-        if len(self.number) > CACHE // 4:
+        at = self.words.add(len(new), root=-1, crc=checksums(new))
+        self.number.update(zip(new, range(at, at + len(new))))
+        self.texts += new
+        short = np.array([i for i, s in enumerate(new, at) if len(s) < LONG], np.int64)
+        if len(short):
+            none = np.zeros(len(short), np.int64)
+            self.words["root"][short] = self.work_out(short, none - 1, none, none)
+
+    def walk(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """All occurrences from their first path to the one that they end on."""
+        below, active = np.uint64(bound(self.dropout)), np.flatnonzero(at >= 0)
+        while len(active):
+            place, own = ragged(self.paths["first"][at[active]], self.paths["pops"][at[active]])
+            hit = np.flatnonzero(_mix(self.pops["hash"][place] ^ keys[active][own]) < below)
+            hit = hit[np.r_[True, own[hit[1:]] != own[hit[:-1]]][: len(hit)]]
+            active, place = active[own[hit]], place[hit]
+            new, which = np.unique(place[self.pops["turn"][place] < 0], return_index=True)
+            if len(new):
+                parent = at[active][self.pops["turn"][place] < 0][which]
+                self.pops["turn"][new] = self.work_out(self.paths["word"][parent], parent, self.pops["cand"][new], self.paths["depth"][parent] + 1)
+            at[active] = self.pops["turn"][place]
+        return at
+
+    def flat_ids(self, texts: list[str], documents: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin."""
+        if self.paths.n > MOST_PATHS or self.ids.n > MOST_IDS:
             self.forget()
-        if len(self.known) > CACHE:
-            self.known = {}
         parts = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
         flat = [s for own in parts for s in own]
         new = set(flat).difference(self.number)
@@ -263,23 +327,20 @@ class Encoder:
             self.learn(sorted(new))
         sizes = np.array([len(x) for x in parts], np.int64)
         which = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        places = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        of = np.repeat(np.array(documents, np.int64), sizes).view(np.uint64)
-        keys = occurrence_keys(self.crc[which], of, places.astype(np.uint64), self.seed)
-        asked = list(zip(which.tolist(), self.dropped(which, keys).tolist()))
-        for i in np.flatnonzero(self.n[which] < 0).tolist():
-            asked[i] = (-1, i)
-        todo = {x: i for i, x in enumerate(asked) if x not in self.known}
-        at = list(todo.values())
-        short = [i for i in at if len(flat[i]) < LONG]
-        found = dict(zip(short, encode_short(self.v, [flat[i] for i in short], keys[short], self.dropout))) if short else {}
-        for i in at:
-            found[i] = found[i] if i in found else encode_long(self.v, flat[i], int(keys[i]), self.dropout).astype(np.int32).tobytes()
-        once = {x: found[i] for x, i in todo.items() if x[0] < 0}
-        self.known.update((x, found[i]) for x, i in todo.items() if x[0] >= 0)
-        given = [once[x] if x[0] < 0 else self.known[x] for x in asked]
-        stops = np.cumsum(sizes).tolist()
-        return [np.frombuffer(b"".join(given[b - n : b]), np.int32) for n, b in zip(sizes.tolist(), stops)]
+        places, own = ragged(np.zeros(len(sizes), np.int64), sizes)
+        keys = occurrence_keys(self.words["crc"][which], np.array(documents, np.int64).view(np.uint64)[own], places.astype(np.uint64), self.seed)
+        at = self.words["root"][which]
+        for i in np.flatnonzero(at < 0).tolist():
+            ids = encode_long(self.v, flat[i], int(keys[i]), self.dropout)
+            at[i] = self.paths.add(1, word=which[i], parent=-1, via=0, depth=0, first=0, pops=0, ids=self.ids.add(len(ids), id=ids), n_ids=len(ids))
+        at = self.walk(at, keys)
+        n = self.paths["n_ids"][at]
+        ids = self.ids["id"][ragged(self.paths["ids"][at], n)[0]]
+        return ids, np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(sizes)]]
+
+    def encode(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
+        ids, at = self.flat_ids(texts, documents)
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
 
 def decode(v: Vocabulary, ids) -> str:
@@ -288,10 +349,11 @@ def decode(v: Vocabulary, ids) -> str:
 
 
 def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """``docs`` without ``text_col``, plus ids (array<int>), decoded (string) and
-    lossless: whether decoding the ids gave the text back."""
+    """``docs`` without ``text_col``, plus ids (array<int>), decoded (string) and lossless:
+    whether decoding the ids gave the text back.  Columns of ``docs`` with one of these
+    three names are replaced."""
     held = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(model_file)))  # plain data: tasks need no import
-    names = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, "ids", "decoded", "lossless")]
     document = F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(F.xxhash64(F.lit(seed), F.col(id_col))).cast("long")
 
     def run(batches):
@@ -299,16 +361,18 @@ def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
         vars(v).update(held.value)
         encoder = Encoder(v, dropout, seed)
         for batch in batches:
-            for b in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
+            for lo, hi in pieces(utf8(batch.column(0))[1], BYTES_AT_ONCE):
+                b = batch.slice(lo, hi - lo)
                 given = b.column(0).to_pylist()
-                ids = encoder.encode([t or "" for t in given], b.column(1).to_pylist())
-                back = [decode(v, i.tolist()) if t is not None else None for i, t in zip(ids, given)]
-                made = [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string()), pa.array([x == t for x, t in zip(back, given)])]
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(2, b.num_columns)), *made], [*names, "ids", "decoded", "lossless"])
-
-    own = docs.select(F.col(text_col).alias("_text"), document.alias("_document"), *names)
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    return own.mapInArrow(run, f"{kept}ids array<int>, decoded string, lossless boolean")
+                ids, at = encoder.flat_ids([t or "" for t in given], b.column(1).to_pylist())
+                flat, cuts = ids.tolist(), at.tolist()
+                back = [decode(v, flat[x:y]) if t is not None else None for x, y, t in zip(cuts, cuts[1:], given)]
+                listed = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column(2), listed, pa.array(back, pa.string()), pa.array([x == t for x, t in zip(back, given)])], ["row", "ids", "decoded", "lossless"])
+
+    own = docs.select(F.col(text_col).alias("text"), document.alias("document"), (F.struct(*others) if others else F.lit(0)).alias("row"))
+    made = own.mapInArrow(run, StructType([own.schema["row"], *DataType.fromDDL("ids array<int>, decoded string, lossless boolean")]))
+    return made.select(*(F.col("row")[c].alias(c) for c in others), "ids", "decoded", "lossless")
 
 
 def digests(docs: DataFrame, model_file: str, **options) -> DataFrame:

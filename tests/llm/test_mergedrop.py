@@ -13,20 +13,23 @@ TEXTS = ["Hello world", " a  b\n", "a\tb", "　é😀\x00z", "", " ", "     x",
 
 
 def agenda(text, key, dropout):
-    """The rule in its plainest form: look at all pairs, merge the best, start again."""
+    """The rule in its plainest form: look at all pairs, pop the best, start again."""
     merges = {int(k): (int(r), int(x)) for k, r, x in zip(V.key, V.rank, V.merged)}
-    s = [(int(V.char_id[ord(c)]), i, i + 1) for i, c in enumerate(text)]
+    s, gone = [(int(V.char_id[ord(c)]), i, i + 1) for i, c in enumerate(text)], set()
     while True:
         best = None
         for i in range(len(s) - 1):
             (a, lo, mid), (b, _, hi) = s[i], s[i + 1]
             hit = merges.get(a << 32 | b) if a >= 0 and b >= 0 else None
-            if hit and not m.skipped(np.array([key], np.uint64), *(np.array([x]) for x in (lo, mid, hi)), dropout)[0]:
-                best = min(best or (1 << 62,), (hit[0], i, hit[1]))
+            if hit and (lo, mid, hi) not in gone:
+                best = min(best or (1 << 62,), (hit[0], i, hit[1], (lo, mid, hi)))
         if best is None:
             break
-        _, i, x = best
-        s[i : i + 2] = [(x, s[i][1], s[i + 1][2])]
+        _, i, x, borders = best
+        if m._mix_one(m.candidate(*borders) ^ key) < m.bound(dropout):
+            gone.add(borders)
+        else:
+            s[i : i + 2] = [(x, s[i][1], s[i + 1][2])]
     return [y for x, lo, _ in s for y in ([x] if x >= 0 else [V.byte_id[b] for b in text[lo].encode()])]
 
 
@@ -41,13 +44,9 @@ def test_literal_mark_survives():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="abetnrs ing▁é\n", max_size=40), min_size=1, max_size=5), st.floats(0, 1))
-def test_both_ways_follow_the_agenda(texts, dropout):
-    segments = sorted({s for t in texts for s in m._SEGMENT.findall(" " + t)})
-    keys = m.segment_keys(segments, [3] * len(segments), 5)
-    for s, k, short in zip(segments, keys.tolist(), m.encode_short(V, segments, keys, dropout)):
-        want = agenda(s, k, dropout)
-        assert np.frombuffer(short, np.int32).tolist() == want and m.encode_long(V, s, k, dropout).tolist() == want
+@given(st.text(alphabet="abetnrs ing▁é\n", min_size=1, max_size=80), st.floats(0, 1), st.integers(0, 2**64 - 1))
+def test_the_heap_follows_the_agenda(text, dropout, key):
+    assert m.encode_long(V, text, key, dropout) == agenda(text, key, dropout)
 
 
 @settings(max_examples=100, deadline=None)
@@ -58,14 +57,36 @@ def test_round_trip(text, variant):
 
 def test_spark(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "null id"), (50, None), (3, TEXTS[3])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as decoded").drop("ids", "decoded")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     got = m.encoded(df, MODEL).collect()
     assert len(got) == len(rows) and all(r.lossless for r in got)
     again = m.encoded(df.repartition(3), MODEL).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     varied = m.encoded(spark.createDataFrame([(i, "internationalization " * 5) for i in range(30)], "doc_id long, text string"), MODEL).collect()
     assert len({tuple(r.ids) for r in varied}) > 5
-    assert m.digests(df.limit(0), MODEL).count() == 0
+    assert m.digests(df.limit(0), MODEL).count() == 0 and m.encoded(df.limit(0), MODEL).count() == 0
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a text", 5, "x", [1])], "doc_id long, text string, _text int, `row` string, `odd name` array<int>")
+    plain = m.encoded(df.select("doc_id", "text"), MODEL).first()
+    got = m.encoded(df.selectExpr("*", "7 as ids", "'y' as decoded", "2 as lossless", "'z' as document"), MODEL)
+    assert got.columns == ["doc_id", "_text", "row", "odd name", "document", "ids", "decoded", "lossless"]
+    assert tuple(got.first()) == (1, 5, "x", [1], "z", plain.ids, "a text", True)
+
+
+def test_long_texts():
+    texts = ["nospace" * 20_000, "many words " * 100_000]
+    for t in texts:
+        assert m.decode(V, m.Encoder(V, 0.1, 1).encode([t], [1])[0].tolist()) == t
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    texts = [t * 3 for t in TEXTS]
+    want = [x.tolist() for x in m.Encoder(V, 0.2, 1).encode(texts, list(range(len(texts))))]
+    monkeypatch.setattr(m, "MOST_PATHS", 5)
+    e = m.Encoder(V, 0.2, 1)
+    assert [e.encode([t], [i])[0].tolist() for i, t in enumerate(texts)] == want
 
 
 def test_each_occurrence_has_its_own_draws(spark):
