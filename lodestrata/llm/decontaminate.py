@@ -108,6 +108,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated; rows without an id are judged by
     their text like all others, as the verdict is joined by id and text together."""
-    verdict = contamination(docs.select(F.struct(id_col, F.xxhash64(text_col).alias("th")).alias("doc_id"), F.col(text_col).alias("text")), items, **options)
-    bad = verdict.where("contaminated").select(F.col("doc_id")[id_col].alias("_id"), F.col("doc_id")["th"].alias("_th")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left_anti")
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    verdict = contamination(own.select(F.struct("id", "th").alias("doc_id"), "text"), items, **options)
+    bad = verdict.where("contaminated").select("doc_id.*").distinct().toDF("bad_id", "bad_th")
+    return own.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("th") == F.col("bad_th")), "left_anti").select("row.*")

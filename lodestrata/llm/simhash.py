@@ -185,7 +185,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share that id stay together; rows without an id are kept.
     """
-    found = near_duplicates(docs, **options)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col(options.get("id_col", "doc_id")) == F.col("_first"), "left_semi")
-    return kept.unionByName(docs.where(F.col(options.get("id_col", "doc_id")).isNull()))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(options.get("id_col", "doc_id")).cast("long").alias("id"))
+    first = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    kept = own.join(first, F.col("id") == F.col("first"), "left_semi")
+    return kept.unionByName(own.where("id is null")).select("row.*")

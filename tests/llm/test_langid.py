@@ -34,7 +34,7 @@ def test_labels_and_ids_are_not_inputs(spark):
     model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     one = langid.predict(spark.createDataFrame([(1, rows[3][1])], "doc_id long, text string"), model).first()
     two = langid.predict(spark.createDataFrame([(77, rows[3][1])], "doc_id long, text string"), model).first()
-    assert one[1:] == two[1:] and one.lang_pred == rows[3][2]
+    assert one[1:] == two[1:] and one.languages[0].lang == one.lang_pred and one.lang_pred == rows[3][2]
 
 
 def test_mixture_names_the_larger_share(spark):
@@ -48,5 +48,67 @@ def test_mixture_names_the_larger_share(spark):
 
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
-    assert [tuple(r) for r in langid.languages(df).collect()] == [(1, False, "und", 0.0)]
+    assert [tuple(r) for r in langid.languages(df).collect()] == [(1, False, "und", 0.0, [])]
+    other = spark.createDataFrame([(1, "some text", None, 1), (2, "12", None, 1), (3, None, None, 1)], "doc_id long, text string, lang string, score int")
+    assert [tuple(r) for r in langid.accepted(other, langid.learn(other)).collect()] == [(1, "some text", None, 1)]
     assert langid.languages(df.limit(0)).count() == 0
+
+
+def plain(counts, p):
+    """The rule for one text, in loops: shares of the chosen set."""
+    langs, total = range(len(p)), sum(counts.values())
+
+    def fit(pi, rounds):
+        for _ in range(rounds):
+            new = [0.0] * len(pi)
+            for g, n in counts.items():
+                mix = sum(pi[k] * p[k][g] for k in langs)
+                for k in langs:
+                    new[k] += n * pi[k] * p[k][g] / mix
+            pi = [x / total for x in new]
+        return pi
+
+    def loglik(pi):
+        return sum(n * np.log(sum(pi[k] * p[k][g] for k in langs)) for g, n in counts.items())
+
+    shares = fit([1 / len(p)] * len(p), langid.ROUNDS)
+    order = sorted(langs, key=lambda k: -shares[k])
+    alone = [loglik([float(j == k) for j in langs]) for k in langs]
+    value, chosen = max(alone), [float(k == int(np.argmax(alone))) for k in langs]
+    for size in range(2, len(p) + 1):
+        pi = [max(shares[k], 1e-3) if k in order[:size] else 0.0 for k in langs]
+        pi = fit([x / sum(pi) for x in pi], langid.SET_ROUNDS)
+        v = loglik(pi) - langid.PENALTY * (size - 1) * np.log(total + 1)
+        if v <= value:
+            break
+        value, chosen = v, pi
+    return np.array(chosen) / sum(chosen)
+
+
+def test_mixtures_match_the_plain_rule():
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet(np.full(60, 0.05), 6) + 1e-5
+    p /= p.sum(1, keepdims=True)
+    sizes = set()
+    for mix in ([1, 0, 0, 0, 0, 0], [3, 2, 0, 0, 0, 0], [1, 1, 1, 1, 0, 0], [1, 1, 1, 1, 1, 1], [0, 0, 5, 0, 1, 0]):
+        c = rng.multinomial(900, np.array(mix) / sum(mix) @ p).astype(np.float32)
+        shares, score = langid.mixtures(c[None], p)
+        want = plain({g: float(n) for g, n in enumerate(c) if n}, p)
+        assert np.abs(shares[0] - want).max() < 0.01 and 0 <= score[0] <= 1
+        sizes.add(int((shares[0] > 0).sum()))
+    assert {1, 2, 4, 6} <= sizes  # sets of any size
+
+
+def test_short_texts_have_grams(spark):
+    model = langid.learn(spark.createDataFrame([(1, "üb " * 50, "bb"), (2, "th " * 50, "zz"), (3, "ci " * 50, "aa")], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame([(1, "ü"), (2, "th")], "doc_id long, text string"), model).collect()}
+    assert got == {1: "bb", 2: "zz"}
+
+
+def test_extra_columns_and_long_texts(spark):
+    rows, say = corpus()
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([(1, say("bb", 150_000), 3, "x"), (2, " ", 4, "y")], "doc_id long, text string, score int, lang_pred string")
+    got = langid.accepted(df, model).collect()
+    assert [(r.doc_id, r.score, r.lang_pred) for r in got] == [(1, 3, "x")]
+    assert langid.predict(df, model).first().lang_pred == "bb"

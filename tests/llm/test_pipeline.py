@@ -56,3 +56,20 @@ def test_stage_columns_and_empty_input(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_stages_carry_any_columns_and_odd_rows(spark, tmp_path):
+    names = ["_id", "_th", "_first", "spans", "row", "id", "th", "first", "shard", "bad_id", "languages", "lo", "body", "h", "label"]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (None, "no id here"), (2, "other words " * 9), (3, None), (4, ""), (5, "w1 " * 40_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *range(len(names))) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    spark.createDataFrame([(None, "a b"), (1, None), (2, "zz " * 13)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert out.columns == docs.columns and all(tuple(r)[5:] == tuple(range(len(names))) for r in got)
+        kept = {r.doc_id for r in got}
+        assert {None, 2} <= kept and (5 in kept or name == "substring dedup"), name
+        assert sum(r.doc_id == 1 for r in got) == 2
+    ids = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert ids.count() == len(rows) and ids.columns == [c for c in docs.columns if c != "text"] + ["ids", "lossless"]
