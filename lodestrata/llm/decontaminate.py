@@ -9,8 +9,9 @@ bound), and at last to equal the window word by word.
 
 Edge cases: a null or wordless text has no words and is never contaminated; a
 wordless item has no window; items that share an id count once, and items without
-one hit words but are not listed; repeated rows each get the same result; extra
-columns are ignored.
+one hit words but are not listed; repeated rows each get the same result; a very long text
+is one array of words in its row; empty tables give no rows, or no hits; extra columns,
+whatever their names, are ignored or carried (``drop_contaminated``).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window
 from lodestrata.llm.common import ascii_lower, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 200_000  # windows of at most 13 words each: some tens of megabytes
+BROADCAST_BYTES = 64 << 20  # what a stored table may take, as rows in memory, to be broadcast
 
 
 def words(text: Column) -> Column:
@@ -30,9 +31,18 @@ def words(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a stored table of at most ``most_rows``; beyond that let it be shuffled."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def held_bytes(words: Column) -> Column:
+    """About what an array of words takes in a row."""
+    return F.aggregate(words, F.lit(64).cast("long"), lambda n, w: n + F.octet_length(w) + 24)
+
+
+def is_small(df: DataFrame, row_bytes: Column, most: int | None = None) -> bool:
+    """Whether all rows of a stored table together take few enough bytes to be broadcast."""
+    return (df.agg(F.sum(row_bytes)).first()[0] or 0) <= (BROADCAST_BYTES if most is None else most)
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    return F.broadcast(df) if is_small(df, row_bytes) else df
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
@@ -47,12 +57,12 @@ def prefixes(windows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     vocabulary = stored(windows.select(F.explode("win").alias("token")).distinct())
     seen = (
         docs.select(F.explode(words(F.col(text_col))).alias("token"))
-        .join(broadcast_if_small(vocabulary), "token")
+        .join(broadcast_if_small(vocabulary, F.octet_length("token") + 64), "token")
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
-    rarity = vocabulary.join(seen, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
-    placed = windows.select("item_id", "win", F.posexplode("win").alias("place", "token")).join(rarity, "token")
+    rarity = stored(vocabulary.join(seen, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n")))
+    placed = windows.select("item_id", "win", F.posexplode("win").alias("place", "token")).join(broadcast_if_small(rarity, F.octet_length("token") + 72), "token")
     ordered = placed.groupBy("item_id", "win").agg(F.array_sort(F.collect_list(F.struct("n", "token", "place"))).alias("by_rarity"))
     first, second = F.col("by_rarity")[0], F.get("by_rarity", F.least(F.lit(1), F.size("by_rarity") - 1))
     return ordered.select(
@@ -61,17 +71,26 @@ def prefixes(windows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, th, item_id, start, stop): every place where a window occurs in a text."""
+    """(doc_id, th, item_id, start, stop): every place where a window occurs in a text.
+
+    Small prefixes are broadcast to the words, and no text moves.  Otherwise words
+    without their text are joined with the prefixes, and the candidates, whose number of words is that of their
+    window alone, meet each text once, to be verified there.
+    """
     windows = stored(item_windows(items, width))
-    wanted = broadcast_if_small(stored(prefixes(windows, docs, text_col)))
+    wanted = stored(prefixes(windows, docs, text_col))
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), words(F.col(text_col)).alias("w"))
-    at = own.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "token")).join(wanted, "token")
     start = F.col("pos") - F.col("place")
-    fits = (start >= 0) & (start + F.size("win") <= F.size("w"))
-    same = F.when(
-        fits, F.when(F.get("w", start + F.col("place2")) == F.col("token2"), F.slice("w", start + 1, F.size("win")) == F.col("win")).otherwise(False)
-    ).otherwise(False)
-    return at.where(same).select("doc_id", "th", "item_id", start.alias("start"), (start + F.size("win")).alias("stop"))
+    fits = (start >= 0) & (start + F.size("win") <= F.col("n_words"))
+    same = F.when(F.get("w", start + F.col("place2")) == F.col("token2"), F.slice("w", start + 1, F.size("win")) == F.col("win")).otherwise(False)
+    if is_small(wanted, held_bytes(F.col("win")) + F.octet_length("token") + F.octet_length("token2") + 128):
+        at = own.select("doc_id", "th", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "token")).join(F.broadcast(wanted), "token")
+        at = at.where(F.when(fits, same).otherwise(False))
+    else:
+        alone = own.select("doc_id", "th", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "token"))
+        found = alone.join(wanted, "token").where(fits).withColumnsRenamed({"doc_id": "found_id", "th": "found_th"})
+        at = found.join(own, F.col("found_id").eqNullSafe(F.col("doc_id")) & (F.col("found_th") == F.col("th"))).where(same)
+    return at.select("doc_id", "th", "item_id", start.alias("start"), (start + F.size("win")).alias("stop"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, one_in: int = 20) -> DataFrame:

@@ -52,9 +52,10 @@ def test_matches_brute_force(spark):
 
 def test_shuffled_prefixes_give_the_same(spark, monkeypatch):
     docs, items = cases()
+    long = " ".join(f"q{k % 997}" for k in range(20_000))
+    docs += [(60, f"{long} {items[0][1]} {long}"), (61, long)]
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(decontaminate.broadcast_if_small, "__defaults__", (0,))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     got = [tuple(r) for r in decontaminate.contamination(d, i).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute(docs, items)))
 
