@@ -64,10 +64,10 @@ def hybrid_rrf(spark, sf):
 
 
 @query("""with t as (select doc_id, source, lang, text, row_number() over (order by n_chars desc, doc_id) as r from documents order by n_chars desc, doc_id limit 5)
-select string_agg('[Source ' || r || ': ' || source || case when lang <> 'en' then ' (Material: ' || lang || ')' else '' end || ']' || chr(10) || left(text, 80), chr(10) || '---' || chr(10) order by r) as context from t""")
+select string_agg('[Source ' || r || ': ' || source || case when lang <> 'en' then ' (Material: ' || lang || ')' else '' end || ']' || chr(10) || text, chr(10) || '---' || chr(10) order by r) as context from t""")
 def context_builder(spark, sf):
     top = table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(5)
-    hits = top.select((-F.col("n_chars")).alias("neg"), "doc_id", F.col("source").alias("name"), F.when(F.col("lang") != "en", F.col("lang")).alias("material"), F.expr("left(text, 80)").alias("content"))
+    hits = top.select((-F.col("n_chars")).alias("neg"), "doc_id", F.col("source").alias("name"), F.when(F.col("lang") != "en", F.col("lang")).alias("material"), F.col("text").alias("content"))
     return retrieval.context(hits.select(F.struct("neg", "doc_id").alias("rank"), "name", "material", "content"))
 
 
@@ -95,12 +95,53 @@ def doc_chunk_fixed(spark, sf):
     return chunking.fixed(table(spark, sf, "documents"), 512, 64)
 
 
-@query()
+_STRIP = r"regexp_replace({}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
+_CHUNK_ROWS = """select document_id, cast(row_number() over (partition by document_id order by k) - 1 as int) as chunk_index, cast(count(*) over (partition by document_id) as int) as total_chunks,
+  printf('%s_chunk_%04d', document_id, cast(row_number() over (partition by document_id order by k) - 1 as int)) as id, content, sha256(content) as content_hash from pieces"""
+_RECURSIVE = f"""with recursive d as (select cast(doc_id as varchar) as document_id, {_STRIP.format("coalesce(text, '')")} as t from documents),
+e as (select document_id, t, case {' '.join("when contains(t, '" + s.replace(chr(10), "' || chr(10) || '") + "') then '" + s.replace(chr(10), "' || chr(10) || '") + "'" for s in chunking.SEPARATORS)} else '' end as sep from d where length(t) > {chunking.SIZE}),
+p as (select document_id, sep, length(sep) as w, case when sep = '' then list_filter(string_split(t, ''), lambda x: x <> '') else string_split(t, sep) end as parts from e),
+c as (select document_id, sep, w, parts, len(parts) as m, (select list(s order by i) from (select i, sum(length(parts[i])) over (order by i) as s from (select unnest(range(1, len(parts) + 1)) as i))) as till from p),
+r as (  -- a run from part a on that was last opened at part k (both from 1), and the part that closes it
+  select document_id, 0 as step, 1 as a, 1 as k, cast(null as bigint) as closed from c
+  union all
+  select document_id, step + 1, cast(coalesce(list_filter(range(a, z + 1), lambda t: till[z - 1] - case when t > 1 then till[t - 1] else 0 end <= {chunking.OVERLAP})[1], z) as int), cast(z as int), a
+  from (select r.document_id, step, a, k, till, list_filter(range(k + 1, m + 1), lambda z: till[z] - case when a > 1 then till[a - 1] else 0 end + (z - a) * w > {chunking.SIZE})[1] as z from r join c using (document_id)) where z is not null
+),
+runs as (
+  select r.document_id, step, closed as a, k - 1 as b, false as last from r where step > 0
+  union all select r.document_id, step + 1, a, m, true from (select *, row_number() over (partition by document_id order by step desc) as back from r) r join c using (document_id) where back = 1
+),
+texts as (
+  select document_id, step, last, sep, substr(t, cast(before + (a - 1) * w + 1 as bigint), cast(till[b] - before + (b - a) * w as bigint)) as content
+  from (select *, case when a > 1 then till[a - 1] else 0 end as before from runs join c using (document_id) join d using (document_id))
+),
+kept as (select *, lead(case when last and length(content) < {chunking.LEAST} and length(content) > 0 then sep || content end) over (partition by document_id order by step) as after from texts where last or length(content) >= {chunking.LEAST}),
+pieces as (
+  select document_id, step as k, content || coalesce(after, '') as content from kept where not last or length(content) >= {chunking.LEAST}
+  union all select document_id, 0, t from d where length(t) between 1 and {chunking.SIZE}
+) {_CHUNK_ROWS}"""
+_AFTER = "length(around) - length(string_split(around, {0})[-1])"
+_SLIDING = f"""with recursive d as (select cast(doc_id as varchar) as document_id, coalesce(text, '') as t from documents),
+w as (
+  select document_id, t, 0 as k, 0 as a, cast(null as bigint) as b, length(t) = 0 as done from d
+  union all
+  select document_id, t, k + 1, cast(greatest(z - {chunking.OVERLAP}, a + 1) as int), z, z >= length(t) from (
+    select document_id, t, k, a, case when a + {chunking.SIZE} >= length(t) then length(t) {' '.join(f"when contains(around, {m}) then a + {chunking.SIZE // 2} + " + _AFTER.format(m) for m in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '"))} else a + {chunking.SIZE} end as z
+    from (select *, substr(t, a + {chunking.SIZE // 2} + 1, least(a + {chunking.SIZE + chunking.BEYOND}, length(t)) - a - {chunking.SIZE // 2}) as around from w where not done)
+  )
+),
+spans as (select document_id, t, k, lag(a) over (partition by document_id order by k) as a, b from w),
+pieces as (select document_id, k, content from (select document_id, k, {_STRIP.format("substr(t, a + 1, b - a)")} as content from spans where b is not null) where length(content) >= {chunking.LEAST_WINDOW})
+{_CHUNK_ROWS}"""
+
+
+@query(_RECURSIVE)
 def doc_chunk_recursive(spark, sf):
     return chunking.chunked(table(spark, sf, "documents"))
 
 
-@query()
+@query(_SLIDING)
 def doc_chunk_sliding(spark, sf):
     return chunking.chunked(table(spark, sf, "documents"), chunking.sliding)
 

@@ -1,5 +1,6 @@
 """Operators on small frames: nulls, ties, empty input, and laws that must hold."""
 
+import random
 from datetime import date, datetime
 
 import pytest
@@ -86,23 +87,30 @@ def test_upsert_and_deletes(spark):
     assert sorted(r.id for r in writers.add_missing(old, new.union(new), "id").collect()) == [1, 2, 3, 4]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab, .\n", max_size=400))
-def test_chunks_hold_the_text(text):
-    got = chunking.by_separator(text, size=60, overlap=10, least=1)
+def chunks(spark, rule, texts, **options):
+    rows = rule(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), **options)
+    return [r.chunks for r in rows.orderBy("i").collect()]
+
+
+def test_chunks_hold_the_text(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab, .\n") for _ in range(rng.randrange(400))) for _ in range(150)]
     squeezed = lambda t: "".join(t.split())
-    assert all(squeezed(c) in squeezed(text) for c in got)
-    assert set(squeezed(text)) <= set("".join(got)) | {""}
-    assert all(c == c.strip() and len(c) >= 5 for c in chunking.sliding(text, size=60, overlap=10, least=5))
+    for text, got in zip(texts, chunks(spark, chunking.by_separator, texts, size=60, overlap=10, least=1)):
+        assert all(squeezed(c) in squeezed(text) for c in got)
+        assert set(squeezed(text)) <= set("".join(got))
+    for got in chunks(spark, chunking.sliding, texts, size=60, overlap=10, least=5):
+        assert all(c == c.strip() and len(c) >= 5 for c in got)
 
 
-def test_chunk_examples():
-    assert chunking.by_separator(None) == chunking.by_separator("  ") == []
-    assert chunking.by_separator("short") == ["short"]
+def test_chunk_examples(spark):
     parts = [c * 100 for c in "abcdefghij"]
-    got = chunking.by_separator("\n\n".join(parts), size=310, overlap=120, least=50)
+    assert chunks(spark, chunking.by_separator, [None, "  ", "short"]) == [[], [], ["short"]]
+    [got] = chunks(spark, chunking.by_separator, ["\n\n".join(parts)], size=310, overlap=120, least=50)
     assert got[0] == "\n\n".join(parts[:3]) and got[1].startswith(parts[2]) and got[-1].endswith(parts[-1])
-    assert chunking.by_separator("x" * 40 + "\n\n" + "y" * 500, size=300, overlap=0, least=50) == ["y" * 500]
+    assert chunks(spark, chunking.by_separator, ["x" * 40 + "\n\n" + "y" * 500], size=300, overlap=0, least=50) == [["y" * 500]]
+    assert chunks(spark, chunking.by_separator, ["z" * 700], size=300, overlap=100, least=50) == [["z" * 300, "z" * 300, "z" * 300]]
+    assert chunks(spark, chunking.sliding, [None, "", "w" * 250], size=100, overlap=20, least=30) == [[], [], ["w" * 100, "w" * 100, "w" * 90]]
 
 
 def test_search_terms_and_covers(spark):
