@@ -40,7 +40,7 @@ from lodestrata.llm.common import pieces, utf8
 DROPOUT = 0.1
 SEED = 20240229
 LONG = 48  # characters from which a segment goes through the heap
-MOST_PATHS = 500_000  # paths a task remembers before it starts anew
+MOST_PATHS = 250_000  # paths a task remembers before it starts anew
 MOST_IDS = 8_000_000  # their pieces, likewise
 BYTES_AT_ONCE = 1 << 20
 _SEGMENT = re.compile(r" *[^ ]+| +")

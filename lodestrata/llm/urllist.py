@@ -12,7 +12,8 @@ Edge cases: a null or unparseable URL, or one without time, is under no entry an
 not blocked; entries without kind, pattern or date are ignored; of several entries with
 one date for the same pattern and category the last in the order remove, block, allow
 stands, and repeated ones count once; repeated captures each get a row, told apart by
-no more than their columns; extra columns are ignored.
+no more than their columns; a very long URL is split as a whole; an empty list blocks nothing,
+an empty table has no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -65,9 +66,10 @@ def patterns(host_col: str, path_col: str, deepest_col: str) -> Column:
 def judged(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """A row per capture: host, time, whether it is blocked, and by what.
 
-    The URLs are joined on their patterns; all entries of a capture are then brought
-    together by its own key, so a host that holds a third of all captures is spread by
-    the first join's partial sums and by its captures' keys.
+    The URLs are joined on their patterns.  A short list is broadcast by Spark's own
+    estimate; with a long one, adaptive execution splits the rows of a domain that a third of
+    all captures fall under, as both sides of the join are dealt for it alone.  All entries of a
+    capture are then brought together by its own key.
     """
     own = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at"))
     listed = intervals(entries)
