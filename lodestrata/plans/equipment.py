@@ -18,7 +18,7 @@ with r as (
 """
 _STATES = """, e as (
   select user_id as equipment_id, ts as event_ts, event_type, case event_type when 'purchase' then 'failure' when 'signup' then 'critical' when 'click' then 'degradation_start' else 'none' end as kind, event_type as state_to
-  from events where event_id % 9 = 0
+  from events
 )
 """
 
@@ -35,7 +35,7 @@ def _sensors():
 
 def _events(spark, sf):
     kind = F.when(F.col("event_type") == "purchase", "failure").when(F.col("event_type") == "signup", "critical").when(F.col("event_type") == "click", "degradation_start").otherwise("none")
-    return table(spark, sf, "events").where("event_id % 9 = 0").select(F.col("user_id").alias("equipment_id"), F.col("ts").alias("event_ts"), F.col("event_type").alias("state_to"), kind.alias("kind"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("equipment_id"), F.col("ts").alias("event_ts"), F.col("event_type").alias("state_to"), kind.alias("kind"))
 
 
 _WEEK = ", w as (select equipment_id, week_end, sensor, avg(value) as mean, coalesce(stddev_samp(value), 0) as std, min(value) as min, max(value) as max, max(value) - min(value) as range, case when count(distinct ts) < 2 then 0 else regr_slope(value, epoch_us(ts) / 1e6 - epoch(week_end - 6)) end as trend from r group by 1, 2, 3)"

@@ -11,16 +11,16 @@ from lodestrata.plans.registry import query, silver_orders
 from lodestrata.sources.readers import table
 
 
-@query("select l_orderkey, l_linenumber, l_extendedprice as value, o_totalprice as value_hdr, o_orderstatus from lineitem left join orders on l_orderkey = o_orderkey and o_orderkey % 3 = 0")
+@query("select l_orderkey, l_linenumber, l_extendedprice as value, o_totalprice as value_hdr, o_orderstatus from lineitem left join orders on l_orderkey = case when o_orderkey % 3 = 0 then o_orderkey end")
 def left_merge_suffix(spark, sf):
-    headers = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("value_hdr"), "o_orderstatus")
+    headers = table(spark, sf, "orders").select(F.expr("case when o_orderkey % 3 = 0 then o_orderkey end").alias("l_orderkey"), F.col("o_totalprice").alias("value_hdr"), "o_orderstatus")
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("value")).join(headers, "l_orderkey", "left")
 
 
-@query("select o_orderkey, m.name as account from orders left join (select o_custkey % 100 as k, max(c_name) as name from orders join customer on o_custkey = c_custkey where c_custkey % 2 = 0 group by 1) m on o_custkey % 100 = m.k")
+@query("select o_orderkey, m.name as account from orders left join (select o_custkey % 100 as k, max(c_name) as name from orders join customer on o_custkey = case when c_custkey % 2 = 0 then c_custkey end group by 1) m on o_custkey % 100 = m.k")
 def dictionary_lookup(spark, sf):
     """A map from keys to names, one name per key, joined like any table."""
-    owners = table(spark, sf, "orders").join(table(spark, sf, "customer").where("c_custkey % 2 = 0"), F.col("o_custkey") == F.col("c_custkey"))
+    owners = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.expr("o_custkey = case when c_custkey % 2 = 0 then c_custkey end"))
     names = owners.groupBy((F.col("o_custkey") % 100).alias("k")).agg(F.max("c_name").alias("account"))
     return table(spark, sf, "orders").withColumn("k", F.col("o_custkey") % 100).join(names, "k", "left").select("o_orderkey", "account")
 

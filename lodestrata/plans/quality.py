@@ -77,10 +77,10 @@ def dq_value_range(spark, sf):
     return quality.run(df, [quality.value_range(df, "l_quantity", 2, 49)])
 
 
-@query("""with k as (select distinct o_custkey as k from orders), o as (select k from k except select c_custkey from customer where c_custkey % 10 <> 0), s as (select (select count(*) from o) as failed, (select count(*) from k) as total)
+@query("""with k as (select distinct o_custkey as k from orders), o as (select k from k except select case when c_custkey % 10 <> 0 then c_custkey else -c_custkey end as c_custkey from customer), s as (select (select count(*) from o) as failed, (select count(*) from k) as total)
 select 'referential_integrity' as check_name, 'o_custkey' as column_name, 'critical' as severity, failed, total, round(1 - failed / total, 6) as rate, 1 - failed / total >= 0.95 as passed from s""")
 def dq_referential_integrity(spark, sf):
-    return quality.referential_integrity(table(spark, sf, "orders"), "o_custkey", table(spark, sf, "customer").where("c_custkey % 10 <> 0"), "c_custkey")
+    return quality.referential_integrity(table(spark, sf, "orders"), "o_custkey", table(spark, sf, "customer").select(F.expr("case when c_custkey % 10 <> 0 then c_custkey else -c_custkey end as c_custkey")), "c_custkey")
 
 
 @query(_one("date_validity", "d", "warning", "count(*) filter (where d < date '1995-06-01' or d > date '2001-01-01')", "count(d)", 0.02, "select cast(o_orderdate as date) as d from orders"))
@@ -89,26 +89,26 @@ def dq_date_validity(spark, sf):
     return quality.run(df, [quality.date_validity(df, "d", "1995-06-01", "2001-01-01")])
 
 
-@query("select o_custkey from orders except select c_custkey from customer where c_custkey % 3 <> 0")
+@query("select o_custkey from orders except select case when c_custkey % 3 <> 0 then c_custkey else -c_custkey end as c_custkey from customer")
 def orphan_except(spark, sf):
-    return table(spark, sf, "orders").select("o_custkey").subtract(table(spark, sf, "customer").where("c_custkey % 3 <> 0").select("c_custkey"))
+    return table(spark, sf, "orders").select("o_custkey").subtract(table(spark, sf, "customer").select(F.expr("case when c_custkey % 3 <> 0 then c_custkey else -c_custkey end as c_custkey")))
 
 
-@query("select distinct o_custkey from orders anti join (select c_custkey from customer where c_custkey % 3 <> 0) c on o_custkey = c_custkey")
+@query("select distinct o_custkey from orders anti join (select case when c_custkey % 3 <> 0 then c_custkey else -c_custkey end as c_custkey from customer) c on o_custkey = c_custkey")
 def orphan_anti_join(spark, sf):
-    return table(spark, sf, "orders").select("o_custkey").distinct().join(table(spark, sf, "customer").where("c_custkey % 3 <> 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    return table(spark, sf, "orders").select("o_custkey").distinct().join(table(spark, sf, "customer").select(F.expr("case when c_custkey % 3 <> 0 then c_custkey else -c_custkey end as c_custkey")), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
 
 
-_OLD = "select c_custkey, c_name, c_mktsegment, md5(c_name || c_mktsegment) as row_hash from customer where c_custkey % 4 <> 0"
-_NEW = "select c_custkey, c_name, case when c_custkey % 5 = 0 then 'MOVED' else c_mktsegment end as c_mktsegment, md5(c_name || case when c_custkey % 5 = 0 then 'MOVED' else c_mktsegment end) as row_hash from customer where c_custkey % 6 <> 0"
+_OLD = "select case when c_custkey % 4 <> 0 then c_custkey else -c_custkey end as c_custkey, c_name, c_mktsegment, md5(c_name || c_mktsegment) as row_hash from customer"
+_NEW = "select case when c_custkey % 6 <> 0 then c_custkey else -c_custkey end as c_custkey, c_name, case when c_custkey % 5 = 0 then 'MOVED' else c_mktsegment end as c_mktsegment, md5(c_name || case when c_custkey % 5 = 0 then 'MOVED' else c_mktsegment end) as row_hash from customer"
 
 
 def _versions(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
     hashed = lambda df: df.withColumn("row_hash", F.md5(F.concat("c_name", "c_mktsegment")))
-    old = scd2.initial(hashed(customers.where("c_custkey % 4 <> 0")), "2024-01-01")
+    old = scd2.initial(hashed(customers.withColumn("c_custkey", F.expr("case when c_custkey % 4 <> 0 then c_custkey else -c_custkey end"))), "2024-01-01")
     moved = F.when(F.col("c_custkey") % 5 == 0, "MOVED").otherwise(F.col("c_mktsegment"))
-    return old, hashed(customers.where("c_custkey % 6 <> 0").withColumn("c_mktsegment", moved))
+    return old, hashed(customers.withColumn("c_mktsegment", moved).withColumn("c_custkey", F.expr("case when c_custkey % 6 <> 0 then c_custkey else -c_custkey end")))
 
 
 @query(f"with o as ({_OLD}), n as ({_NEW}) select n.*, case when o.c_custkey is null then 'INSERT' when o.row_hash = n.row_hash then 'SKIP' else 'UPDATE' end as action from n left join o using (c_custkey)")
@@ -130,15 +130,15 @@ def scd2_summary(spark, sf):
     return scd2.summary(scd2.merge(*_versions(spark, sf), ["c_custkey"], "2024-02-01"))
 
 
-_CHUNKS = "select doc_id, md5(text) as content_hash from documents where doc_id % 3 <> 0"
-_FRESH = "select doc_id, md5(case when doc_id % 4 = 0 then text || '!' else text end) as content_hash from documents where doc_id % 5 <> 0"
+_CHUNKS = "select case when doc_id % 3 <> 0 then doc_id else -doc_id end as doc_id, md5(text) as content_hash from documents"
+_FRESH = "select case when doc_id % 5 <> 0 then doc_id else -doc_id end as doc_id, md5(case when doc_id % 4 = 0 then text || '!' else text end) as content_hash from documents"
 
 
 @query(f"with o as ({_CHUNKS}), n as ({_FRESH}) select n.*, case when o.doc_id is null then 'insert' when o.content_hash = n.content_hash then 'skip' else 'update' end as action from n left join o using (doc_id) union all select o.*, 'keep' from o anti join n using (doc_id)")
 def chunk_hash_upsert(spark, sf):
     docs = table(spark, sf, "documents")
-    old = docs.where("doc_id % 3 <> 0").select("doc_id", F.md5("text").alias("content_hash"))
-    new = docs.where("doc_id % 5 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"))
+    old = docs.select(F.expr("case when doc_id % 3 <> 0 then doc_id else -doc_id end as doc_id"), F.md5("text").alias("content_hash"))
+    new = docs.select(F.expr("case when doc_id % 5 <> 0 then doc_id else -doc_id end as doc_id"), F.md5(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"))
     return writers.upsert(old, new, "doc_id", "content_hash")
 
 

@@ -36,30 +36,43 @@ def _contains_sql():
         extra = " and not ends_with(x, 'ss')" if suffix == "s" else ""
         stemmed = f"case when ends_with(x, '{suffix}') and length(x) >= {len(suffix) + 3}{extra} then left(x, length(x) - {len(suffix)}) || '{replacement}' else {stemmed} end"
     stops = ", ".join(f"'{w}'" for w in textsearch.STOP_WORDS)
-    return f"""with w as (select doc_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: case when x in ({stops}) then '' else {stemmed} end) as t from documents)
-    select doc_id as id from w where {' and '.join(f"list_contains(t, '{w}')" for w in words)}"""
+    return f"""w as (select doc_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: case when x in ({stops}) then '' else {stemmed} end) as t from documents),
+m as (select doc_id as id, t from w where {' and '.join(f"list_contains(t, '{w}')" for w in words)})"""
 
 
-@query(_contains_sql())
+def _keyword_sql():
+    """Cover density: each stretch that starts at the earliest of the last places of all terms counts
+    up to the first place where it is complete."""
+    words = textsearch.query_terms(ASKED)
+    last = ", ".join(f"max(case when w = '{w}' then i end) over (partition by id order by i) as l{k}" for k, w in enumerate(words))
+    names = [f"l{k}" for k in range(len(words))]
+    return f"""{_contains_sql()},
+places as (select id, w, i from (select id, unnest(t) as w, unnest(range(len(t))) as i from m) where w in ({", ".join(f"'{w}'" for w in words)})),
+lasts as (select id, i, {last} from places),
+covers as (select id, least({", ".join(names)}) as a, min(i) as z from lasts where {" and ".join(n + " is not null" for n in names)} group by all),
+keyed as (select id, sum({len(words)} / (z - a + 1) order by a) as rank from covers group by id)"""
+
+
+@query(f"with {_contains_sql()} select id from m")
 def keyword_match_set(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return retrieval.keyword(docs, ASKED, None).select("id")
 
 
-@query()
+@query(f"with {_keyword_sql()} select id, round(rank, 6) as rank from keyed order by keyed.rank desc, id limit 10")
 def keyword_topk(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return retrieval.keyword(docs, ASKED, 10).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(_SIM + """, a as (select id, row_number() over (order by sim desc, id) as rs from s where sim >= 0.05 order by sim desc, id limit 30),
-b as (select vec_id as id, row_number() over (order by label desc, vec_id) as rk from embeddings where vec_id % 3 = 0 order by label desc, vec_id limit 30)
+@query(_SIM + f""", {_keyword_sql()}, own as (select s.* from s join documents d on s.id = d.doc_id),
+a as (select id, row_number() over (order by sim desc, id) as rs from own where sim >= 0.05 order by sim desc, id limit 30),
+b as (select keyed.id, row_number() over (order by rank desc, keyed.id) as rk from keyed join own on keyed.id = own.id order by rank desc, keyed.id limit 30)
 select coalesce(a.id, b.id) as id, rs as rank_s, rk as rank_k, round(coalesce(0.7 / (60 + rs), 0) + coalesce(0.3 / (60 + rk), 0), 9) as score from a full join b on a.id = b.id
 order by coalesce(0.7 / (60 + rs), 0) + coalesce(0.3 / (60 + rk), 0) desc, 1 limit 10""")
 def hybrid_rrf(spark, sf):
-    v = _vectors(spark, sf)
-    key = v.where("id % 3 = 0").withColumn("rank", F.col("label").cast("double")).orderBy(F.desc("rank"), "id").limit(30)
-    out = retrieval.fused(retrieval.semantic(v, QUERY_VECTOR, 30, 0.05), key, 10)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    out = retrieval.hybrid(docs.join(_vectors(spark, sf), "id"), ASKED, QUERY_VECTOR, 10, 3, 0.05)
     return out.select("id", F.col("rank_s").cast("long"), F.col("rank_k").cast("long"), F.round("score", 9).alias("score"))
 
 
