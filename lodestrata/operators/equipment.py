@@ -182,6 +182,14 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 
 
+def status(health: DataFrame, equipment_id, anomalies: DataFrame, maintenance: DataFrame) -> DataFrame:
+    """The health row of one equipment with its anomalies and last maintenance; no row if it is
+    unknown.  The equality reaches all three scans through the join key."""
+    one = health.where(F.col("equipment_id") == F.lit(equipment_id))
+    joined = one.join(anomalies, "equipment_id", "left").join(maintenance, "equipment_id", "left")
+    return joined.withColumn("anomalies", F.coalesce("anomalies", F.lit(0)))
+
+
 def by_risk(health: DataFrame, n: int = 20) -> DataFrame:
     return health.orderBy(F.desc("failure_probability"), "equipment_id").limit(n)
 

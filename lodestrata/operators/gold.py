@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,6 +88,63 @@ def period_kpis(silver: DataFrame, as_of: Column, periods: tuple[str, ...] = ("m
     return silver.agg(*sums)
 
 
+def fill_rate(silver: DataFrame, promised_days: int) -> DataFrame:
+    """Share of accepted orders whose last item shipped within the promised days."""
+    orders = silver.where(~F.col("is_rejected")).groupBy("order_number").agg(F.min("order_date").alias("ordered"), F.max("ship_date").alias("shipped"))
+    on_time = F.coalesce(F.col("shipped") <= F.date_add("ordered", promised_days), F.lit(False))
+    counts = orders.agg(F.count("*").alias("orders"), F.count_if(on_time).alias("on_time"))
+    return counts.withColumn("fill_rate", F.when(F.col("orders") > 0, F.round(F.col("on_time") / F.col("orders"), 6)))
+
+
+def prior_span(start: str, end: str, compare_with: str) -> tuple[Column, Column]:
+    """The span of as many days just before, or the same days of the year before."""
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    if compare_with == "previous_period":
+        return F.date_sub(first, F.datediff(last, first) + 1), F.date_sub(first, 1)
+    if compare_with == "same_period_last_year":
+        return F.add_months(first, -12), F.add_months(last, -12)
+    raise ValueError(f"cannot compare with {compare_with!r}")
+
+
+def compared(silver: DataFrame, start: str, end: str, compare_with: str) -> DataFrame:
+    """Accepted revenue and orders of a span and of an earlier one, in one pass over both."""
+    first, last = prior_span(start, end, compare_with)
+    now, before = F.col("order_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.col("order_date").between(first, last)
+    rows = silver.where(~F.col("is_rejected") & (now | before))
+    total = lambda span: F.coalesce(F.sum(F.when(span, F.col("net_value"))), F.lit(0)).cast("double")
+    count = lambda span: F.countDistinct(F.when(span, F.col("order_number")))
+    sums = rows.agg(total(now).alias("revenue"), total(before).alias("prior_revenue"), count(now).alias("orders"), count(before).alias("prior_orders"))
+    return sums.withColumn("change_pct", F.when(F.col("prior_revenue") > 0, F.round(100 * (F.col("revenue") - F.col("prior_revenue")) / F.col("prior_revenue"), 4)))
+
+
+#: Areas of a summary that rank something, and the column they rank.
+RANKED_AREAS = {"products": "material_number", "customers": "customer_number", "regions": "plant"}
+
+
+def executive_summary(silver: DataFrame, start: str, end: str, focus: tuple[str, ...] = ("revenue", "volume", "products"), n: int = 3) -> DataFrame:
+    """(area, rank, name, value) of the wanted areas over a span: totals, the n best of each
+    ranked area by accepted revenue, or the percentage of rejected items."""
+    rows = silver.where(F.col("order_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    accepted = ~F.col("is_rejected")
+    totals = {
+        "revenue": F.sum(F.when(accepted, F.col("net_value"))).cast("double"), "volume": F.sum(F.when(accepted, F.col("quantity"))).cast("double"),
+        "rejections": F.round(100.0 * F.count_if("is_rejected") / F.count("*"), 4),
+    }
+    if unknown := set(focus) - set(totals) - set(RANKED_AREAS):
+        raise ValueError(f"unknown areas: {', '.join(sorted(unknown))}")
+    if not focus:
+        raise ValueError("no area is wanted")
+    parts = []
+    if single := [a for a in focus if a in totals]:
+        cells = F.array(*(F.struct(F.lit(a).alias("area"), F.lit(1).alias("rank"), F.lit("total").alias("name"), F.col(a).alias("value")) for a in single))
+        parts.append(rows.agg(*(totals[a].alias(a) for a in single)).select(F.inline(cells)))
+    for area in (a for a in focus if a in RANKED_AREAS):
+        best = ranked_total(rows, RANKED_AREAS[area], n)
+        order = Window.orderBy(F.desc("revenue"), RANKED_AREAS[area])
+        parts.append(best.select(F.lit(area).alias("area"), F.row_number().over(order).alias("rank"), F.col(RANKED_AREAS[area]).cast("string").alias("name"), F.col("revenue").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def sales_query(silver: DataFrame, kind: str, start: str, end: str, filters: dict | None = None, n: int = 10) -> DataFrame:
     """The named sales reports over a span of order dates, with optional equality filters."""
     rows = silver.where(F.col("order_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fixed thresholds: highest share of failing rows, or lowest integrity.
 THRESHOLDS = {"not_null": 0.05, "unique": 0.01, "value_range": 0.02, "date_validity": 0.02, "referential_integrity": 0.95}
+#: Thresholds of single tables.
+TABLE_THRESHOLDS = {
+    "raw_iot_telemetry": {"not_null": 0.10}, "raw_sales_orders_header": {"not_null": 0.02, "unique": 0.005},
+    "cleaned_sales_orders": {"not_null": 0.01, "unique": 0.0}, "agg_demand_forecast": {"not_null": 0.15},
+}
 RESULT = "check_name string, column_name string, severity string, failed long, total long, rate double, passed boolean"
 
 
@@ -65,6 +72,18 @@ def run(df: DataFrame, checks: list[Check]) -> DataFrame:
     return sums.select(F.inline(F.array(*rows)))
 
 
+def report(tables: dict[str, tuple[DataFrame, list[Check]]], overrides: dict[str, dict[str, float]] = TABLE_THRESHOLDS) -> DataFrame:
+    """The checks of several tables, each table read once, with the thresholds of its own where
+    it has some, and whether the whole run passed: no critical check failed."""
+    results = []
+    for name, (df, checks) in tables.items():
+        own = overrides.get(name, {})
+        tuned = [replace(c, threshold=own.get(c.name, c.threshold)) for c in checks]
+        results.append(run(df, tuned).select(F.lit(name).alias("table_name"), "*"))
+    critical_failure = (F.col("severity") == "critical") & ~F.col("passed")
+    return reduce(DataFrame.unionByName, results).withColumn("run_passed", ~F.bool_or(critical_failure).over(Window.partitionBy()))
+
+
 def referential_integrity(child: DataFrame, key: str, parent: DataFrame, parent_key: str, threshold: float | None = None) -> DataFrame:
     """Share of distinct keys (null is one) that the parent has."""
     keys = child.select(F.col(key).alias("k")).distinct()

@@ -213,3 +213,15 @@ def fleet_overview(spark, sf):
 @query("select user_id as equipment_id, cast(max(ts) as date) as last_maintenance from events where event_type = 'purchase' group by 1")
 def latest_maintenance(spark, sf):
     return table(spark, sf, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("equipment_id")).agg(F.max("ts").cast("date").alias("last_maintenance"))
+
+
+_STATUS_SQL = _SCORED + f""", a as (select user_id as equipment_id, count(*) filter (where cast(json_extract_string(props, '$.k') as int) < 5 and ts >= timestamp '{AS_OF}' - interval 30 days) as anomalies from events group by 1),
+m as (select user_id as equipment_id, cast(max(ts) as date) as last_maintenance from events where event_type = 'purchase' group by 1)
+select s.*, coalesce(anomalies, 0) as anomalies, last_maintenance from s left join a using (equipment_id) left join m using (equipment_id) where equipment_id = 7"""
+
+
+@query(_STATUS_SQL)
+def get_equipment_status(spark, sf):
+    """A lookup of one equipment; a score of zero stays zero."""
+    health = equipment.scored(_probabilities(spark, sf)).drop("action", "p_low", "p_medium", "p_high", "p_critical")
+    return equipment.status(health, 7, equipment.anomaly_count(readings(spark, sf), AS_OF, 30), latest_maintenance(spark, sf))

@@ -50,6 +50,21 @@ def distinct_rows(spark, sf):
     return bronze.distinct_rows(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
 
 
+@query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders")
+def landing_scan(spark, sf):
+    return readers.landing_scan(spark, f"{sf}/orders.parquet", schema="o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+
+
+_LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query("with l as (select unnest([" + ", ".join(f"'{t}'" for t in (*_LISTED, "archive")) + "]) as table_name), c as (" + " union all ".join(f"select '{t}' as table_name, count(*) as rows from {t}" for t in _LISTED) + ") select table_name, rows from l left join c using (table_name)")
+def catalog_row_counts(spark, sf):
+    """A listed table without statistics keeps its row."""
+    listing = spark.createDataFrame([(t,) for t in (*_LISTED, "archive")], "table_name string")
+    return readers.with_row_counts(listing, readers.row_counts({t: table(spark, sf, t) for t in _LISTED}))
+
+
 @query("select max(o_orderdate) as watermark from orders where o_orderdate > timestamp '1998-06-01'")
 def watermark_max(spark, sf):
     return readers.new_watermark(readers.since_watermark(table(spark, sf, "orders"), "o_orderdate", F.expr("timestamp_ntz '1998-06-01'")), "o_orderdate")
@@ -89,6 +104,30 @@ def dq_date_validity(spark, sf):
     return quality.run(df, [quality.date_validity(df, "d", "1995-06-01", "2001-01-01")])
 
 
+_REPORT = " union all ".join(
+    f"select '{t}' as table_name, * from ({sql})"
+    for t, sql in (
+        ("raw_sales_orders_header", _one("not_null", "o_custkey", "critical", "count(*) filter (where o_custkey is null)", "count(*)", 0.02, _GAPS)),
+        ("raw_sales_orders_header", _one("unique", "o_orderkey", "critical", "count(*) - count(distinct o_orderkey)", "count(*)", 0.005, _GAPS)),
+        ("raw_iot_telemetry", _one("not_null", "value", "critical", "count(*) filter (where value is null)", "count(*)", 0.10, "select case when event_id % 13 <> 0 then value end as value from events")),
+        ("raw_iot_telemetry", _one("value_range", "value", "warning", "count(*) filter (where value < 0 or value > 100)", "count(*)", 0.02, "select case when event_id % 13 <> 0 then value end as value from events")),
+        ("cleaned_customers", _one("not_null", "c_name", "critical", "count(*) filter (where c_name is null)", "count(*)", 0.05, "select * from customer")),
+    )
+)
+
+
+@query(f"with r as ({_REPORT}) select *, not bool_or(severity = 'critical' and not passed) over () as run_passed from r")
+def dq_report(spark, sf):
+    """Three tables, two of them with thresholds of their own."""
+    orders, customers = _gaps(spark, sf), table(spark, sf, "customer")
+    events = table(spark, sf, "events").select(F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("value"))
+    return quality.report({
+        "raw_sales_orders_header": (orders, [quality.not_null(orders, "o_custkey"), quality.unique(orders, ["o_orderkey"])]),
+        "raw_iot_telemetry": (events, [quality.not_null(events, "value"), quality.value_range(events, "value", 0, 100)]),
+        "cleaned_customers": (customers, [quality.not_null(customers, "c_name")]),
+    })
+
+
 @query("select o_custkey from orders except select case when c_custkey % 3 <> 0 then c_custkey else -c_custkey end as c_custkey from customer")
 def orphan_except(spark, sf):
     return table(spark, sf, "orders").select("o_custkey").subtract(table(spark, sf, "customer").select(F.expr("case when c_custkey % 3 <> 0 then c_custkey else -c_custkey end as c_custkey")))

@@ -65,17 +65,38 @@ def keyword_topk(spark, sf):
     return retrieval.keyword(docs, ASKED, 10).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(_SIM + f""", {_keyword_sql()}, own as (select s.* from s join documents d on s.id = d.doc_id),
-a as (select id, row_number() over (order by sim desc, id) as rs from own where sim >= 0.05 order by sim desc, id limit 30),
-b as (select keyed.id, row_number() over (order by rank desc, keyed.id) as rk from keyed join own on keyed.id = own.id order by rank desc, keyed.id limit 30)
+def _hybrid_sql(candidates, least):
+    return _SIM + f""", {_keyword_sql()}, own as (select s.* from s join documents d on s.id = d.doc_id),
+a as (select id, row_number() over (order by sim desc, id) as rs from own where sim >= {least} order by sim desc, id limit {candidates}),
+b as (select keyed.id, row_number() over (order by rank desc, keyed.id) as rk from keyed join own on keyed.id = own.id order by rank desc, keyed.id limit {candidates})
 select coalesce(a.id, b.id) as id, rs as rank_s, rk as rank_k, round(coalesce(0.7 / (60 + rs), 0) + coalesce(0.3 / (60 + rk), 0), 9) as score from a full join b on a.id = b.id
-order by coalesce(0.7 / (60 + rs), 0) + coalesce(0.3 / (60 + rk), 0) desc, 1 limit 10""")
-def hybrid_rrf(spark, sf):
+order by coalesce(0.7 / (60 + rs), 0) + coalesce(0.3 / (60 + rk), 0) desc, 1 limit 10"""
+
+
+def _hybrid(spark, sf, factor, least):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    out = retrieval.hybrid(docs.join(_vectors(spark, sf), "id"), ASKED, QUERY_VECTOR, 10, 3, 0.05)
+    out = retrieval.hybrid(docs.join(_vectors(spark, sf), "id"), ASKED, QUERY_VECTOR, 10, factor, least)
     return out.select("id", F.col("rank_s").cast("long"), F.col("rank_k").cast("long"), F.round("score", 9).alias("score"))
 
 
+@query(_hybrid_sql(30, 0.05))
+def hybrid_rrf(spark, sf):
+    return _hybrid(spark, sf, 3, 0.05)
+
+
+@query(_hybrid_sql(20, 0.3))
+def hybrid_rrf_client(spark, sf):
+    """The client's candidates and threshold."""
+    return _hybrid(spark, sf, 2, 0.3)
+
+
+@query(f"with {_keyword_sql()} select keyed.id, d.source, round(rank, 6) as rank from keyed join documents d on d.doc_id = keyed.id where d.lang = 'en' order by keyed.rank desc, keyed.id limit 5")
+def search_maintenance_docs(spark, sf):
+    """Keyword search among the documents of one kind; ``lang`` stands in for the kind."""
+    docs = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("content"))
+    return retrieval.keyword(docs, ASKED, 5).select("id", "source", F.round("rank", 6).alias("rank"))
+
+
 @query("""with t as (select doc_id, source, lang, text, row_number() over (order by n_chars desc, doc_id) as r from documents order by n_chars desc, doc_id limit 5)
 select string_agg('[Source ' || r || ': ' || source || case when lang <> 'en' then ' (Material: ' || lang || ')' else '' end || ']' || chr(10) || text, chr(10) || '---' || chr(10) order by r) as context from t""")
 def context_builder(spark, sf):

@@ -209,3 +209,49 @@ def yoy_exact_self_join(spark, sf):
 def header_total(spark, sf):
     total = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("order_number")).agg(F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), 2).cast("double").alias("items_total"))
     return total.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_number"), F.round("o_totalprice", 2).alias("header_total")), "order_number")
+
+
+@query(f"with {SILVER_SQL}, o as (select order_number, min(order_date) as ordered, max(ship_date) as shipped from silver where not is_rejected group by 1) select count(*) as orders, count(*) filter (where shipped <= ordered + 60) as on_time, round(count(*) filter (where shipped <= ordered + 60) / count(*), 6) as fill_rate from o")
+def fill_rate(spark, sf):
+    return gold.fill_rate(silver_orders(spark, sf), 60)
+
+
+def _compared_sql(kind, first, last):
+    now, before = "order_date between date '2000-01-01' and date '2000-03-31'", f"order_date between date '{first}' and date '{last}'"
+    total = "cast(coalesce(sum(net_value) filter (where {0}), 0) as double)"
+    return f"""select '{kind}' as compare_with, {total.format(now)} as revenue, {total.format(before)} as prior_revenue, count(distinct order_number) filter (where {now}) as orders, count(distinct order_number) filter (where {before}) as prior_orders,
+case when {total.format(before)} > 0 then round(100 * ({total.format(now)} - {total.format(before)}) / {total.format(before)}, 4) end as change_pct from silver where not is_rejected"""
+
+
+@query(f"with {SILVER_SQL} {_compared_sql('previous_period', '1999-10-02', '1999-12-31')} union all {_compared_sql('same_period_last_year', '1999-01-01', '1999-03-31')}")
+def sales_compare_with(spark, sf):
+    both = (gold.compared(silver_orders(spark, sf), "2000-01-01", "2000-03-31", k).select(F.lit(k).alias("compare_with"), "*") for k in ("previous_period", "same_period_last_year"))
+    return next(both).unionByName(next(both))
+
+
+def _area_sql(area, column):
+    return f"(select '{area}' as area, cast(row_number() over (order by v desc, k) as int) as rank, cast(k as varchar) as name, v as value from (select {column} as k, cast(sum(net_value) as double) as v from t where not is_rejected group by 1) order by v desc, k limit 3)"
+
+
+@query(f"""with {SILVER_SQL}, t as (select * from silver where order_date between date '2000-01-01' and date '2000-12-31')
+select 'revenue' as area, cast(1 as int) as rank, 'total' as name, cast(sum(net_value) filter (where not is_rejected) as double) as value from t
+union all select 'volume', 1, 'total', cast(sum(quantity) filter (where not is_rejected) as double) from t
+union all select 'rejections', 1, 'total', round(100.0 * count(*) filter (where is_rejected) / count(*), 4) from t
+union all """ + " union all ".join(_area_sql(a, c) for a, c in gold.RANKED_AREAS.items()))
+def executive_summary(spark, sf):
+    return gold.executive_summary(silver_orders(spark, sf), "2000-01-01", "2000-12-31", ("revenue", "volume", "rejections", *gold.RANKED_AREAS))
+
+
+@query("select c_custkey, c_name, c_mktsegment from customer")
+def trim_projection(spark, sf):
+    padded = table(spark, sf, "customer").select("c_custkey", *(F.concat(F.lit("  "), c, F.lit(" ")).alias(c) for c in ("c_name", "c_mktsegment")))
+    return silver.trimmed(padded)
+
+
+@query("""with t as (select c_custkey, case c_custkey % 4 when 0 then '' when 1 then 'n/a' when 2 then '12.345' else cast(c_custkey as varchar) end as v from customer)
+select c_custkey, cast(try_cast(v as decimal(18,3)) as double) as quantity, cast(try_cast(v as decimal(18,2)) as double) as value from t""")
+def decimal_cast(spark, sf):
+    k = F.col("c_custkey")
+    text = F.when(k % 4 == 0, "").when(k % 4 == 1, "n/a").when(k % 4 == 2, "12.345").otherwise(k.cast("string"))
+    raw = table(spark, sf, "customer").select("c_custkey", text.alias("v"))
+    return raw.select("c_custkey", sap.amount(F.col("v"), 3).cast("double").alias("quantity"), sap.amount(F.col("v"), 2).cast("double").alias("value"))

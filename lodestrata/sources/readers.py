@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def landing_scan(spark: SparkSession, root: str, day: date | None = None, schema: T.StructType | None = None, glob: str = "*.parquet") -> DataFrame | None:
+def landing_scan(spark: SparkSession, root: str, day: date | None = None, schema: T.StructType | str | None = None, glob: str = "*.parquet") -> DataFrame | None:
     """Files of one day's folder (``root/Y/m/d``), or of ``root``; None if there is no path.
 
     Without ``schema`` the files' own is taken, so that drift can be seen afterwards.
@@ -90,6 +91,16 @@ def catalog_tables(spark: SparkSession, database: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean")
 
 
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, rows); a count over Parquet reads the files' footers only."""
+    return reduce(DataFrame.unionByName, (df.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows")) for name, df in tables.items()))
+
+
+def with_row_counts(listing: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every listed table; without a count where there are no statistics."""
+    return listing.join(counts, "table_name", "left")
+
+
 def numeric_or_zero(column: str | Column) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c.try_cast("double"), F.lit(0.0))
