@@ -72,10 +72,11 @@ def customer_documents(customers: DataFrame, summary: DataFrame, products: DataF
 
 
 def order_documents(items: DataFrame) -> DataFrame:
-    """(doc_id, body): one JSON document per order with its lines nested."""
-    line = F.struct("item_number", "material_number", F.col("quantity").cast("double").alias("quantity"), F.col("net_value").cast("double").alias("net_value"))
-    nested = items.groupBy("order_number").agg(F.first("customer_number").alias("customer_number"), F.first("order_date").alias("order_date"), F.array_sort(F.collect_list(line)).alias("lines"))
-    return nested.select(F.concat(F.lit("order_"), F.col("order_number").cast("string")).alias("doc_id"), F.to_json(F.struct("order_number", "customer_number", "order_date", "lines")).alias("body"))
+    """(doc_id, body): one JSON document per order with its lines nested; amounts keep their scale."""
+    line = F.struct("item_number", "material_number", "quantity", "net_value")
+    header = F.struct("customer_number", "order_date", "header_value")
+    nested = items.groupBy("order_number").agg(F.first(header).alias("h"), F.array_sort(F.collect_list(line)).alias("lines"))
+    return nested.select(F.concat(F.lit("order_"), F.col("order_number").cast("string")).alias("doc_id"), F.to_json(F.struct("order_number", "h.*", "lines")).alias("body"))
 
 
 def equipment_documents(health: DataFrame, trends: DataFrame) -> DataFrame:
@@ -86,5 +87,5 @@ def equipment_documents(health: DataFrame, trends: DataFrame) -> DataFrame:
 
 
 def product_documents(parts: DataFrame) -> DataFrame:
-    spec = F.to_json(F.struct(F.col("p_partkey").alias("material"), F.col("p_name").alias("name"), F.col("p_brand").alias("group"), F.col("p_type").alias("type"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")))
+    spec = F.to_json(F.struct(F.col("p_partkey").alias("material"), F.col("p_name").alias("name"), F.col("p_brand").alias("group"), F.col("p_type").alias("type"), F.col("p_size").alias("size"), F.col("p_retailprice").cast("decimal(18,2)").alias("price")))
     return parts.select(F.concat(F.lit("product_"), F.col("p_partkey").cast("string")).alias("doc_id"), spec.alias("body"))

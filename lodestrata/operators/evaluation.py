@@ -35,6 +35,15 @@ def distribution(results: DataFrame, metric: str = "metric", value: str = "score
     return plain.join(places, metric)
 
 
+def evaluated(cases: DataFrame, case: str, metrics: dict[str, tuple[Column, float]]) -> DataFrame:
+    """(case, metric, score, passed) for metrics given as expressions over a case with the least
+    score that passes; all are worked out in one pass, and a missing score fails."""
+    if not metrics:
+        raise ValueError("no metric is given")
+    rows = F.array(*(F.struct(F.lit(name).alias("metric"), c.cast("double").alias("score"), F.coalesce(c >= least, F.lit(False)).alias("passed")) for name, (c, least) in metrics.items()))
+    return cases.select(case, F.inline(rows))
+
+
 def pass_rate(results: DataFrame, case: str, passed: str) -> DataFrame:
     """A case passes if all its metrics do."""
     cases = results.groupBy(case).agg(F.every(passed).alias("ok"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,6 +49,15 @@ def train(rows: DataFrame, features: list[str], label: str, **options):
     return pipeline(features, label, **options).fit(balanced(rows, label))
 
 
+def cross_validated(rows: DataFrame, features: list[str], label: str, key: list[str], n: int = 5, **options) -> tuple[float, float]:
+    """Mean and deviation of the accuracy over n stratified folds; each fold's model, its scaling
+    included, is fitted on the others."""
+    scorer = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    search = CrossValidator(estimator=pipeline(features, label, **options), estimatorParamMaps=[{}], evaluator=scorer, numFolds=n, foldCol="fold")
+    found = search.fit(folds(balanced(rows, label), label, key, n))
+    return found.avgMetrics[0], found.stdMetrics[0]
+
+
 def probabilities(model, rows: DataFrame, classes: int) -> DataFrame:
     out = model.transform(rows).withColumn("_p", vector_to_array("probability"))
     return out.withColumns({f"p_{k}": F.col("_p")[k] for k in range(classes)}).drop("_raw", "_scaled", "rawPrediction", "probability", "_p")

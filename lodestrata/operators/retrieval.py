@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,13 +96,28 @@ def hashing_embedder(dimensions: int = 64):
 
 
 def json_contains(column: str, wanted: dict) -> Column:
-    """Whether a JSON object has each key with an equal value."""
+    """Whether a JSON object has each key with an equal value of the same type; objects are
+    compared key by key, a number equals another way to write it."""
+    return F.coalesce(_holds(F.try_parse_json(F.col(column)), "$", wanted), F.lit(False))
+
+
+def _holds(parsed: Column, path: str, wanted: dict) -> Column:
     out = F.lit(True)
     for key, value in wanted.items():
         if not key.replace("_", "").isalnum():
             raise ValueError(f"unsafe key {key!r}")
-        out = out & (F.get_json_object(column, f"$.{key}") == F.lit(str(value)))
-    return F.coalesce(out, F.lit(False))
+        at = f"{path}.{key}"
+        text = F.to_json(F.try_variant_get(parsed, at, "variant"))
+        if isinstance(value, dict):
+            same = text.startswith("{") & _holds(parsed, at, value)
+        elif isinstance(value, (int, float)) and not isinstance(value, bool):
+            same = text.try_cast("double") == F.lit(float(value))
+        elif value is None or isinstance(value, (str, bool)):
+            same = text == F.lit(json.dumps(value, ensure_ascii=False))
+        else:
+            raise ValueError(f"cannot compare {key!r} with a {type(value).__name__}")
+        out = out & same
+    return out
 
 
 def json_has(column: str, key: str) -> Column:

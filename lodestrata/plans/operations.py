@@ -71,9 +71,12 @@ def customer_documents(spark, sf):
     return customer360.customer_documents(table(spark, sf, "customer"), customer360.order_summary(table(spark, sf, "orders")), products)
 
 
-@query()
+@query(f"""with {SILVER_SQL}, k as (select * from silver where header_value > 400000 or order_date >= date '2001-08-01' - 180),
+l as (select order_number, any_value(customer_number) as c, any_value(order_date) as d, any_value(header_value) as h, string_agg('{{"item_number":' || item_number || ',"material_number":' || material_number || ',"quantity":' || cast(quantity as varchar) || ',"net_value":' || cast(net_value as varchar) || '}}', ',' order by item_number) as lines from k group by 1)
+select 'order_' || order_number as doc_id, '{{"order_number":' || order_number || ',"customer_number":' || c || ',"order_date":"' || cast(d as varchar) || '","header_value":' || cast(h as varchar) || ',"lines":[' || lines || ']}}' as body from l""")
 def order_documents(spark, sf):
-    return customer360.order_documents(silver_orders(spark, sf))
+    """Large or recent orders only."""
+    return customer360.order_documents(customer360.significant(silver_orders(spark, sf), "header_value", 400000, "order_date", "2001-08-01"))
 
 
 @query()
@@ -83,7 +86,7 @@ def equipment_documents(spark, sf):
     return customer360.equipment_documents(score, equipment.split_half_trend(r))
 
 
-@query()
+@query("""select 'product_' || p_partkey as doc_id, '{"material":' || p_partkey || ',"name":' || cast(to_json(p_name) as varchar) || ',"group":' || cast(to_json(p_brand) as varchar) || ',"type":' || cast(to_json(p_type) as varchar) || ',"size":' || p_size || ',"price":' || cast(cast(p_retailprice as decimal(18,2)) as varchar) || '}' as body from part""")
 def product_documents(spark, sf):
     return customer360.product_documents(table(spark, sf, "part"))
 
@@ -94,6 +97,12 @@ def eval_distribution(spark, sf):
     return evaluation.distribution(table(spark, sf, "events").select(F.col("event_type").alias("metric"), F.col("value").alias("score")))
 
 
+@query("""select event_id, 'magnitude' as metric, value as score, value >= 20 as passed from events union all select event_id, 'known_type', cast(event_type <> 'error' as int)::double, event_type <> 'error' from events""")
+def eval_custom_metrics(spark, sf):
+    metrics = {"magnitude": (F.col("value"), 20.0), "known_type": ((F.col("event_type") != "error").cast("int"), 1.0)}
+    return evaluation.evaluated(table(spark, sf, "events"), "event_id", metrics)
+
+
 @query("with c as (select user_id, bool_and(value < 200) as ok from events group by 1) select count(*) as cases, count(*) filter (where ok) as passed, round(100.0 * count(*) filter (where ok) / count(*), 1) as rate from c")
 def eval_pass_rate(spark, sf):
     return evaluation.pass_rate(table(spark, sf, "events").withColumn("ok", F.col("value") < 200), "user_id", "ok")

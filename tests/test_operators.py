@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.functions import chunking, docparse, sap, textsearch
-from lodestrata.operators import bronze, equipment, evaluation, maintenance_model, operations, quality, retrieval, scd2
+from lodestrata.operators import bronze, equipment, evaluation, gold, maintenance_model, operations, quality, retrieval, scd2
 from lodestrata.sources import readers, writers
 from lodestrata.streaming import micro
 
@@ -231,3 +231,27 @@ def test_keyword_match_set_is_unlimited(spark, tmp_path):
     found = plans.keyword_match_set(spark, str(tmp_path))
     assert "Limit" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r.id for r in found.collect()} == set(range(0, 50, 2))
+
+
+def test_folds_are_trained_and_scored(spark):
+    rows = spark.range(120).selectExpr("id", "cast(id % 10 as double) as x", "cast(id % 3 as double) as y", "cast(id % 10 >= 5 as int) as label")
+    mean, deviation = maintenance_model.cross_validated(rows, ["x", "y"], "label", ["id"], n=3, trees=5, depth=3)
+    assert mean > 0.9 and 0 <= deviation < 0.2
+
+
+def test_json_containment_is_typed(spark):
+    rows = spark.createDataFrame([(1, '{"k": 42, "o": {"p": true}}'), (2, '{"k": "42"}'), (3, '{"k": 42.0}'), (4, '{"k": null}'), (5, "no json"), (6, None), (7, '{"o": "p"}')], "id int, props string")
+    ids = lambda wanted: [r.id for r in rows.where(retrieval.json_contains("props", wanted)).orderBy("id").collect()]
+    assert ids({"k": 42}) == [1, 3] and ids({"k": "42"}) == [2] and ids({"k": None}) == [4]
+    assert ids({"o": {"p": True}}) == [1] and ids({"o": {}}) == [1] and ids({"o": {"p": 1}}) == []
+    with pytest.raises(ValueError):
+        retrieval.json_contains("props", {"k": [1]})
+
+
+def test_metrics_of_cases_and_unknown_spans(spark):
+    cases = spark.createDataFrame([(1, 0.5), (2, None)], "id int, s double")
+    assert [(r.score, r.passed) for r in evaluation.evaluated(cases, "id", {"s": (F.col("s"), 0.4)}).orderBy("id").collect()] == [(0.5, True), (None, False)]
+    with pytest.raises(ValueError):
+        gold.prior_span("2000-01-01", "2000-01-31", "never")
+    with pytest.raises(ValueError):
+        gold.executive_summary(cases, "2000-01-01", "2000-01-31", ("weather",))
