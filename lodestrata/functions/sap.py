@@ -54,3 +54,16 @@ def mapped(c: Column, pairs: dict, default=None) -> Column:
     """A literal value map with a default."""
     flat = [F.lit(x) for pair in pairs.items() for x in pair]
     return F.coalesce(F.try_element_at(F.create_map(*flat), c), F.lit(default))
+
+
+def reverse_mapped(c: Column, pairs: dict, default=None) -> Column:
+    """From values back to keys; of several keys with one value the first counts."""
+    back: dict = {}
+    for k, v in pairs.items():
+        back.setdefault(v, k)
+    return mapped(c, back, default)
+
+
+def fallback(first: Column, second: Column) -> Column:
+    """The first text, or else the second, without blanks at either end."""
+    return F.trim(F.coalesce(first, second))

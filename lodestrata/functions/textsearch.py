@@ -69,3 +69,16 @@ def covers(found, asked: list[str]) -> float:
                     begin = start
                     total += len(asked) / (i - start + 1)
     return total
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters of all words, each with two blanks before it and one after."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
+    return F.array_distinct(F.flatten(F.transform(words, cut)))
+
+
+def trigram_similarity(a: Column, b: Column) -> Column:
+    """Shared trigrams as a part of all; 0 where neither text has any."""
+    x, y = trigrams(a), trigrams(b)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))

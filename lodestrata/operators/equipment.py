@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.operators.silver import top_n
+
 #: Named health scales as (upper bound, label), the last without bound.
 HEALTH_SCALES = {
     "documents": [(25, "Critical"), (50, "Warning"), (75, "Good"), (None, "Excellent")],
@@ -79,17 +81,24 @@ def labels(features: DataFrame, events: DataFrame, horizon_days: int = 30) -> Da
     return weeks.join(bad, near, "left").groupBy("equipment_id", "week_end").agg(F.coalesce(F.max("severity"), F.lit(0)).cast("long").alias("severity"))
 
 
-def state_as_of(readings: DataFrame, events: DataFrame, default: str = "HEALTHY") -> DataFrame:
-    """Readings with the state that the last event at or before them led to.
+def state_as_of(readings: DataFrame, events: DataFrame, default: str = "HEALTHY", unit: str = "day") -> DataFrame:
+    """Readings with the state that the last event at or before them led to; of several
+    events at one time the greatest state counts.
 
-    One shuffle by equipment: events and readings are put in one order, and the last
-    state seen is carried forward.
+    The history of an equipment is cut into days, each of which is put in order by itself.
+    What a day starts with comes from one row per equipment and day, so no task needs to hold
+    a whole history.
     """
     marks = events.select("equipment_id", F.col("event_ts").alias("ts"), F.col("state_to").alias("_state"), F.lit(0).alias("_side"))
     rows = readings.withColumns({"_state": F.lit(None).cast("string"), "_side": F.lit(1)})
-    order = Window.partitionBy("equipment_id").orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("state", F.coalesce(F.last("_state", ignorenulls=True).over(order), F.lit(default)))
-    return both.where("_side = 1").drop("_state", "_side")
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_block", F.date_trunc(unit, "ts"))
+    block = ["equipment_id", "_block"]
+    last = F.max_by("_state", F.when(F.col("_state").isNotNull(), F.struct("ts", "_state")))
+    earlier = Window.partitionBy("equipment_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = both.groupBy(*block).agg(last.alias("_last")).select(*block, F.last("_last", ignorenulls=True).over(earlier).alias("_start"))
+    within = Window.partitionBy(*block).orderBy("ts", "_side", "_state").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = both.withColumn("_now", F.last("_state", ignorenulls=True).over(within)).where("_side = 1")
+    return ordered.join(starts, block).withColumn("state", F.coalesce("_now", "_start", F.lit(default))).drop("_state", "_side", "_block", "_now", "_start")
 
 
 def transitions(events: DataFrame) -> DataFrame:
@@ -211,3 +220,17 @@ def monthly(readings: DataFrame, sensors: list[str]) -> DataFrame:
     return readings.groupBy("equipment_id", F.trunc(F.col("ts").cast("date"), "month").alias("month_start")).agg(
         *cells, F.count("*").alias("readings"), F.count_if(F.col("quality") != "GOOD").alias("anomalies"), F.round(100.0 * F.count_if(F.col("quality") == "BAD") / F.count("*"), 4).alias("bad_pct")
     )
+
+
+def monthly_full(metrics: DataFrame, health: DataFrame, maintenance: DataFrame) -> DataFrame:
+    """``metrics`` with the mean and least health of each month, and how often it was maintained."""
+    month = lambda c: F.trunc(F.col(c).cast("date"), "month").alias("month_start")
+    keys = ["equipment_id", "month_start"]
+    scores = health.groupBy("equipment_id", month("day")).agg(F.round(F.avg("health"), 6).alias("health_avg"), F.min("health").alias("health_min"))
+    jobs = maintenance.groupBy("equipment_id", month("event_ts")).agg(F.count("*").alias("maintenances"))
+    return metrics.join(scores, keys, "left").join(jobs, keys, "left").withColumn("maintenances", F.coalesce("maintenances", F.lit(0)))
+
+
+def most_at_risk(health: DataFrame, site: str, order: list, n: int = 5) -> DataFrame:
+    """The n riskiest of every site, with their rank."""
+    return top_n(health, [site], order, n)

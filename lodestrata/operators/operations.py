@@ -53,6 +53,20 @@ def substring_search(df: DataFrame, term: str, columns: list[str]) -> DataFrame:
     return df.where(hit)
 
 
+def ticket_search(tickets: DataFrame, term: str, columns: list[str], **equals) -> DataFrame:
+    """A search that also narrows by equality; None stands for any value."""
+    found = substring_search(tickets, term, columns)
+    for c, v in equals.items():
+        if v is not None:
+            found = found.where(F.col(c) == F.lit(v))
+    return found
+
+
+def status_counts(tickets: DataFrame, status: str, labels: dict[str, str]) -> DataFrame:
+    """One row: the number of tickets in each status of ``labels`` (status -> column)."""
+    return tickets.agg(F.count("*").alias("tickets"), *(F.count_if(F.col(status) == s).alias(c) for s, c in labels.items()))
+
+
 def cost_shares(costs: DataFrame, name: str, cost: str, n: int, day: int, days_in_month: int, least: float = 0.001) -> DataFrame:
     """The n largest costs, their share, and the month's projection; crumbs are dropped."""
     sums = costs.groupBy(name).agg(F.sum(cost).alias("cost")).where(F.col("cost") > least)
@@ -84,6 +98,26 @@ def sample_exact(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
 
 
+def sample_fraction(df: DataFrame, key: str, fraction: float) -> DataFrame:
+    """About this part of the rows, chosen by a hash of their key: no shuffle, the same ones in
+    every run."""
+    return df.where(F.substring(F.md5(F.col(key).cast("string")), 1, 8) < f"{min(int(fraction * 2**32), 2**32 - 1):08x}")
+
+
+def numbered(df: DataFrame, key: str, width: int = 100_000) -> DataFrame:
+    """``df`` with ``r``: the place, from 0, in the order of a unique whole-number key; rows
+    without a key are left out.
+
+    Keys are numbered within blocks of ``width`` values, and each block starts after the
+    keys of those before.  A task holds one block, and the last sum one row per block.
+    """
+    blocks = df.where(F.col(key).isNotNull()).withColumn("_block", F.expr(f"`{key}` div {width}"))
+    before = F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.groupBy("_block").agg(F.count("*").alias("_n")).select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1
+    return blocks.withColumn("r", place).join(starts, "_block").withColumn("r", F.col("r") + F.col("_before")).drop("_block", "_before")
+
+
 def check_sql(text: str) -> str | None:
     """Why a statement is not a plain query, or None."""
     words = re.findall(r"[A-Za-z_]+", re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", text, flags=re.S).upper())

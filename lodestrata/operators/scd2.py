@@ -36,3 +36,8 @@ def initial(incoming: DataFrame, as_of) -> DataFrame:
 
 def summary(history: DataFrame) -> DataFrame:
     return history.agg(F.count("*").alias("total"), F.count_if("_is_current").alias("current"), F.count_if(~F.col("_is_current")).alias("historical"))
+
+
+def current(history: DataFrame) -> DataFrame:
+    """The open versions."""
+    return history.where("_is_current")

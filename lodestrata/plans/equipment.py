@@ -225,3 +225,22 @@ def get_equipment_status(spark, sf):
     """A lookup of one equipment; a score of zero stays zero."""
     health = equipment.scored(_probabilities(spark, sf)).drop("action", "p_low", "p_medium", "p_high", "p_critical")
     return equipment.status(health, 7, equipment.anomaly_count(readings(spark, sf), AS_OF, 30), latest_maintenance(spark, sf))
+
+
+@query(_READ + """, d as (select equipment_id, cast(ts as date) as day, round(100.0 * count(*) filter (where quality = 'GOOD') / count(*), 4) as health from r group by 1, 2),
+m as (select equipment_id, cast(date_trunc('month', ts) as date) as month_start, round(avg(value) filter (where sensor = 'click'), 6) as avg_click, max(value) filter (where sensor = 'click') as max_click, count(*) as readings, count(*) filter (where quality <> 'GOOD') as anomalies, round(100.0 * count(*) filter (where quality = 'BAD') / count(*), 4) as bad_pct from r group by 1, 2),
+h as (select equipment_id, cast(date_trunc('month', day) as date) as month_start, round(avg(health), 6) as health_avg, min(health) as health_min from d group by 1, 2),
+j as (select equipment_id, cast(date_trunc('month', ts) as date) as month_start, count(*) as maintenances from r where sensor = 'purchase' group by 1, 2)
+select m.*, health_avg, health_min, coalesce(maintenances, 0) as maintenances from m left join h using (equipment_id, month_start) left join j using (equipment_id, month_start)""")
+def monthly_equipment_full(spark, sf):
+    """Health of a day: the share of its readings that are good."""
+    r = readings(spark, sf)
+    good = F.round(100.0 * F.count_if(F.col("quality") == "GOOD") / F.count("*"), 4)
+    health = r.groupBy("equipment_id", F.col("ts").cast("date").alias("day")).agg(good.alias("health"))
+    return equipment.monthly_full(equipment.monthly(r, ["click"]), health, _events(spark, sf).where("kind = 'failure'"))
+
+
+@query("select plant, c_custkey, c_acctbal, rank from (select c_nationkey as plant, c_custkey, c_acctbal, row_number() over (partition by c_nationkey order by c_acctbal, c_custkey) as rank from customer) where rank <= 5")
+def fleet_top_risk(spark, sf):
+    scores = table(spark, sf, "customer").select(F.col("c_nationkey").alias("plant"), "c_custkey", "c_acctbal")
+    return equipment.most_at_risk(scores, "plant", ["c_acctbal", "c_custkey"])

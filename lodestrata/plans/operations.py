@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.functions import sap
+from lodestrata.functions import sap, synthetic, textsearch
 from lodestrata.operators import customer360, equipment, evaluation, operations
 from lodestrata.plans.equipment import readings
 from lodestrata.plans.registry import SILVER_SQL, query, silver_orders
@@ -202,11 +202,10 @@ def series_crossjoin(spark, sf):
 
 @query("""with k as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as r, count(*) over () as n from supplier) select o_orderkey, s_suppkey from orders join k on r = o_orderkey % n""")
 def lateral_pick(spark, sf):
-    """The k-th supplier for each order: ranks of the small side, then an equal join."""
-    from pyspark.sql.window import Window
-
-    suppliers = table(spark, sf, "supplier").select("s_suppkey", (F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return table(spark, sf, "orders").crossJoin(F.broadcast(suppliers.agg(F.max("n").alias("n")))).withColumn("r", F.col("o_orderkey") % F.col("n")).join(suppliers.select("r", "s_suppkey"), "r").select("o_orderkey", "s_suppkey")
+    """The k-th supplier for each order: places of the suppliers, then an equal join."""
+    suppliers = operations.numbered(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey")
+    count = F.broadcast(table(spark, sf, "supplier").agg(F.count("*").alias("n")))  # one row
+    return table(spark, sf, "orders").crossJoin(count).withColumn("r", F.col("o_orderkey") % F.col("n")).join(suppliers, "r").select("o_orderkey", "s_suppkey")
 
 
 @query("select c_custkey, t.kind as kind, t.days as days from customer, (values ('inspection', 30), ('repair', 90), ('overhaul', 365)) t(kind, days) where c_custkey % t.days < 10")
@@ -238,3 +237,72 @@ def numeric_coercion(spark, sf):
     k = F.col("c_custkey") % 4
     raw = F.when(k == 0, "12.5").when(k == 1, "abc").when(k == 2, "")
     return table(spark, sf, "customer").select("c_custkey", readers.numeric_or_zero(raw).alias("v"))
+
+
+_TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query(f"""with t as (select p_partkey, p_name, {_TRIGRAMS.format("p_name")} as x, {_TRIGRAMS.format("'colt wigdet'")} as y from part),
+s as (select p_partkey, p_name, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as similarity from t) select * from s where similarity > 0.3""")
+def trigram_search(spark, sf):
+    """Names that resemble a misspelt one."""
+    near = textsearch.trigram_similarity(F.col("p_name"), F.lit("colt wigdet"))
+    return table(spark, sf, "part").select("p_partkey", "p_name", F.round(near, 6).alias("similarity")).where("similarity > 0.3")
+
+
+def _uniform_sql(seed: str, *keys: str) -> str:
+    return f"cast('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'cast({k} as varchar)' for k in keys)})), 1, 8) as bigint) / 4294967296::double"
+
+
+_KINDS_SQL = ", ".join(f"('{s}', {lo}, {hi}, {places}, '{unit}')" for s, (lo, hi, places, unit) in synthetic.SENSORS.items())
+
+
+@query(f"""with k(sensor, lo, hi, places, unit) as (values {_KINDS_SQL}), d as (select c_custkey, sensor, unit, places, lo + {_uniform_sql('7', 'c_custkey', 'sensor')} * (hi - lo) as raw, {_uniform_sql('7q', 'c_custkey', 'sensor')} as luck from customer, k)
+select c_custkey, sensor, case places when 1 then round(raw, 1) when 2 then round(raw, 2) else round(raw, 3) end as value, unit, case when luck < 0.02 then 'BAD' when luck < 0.05 then 'UNCERTAIN' else 'GOOD' end as quality from d""")
+def seeded_sensor_readings(spark, sf):
+    return synthetic.sensor_readings(table(spark, sf, "customer"), "c_custkey", 7)
+
+
+@query(f"""select o_orderkey, round(10 * sin(2 * pi() * dayofyear(o_orderdate) / 365), 6) as season, round(sqrt(-2 * ln(1 - {_uniform_sql('5a', 'o_orderkey')})) * cos(2 * pi() * {_uniform_sql('5b', 'o_orderkey')}), 6) as noise,
+round(-ln(1 - {_uniform_sql('5.0', 'o_orderkey')}) - ln(1 - {_uniform_sql('5.1', 'o_orderkey')}), 6) as delay from orders""")
+def seasonal_noise(spark, sf):
+    """A yearly sine, a normal and a gamma draw for each order."""
+    season = synthetic.seasonal(F.dayofyear(F.col("o_orderdate").cast("date")), 365, 10)
+    cells = {"season": season, "noise": synthetic.normal(5, "o_orderkey"), "delay": synthetic.gamma(2, 5, "o_orderkey")}
+    return table(spark, sf, "orders").select("o_orderkey", *(F.round(c, 6).alias(name) for name, c in cells.items()))
+
+
+@query("select o_orderkey, o_orderpriority from orders where contains(cast(o_orderkey as varchar), '1') and o_orderstatus = 'F' and o_orderpriority = '3-MEDIUM'")
+def ticket_search(spark, sf):
+    found = operations.ticket_search(table(spark, sf, "orders"), "1", ["o_orderkey"], o_orderstatus="F", o_orderpriority="3-MEDIUM")
+    return found.select("o_orderkey", "o_orderpriority")
+
+
+@query("select count(*) as tickets, count(*) filter (where o_orderstatus = 'O') as open, count(*) filter (where o_orderstatus = 'P') as in_progress, count(*) filter (where o_orderstatus = 'F') as done from orders")
+def ticket_counts(spark, sf):
+    return operations.status_counts(table(spark, sf, "orders"), "o_orderstatus", {"O": "open", "P": "in_progress", "F": "done"})
+
+
+@query("select o_orderkey, case o_orderstatus when 'O' then 'open' when 'P' then 'in-progress' else 'backlog' end as shown, case o_orderpriority when '1-URGENT' then 'U' when '2-HIGH' then 'H' else 'backlog' end as code from orders")
+def reverse_value_map(spark, sf):
+    """A map of statuses read forwards, and one of priorities read backwards."""
+    shown = sap.mapped(F.col("o_orderstatus"), {"O": "open", "P": "in-progress"}, "backlog")
+    code = sap.reverse_mapped(F.col("o_orderpriority"), {"U": "1-URGENT", "H": "2-HIGH"}, "backlog")
+    return table(spark, sf, "orders").select("o_orderkey", shown.alias("shown"), code.alias("code"))
+
+
+@query("select * from customer where substr(md5(cast(c_custkey as varchar)), 1, 8) < 'cccccccc'")
+def sample_fraction(spark, sf):
+    return operations.sample_fraction(table(spark, sf, "customer"), "c_custkey", 0.8)
+
+
+@query("select o_orderkey, o_orderstatus from orders order by o_orderkey limit 3")
+def head_sample(spark, sf):
+    return operations.page(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 0, 3)
+
+
+@query("select o_orderstatus, count(*) as n from orders group by 1")
+def catalog_table_scan(spark, sf):
+    """A table read by its name in the catalog."""
+    table(spark, sf, "orders").createOrReplaceTempView("catalog_orders")
+    return readers.catalog_table(spark, "catalog_orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))

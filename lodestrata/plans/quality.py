@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lodestrata.operators import bronze, quality, scd2
-from lodestrata.plans.registry import query
+from lodestrata.plans.registry import ORACLE, query
 from lodestrata.sources import readers, writers
 from lodestrata.sources.readers import table
 
@@ -169,6 +169,12 @@ def scd2_summary(spark, sf):
     return scd2.summary(scd2.merge(*_versions(spark, sf), ["c_custkey"], "2024-02-01"))
 
 
+@query(f"select c_custkey, c_name, c_mktsegment, row_hash from ({ORACLE['scd2_merge']}) where is_current")
+def scd2_current(spark, sf):
+    history = scd2.merge(*_versions(spark, sf), ["c_custkey"], "2024-02-01")
+    return scd2.current(history).select("c_custkey", "c_name", "c_mktsegment", "row_hash")
+
+
 _CHUNKS = "select case when doc_id % 3 <> 0 then doc_id else -doc_id end as doc_id, md5(text) as content_hash from documents"
 _FRESH = "select case when doc_id % 5 <> 0 then doc_id else -doc_id end as doc_id, md5(case when doc_id % 4 = 0 then text || '!' else text end) as content_hash from documents"
 
@@ -187,6 +193,11 @@ def stale_cleanup(spark, sf):
     return writers.without(fresh, F.col("event_type") == "click").select("event_id", "event_type")
 
 
+@query("select count(*) filter (where ts < timestamp '2024-01-20' - interval 5 days) as removed, count(*) filter (where ts >= timestamp '2024-01-20' - interval 5 days) as kept from events")
+def stale_cleanup_counts(spark, sf):
+    return writers.stale_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", datetime(2024, 1, 20), 5)
+
+
 @query("""select lower(c_name) as customer_name, c_acctbal as balance from customer""")
 def serving_load(spark, sf):
     given = table(spark, sf, "customer").select(F.lower("c_name").alias("C Name"), F.col("c_acctbal").alias("C_AcctBal"), "c_nationkey")

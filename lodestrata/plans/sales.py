@@ -38,10 +38,10 @@ def dedup_latest_item(spark, sf):
     return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.col("l_shipdate").cast("date").alias("l_shipdate"))
 
 
-@query("""select l_orderkey, l_linenumber, o_custkey, o_orderstatus, l_extendedprice, coalesce(l_returnflag, o_orderstatus) as flag from lineitem join orders on l_orderkey = o_orderkey""")
+@query("""select l_orderkey, l_linenumber, o_custkey, o_orderstatus, l_extendedprice, trim(coalesce(l_returnflag, o_orderstatus)) as flag from lineitem join orders on l_orderkey = o_orderkey""")
 def header_item_join(spark, sf):
     items, headers = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    return items.join(headers, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "o_orderstatus", "l_extendedprice", F.coalesce("l_returnflag", "o_orderstatus").alias("flag"))
+    return items.join(headers, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "o_orderstatus", "l_extendedprice", sap.fallback(F.col("l_returnflag"), F.col("o_orderstatus")).alias("flag"))
 
 
 _SILVER_COLUMNS = "order_item_key, order_number, item_number, customer_number, material_number, plant, order_type, cast(quantity as double) as quantity, cast(net_value as double) as net_value, cast(header_value as double) as header_value, order_date, ship_date, status, is_rejected"

@@ -104,3 +104,14 @@ def with_row_counts(listing: DataFrame, counts: DataFrame) -> DataFrame:
 def numeric_or_zero(column: str | Column) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c.try_cast("double"), F.lit(0.0))
+
+
+def catalog_table(spark: SparkSession, name: str) -> DataFrame:
+    """A table or view of the session's catalog, as ``name`` or ``layer.name``."""
+    return spark.table(name)
+
+
+def head_samples(tables: dict[str, DataFrame], n: int = 3) -> DataFrame:
+    """(table_name, row): the first rows of each table as JSON, for a listing of the catalog."""
+    cut = (df.limit(n).select(F.lit(name).alias("table_name"), F.to_json(F.struct("*")).alias("row")) for name, df in tables.items())
+    return reduce(DataFrame.unionByName, cut)

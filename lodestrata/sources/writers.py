@@ -55,3 +55,25 @@ def without_stale(df: DataFrame, column: str, as_of, days: int) -> DataFrame:
 def add_missing(existing: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """Create-or-get: the rows of ``existing``, and those of ``wanted`` with new names."""
     return existing.unionByName(wanted.dropDuplicates([name]).join(existing.select(name), name, "left_anti").select(*existing.columns))
+
+
+def stale_counts(df: DataFrame, column: str, as_of, days: int) -> DataFrame:
+    """How many rows a cleanup removes and keeps, in one pass; without a date they go."""
+    fresh = F.coalesce(F.col(column) >= F.lit(as_of) - F.make_dt_interval(F.lit(days)), F.lit(False))
+    return df.agg(F.count_if(~fresh).alias("removed"), F.count_if(fresh).alias("kept"))
+
+
+def rejects(df: DataFrame, path: str) -> None:
+    """The rejected rows of a table go to a table of their own beside it."""
+    df.write.mode("append").parquet(f"{path.rstrip('/')}_rejected")
+
+
+def load_serving(df: DataFrame, renames: dict[str, str], columns: list[str], path: str) -> None:
+    """Truncate and load: what the serving table held is replaced."""
+    overwrite(serving(df, renames, columns), path)
+
+
+def one_folder_each(df: DataFrame, key: str, text: str, path: str) -> None:
+    """One text file per entity, in the folder ``key=value``.  Rows meet by entity first, so
+    that each folder is written by one task."""
+    df.select(key, text).repartition(key).write.mode("overwrite").partitionBy(key).text(path)

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.operators import silver
+from lodestrata.sources import writers
+
 LATE = "10 minutes"
 STATES = ["HEALTHY", "DEGRADING", "WARNING", "CRITICAL", "FAILED", "MAINTAINED"]
 
@@ -66,5 +69,19 @@ def upsert_sink(stream: DataFrame, merge, checkpoint: str):
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def versioned_upsert(root: str, key: str, content_hash: str, newest: str):
+    """A ``merge`` for ``upsert_sink``: of each key the newest row of a batch is inserted, updated or
+    skipped.  Every epoch leaves a whole version of the table in a folder of its own, so that
+    a replay writes the same version again and readers never see half of one."""
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        rows = silver.latest(batch, [key], [F.desc(newest), F.desc(content_hash)])
+        if epoch:
+            rows = writers.upsert(batch.sparkSession.read.parquet(f"{root}/{epoch - 1:09d}"), rows, key, content_hash).drop("action")
+        rows.write.mode("overwrite").parquet(f"{root}/{epoch:09d}")
+
+    return merge
+
+
 def append_sink(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.functions import chunking, docparse, sap, textsearch
+from lodestrata.functions import chunking, docparse, sap, synthetic, textsearch
 from lodestrata.operators import bronze, equipment, evaluation, gold, maintenance_model, operations, quality, retrieval, scd2
 from lodestrata.sources import readers, writers
 from lodestrata.streaming import micro
@@ -255,3 +255,75 @@ def test_metrics_of_cases_and_unknown_spans(spark):
         gold.prior_span("2000-01-01", "2000-01-31", "never")
     with pytest.raises(ValueError):
         gold.executive_summary(cases, "2000-01-01", "2000-01-31", ("weather",))
+
+
+def test_state_as_of_equals_one_history(spark):
+    rng = random.Random(3)
+    stamp = lambda: datetime(2024, 1, rng.randint(1, 6), rng.randint(0, 23), rng.choice([0, 30]))
+    marks = [(rng.choice([1, 1, 1, 2, None]), stamp(), rng.choice("ABC")) for _ in range(60)]
+    reads = [(i, rng.choice([1, 1, 1, 2, 3]), stamp()) for i in range(120)]
+    events = spark.createDataFrame(marks, "equipment_id long, event_ts timestamp, state_to string")
+    readings = spark.createDataFrame(reads, "event_id long, equipment_id long, ts timestamp")
+    got = {r.event_id: r.state for r in equipment.state_as_of(readings, events).collect()}
+    want = {i: max(((t, s) for m, t, s in marks if m == e and t <= at), default=(None, "HEALTHY"))[1] for i, e, at in reads}
+    assert got == want
+    assert equipment.state_as_of(readings.limit(0), events).count() == 0
+    assert {r.state for r in equipment.state_as_of(readings, events.limit(0)).collect()} == {"HEALTHY"}
+
+
+def test_numbered_over_blocks(spark):
+    keys = random.Random(1).sample(range(-500, 500), 200)
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long")
+    got = {r.k: r.r for r in operations.numbered(df, "k", 7).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    assert operations.numbered(df.limit(0), "k").count() == 0
+
+
+def test_trigrams(spark):
+    near = lambda a, b: one(spark, textsearch.trigram_similarity(F.col("a"), F.col("b")), a=a, b=b)
+    assert near("word", "words") == pytest.approx(4 / 7) and near("Two  words", "words two") == 1
+    assert near("", "x") == 0 and near(None, None) == 0 and near("-", "-") == 0
+
+
+def test_draws(spark):
+    df = spark.range(20000).select(synthetic.uniform(1, "id").alias("u"), synthetic.normal(1, "id").alias("n"), synthetic.gamma(3, 1, "id").alias("g"), synthetic.seasonal(F.lit(1), 4, 2).alias("s"))
+    r = df.agg(*(f(c).alias(f"{n}_{c}") for c in "ung" for n, f in (("avg", F.avg), ("var", F.variance))), F.max("s").alias("s"), F.min("u").alias("low"), F.max("u").alias("high")).first()
+    assert 0 <= r.low and r.high < 1 and r.s == pytest.approx(2)
+    assert [r.avg_u, r.avg_n, r.avg_g, r.var_n, r.var_g] == pytest.approx([0.5, 0, 3, 1, 3], abs=0.1)
+    made = synthetic.sensor_readings(spark.range(300), "id", 1).groupBy("sensor").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")).collect()
+    assert len(made) == 6 and all(synthetic.SENSORS[x.sensor][0] <= x.lo < x.hi <= synthetic.SENSORS[x.sensor][1] and x.n == 300 for x in made)
+
+
+def test_maps_and_fallback(spark):
+    assert one(spark, sap.reverse_mapped(F.col("a"), {"x": 1, "y": 1, "z": 2}, "none"), a=1) == "x"
+    assert one(spark, sap.reverse_mapped(F.col("a"), {"x": 1}, "none"), a=9) == "none"
+    assert one(spark, sap.fallback(F.col("a").cast("string"), F.col("b")), a=None, b=" EUR ") == "EUR"
+
+
+def test_more_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", "one"), ("b", "two\nlines")], "k string, t string")
+    writers.one_folder_each(df, "k", "t", f"{tmp_path}/each")
+    assert (sorted(p.name for p in (tmp_path / "each").glob("k=*"))) == ["k=a", "k=b"]
+    assert spark.read.text(f"{tmp_path}/each/k=b", wholetext=True).first().value.strip() == "two\nlines"
+    writers.rejects(df, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t_rejected").count() == 2
+    for _ in range(2):
+        writers.load_serving(df.withColumn(" Big Name", F.lit(float("nan"))), {"k": "key"}, ["key", "big_name"], f"{tmp_path}/s")
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/s").orderBy("key").collect()] == [("a", None), ("b", None)]
+    assert {tuple(r) for r in readers.head_samples({"x": df.where("k = 'a'"), "y": df.limit(0)}).collect()} == {("x", '{"k":"a","t":"one"}')}
+    found = spark.createDataFrame([(datetime(2024, 1, d),) for d in (1, 2, 9)] + [(None,)], "ts timestamp")
+    assert tuple(writers.stale_counts(found, "ts", datetime(2024, 1, 10), 5).first()) == (3, 1)
+
+
+def test_upsert_stream_keeps_versions(spark, tmp_path):
+    schema = T.StructType.fromDDL("k long, h string, at int")
+    merge, sink = micro.versioned_upsert(f"{tmp_path}/t", "k", "h", "at"), f"{tmp_path}/cp"
+    for batch in ([(1, "a", 1), (1, "b", 2), (2, "c", 1)], [(1, "b", 3), (3, "d", 3)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        micro.upsert_sink(micro.file_source(spark, f"{tmp_path}/in", schema), merge, sink).awaitTermination(120)
+    versions = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert versions == ["000000000", "000000001"]
+    rows = lambda v: sorted(tuple(r)[:2] for r in spark.read.parquet(f"{tmp_path}/t/{v}").collect())
+    assert rows(versions[0]) == [(1, "b"), (2, "c")] and rows(versions[1]) == [(1, "b"), (2, "c"), (3, "d")]
+    merge(spark.createDataFrame([(1, "b", 3), (3, "d", 3)], schema), 1)  # a replay
+    assert rows(versions[1]) == [(1, "b"), (2, "c"), (3, "d")]
