@@ -11,7 +11,8 @@ token crosses a turn's border.
 
 Edge cases: turns are ordered by (turn, role, text), nulls first; a null role or text
 is empty; repeated rows are turns of their own; rows with a null conv_id form one
-conversation; extra columns are ignored; an empty table gives no rows.
+conversation; a very long conversation is rendered and encoded whole, in one row; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

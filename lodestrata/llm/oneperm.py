@@ -10,7 +10,9 @@ Edge cases: a null text is empty; a text without words has the empty fingerprint
 which is like itself (1) and unlike all others (0); a shorter text than one shingle is
 one shingle; rows that share an id are put in order by a hash of their text, equal
 rows are one document in that order and each gets the result; null ids come first.
-The one document of a table is its own successor.  Extra columns are ignored.
+The one document of a table is its own successor.  A very long text is one array of words
+in its row, and all its shingles count; an empty table gives no rows; extra columns,
+whatever their names, are ignored by ``fingerprints``.
 """
 
 from __future__ import annotations

@@ -11,12 +11,16 @@ copies never become pairs.
 
 Edge cases: a null or wordless text has fingerprint zero and is linked like any
 other; repeated rows count as copies; a null doc_id keeps its fingerprint and is
-never the smallest id, so a component of such rows alone has a null component_id.
-Columns other than those named are ignored.
+never the smallest id, so a component of such rows alone has a null component_id; a very
+long text is hashed whole, a block of shingles at a time; an empty table has no rows;
+extra columns, whatever their names, are carried (``keep_first``) or ignored.  Ids are whole
+numbers.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,6 +33,7 @@ from lodestrata.llm.components import components, star_labels
 RADIUS = 1
 MOST_BITS = 3  # floor(MOST_BITS / 2) is the number of bits a half may differ by
 PAIRS_AT_ONCE = 1 << 21
+SHINGLES_AT_ONCE = 1 << 16
 LOOKUP_FROM = 2048  # larger anchors look up all values within the distance instead
 
 
@@ -36,11 +41,13 @@ def simhash(text: bytes, shingle: int, seed: int) -> int:
     words = text.lower().split()
     if not words:
         return 0
-    grams = [b" ".join(words)] if len(words) < shingle else list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    h = np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], ">u8")
-    bits = np.unpackbits(h.view(np.uint8)).reshape(-1, 64)
-    on = 2 * np.add.reduce(bits, axis=0, dtype=np.uint32) > len(h)
-    return int(np.packbits(on).view(">i8")[0])
+    grams = iter([b" ".join(words)]) if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    n, on = 0, np.zeros(64, np.int64)
+    while part := [xxhash.xxh64_intdigest(g, seed) for g in islice(grams, SHINGLES_AT_ONCE)]:
+        bits = np.unpackbits(np.array(part, ">u8").view(np.uint8)).reshape(-1, 64)
+        on += np.add.reduce(bits, axis=0, dtype=np.uint32)
+        n += len(part)
+    return int(np.packbits(2 * on > n).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:

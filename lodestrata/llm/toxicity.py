@@ -16,7 +16,10 @@ rows that the final logistic curve is fitted on.
 
 Edge cases: null and empty texts get the curve's value for a ratio of 0; without
 labelled rows of both classes all scores are the share of toxic labels (0 if none);
-several labels of a document count as their maximum; null labels teach nothing.
+several labels of a document count as their maximum; null labels teach nothing; repeated
+rows get equal scores, and a labelled one teaches as often as it occurs; a very long text is
+scored whole, as a chunk of its own; an empty table of documents gives no rows; extra columns of
+either table, whatever their names, are ignored.
 """
 
 from __future__ import annotations
