@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ CONVERSATIONS_AT_ONCE = 128
 _MARKS = r"\\|###|</turn>|: "  # a backslash, the head, the foot, and what ends a role
 _ESCAPE = re.compile(_MARKS)
 _UNESCAPE = re.compile(rf"\\({_MARKS})")
-_PLAIN = rf"(?:\\(?:{_MARKS})|(?!{_MARKS}).)*"
-_TURN = re.compile(rf"### ({_PLAIN}): ({_PLAIN})</turn>\n", re.S)
+_PLAIN = rf"(?:[^\\#<:]++|\\(?:{_MARKS})|(?!{_MARKS})[#<:])*+"
+_TURN = re.compile(rf"### ({_PLAIN}): ({_PLAIN})</turn>\n")
 
 
 def escape(text: str) -> str:
@@ -81,13 +82,19 @@ def mask(tokens: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def masked_text(formatted: str, start: np.ndarray, stop: np.ndarray) -> str:
     """All characters under the mask, once each: several tokens may share one character."""
-    out, at = [], 0
-    for a, b in zip(start.tolist(), stop.tolist()):
-        a = max(a, at)
-        if a < b:
-            out.append(formatted[a:b])
-            at = b
-    return "".join(out)
+    some = start < stop
+    start, stop = start[some], stop[some]
+    start = np.maximum(start, np.r_[0, np.maximum.accumulate(stop)][:-1])  # from where the tokens before end
+    some = start < stop
+    start, stop = start[some], stop[some]
+    new = np.r_[True, start[1:] != stop[:-1]][: len(start)]
+    return "".join(formatted[a:b] for a, b in zip(start[new].tolist(), stop[np.r_[new[1:], True][: len(new)]].tolist()))
+
+
+def lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column as arrays, without a Python object per number."""
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[a:b] for a, b in zip(at, at[1:])]
 
 
 def formatted(conversations: DataFrame, tokenizer_file: str, learned=LEARNED) -> DataFrame:
@@ -109,7 +116,7 @@ def formatted(conversations: DataFrame, tokenizer_file: str, learned=LEARNED) ->
                 ids, starts, stops = [], [], []
                 for t, s in zip(texts, spans):
                     e = tok.encode(t, add_special_tokens=False)
-                    own = np.array(e.offsets, np.int64).reshape(-1, 2)
+                    own = np.fromiter(chain.from_iterable(e.offsets), np.int64).reshape(-1, 2)
                     token, lo, hi = mask(own, s)
                     start = own[:, 0].astype(np.int32)
                     stop = start.copy()
@@ -131,9 +138,9 @@ def read_back(output: DataFrame) -> DataFrame:
     def run(batches):
         for b in (x.slice(i, CONVERSATIONS_AT_ONCE) for x in batches for i in range(0, x.num_rows, CONVERSATIONS_AT_ONCE)):
             rows = []
-            for conv, text, start, stop in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4))):
+            for conv, text, start, stop in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), lists(b.column(3)), lists(b.column(4))):
                 turns = parse(text)
-                loss = unescape(masked_text(text, np.array(start), np.array(stop)))
+                loss = unescape(masked_text(text, start, stop))
                 said = "".join(f"{r}\n{t}\n" for r, t in turns)
                 rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
