@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import chat, decontaminate, langid, mergedrop, oneperm, phrases, runindex, simhash, toxicity, urlquery
+from lodestrata.llm import audit, chat, decontaminate, langid, mergedrop, negatives, oneperm, phrases, runindex, sharding, simhash, toxicity, urlquery
 from lodestrata.llm.common import table
 
 QUERIES: dict = {}
@@ -132,3 +132,27 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_url_filters"] = urlquery.query
 ORACLE["op4_url_filters"] = urlquery.SQL
+
+
+@query
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op11_filter_interaction_audit"] = audit.SQL
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.places(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_sharding"] = sharding.SQL
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op12_hard_negatives"] = negatives.SQL
