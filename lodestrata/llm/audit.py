@@ -21,6 +21,8 @@ from itertools import permutations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import stored
+
 FILTERS = "ABCDE"
 SETS = 1 << len(FILTERS)
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -68,8 +70,11 @@ def other_flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """(id, part, words, distinct, fails, good, toxic) for each row; bit k of ``fails`` is set when filter k fails."""
     flags = other_flags(docs, id_col, text_col, part_col)
-    firsts = flags.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    # stored, so that the joins are with plain scans and adaptive execution can split a text or
+    # a missing id that very many rows share
+    firsts = stored(flags.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"))
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.bool_or(F.col("quality") == 1).alias("good"), F.bool_or(F.col("toxic") == 1).alias("toxic"))
+    marks = stored(marks)
     totals = word_totals(docs, id_col, text_col).withColumnsRenamed({"id": "word_id", "h": "word_h"})
     joined = (
         flags.join(totals, flags.id.eqNullSafe(totals.word_id) & (flags.h == totals.word_h), "left")
