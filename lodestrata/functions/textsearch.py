@@ -1,75 +1,10 @@
-"""Words for keyword search: stop list, suffix stemming, cover density."""
+"""Similarity of short texts by their trigrams; keyword search is in ``operators.textindex``."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: English words that a search ignores.
-STOP_WORDS = """a about after all also an and any are as at be because been before but by can could did do does for from had has have he her him his how i if in into is it its just
-me more most my no not now of on only or other our out over she so some such than that the their them then there these they this those to too up us was we were what when where which
-who why will with would you your""".split()
-#: Endings and what replaces them; the first that leaves three letters or more wins.
-SUFFIXES = [("ational", "ate"), ("fulness", "ful"), ("iveness", "ive"), ("ization", "ize"), ("ingly", ""), ("edly", ""), ("ies", "i"), ("sses", "ss"), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""), ("y", "i")]
-
-
-def stem(word: Column) -> Column:
-    """The word without its first known ending."""
-    out = word
-    for suffix, replacement in reversed(SUFFIXES):
-        fits = word.endswith(suffix) & (F.length(word) >= len(suffix) + 3)
-        if suffix == "s":
-            fits = fits & ~word.endswith("ss")
-        out = F.when(fits, F.concat(F.substring(word, F.lit(1), F.length(word) - len(suffix)), F.lit(replacement))).otherwise(out)
-    return out
-
-
-def terms(text: Column) -> Column:
-    """Stems in the order of the text; stop words are empty, so that places stay."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(w.isin(STOP_WORDS), "").otherwise(stem(w)))
-
-
-def query_terms(text: str) -> list[str]:
-    """The same rule for a query; a driver-side list of a few words."""
-    import re
-
-    out = []
-    for w in re.split("[^a-z0-9]+", text.lower()):
-        if w and w not in STOP_WORDS:
-            for suffix, replacement in SUFFIXES:
-                if w.endswith(suffix) and len(w) >= len(suffix) + 3 and not (suffix == "s" and w.endswith("ss")):
-                    w = w[: len(w) - len(suffix)] + replacement
-                    break
-            out.append(w)
-    return list(dict.fromkeys(out))
-
-
-def cover_density(asked: list[str]):
-    """An Arrow UDF over term arrays: the sum over minimal covers (shortest stretches that
-    hold all terms) of terms in the cover over its length."""
-
-    @F.pandas_udf("double")
-    def rank(columns: pd.Series) -> pd.Series:
-        return columns.map(lambda found: covers(found, asked))
-
-    return rank
-
-
-def covers(found, asked: list[str]) -> float:
-    last: dict[str, int] = {}
-    total, begin = 0.0, -1
-    for i, w in enumerate(found):
-        if w in asked:
-            last[w] = i
-            if len(last) == len(asked):
-                start = min(last.values())
-                if start > begin:  # a new stretch, which no earlier one starts inside of
-                    begin = start
-                    total += len(asked) / (i - start + 1)
-    return total
-
 
 def trigrams(text: Column) -> Column:
     """The distinct runs of three characters of all words, each with two blanks before it and one after."""

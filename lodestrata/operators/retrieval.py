@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.functions import textsearch
+from lodestrata.operators import textindex
 
 
 def cosine(vector: str | Column, wanted: list[float]) -> Column:
@@ -40,14 +40,10 @@ def keyword(docs: DataFrame, query: str, k: int | None, id_col: str = "id", text
     """Rows that hold all terms of the query, the k best by cover density, or all in no order
     if k is None; none for stop words alone.
 
-    The match is decided in built-in functions; only matching rows go through Arrow.
+    For a text that is searched once; ``textindex.write`` and ``search_stored`` serve many searches.
     """
-    asked = textsearch.query_terms(query)
-    if not asked:
-        return docs.limit(0).withColumn("rank", F.lit(0.0))
-    found = docs.withColumn("_terms", textsearch.terms(F.col(text_col)))
-    hits = found.where(F.size(F.array_intersect("_terms", F.array(*map(F.lit, asked)))) == len(asked))
-    ranked = hits.withColumn("rank", textsearch.cover_density(asked)("_terms")).drop("_terms")
+    hits = textindex.search(textindex.postings(docs, id_col, text_col), query, k).withColumnRenamed("id", "_hit")
+    ranked = docs.join(hits, F.col(id_col) == F.col("_hit")).drop("_hit")
     return ranked if k is None else ranked.orderBy(F.desc("rank"), id_col).limit(k)
 
 
@@ -62,8 +58,10 @@ def fused(semantic_hits: DataFrame, keyword_hits: DataFrame, k: int, weights: tu
     return both.withColumn("score", part(weights[0], "rank_s") + part(weights[1], "rank_k")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def hybrid(docs: DataFrame, query: str, wanted: list[float], k: int, factor: int = 3, least: float = 0.1, **options) -> DataFrame:
-    return fused(semantic(docs, wanted, factor * k, least), keyword(docs, query, factor * k), k, **options)
+def hybrid(docs: DataFrame, query: str, wanted: list[float], k: int, factor: int = 3, least: float = 0.1, hits: DataFrame | None = None, **options) -> DataFrame:
+    """Fusion of both searches over ``docs``; ``hits`` are the keyword search's (id, rank), where an index has them."""
+    by_word = keyword(docs, query, factor * k) if hits is None else hits.orderBy(F.desc("rank"), "id").limit(factor * k)
+    return fused(semantic(docs, wanted, factor * k, least), by_word, k, **options)
 
 
 def context(hits: DataFrame, order: str = "rank") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.functions import chunking, textsearch
-from lodestrata.operators import retrieval
+from lodestrata.functions import chunking, english
+from lodestrata.operators import retrieval, textindex, vectorindex
 from lodestrata.plans.registry import query
+from lodestrata.sources import scratch
 from lodestrata.sources.readers import table
 
 QUERY_VECTOR = [((i * 7) % 11 - 5) / 5 for i in range(64)]
@@ -29,40 +30,103 @@ def semantic_threshold_after_limit(spark, sf):
     return retrieval.semantic_then_threshold(_vectors(spark, sf), QUERY_VECTOR, 10, 0.2).select("id", "label", F.round("similarity", 6).alias("similarity"))
 
 
-def _contains_sql():
-    words = textsearch.query_terms(ASKED)
-    stemmed = "x"
-    for suffix, replacement in reversed(textsearch.SUFFIXES):
-        extra = " and not ends_with(x, 'ss')" if suffix == "s" else ""
-        stemmed = f"case when ends_with(x, '{suffix}') and length(x) >= {len(suffix) + 3}{extra} then left(x, length(x) - {len(suffix)}) || '{replacement}' else {stemmed} end"
-    stops = ", ".join(f"'{w}'" for w in textsearch.STOP_WORDS)
-    return f"""w as (select doc_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: case when x in ({stops}) then '' else {stemmed} end) as t from documents),
-m as (select doc_id as id, t from w where {' and '.join(f"list_contains(t, '{w}')" for w in words)})"""
-
-
-def _keyword_sql():
+@query()
+def ann_topk(spark, sf):
+    """The ten nearest of all vectors for every row whose id is divisible by 20, from three quarters of the cells."""
+    vectors, path = _vectors(spark, sf), scratch.folder(spark)
+    vectorindex.build(vectors, path)
+    model = vectorindex.load(spark, path)
+    found = vectorindex.search(vectors.where("id % 20 = 0"), path, 10, -(-3 * len(model.cells) // 4) if model else 1)
+    near = F.array_sort(F.collect_list(F.struct("rank", "id", F.round("similarity", 6).alias("similarity"))))
+    return found.groupBy("query_id").agg(near.alias("near")).select("query_id", "near.id", "near.similarity").withColumnsRenamed({"id": "ids", "similarity": "similarities"})
+
+
+def _endings(word: str, rules: list[tuple[str, str, str]]) -> str:
+    """A CASE for the longest ending of ``word``: (ending, condition, replacement)."""
+    cases = (
+        f"when ends_with({word}, '{end}') then case when {when.replace('@', f'(length({word}) - {len(end)})')} then substr({word}, 1, length({word}) - {len(end)}) || '{to}' else {word} end"
+        for end, when, to in sorted(rules, key=lambda r: -len(r[0]))
+    )
+    return f"case {' '.join(cases)} else {word} end"
+
+
+def _stems_sql(words: str) -> str:
+    """CTEs that end in ``stems`` (w, s): the stemmer's rules in SQL for the rows of ``words`` (w)."""
+    short = "regexp_matches({0}, '(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$')"
+    vowel = "regexp_matches(substr({0}, 1, @), '[aeiouy]')"
+    region = "coalesce(nullif(length(regexp_extract({0}, '^.*?[aeiouy][^aeiouy]')), 0), length({0}))"
+    first = " ".join(f"when starts_with(x, '{p}') then {len(p)}" for p in english.FIRST_REGION_AFTER)
+    plurals = _endings("x", [("sses", "true", "ss"), ("ied", "@ > 1", "i"), ("ies", "@ > 1", "i"), ("us", "false", ""), ("ss", "false", ""), ("s", "regexp_matches(substr(x, 1, length(x) - 2), '[aeiouy]')", "")])
+    plurals = f"case when x in ('ied', 'ies') or (length(x) = 4 and regexp_matches(x, '(ied|ies)$')) then substr(x, 1, 3) else {plurals} end"
+    cut = _endings("x", [(e, vowel.format("x"), "") for e in ("ed", "edly", "ing", "ingly")] + [("eed", "@ >= r1", "ee"), ("eedly", "@ >= r1", "ee")])
+    doubles = ", ".join(f"'{d}'" for d in english.DOUBLES)
+    mended = f"""case when kept or x = x0 or regexp_matches(x0, 'eed(ly)?$') then x when regexp_matches(x, '(at|bl|iz)$') then x || 'e'
+      when right(x, 2) in ({doubles}) then substr(x, 1, length(x) - 1) when length(x) <= r1 and {short.format("x")} then x || 'e' else x end"""
+    one = [(e, "@ >= r1" + (" and substr(x, @, 1) = 'l'" if e == "ogi" else f" and contains('{english.BEFORE_LI}', substr(x, @, 1)) and @ > 0" if e == "li" else ""), to) for e, to in english.DERIVED.items()]
+    two = [(e, "@ >= r2" if e == "ative" else "@ >= r1", to) for e, to in english.DERIVED_AGAIN.items()]
+    three = [(e, "@ >= r2" + (" and substr(x, @, 1) in ('s', 't')" if e == "ion" else ""), "") for e in english.REMOVED]
+    last = f"""case when ends_with(x, 'e') and (length(x) - 1 >= r2 or length(x) - 1 >= r1 and not {short.format("substr(x, 1, length(x) - 1)")}) then substr(x, 1, length(x) - 1)
+      when ends_with(x, 'll') and length(x) - 1 >= r2 then substr(x, 1, length(x) - 1) else x end"""
+    whole = " ".join(f"when w = '{w}' then '{s}'" for w, s in english.WHOLE_WORDS.items())
+    kept = ", ".join(f"'{w}'" for w in english.KEPT_AFTER_PLURALS)
+    step = lambda name, source, x: f"{name} as (select w, r1, r2, kept, x as x0, case when kept then x else {x} end as x from {source})"
+    return f"""s0 as (select w, regexp_replace(case when starts_with(w, 'y') then 'Y' || substr(w, 2) else w end, '([aeiouy])y', '\\1Y', 'g') as x from {words}),
+s1 as (select w, x, case {first} else {region.format("x")} end as r1 from s0),
+s2 as (select w, x, r1, r1 + {region.format("substr(x, r1 + 1)")} as r2 from s1),
+s3 as (select w, r1, r2, {plurals} as x from s2),
+s4 as (select w, r1, r2, x in ({kept}) as kept, x from s3),
+{step("s5", "s4", cut)},
+s6 as (select w, r1, r2, kept, {mended} as x from s5),
+{step("s7", "s6", "case when length(x) > 2 then regexp_replace(x, '([^aeiouy])[yY]$', '" + chr(92) + "1i') else x end")},
+{step("s8", "s7", _endings("x", one))},
+{step("s9", "s8", _endings("x", two))},
+{step("s10", "s9", _endings("x", three))},
+{step("s11", "s10", last)},
+stems as (select w, case when length(w) < 3 or regexp_matches(w, '[0-9]') then w {whole} else replace(x, 'Y', 'y') end as s from s11)"""
+
+
+def _keyword_sql(where: str = "true"):
     """Cover density: each stretch that starts at the earliest of the last places of all terms counts
     up to the first place where it is complete."""
-    words = textsearch.query_terms(ASKED)
-    last = ", ".join(f"max(case when w = '{w}' then i end) over (partition by id order by i) as l{k}" for k, w in enumerate(words))
-    names = [f"l{k}" for k in range(len(words))]
-    return f"""{_contains_sql()},
-places as (select id, w, i from (select id, unnest(t) as w, unnest(range(len(t))) as i from m) where w in ({", ".join(f"'{w}'" for w in words)})),
-lasts as (select id, i, {last} from places),
-covers as (select id, least({", ".join(names)}) as a, min(i) as z from lasts where {" and ".join(n + " is not null" for n in names)} group by all),
-keyed as (select id, sum({len(words)} / (z - a + 1) order by a) as rank from covers group by id)"""
-
-
-@query(f"with {_contains_sql()} select id from m")
+    asked = textindex.query_terms(ASKED)
+    stops = ", ".join(f"'{w}'" for w in english.STOP_WORDS)
+    terms = ", ".join(f"'{t}'" for t in asked)
+    last = ", ".join(f"max(case when s = '{t}' then j end) over (partition by id order by j) as l{k}" for k, t in enumerate(asked))
+    names = [f"l{k}" for k in range(len(asked))]
+    return f"""texts as (select doc_id as id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{textindex.WORD_BREAK}'), lambda x: x <> '') as t from documents where {where}),
+spread as (select id, unnest(t) as w, unnest(range(len(t))) as i from texts),
+vocabulary as (select distinct w from spread where w not in ({stops})),
+{_stems_sql("vocabulary")},
+places as (select id, s, i, row_number() over (partition by id order by i) as j from spread join stems using (w) where s in ({terms})),
+m as (select id from places group by id having count(distinct s) = {len(asked)}),
+lasts as (select id, j, {last} from places semi join m using (id)),
+covers as (select id, least({", ".join(names)}) as a, min(j) as z from lasts where {" and ".join(n + " is not null" for n in names)} group by all),
+keyed as (select c.id, round(sum({textindex.WEIGHT}::double / (1 + (q.i - p.i) - (c.z - c.a)) order by c.a), 9) as rank
+  from covers c join places p on p.id = c.id and p.j = c.a join places q on q.id = c.id and q.j = c.z group by c.id)"""
+
+
+def _indexed(spark, sf) -> str:
+    """Stores an index over all documents and says where."""
+    path = scratch.folder(spark)
+    textindex.write(table(spark, sf, "documents"), path, id_col="doc_id", text_col="text")
+    return path
+
+
+@query(f"with {_keyword_sql()} select id from m")
 def keyword_match_set(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return retrieval.keyword(docs, ASKED, None).select("id")
+    return textindex.search_stored(spark, _indexed(spark, sf), ASKED, None).select("id")
 
 
 @query(f"with {_keyword_sql()} select id, round(rank, 6) as rank from keyed order by keyed.rank desc, id limit 10")
 def keyword_topk(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return retrieval.keyword(docs, ASKED, 10).select("id", F.round("rank", 6).alias("rank"))
+    return textindex.search_stored(spark, _indexed(spark, sf), ASKED, 10).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"with {_keyword_sql()} select s as term, count(*) as documents, cast(sum(n) as bigint) as places from (select id, s, count(*) as n from spread join stems using (w) group by id, s) group by s")
+def text_index_terms(spark, sf):
+    """The dictionary of the index: how many documents and places each term has."""
+    lists = textindex.postings(table(spark, sf, "documents"), "doc_id", "text")
+    return lists.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("places")).alias("places"))
 
 
 def _hybrid_sql(candidates, least):
@@ -74,8 +138,9 @@ order by coalesce(0.7 / (60 + rs), 0) + coalesce(0.3 / (60 + rk), 0) desc, 1 lim
 
 
 def _hybrid(spark, sf, factor, least):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    out = retrieval.hybrid(docs.join(_vectors(spark, sf), "id"), ASKED, QUERY_VECTOR, 10, factor, least)
+    own = table(spark, sf, "documents").select(F.col("doc_id").alias("id")).join(_vectors(spark, sf), "id")
+    hits = textindex.search_stored(spark, _indexed(spark, sf), ASKED, factor * 10, own)
+    out = retrieval.hybrid(own, ASKED, QUERY_VECTOR, 10, factor, least, hits)
     return out.select("id", F.col("rank_s").cast("long"), F.col("rank_k").cast("long"), F.round("score", 9).alias("score"))
 
 
@@ -93,8 +158,9 @@ def hybrid_rrf_client(spark, sf):
 @query(f"with {_keyword_sql()} select keyed.id, d.source, round(rank, 6) as rank from keyed join documents d on d.doc_id = keyed.id where d.lang = 'en' order by keyed.rank desc, keyed.id limit 5")
 def search_maintenance_docs(spark, sf):
     """Keyword search among the documents of one kind; ``lang`` stands in for the kind."""
-    docs = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("content"))
-    return retrieval.keyword(docs, ASKED, 5).select("id", "source", F.round("rank", 6).alias("rank"))
+    docs = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "source")
+    hits = textindex.search_stored(spark, _indexed(spark, sf), ASKED, 5, docs)
+    return hits.join(docs, "id").orderBy(F.desc("rank"), "id").select("id", "source", F.round("rank", 6).alias("rank"))
 
 
 @query("""with t as (select doc_id, source, lang, text, row_number() over (order by n_chars desc, doc_id) as r from documents order by n_chars desc, doc_id limit 5)

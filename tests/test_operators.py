@@ -113,15 +113,6 @@ def test_chunk_examples(spark):
     assert chunks(spark, chunking.sliding, [None, "", "w" * 250], size=100, overlap=20, least=30) == [[], [], ["w" * 100, "w" * 100, "w" * 90]]
 
 
-def test_search_terms_and_covers(spark):
-    words = ["running", "classes", "ponies", "nationalization", "quickly", "the", "pass", "ed"]
-    df = spark.createDataFrame([(" ".join(words),)], "t string")
-    spark_terms = [w for w in df.select(textsearch.terms(F.col("t"))).first()[0] if w]
-    assert spark_terms == textsearch.query_terms(" ".join(words))
-    assert textsearch.covers(["a", "x", "b", "b", "a"], ["a", "b"]) == pytest.approx(2 / 3 + 2 / 2)
-    assert textsearch.covers([], ["a"]) == 0
-
-
 def test_semantic_edges(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.0]), (5, [-1.0, 0.0])], "id long, embedding array<double>")
     assert [r.id for r in retrieval.semantic(df, [2.0, 0.0], 5).collect()] == [1, 4]
