@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,27 +42,6 @@ def deduplicated(events: DataFrame, ts: str, key: str, late: str = LATE) -> Data
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def lifecycle(events: DataFrame) -> DataFrame:
-    """(equipment_id, severity): where each equipment's state machine stands.
-
-    Severity 0 keeps a healthy state and mends others after maintenance; others step to
-    the state of that severity, but never back before maintenance.
-    """
-
-    def step(key, batches, state):
-        now = state.get[0] if state.exists else 0
-        changes = 0
-        for pdf in batches:
-            for s in pdf["severity"].tolist():
-                new = 5 if s < 0 else (0 if now == 5 and s == 0 else max(now % 5, int(s)))
-                changes += new != now
-                now = new
-        state.update((now,))
-        yield pd.DataFrame({"equipment_id": [key[0]], "state": [STATES[now]], "changes": [changes]})
-
-    return events.groupBy("equipment_id").applyInPandasWithState(step, "equipment_id long, state string, changes int", "now int", "update", "NoTimeout")
-
-
 def upsert_sink(stream: DataFrame, merge, checkpoint: str):
     """Runs ``merge(batch, epoch)`` on all that is there, then stops."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

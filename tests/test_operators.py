@@ -194,17 +194,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sum(seen) == 200
 
 
-def test_lifecycle_stream(spark, tmp_path):
-    rows = [(1, 1), (1, 3), (1, 2), (2, 4), (2, -1)]
-    for i, r in enumerate(rows):
-        spark.createDataFrame([r], "equipment_id long, severity int").coalesce(1).write.mode("append").json(f"{tmp_path}/in/{i}")
-    stream = micro.file_source(spark, f"{tmp_path}/in/*", T.StructType([T.StructField("equipment_id", T.LongType()), T.StructField("severity", T.IntegerType())]), "json")
-    last = {}
-    q = micro.lifecycle(stream).writeStream.outputMode("update").foreachBatch(lambda b, _: last.update({r.equipment_id: r.state for r in b.collect()})).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert last[1] == "CRITICAL" and last[2] in ("FAILED", "MAINTAINED")
-
-
 def test_model(spark):
     rows = spark.range(400).select("id", (F.col("id") % 2).cast("double").alias("label"), ((F.col("id") % 2) * 3 + F.rand(1)).alias("x"), F.rand(2).alias("y"))
     split = maintenance_model.stratified_split(rows, "label", ["id"])
