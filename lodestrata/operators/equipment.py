@@ -72,13 +72,18 @@ def quality_features(readings: DataFrame) -> DataFrame:
 def labels(features: DataFrame, events: DataFrame, horizon_days: int = 30) -> DataFrame:
     """The worst event within the horizon after each week's end; 0 if there is none.
 
-    Events join on the equipment and a range of days; the maximum is taken per week.
+    Time is cut into bins of the horizon's width: a week's end is in one bin, an event's range in
+    two at most.  They join on equipment and bin with an exact check of the days, so a long history
+    never meets itself as a whole; the events of a day count once, with the worst.
     """
     severity = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv)), F.col("event_type")), F.lit(0))
-    bad = events.select(F.col("equipment_id").alias("e"), F.col("event_date"), severity.alias("severity")).where("severity > 0")
-    near = (F.col("equipment_id") == F.col("e")) & (F.col("week_end") >= F.date_sub("event_date", horizon_days)) & (F.col("week_end") <= F.col("event_date"))
-    weeks = features.select("equipment_id", "week_end").distinct()
-    return weeks.join(bad, near, "left").groupBy("equipment_id", "week_end").agg(F.coalesce(F.max("severity"), F.lit(0)).cast("long").alias("severity"))
+    bin_of = lambda day: F.floor(day / (horizon_days + 1))
+    bad = events.select(F.col("equipment_id").alias("e"), F.unix_date("event_date").alias("day"), severity.alias("severity")).where("severity > 0 and day is not null")
+    worst = bad.groupBy("e", "day").agg(F.max("severity").alias("severity"))
+    spans = worst.select("*", F.explode(F.sequence(bin_of(F.col("day") - horizon_days), bin_of(F.col("day")))).alias("event_bin"))
+    weeks = features.select("equipment_id", "week_end").distinct().withColumn("end_day", F.unix_date("week_end")).withColumn("week_bin", bin_of(F.col("end_day")))
+    near = (F.col("equipment_id") == F.col("e")) & (F.col("week_bin") == F.col("event_bin")) & (F.col("end_day") >= F.col("day") - horizon_days) & (F.col("end_day") <= F.col("day"))
+    return weeks.join(spans, near, "left").groupBy("equipment_id", "week_end").agg(F.coalesce(F.max("severity"), F.lit(0)).cast("long").alias("severity"))
 
 
 def state_as_of(readings: DataFrame, events: DataFrame, default: str = "HEALTHY", unit: str = "day") -> DataFrame:

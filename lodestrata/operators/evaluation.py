@@ -12,6 +12,9 @@ LATENCY_BANDS = [(1000, 5), (2000, 4), (3000, 3), (5000, 2)]
 MAPE_BANDS = [(5, 5), (10, 4), (15, 3), (25, 2)]
 
 
+BLOCKS = 64  # of a metric's values
+
+
 def score(c: Column, bands: list[tuple]) -> Column:
     out = F.when(c <= bands[0][0], bands[0][1])
     for bound, points in bands[1:]:
@@ -21,13 +24,23 @@ def score(c: Column, bands: list[tuple]) -> Column:
 
 def distribution(results: DataFrame, metric: str = "metric", value: str = "score") -> DataFrame:
     """Mean, deviation (0 for one value), extremes, and the values at the positions n/2 and
-    0.95 n of the sorted list.  The positions are taken from value counts, so that no list
-    of all values is ever in one place."""
+    0.95 n of the sorted list.
+
+    The positions are taken from value counts.  Approximate quantiles cut a metric's values into
+    blocks, which are put in order one by one, so no task holds a metric; the quantiles only say
+    where to cut.
+    """
     from pyspark.sql.window import Window
 
     counted = results.where(F.col(value).isNotNull()).groupBy(metric, value).agg(F.count("*").alias("m"))
-    w = Window.partitionBy(metric)
-    upto = counted.withColumns({"upto": F.sum("m").over(w.orderBy(value)), "n": F.sum("m").over(w)})
+    cuts = counted.groupBy(F.col(metric).alias("_of")).agg(F.approx_percentile(value, [i / BLOCKS for i in range(1, BLOCKS)]).alias("_cuts"))
+    blocks = counted.join(cuts, F.col(metric) == F.col("_of")).select(metric, value, "m", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_block"))
+    whole = Window.partitionBy(metric)
+    sizes = blocks.groupBy(metric, "_block").agg(F.sum("m").alias("_m"))
+    before = F.sum("_m").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(metric, "_block", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_m").over(whole).alias("n"))
+    within = Window.partitionBy(metric, "_block").orderBy(value)
+    upto = blocks.withColumn("_in", F.sum("m").over(within)).join(starts, [metric, "_block"]).withColumn("upto", F.col("_before") + F.col("_in"))
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
     middle, high = F.floor(F.col("n") / 2), F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)
     places = upto.groupBy(metric).agg(at(middle).alias("p50"), at(high).alias("p95"))

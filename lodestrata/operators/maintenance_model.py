@@ -13,17 +13,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SEED = 42
+BLOCK_BITS = 12
+
+
+def placed(rows: DataFrame, label: str, key: list[str], seed: int) -> DataFrame:
+    """``rows`` with ``_rank`` and ``_row``, from 0, in the order of a hash of the key within each label,
+    and ``_all``, the label's rows.
+
+    The leading bits of the hash cut a label into ``2**BLOCK_BITS`` blocks of like size, each of which is
+    put in order by itself and starts after those before, so no task holds a label.
+    """
+    cut = rows.withColumn("_h", F.xxhash64(F.lit(seed), *key)).withColumn("_block", F.shiftright("_h", 64 - BLOCK_BITS))
+    sizes = cut.groupBy(label, "_block").agg(F.count("*").alias("_n"))
+    blocks = Window.partitionBy(label)
+    before = F.sum("_n").over(blocks.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col(label).alias("_label"), F.col("_block").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(blocks).alias("_all"))
+    within = Window.partitionBy(label, "_block").orderBy("_h", *key)
+    ranked = cut.withColumns({"_rank": F.rank().over(within) - 1, "_row": F.row_number().over(within) - 1})
+    joined = ranked.join(starts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_block") == F.col("_of")))
+    return joined.withColumns({"_rank": F.col("_rank") + F.col("_before"), "_row": F.col("_row") + F.col("_before")}).drop("_h", "_block", "_label", "_of", "_before")
 
 
 def stratified_split(rows: DataFrame, label: str, key: list[str], train: float = 0.8, seed: int = SEED) -> DataFrame:
     """``is_train`` for the same share of each label, by the order of a hash of the key."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *key), *key)
-    return rows.withColumn("is_train", F.percent_rank().over(w) < train)
+    share = F.coalesce(F.try_divide(F.col("_rank"), F.col("_all") - 1), F.lit(0.0))
+    return placed(rows, label, key, seed).withColumn("is_train", share < train).drop("_rank", "_row", "_all")
 
 
 def folds(rows: DataFrame, label: str, key: list[str], n: int = 5, seed: int = SEED) -> DataFrame:
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *key), *key)
-    return rows.withColumn("fold", (F.row_number().over(w) % n).cast("int"))
+    return placed(rows, label, key, seed).withColumn("fold", ((F.col("_row") + 1) % n).cast("int")).drop("_rank", "_row", "_all")
 
 
 def balanced(rows: DataFrame, label: str) -> DataFrame:

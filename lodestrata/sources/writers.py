@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 AUDIT = "run_id string, table_name string, status string, rows_read long, rows_written long, rows_rejected long, error_detail string, finished_at timestamp"
@@ -24,6 +24,22 @@ def audit(spark: SparkSession, rows: list[tuple], path: str) -> None:
     spark.createDataFrame(rows, AUDIT).write.mode("append").parquet(path)
 
 
+def audited_append(df: DataFrame, valid: Column, path: str, audit_path: str, run_id: str, name: str, finished_at) -> dict[str, int]:
+    """Appends the valid rows and one audit row whose counts the write itself has observed, so
+    nothing is read twice.  A failed write leaves an audit row that says why, and raises."""
+    seen, kept = Observation(), Observation()
+    ok = F.coalesce(valid, F.lit(False))
+    rows = df.observe(seen, F.count(F.lit(1)).alias("rows_read"), F.count_if(~ok).alias("rows_rejected")).where(ok)
+    try:
+        append(rows.observe(kept, F.count(F.lit(1)).alias("rows_written")), path)
+    except Exception as error:
+        audit(df.sparkSession, [(run_id, name, "FAILED", None, None, None, str(error)[:1000], finished_at)], audit_path)
+        raise
+    counts = seen.get | kept.get
+    audit(df.sparkSession, [(run_id, name, "SUCCESS", counts["rows_read"], counts["rows_written"], counts["rows_rejected"], None, finished_at)], audit_path)
+    return counts
+
+
 def serving(df: DataFrame, renames: dict[str, str], columns: list[str]) -> DataFrame:
     """Rows for a serving table: names normalised and mapped, known columns kept, NaN null."""
     plain = {c: renames.get(n := c.strip().lower().replace(" ", "_"), n) for c in df.columns}
