@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.operators import sqlguard
+
 #: Own patterns for seven kinds of personal data in texts.
 PII = {
     "card": r"\b(?:\d[ -]?){13,16}\b", "ssn": r"\b\d{3}-\d{2}-\d{4}\b", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "phone": r"(?:\+\d{1,3}[ -]?)?\(?\d{3}\)?[ -]\d{3}[ -]\d{4}",
@@ -119,7 +121,7 @@ def numbered(df: DataFrame, key: str, width: int = 100_000) -> DataFrame:
 
 
 def check_sql(text: str) -> str | None:
-    """Why a statement is not a plain query, or None."""
+    """Why a statement is not a plain query by its words alone, or None; ``sqlguard`` looks at its plan."""
     words = re.findall(r"[A-Za-z_]+", re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", text, flags=re.S).upper())
     if not words:
         return "empty statement"
@@ -129,14 +131,9 @@ def check_sql(text: str) -> str | None:
 
 
 def safe_sql(spark: SparkSession, text: str, max_rows: int = 500) -> DataFrame:
-    """The result of one query, up to one row more than ``max_rows`` to show a cut.
-
-    Spark's own parser and analyser have the last word: commands run eagerly and leave
-    no query plan behind, so what starts like a query and is none is refused here.
-    """
-    if reason := check_sql(text):
-        raise ValueError(reason)
-    return spark.sql(text.strip().rstrip(";")).limit(max_rows + 1)
+    """The result of one query, up to one row more than ``max_rows`` to show a cut; what may be in it
+    is decided on the parsed plan."""
+    return sqlguard.guarded(spark, text, max_rows)
 
 
 def markdown(rows: DataFrame, max_rows: int = 500, width: int = 100) -> str:

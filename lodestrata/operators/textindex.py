@@ -81,25 +81,14 @@ def lists(spark: SparkSession, path: str, terms: list[str], buckets: int = BUCKE
     return stored.where(F.col("bucket").isin(own) & F.col("term").isin(terms)).drop("bucket")
 
 
-def cover_density(entries: Column, terms: int) -> Column:
-    """The sum, over the shortest stretches that hold all terms, of a weight that falls with
-    the words between.  ``entries`` are (place, term from 0) in order of place; the fold keeps each
-    term's last entry, and a stretch counts when no earlier one starts inside of it."""
-    at = lambda i: F.element_at(entries, i)
-
-    def step(s, i):
-        last = F.transform(s["last"], lambda v, k: F.when(k == at(i)["term"], i).otherwise(v))
-        start = F.array_min(last)
-        new = (start > 0) & (start > s["begin"])
-        noise = at(i)["place"] - at(start)["place"] - (i - start)
-        return F.struct(
-            last.alias("last"),
-            F.when(new, start).otherwise(s["begin"]).alias("begin"),
-            F.when(new, s["total"] + F.lit(WEIGHT) / (1 + noise)).otherwise(s["total"]).alias("total"),
-        )
-
-    zero = F.struct(F.array_repeat(F.lit(0), terms).alias("last"), F.lit(0).alias("begin"), F.lit(0.0).alias("total"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(entries)), zero, step)["total"]
+#: The sum, over the shortest stretches that hold all terms, of a weight that falls with the words
+#: between.  ``entries`` are (place, term from 0) in order of place; the fold keeps each term's last entry,
+#: and a stretch counts when no earlier one starts inside of it.
+_LAST = "transform(s.last, (v, k) -> if(k = element_at(entries, i).term, i, v))"
+_NOISE = f"element_at(entries, i).place - element_at(entries, array_min({_LAST})).place - (i - array_min({_LAST}))"
+_NEW = f"array_min({_LAST}) > s.begin"
+COVER_DENSITY = f"""aggregate(sequence(1, size(entries)), named_struct('last', array_repeat(0, cast(terms as int)), 'begin', 0, 'total', 0D),
+  (s, i) -> named_struct('last', {_LAST}, 'begin', if({_NEW}, array_min({_LAST}), s.begin), 'total', if({_NEW}, s.total + {WEIGHT}D / (1 + {_NOISE}), s.total)), s -> round(s.total, 9))"""
 
 
 def search(found: DataFrame, query: str, k: int | None, within: DataFrame | None = None) -> DataFrame:
@@ -116,7 +105,7 @@ def search(found: DataFrame, query: str, k: int | None, within: DataFrame | None
     coded = own.select("id", "term", F.transform("places", lambda p: F.struct(p.alias("place"), number.alias("term"))).alias("entries"))
     whole = coded.groupBy("id").agg(F.count_distinct("term").alias("terms"), F.array_sort(F.flatten(F.collect_list("entries"))).alias("entries"))
     hits = whole.where(F.col("terms") == len(asked))
-    ranked = hits.select("id", F.round(cover_density(F.col("entries"), max(1, len(asked))), 9).alias("rank"))
+    ranked = hits.select("id", F.expr(COVER_DENSITY).alias("rank"))
     return ranked if k is None else ranked.orderBy(F.desc("rank"), "id").limit(k)
 
 
