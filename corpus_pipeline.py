@@ -4,7 +4,8 @@ Each stage takes what the one before has kept, written as Parquet and read again
 returns the columns of ``documents``; the last returns them with the token ids in place
 of the text.
 
-Edge cases: a document whose text is null, empty or without letters goes in the first stage;
+Edge cases: a document whose text is null, empty, without letters or in none of the languages that
+the table teaches goes in the first stage;
 rows without an id are neither duplicates nor sources of passages; repeated rows are treated
 alike; very long texts are worked on whole; an empty table gives no rows; extra columns,
 whatever their names, are carried, but for ``ids``, ``decoded`` and ``lossless``, which the last
@@ -22,7 +23,8 @@ from lodestrata.llm.queries import TOKENIZERS
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language go."""
+    """Texts go that have no letter, or whose n-grams no mixture of the learned languages explains
+    better than chance."""
     return langid.accepted(docs, langid.learn(docs.where(~held_out("doc_id"))))
 
 

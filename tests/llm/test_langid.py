@@ -112,3 +112,21 @@ def test_extra_columns_and_long_texts(spark):
     got = langid.accepted(df, model).collect()
     assert [(r.doc_id, r.score, r.lang_pred) for r in got] == [(1, 3, "x")]
     assert langid.predict(df, model).first().lang_pred == "bb"
+
+
+def test_texts_in_no_learned_language_go(spark):
+    rows, _ = corpus(150)
+    schema = "doc_id long, text string, lang string"
+    model = langid.learn(spark.createDataFrame(rows, schema))
+    odd = [(9001, "это русский текст о языке и ещё немного слов " * 3, "aa"), (9002, "zqxj", "aa"), (9003, "zqxj kvwy " * 40, None), (9004, rows[0][1] + " zqxj", "aa"), (9005, "7 8 9", "aa"), (9006, "a", "aa")]
+    kept = {r.doc_id for r in langid.accepted(spark.createDataFrame(rows + odd, schema), model).collect()}
+    assert {r[0] for r in rows} <= kept and kept & {r[0] for r in odd} == {9002, 9004, 9006}
+    p = model[1]
+    for text in (rows[0][1], odd[0][1], odd[1][1]):
+        data = np.frombuffer(text.encode(), np.uint8)
+        c = langid.gram_counts(data, np.array([0, len(data)]), langid.ORDER, p.shape[1])
+        shares, _, evidence = langid.fitted(c, p)
+        k = int((shares[0] > 0).sum())
+        n = c[0].sum()
+        plain = float((c[0] * np.log(np.maximum(shares[0] @ p, 1e-12))).sum()) - langid.PENALTY * (k - 1) * np.log(n + 1) + n * np.log(p.shape[1])
+        assert abs(plain - evidence[0]) < 1e-3 * abs(plain) + 1
