@@ -35,8 +35,10 @@ def year_on_year(orders: DataFrame, key: str, date_col: str, value: str, cut: st
 def opportunity_rollup(rows: DataFrame, key: str, stage: str, value: str, won: str, lost: str) -> DataFrame:
     s = F.col(stage)
     n_won, n_lost = F.count_if(s == won), F.count_if(s == lost)
+    worth = lambda of: F.coalesce(F.sum(F.when(of, F.col(value).cast("decimal(18,2)"))), F.lit(0)).cast("double")
     return rows.groupBy(key).agg(
-        F.count_if(~s.isin(won, lost)).alias("open"), n_won.alias("won"), n_lost.alias("lost"), F.coalesce(F.sum(F.when(s == won, F.col(value).cast("decimal(18,2)"))), F.lit(0)).cast("double").alias("won_value"),
+        F.count_if(~s.isin(won, lost)).alias("open"), n_won.alias("won"), n_lost.alias("lost"),
+        worth(~s.isin(won, lost)).alias("open_value"), worth(s == won).alias("won_value"), worth(s == lost).alias("lost_value"),
         F.when(n_won + n_lost > 0, F.round(100.0 * n_won / (n_won + n_lost), 1)).alias("win_rate"),
     )
 

@@ -15,10 +15,18 @@ PII = {
     "card": r"\b(?:\d[ -]?){13,16}\b", "ssn": r"\b\d{3}-\d{2}-\d{4}\b", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "phone": r"(?:\+\d{1,3}[ -]?)?\(?\d{3}\)?[ -]\d{3}[ -]\d{4}",
     "licence": r"\b[A-Z]{1,2}\d{6,8}\b", "passport": r"\b[A-Z]\d{8}\b", "medical_record": r"\bMRN[: ]?\d{6,10}\b",
 }
-#: Own patterns for the names of columns, by class.
+# The classes of columns and the patterns of their names, in any case.
 COLUMN_CLASSES = {
-    "contact": ["e_?mail", "phone", "address", "street"], "identity": ["name$", "birth", "passport"], "financial": ["price", "acctbal", "amount", "salary", "iban"],
-    "operational": ["plant", "quantity", "status", "priority"], "key": ["key$", "_id$", "number$"],
+    "CUSTOM_CUSTOMER_DATA": [
+        "(customer_name|name1|cust_name|account_name)", "(email|smtp_addr|e_mail)", "(phone|telf1|mobile|fax)", "(address|stras|street|mailing_address)",
+        "(postal|pstlz|zip_code)", "(city|ort01|ort02)", "(country|land1)",
+    ],
+    "CUSTOM_FINANCIAL_DATA": [
+        "(netwr|net_value|net_amount)", "(amount|revenue|price|total_price)", "(waerk|currency|currency_code)", "(credit_limit|klimk)", "(payment|billing|invoice)", "(annual_revenue|expected_revenue)",
+    ],
+    "CUSTOM_EMPLOYEE_DATA": ["(employee|emp_id|personnel_number)", "(salary|compensation|benefits)", "(owner_name|created_by|modified_by)"],
+    "CUSTOM_MANUFACTURING_IP": ["(recipe|formula|specification)", "(tolerance|process_param)", "(production_secret|proprietary)"],
+    "CUSTOM_REGULATORY_DATA": ["(batch_number|charg|lot)", "(serial_number|sernr)", "(quality_check|inspection|compliance)", "(shelf_life|expiration)"],
 }
 READ_WORDS = {"SELECT", "WITH", "EXPLAIN"}
 # Words that must be blocked.
@@ -33,9 +41,14 @@ def classify_columns(columns: DataFrame, classes: dict[str, list[str]] = COLUMN_
 
 
 def pii_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Occurrences of each kind; texts with none are left out.  The counts come out of a generator,
-    below which no filter is pushed, so that each pattern runs once on a text."""
-    counts = F.struct(*(F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(p)).cast("long").alias(k) for k, p in PII.items()))
+    """Occurrences of each kind; texts with none are left out.
+
+    A pattern runs only on texts that hold what it cannot do without, an @ or a digit.  The counts come
+    out of a generator, below which no filter is pushed, so that each pattern runs once on a text.
+    """
+    text = F.coalesce(text_col, F.lit(""))
+    has = {"email": F.contains(text, F.lit("@"))}
+    counts = F.struct(*(F.when(has.get(k, text.rlike("[0-9]")), F.regexp_count(text, F.lit(p))).otherwise(0).cast("long").alias(k) for k, p in PII.items()))
     return docs.select(id_col, F.inline(F.array(counts))).where(" + ".join(PII) + " > 0")
 
 
@@ -81,6 +94,12 @@ def status_summary(runs: DataFrame, status: str, good: str) -> DataFrame:
     return runs.agg(F.count("*").alias("runs"), F.count_if(F.col(status) == good).alias("succeeded"), F.round(100.0 * F.count_if(F.col(status) == good) / F.count("*"), 1).alias("success_pct"))
 
 
+def status_counts(runs: DataFrame, status: str) -> DataFrame:
+    """(status, runs, share_pct): how many runs ended in each way."""
+    counts = runs.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("runs"))
+    return counts.withColumn("share_pct", F.round(100.0 * F.col("runs") / F.sum("runs").over(Window.partitionBy()), 1))
+
+
 def windowed_alert(events: DataFrame, ts: str, value: str, window: str, limit: float) -> DataFrame:
     """Windows whose sum exceeds a limit."""
     sums = events.groupBy(F.window(ts, window)).agg(F.sum(value).alias("total"))

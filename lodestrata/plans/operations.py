@@ -37,7 +37,8 @@ def customer_yoy(spark, sf):
 
 
 @query("""with s as (select o_custkey, count(*) filter (where o_orderstatus = 'P') as open, count(*) filter (where o_orderstatus = 'F') as won, count(*) filter (where o_orderstatus = 'O') as lost,
-cast(coalesce(sum(cast(o_totalprice as decimal(18,2))) filter (where o_orderstatus = 'F'), 0) as double) as won_value from orders group by 1) select *, case when won + lost > 0 then round(100.0 * won / (won + lost), 1) end as win_rate from s""")
+cast(coalesce(sum(cast(o_totalprice as decimal(18,2))) filter (where o_orderstatus = 'P'), 0) as double) as open_value, cast(coalesce(sum(cast(o_totalprice as decimal(18,2))) filter (where o_orderstatus = 'F'), 0) as double) as won_value,
+cast(coalesce(sum(cast(o_totalprice as decimal(18,2))) filter (where o_orderstatus = 'O'), 0) as double) as lost_value from orders group by 1) select *, case when won + lost > 0 then round(100.0 * won / (won + lost), 1) end as win_rate from s""")
 def opportunity_rollup(spark, sf):
     return customer360.opportunity_rollup(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "o_totalprice", "F", "O")
 
@@ -161,6 +162,11 @@ def pipeline_status(spark, sf):
     return operations.status_summary(table(spark, sf, "orders"), "o_orderstatus", "F")
 
 
+@query("select o_orderstatus as status, count(*) as runs, round(100.0 * count(*) / sum(count(*)) over (), 1) as share_pct from orders group by 1")
+def pipeline_status_counts(spark, sf):
+    return operations.status_counts(table(spark, sf, "orders"), "o_orderstatus")
+
+
 _CLASSES = ", ".join(f"case when regexp_matches(lower(column_name), '{'|'.join(p)}') then '{n}' end" for n, p in operations.COLUMN_CLASSES.items())
 _TABLES = ("customer", "orders", "part", "supplier")
 
@@ -200,6 +206,15 @@ def series_crossjoin(spark, sf):
     return out.withColumn("equipment_id", F.concat_ws("-", F.lit("EQ"), "plant", "line", F.lpad(F.col("n").cast("string"), 3, "0")))
 
 
+@query("""with a as (select n_nationkey, count(s_suppkey) as suppliers from nation left join supplier on s_nationkey = n_nationkey group by 1), m as (select distinct c_mktsegment from customer)
+select unnest(range(1, suppliers + 1)) as n, n_nationkey, c_mktsegment, 'EQ-' || n_nationkey || '-' || c_mktsegment || '-' || lpad(cast(unnest(range(1, suppliers + 1)) as varchar), 3, '0') as equipment_id from a cross join m""")
+def series_over_tables(spark, sf):
+    """Every nation with every market segment, and a number for each of the nation's suppliers."""
+    nations = table(spark, sf, "nation").join(table(spark, sf, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey").agg(F.count("s_suppkey").alias("suppliers"))
+    out = readers.series_by(nations, "suppliers", table(spark, sf, "customer").select("c_mktsegment").distinct())
+    return out.select("n", "n_nationkey", "c_mktsegment", F.concat_ws("-", F.lit("EQ"), "n_nationkey", "c_mktsegment", F.lpad(F.col("n").cast("string"), 3, "0")).alias("equipment_id"))
+
+
 @query("""with k as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as r, count(*) over () as n from supplier) select o_orderkey, s_suppkey from orders join k on r = o_orderkey % n""")
 def lateral_pick(spark, sf):
     """The k-th supplier for each order: places of the suppliers, then an equal join."""

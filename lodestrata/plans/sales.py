@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import sap
 from lodestrata.operators import gold, silver
 from lodestrata.plans.registry import SILVER_SQL, query, silver_orders
-from lodestrata.sources.readers import calendar, table
+from lodestrata.sources.readers import calendar, calendar_of, table
 
 AS_OF = "2000-06-15"
 _DATES = """
@@ -20,6 +20,7 @@ dates as (
   from (select unnest(generate_series(date '{0}', date '{1}', interval 1 day)) as d)
 )
 """
+_OWN_DATES = _DATES.replace("from (select unnest(generate_series(date '{0}', date '{1}', interval 1 day)) as d)", "from (select unnest(generate_series(min(cast(o_orderdate as date)), max(cast(o_orderdate as date)), interval 1 day)) as d from orders)")
 _FACT = """
 fact as (
   select order_item_key, cast(strftime(order_date, '%Y%m%d') as int) as order_date_key, cast(strftime(ship_date, '%Y%m%d') as int) as ship_date_key,
@@ -78,6 +79,25 @@ def dim_date(spark, sf):
     return gold.dim_date(calendar(spark, "2020-01-01", "2027-12-31"))
 
 
+@query(f"with {_OWN_DATES} select dates.*, count(o_orderkey) as orders from dates left join orders on cast(o_orderdate as date) = full_date group by all")
+def order_calendar(spark, sf):
+    """The calendar from the first to the last day of the orders, with how many each day has."""
+    orders = table(spark, sf, "orders")
+    perday = orders.groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("orders"))
+    days = gold.dim_date(calendar_of(orders, "o_orderdate"))
+    return days.join(perday, F.col("full_date") == F.col("day"), "left").withColumn("orders", F.coalesce("orders", F.lit(0))).drop("day")
+
+
+@query(f"""with {_OWN_DATES} select is_weekend, fiscal_year, fiscal_quarter, year_week, count(*) as orders, count(distinct full_date) as days, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total
+from dates join orders on cast(o_orderdate as date) = full_date group by all""")
+def orders_by_calendar(spark, sf):
+    """Orders by fiscal period, ISO week and weekend, over the calendar of their own days."""
+    orders = table(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    dates = gold.dim_date(calendar_of(orders, "day"))
+    own = orders.join(dates, F.col("day") == F.col("full_date")).groupBy("is_weekend", "fiscal_year", "fiscal_quarter", "year_week")
+    return own.agg(F.count("*").alias("orders"), F.count_distinct("full_date").alias("days"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
 @query(f"""with {SILVER_SQL} select sha256(cast(material_number as varchar)) as product_key, material_number, plant, order_type from silver
 qualify row_number() over (partition by material_number order by order_date desc, order_number desc, item_number desc) = 1""")
 def dim_product(spark, sf):

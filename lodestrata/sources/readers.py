@@ -81,6 +81,18 @@ def series(spark: SparkSession, n: int, **axes: list[str]) -> DataFrame:
     return out
 
 
+def calendar_of(df: DataFrame, column: str) -> DataFrame:
+    """Every day from the first to the last of a date or time column; none for an empty table."""
+    ends = df.agg(F.min(F.col(column).cast("date")).alias("low"), F.max(F.col(column).cast("date")).alias("high")).where("low is not null")
+    return ends.select(F.explode(F.sequence("low", "high", F.expr("interval 1 day"))).alias("full_date"))
+
+
+def series_by(df: DataFrame, length: str, axis: DataFrame) -> DataFrame:
+    """1..``length`` for every row of ``df`` with every row of ``axis``, whose few rows are the members
+    of a dimension."""
+    return df.where(F.col(length) > 0).crossJoin(axis).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(length).cast("long"))))
+
+
 def catalog_tables(spark: SparkSession, database: str) -> DataFrame:
     """(table_name, column_name, data_type, nullable) of a database's tables."""
     rows = [
