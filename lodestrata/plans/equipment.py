@@ -9,14 +9,14 @@ from lodestrata.plans.registry import query
 from lodestrata.sources.readers import table
 
 AS_OF = "2024-01-28 00:00:00"
-_READ = """
+READ_SQL = """
 with r as (
   select event_id, user_id as equipment_id, event_type as sensor, ts, value, case when k < 2 then 'BAD' when k < 5 then 'UNCERTAIN' else 'GOOD' end as quality,
     cast(ts as date) + cast(7 - isodow(ts) as int) as week_end
   from (select *, cast(json_extract_string(props, '$.k') as int) as k from events)
 )
 """
-_STATES = """, e as (
+STATES_SQL = """, e as (
   select user_id as equipment_id, ts as event_ts, event_type, case event_type when 'purchase' then 'failure' when 'signup' then 'critical' when 'click' then 'degradation_start' else 'none' end as kind, event_type as state_to
   from events
 )
@@ -33,7 +33,7 @@ def _sensors():
     return ["click", "purchase", "signup", "view", "error"]
 
 
-def _events(spark, sf):
+def equipment_events(spark, sf):
     kind = F.when(F.col("event_type") == "purchase", "failure").when(F.col("event_type") == "signup", "critical").when(F.col("event_type") == "click", "degradation_start").otherwise("none")
     return table(spark, sf, "events").select(F.col("user_id").alias("equipment_id"), F.col("ts").alias("event_ts"), F.col("event_type").alias("state_to"), kind.alias("kind"))
 
@@ -42,59 +42,59 @@ _WEEK = ", w as (select equipment_id, week_end, sensor, avg(value) as mean, coal
 _ROUND = "round(mean, 6) as mean, round(std, 6) as std, min, max, round(range, 6) as range"
 
 
-@query(_READ + _WEEK + f"select equipment_id, week_end, sensor, {_ROUND} from w")
+@query(READ_SQL + _WEEK + f"select equipment_id, week_end, sensor, {_ROUND} from w")
 def sensor_week_stats(spark, sf):
     w = equipment.weekly(readings(spark, sf)).drop("trend")
     return w.withColumns({c: F.round(c, 6) for c in ("mean", "std", "range")})
 
 
-@query(_READ + _WEEK + "select equipment_id, week_end, sensor, round(trend * 86400, 2) + 0.0 as trend_per_day from w")
+@query(READ_SQL + _WEEK + "select equipment_id, week_end, sensor, round(trend * 86400, 2) + 0.0 as trend_per_day from w")
 def sensor_trend(spark, sf):
     return equipment.weekly(readings(spark, sf)).select("equipment_id", "week_end", "sensor", (F.round(F.col("trend") * 86400, 2) + 0.0).alias("trend_per_day"))
 
 
-@query(_READ + _WEEK + "select equipment_id, week_end, " + ", ".join(f"round(coalesce(max({x}) filter (where sensor = '{s}'), 0), 6) as {s}_{x}" for s in _sensors() for x in ("mean", "std", "min", "max", "range")) + " from w group by 1, 2")
+@query(READ_SQL + _WEEK + "select equipment_id, week_end, " + ", ".join(f"round(coalesce(max({x}) filter (where sensor = '{s}'), 0), 6) as {s}_{x}" for s in _sensors() for x in ("mean", "std", "min", "max", "range")) + " from w group by 1, 2")
 def sensor_pivot(spark, sf):
     out = equipment.pivoted(equipment.weekly(readings(spark, sf)), _sensors())
     return out.select("equipment_id", "week_end", *(F.round(c, 6).alias(c) for c in out.columns[2:] if not c.endswith("_trend")))
 
 
-@query(_READ + "select equipment_id, week_end, count(*) as readings, count(*) filter (where quality <> 'GOOD') as anomalies, round(100.0 * count(*) filter (where quality = 'BAD') / count(*), 4) as bad_pct from r group by 1, 2")
+@query(READ_SQL + "select equipment_id, week_end, count(*) as readings, count(*) filter (where quality <> 'GOOD') as anomalies, round(100.0 * count(*) filter (where quality = 'BAD') / count(*), 4) as bad_pct from r group by 1, 2")
 def quality_features(spark, sf):
     return equipment.quality_features(readings(spark, sf))
 
 
-@query(_READ + _STATES + """, f as (select distinct equipment_id, week_end from r), s as (select equipment_id, cast(event_ts as date) as d, case kind when 'failure' then 3 when 'critical' then 3 when 'degradation_start' then 1 else 0 end as severity from e)
+@query(READ_SQL + STATES_SQL + """, f as (select distinct equipment_id, week_end from r), s as (select equipment_id, cast(event_ts as date) as d, case kind when 'failure' then 3 when 'critical' then 3 when 'degradation_start' then 1 else 0 end as severity from e)
 select f.equipment_id, f.week_end, cast(coalesce(max(severity), 0) as bigint) as severity from f left join s on s.equipment_id = f.equipment_id and severity > 0 and f.week_end between d - 30 and d group by 1, 2""")
 def failure_labels_range_join(spark, sf):
-    events = _events(spark, sf).select("equipment_id", F.col("event_ts").cast("date").alias("event_date"), F.col("kind").alias("event_type"))
+    events = equipment_events(spark, sf).select("equipment_id", F.col("event_ts").cast("date").alias("event_date"), F.col("kind").alias("event_type"))
     features = readings(spark, sf).select("equipment_id", equipment.week_end(F.col("ts")).alias("week_end"))
     return equipment.labels(features, events)
 
 
-@query(_READ + _STATES + """, o as (select equipment_id, event_ts, max(state_to) as state_to from e group by 1, 2)
+@query(READ_SQL + STATES_SQL + """, o as (select equipment_id, event_ts, max(state_to) as state_to from e group by 1, 2)
 select r.event_id, r.equipment_id, coalesce(o.state_to, 'HEALTHY') as state from r asof left join o on r.equipment_id = o.equipment_id and r.ts >= o.event_ts""")
 def asof_state(spark, sf):
-    states = _events(spark, sf).groupBy("equipment_id", "event_ts").agg(F.max("state_to").alias("state_to"))
+    states = equipment_events(spark, sf).groupBy("equipment_id", "event_ts").agg(F.max("state_to").alias("state_to"))
     return equipment.state_as_of(readings(spark, sf), states).select("event_id", "equipment_id", "state")
 
 
-@query(_READ + _STATES + "select equipment_id, event_ts, state_to, lag(state_to) over w as state_from, cast(floor(epoch(lead(event_ts) over w)) - floor(epoch(event_ts)) as bigint) as seconds from e window w as (partition by equipment_id order by event_ts, state_to)")
+@query(READ_SQL + STATES_SQL + "select equipment_id, event_ts, state_to, lag(state_to) over w as state_from, cast(floor(epoch(lead(event_ts) over w)) - floor(epoch(event_ts)) as bigint) as seconds from e window w as (partition by equipment_id order by event_ts, state_to)")
 def state_transitions(spark, sf):
-    return equipment.transitions(_events(spark, sf))
+    return equipment.transitions(equipment_events(spark, sf))
 
 
-@query(_READ + f"select equipment_id, count(*) filter (where quality <> 'GOOD' and ts >= timestamp '{AS_OF}' - interval 14 days) as anomalies from r group by 1")
+@query(READ_SQL + f"select equipment_id, count(*) filter (where quality <> 'GOOD' and ts >= timestamp '{AS_OF}' - interval 14 days) as anomalies from r group by 1")
 def anomaly_count_30d(spark, sf):
     return equipment.anomaly_count(readings(spark, sf), AS_OF, 14)
 
 
-@query(_READ + "select equipment_id, sensor, ts, value, quality from r qualify row_number() over (partition by equipment_id, sensor order by ts desc, event_id desc) = 1")
+@query(READ_SQL + "select equipment_id, sensor, ts, value, quality from r qualify row_number() over (partition by equipment_id, sensor order by ts desc, event_id desc) = 1")
 def latest_reading_per_sensor(spark, sf):
     return equipment.latest_readings(readings(spark, sf))
 
 
-@query(_READ + """, l as (select equipment_id, sensor, round(value, 2) as value from r qualify row_number() over (partition by equipment_id, sensor order by ts desc, event_id desc) = 1)
+@query(READ_SQL + """, l as (select equipment_id, sensor, round(value, 2) as value from r qualify row_number() over (partition by equipment_id, sensor order by ts desc, event_id desc) = 1)
 select equipment_id, count(*) as sensors, round(sum(value), 2) as total from l group by 1""")
 def sensor_summary_json(spark, sf):
     """Reads its own JSON back, so that the text of numbers does not matter."""
@@ -102,7 +102,7 @@ def sensor_summary_json(spark, sf):
     return back.select("equipment_id", F.size("v").cast("long").alias("sensors"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
-@query(_READ + """, n as (select *, row_number() over (partition by equipment_id, sensor order by ts, event_id) as rn, count(*) over (partition by equipment_id, sensor) as n from r),
+@query(READ_SQL + """, n as (select *, row_number() over (partition by equipment_id, sensor order by ts, event_id) as rn, count(*) over (partition by equipment_id, sensor) as n from r),
 h as (select equipment_id, sensor, avg(value) filter (where rn <= floor(n / 2)) as a, avg(value) filter (where rn > floor(n / 2)) as b from n group by 1, 2)
 select equipment_id, sensor, round(a, 6) as first, round(b, 6) as second, case when a is null or a = 0 then 'stable' when (b - a) / a > 0.05 then 'increasing' when (b - a) / a < -0.05 then 'decreasing' else 'stable' end as trend from h""")
 def split_half_trend(spark, sf):
@@ -112,19 +112,19 @@ def split_half_trend(spark, sf):
 _SCORE = "score as (select equipment_id, cast(floor(avg(value)) as bigint) % 101 as score from r group by 1)"
 
 
-@query(_READ + f", {_SCORE} select *, case when score < 25 then 'Critical' when score < 50 then 'Warning' when score < 75 then 'Good' else 'Excellent' end as label, case when score < 20 then 'Critical' when score < 40 then 'Poor' when score < 60 then 'Fair' when score < 80 then 'Good' else 'Excellent' end as agent_label from score")
+@query(READ_SQL + f", {_SCORE} select *, case when score < 25 then 'Critical' when score < 50 then 'Warning' when score < 75 then 'Good' else 'Excellent' end as label, case when score < 20 then 'Critical' when score < 40 then 'Poor' when score < 60 then 'Fair' when score < 80 then 'Good' else 'Excellent' end as agent_label from score")
 def health_label(spark, sf):
     score = readings(spark, sf).groupBy("equipment_id").agg((F.floor(F.avg("value")) % 101).alias("score"))
     return score.select("*", equipment.health_label(F.col("score")).alias("label"), equipment.health_label(F.col("score"), "agent").alias("agent_label"))
 
 
-@query(_READ + "select event_id, sensor, case when value > 60 * 1.2 or value < 20 * 0.8 then 'Critical' when value > 60 or value < 20 then 'Elevated' else 'Normal' end as status from r where sensor in ('click', 'view')")
+@query(READ_SQL + "select event_id, sensor, case when value > 60 * 1.2 or value < 20 * 0.8 then 'Critical' when value > 60 or value < 20 then 'Elevated' else 'Normal' end as status from r where sensor in ('click', 'view')")
 def sensor_status(spark, sf):
     ranges = spark.createDataFrame([("click", 20.0, 60.0), ("view", 20.0, 60.0)], "sensor string, low double, high double")
     return equipment.sensor_status(readings(spark, sf), ranges).select("event_id", "sensor", "status")
 
 
-@query(_READ + "select quality, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 4) as pct from r group by 1")
+@query(READ_SQL + "select quality, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 4) as pct from r group by 1")
 def risk_distribution(spark, sf):
     return equipment.distribution(readings(spark, sf), "quality")
 
@@ -166,35 +166,35 @@ def top_risk_factors(spark, sf):
     return out.select("equipment_id", F.array_join("top_factors", ",").alias("factors"))
 
 
-@query(_READ + f"select event_id, equipment_id, sensor, ts, value, quality from r where ts between timestamp '{AS_OF}' - interval 48 hours and timestamp '{AS_OF}' and sensor = 'click' order by ts desc, event_id desc limit 200")
+@query(READ_SQL + f"select event_id, equipment_id, sensor, ts, value, quality from r where ts between timestamp '{AS_OF}' - interval 48 hours and timestamp '{AS_OF}' and sensor = 'click' order by ts desc, event_id desc limit 200")
 def sensor_readings_lookback(spark, sf):
     return equipment.in_lookback(readings(spark, sf), AS_OF, 48, 200, sensor="click", quality=None)
 
 
-@query(_READ + f"select event_id, equipment_id, sensor, ts, value, quality from r where quality <> 'GOOD' and ts between timestamp '{AS_OF}' - interval 240 hours and timestamp '{AS_OF}' order by ts desc, event_id desc limit 100")
+@query(READ_SQL + f"select event_id, equipment_id, sensor, ts, value, quality from r where quality <> 'GOOD' and ts between timestamp '{AS_OF}' - interval 240 hours and timestamp '{AS_OF}' order by ts desc, event_id desc limit 100")
 def equipment_anomalies(spark, sf):
     return equipment.in_lookback(readings(spark, sf).where("quality <> 'GOOD'"), AS_OF, 240, 100)
 
 
-@query(_READ + "select sensor, quality, count(*) as n, min(ts) as first_seen, max(ts) as last_seen from r where quality <> 'GOOD' group by 1, 2")
+@query(READ_SQL + "select sensor, quality, count(*) as n, min(ts) as first_seen, max(ts) as last_seen from r where quality <> 'GOOD' group by 1, 2")
 def anomalies_by_sensor(spark, sf):
     return readings(spark, sf).where("quality <> 'GOOD'").groupBy("sensor", "quality").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
-@query(_READ + """, s as (select *, value > 30 and not coalesce(lag(value) over w > 30, false) as start from r window w as (partition by equipment_id, sensor order by ts, event_id)),
+@query(READ_SQL + """, s as (select *, value > 30 and not coalesce(lag(value) over w > 30, false) as start from r window w as (partition by equipment_id, sensor order by ts, event_id)),
 u as (select *, sum(cast(start as int)) over (partition by equipment_id, sensor order by ts, event_id rows unbounded preceding) as run from s)
 select equipment_id, sensor, min(ts) as began, max(ts) as ended, count(*) as readings from u where value > 30 group by equipment_id, sensor, run having floor(epoch(max(ts))) - floor(epoch(min(ts))) > 1800""")
 def sustained_excursion(spark, sf):
     return equipment.excursions(readings(spark, sf), 30.0, 30)
 
 
-@query(_READ + """, b as (select equipment_id, sensor, event_id, count(*) over (partition by equipment_id, sensor order by cast(floor(epoch(ts)) as bigint) range between 604800 preceding and current row) as in_window from r where quality <> 'GOOD')
+@query(READ_SQL + """, b as (select equipment_id, sensor, event_id, count(*) over (partition by equipment_id, sensor order by cast(floor(epoch(ts)) as bigint) range between 604800 preceding and current row) as in_window from r where quality <> 'GOOD')
 select * from b where in_window > 1""")
 def anomaly_burst_7d(spark, sf):
     return equipment.bursts(readings(spark, sf), 1)
 
 
-@query(_READ + "select equipment_id, cast(date_trunc('month', ts) as date) as month_start, " + ", ".join(f"round(avg(value) filter (where sensor = '{s}'), 6) as avg_{s}, max(value) filter (where sensor = '{s}') as max_{s}" for s in ("click", "view")) + ", count(*) as readings, count(*) filter (where quality <> 'GOOD') as anomalies, round(100.0 * count(*) filter (where quality = 'BAD') / count(*), 4) as bad_pct from r group by 1, 2")
+@query(READ_SQL + "select equipment_id, cast(date_trunc('month', ts) as date) as month_start, " + ", ".join(f"round(avg(value) filter (where sensor = '{s}'), 6) as avg_{s}, max(value) filter (where sensor = '{s}') as max_{s}" for s in ("click", "view")) + ", count(*) as readings, count(*) filter (where quality <> 'GOOD') as anomalies, round(100.0 * count(*) filter (where quality = 'BAD') / count(*), 4) as bad_pct from r group by 1, 2")
 def monthly_equipment_metrics(spark, sf):
     return equipment.monthly(readings(spark, sf), ["click", "view"])
 
@@ -227,7 +227,7 @@ def get_equipment_status(spark, sf):
     return equipment.status(health, 7, equipment.anomaly_count(readings(spark, sf), AS_OF, 30), latest_maintenance(spark, sf))
 
 
-@query(_READ + """, d as (select equipment_id, cast(ts as date) as day, round(100.0 * count(*) filter (where quality = 'GOOD') / count(*), 4) as health from r group by 1, 2),
+@query(READ_SQL + """, d as (select equipment_id, cast(ts as date) as day, round(100.0 * count(*) filter (where quality = 'GOOD') / count(*), 4) as health from r group by 1, 2),
 m as (select equipment_id, cast(date_trunc('month', ts) as date) as month_start, round(avg(value) filter (where sensor = 'click'), 6) as avg_click, max(value) filter (where sensor = 'click') as max_click, count(*) as readings, count(*) filter (where quality <> 'GOOD') as anomalies, round(100.0 * count(*) filter (where quality = 'BAD') / count(*), 4) as bad_pct from r group by 1, 2),
 h as (select equipment_id, cast(date_trunc('month', day) as date) as month_start, round(avg(health), 6) as health_avg, min(health) as health_min from d group by 1, 2),
 j as (select equipment_id, cast(date_trunc('month', ts) as date) as month_start, count(*) as maintenances from r where sensor = 'purchase' group by 1, 2)
@@ -237,7 +237,7 @@ def monthly_equipment_full(spark, sf):
     r = readings(spark, sf)
     good = F.round(100.0 * F.count_if(F.col("quality") == "GOOD") / F.count("*"), 4)
     health = r.groupBy("equipment_id", F.col("ts").cast("date").alias("day")).agg(good.alias("health"))
-    return equipment.monthly_full(equipment.monthly(r, ["click"]), health, _events(spark, sf).where("kind = 'failure'"))
+    return equipment.monthly_full(equipment.monthly(r, ["click"]), health, equipment_events(spark, sf).where("kind = 'failure'"))
 
 
 @query("select plant, c_custkey, c_acctbal, rank from (select c_nationkey as plant, c_custkey, c_acctbal, row_number() over (partition by c_nationkey order by c_acctbal, c_custkey) as rank from customer) where rank <= 5")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import sap, synthetic, textsearch
-from lodestrata.operators import customer360, equipment, evaluation, operations
-from lodestrata.plans.equipment import readings
-from lodestrata.plans.registry import SILVER_SQL, query, silver_orders
+from lodestrata.operators import customer360, equipment, evaluation, operations, silver
+from lodestrata.plans.equipment import READ_SQL, STATES_SQL, equipment_events, readings
+from lodestrata.plans.registry import ORACLE, SILVER_SQL, query, silver_orders
 from lodestrata.sources import readers
 from lodestrata.sources.readers import table
 from lodestrata.streaming import micro
@@ -64,12 +64,42 @@ def significant_orders_union(spark, sf):
     return customer360.significant(table(spark, sf, "orders"), "o_totalprice", 400000, "o_orderdate", "2001-08-01").select("o_orderkey", "o_totalprice")
 
 
-@query(f"""with {SILVER_SQL} {_TOPN}, {_SUM}, l as (select customer_number, string_agg(printf('%d. material %d: %.2f', rank, material_number, revenue), chr(10) order by rank) as items from q where rank <= 5 group by 1)
-select 'customer_' || c_custkey as doc_id, concat_ws(chr(10) || chr(10), '# ' || c_name || chr(10) || 'Segment: ' || c_mktsegment, case when orders is not null then printf('## Orders' || chr(10) || '%d orders, total %.2f, from %s to %s', orders, total, cast(first_order as varchar), cast(last_order as varchar)) end,
-'## Products' || chr(10) || items) as text from customer left join s on o_custkey = c_custkey left join l on customer_number = c_custkey""")
+def _sections_sql(titles: list[str]) -> str:
+    """Puts rows of ``lines`` (key, n, place, line) under the heads (key, head)."""
+    named = ", ".join(f"({n}, '{title}')" for n, title in enumerate(titles))
+    return f"""t as (select key, n, '## ' || title || chr(10) || string_agg(line, chr(10) order by place, line) as text from lines join (values {named}) v(n, title) using (n) where line is not null group by key, n, title),
+u as (select key, string_agg(text, chr(10) || chr(10) order by n) as text from t group by key),
+documents_ as (select key, concat_ws(chr(10) || chr(10), head, text) as text from heads left join u using (key))"""
+
+
+_CUSTOMER_DOCS = f"""with {SILVER_SQL} {_TOPN}, {_SUM}, yoy as ({{yoy}}), opp as ({{opp}}), kase as ({{kase}}),
+rec as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders where cast(o_orderdate as date) >= date '2001-08-01' - 180),
+con as (select c_custkey, s_name, row_number() over (partition by c_custkey order by s_acctbal desc, s_suppkey) as r from customer join supplier on s_nationkey = c_nationkey),
+heads as (select c_custkey as key, '# ' || c_name || chr(10) || 'Segment: ' || c_mktsegment as head from customer),
+lines as (
+  select o_custkey as key, 0 as n, 1 as place, printf('%d orders, total %.2f, from %s to %s', orders, total, cast(first_order as varchar), cast(last_order as varchar)) as line from s
+  union all select customer_number, 1, rank, printf('%d. material %d: %.2f', rank, material_number, revenue) from q where rank <= 5
+  union all select o_custkey, 2, 1, 'Trend: ' || arrow || coalesce(printf(' (%.1f%%)', change_pct), '') from yoy
+  union all select o_custkey, 3, r, printf('- order %d on %s: %.2f', o_orderkey, cast(cast(o_orderdate as date) as varchar), o_totalprice) from rec where r <= 8
+  union all select o_custkey, 4, 1, printf('Open: %d (%.2f), won: %d (%.2f), lost: %d (%.2f)', open, open_value, won, won_value, lost, lost_value) from opp
+  union all select o_custkey, 4, 2, printf('Win rate: %.1f%%', win_rate) from opp where win_rate is not null
+  union all select user_id, 5, 1, printf('Cases: %d, open: %d, urgent: %d', cases, open, open_urgent) from kase
+  union all select user_id, 5, 2, printf('Most frequent: %s', top_kinds) from kase
+  union all select c_custkey, 6, r, printf('- %s', s_name) from con where r <= 3
+),
+{_sections_sql(["Orders", "Products", "Order Trend", "Recent Orders", "Pipeline", "Support History", "Key Contacts"])}
+select 'customer_' || key as doc_id, text from documents_"""
+
+
+@query(_CUSTOMER_DOCS.format(yoy=ORACLE["customer_yoy"], opp=ORACLE["opportunity_rollup"], kase=ORACLE["case_rollup"]))
 def customer_documents(spark, sf):
+    """All sections; suppliers of a customer's nation stand in for contacts, events for cases."""
+    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
+    best = silver.top_n(table(spark, sf, "supplier"), ["s_nationkey"], [F.desc("s_acctbal"), F.col("s_suppkey")], 3)
+    contacts = customers.join(best, F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("customer"), F.col("s_name").alias("contact"), "rank")
     products = customer360.product_share(silver_orders(spark, sf), "customer_number", "material_number", "net_value", 5)
-    return customer360.customer_documents(table(spark, sf, "customer"), customer360.order_summary(table(spark, sf, "orders")), products)
+    sections = customer360.customer_sections(orders, products, customer_yoy(spark, sf), opportunity_rollup(spark, sf), case_rollup(spark, sf), contacts, "2001-08-01")
+    return customer360.customer_documents(customers, sections)
 
 
 @query(f"""with {SILVER_SQL}, k as (select * from silver where header_value > 400000 or order_date >= date '2001-08-01' - 180),
@@ -80,14 +110,43 @@ def order_documents(spark, sf):
     return customer360.order_documents(customer360.significant(silver_orders(spark, sf), "header_value", 400000, "order_date", "2001-08-01"))
 
 
-@query()
+_SENSOR_RANGES = [("click", 20.0, 60.0), ("view", 10.0, 80.0), ("purchase", 30.0, 70.0), ("signup", 5.0, 40.0), ("error", 0.5, 30.0)]
+_EQUIPMENT_DOCS = READ_SQL + STATES_SQL + f""", rng(sensor, low, high) as (values {", ".join(map(str, _SENSOR_RANGES))}),
+heads as (select equipment_id as key, printf('# Equipment %d' || chr(10) || 'Health Score: %d/100 (%s)', equipment_id, score, case when score < 25 then 'Critical' when score < 50 then 'Warning' when score < 75 then 'Good' else 'Excellent' end) as head
+  from (select equipment_id, cast(floor(avg(value)) as int) % 101 as score from r group by 1)),
+latest as (select * from r qualify row_number() over (partition by equipment_id, sensor order by ts desc, event_id desc) = 1),
+stat as (select *, case when value > high * 1.2 or value < low * 0.8 then 'Critical' when value > high or value < low then 'Elevated' else 'Normal' end as status, row_number() over (partition by equipment_id order by sensor) as place from latest join rng using (sensor)),
+half as (select *, row_number() over w as rn, count(*) over (partition by equipment_id, sensor) as n from r window w as (partition by equipment_id, sensor order by ts, event_id)),
+tr as (select equipment_id, sensor, avg(value) filter (where rn <= n // 2) as a, avg(value) filter (where rn > n // 2) as b from half group by 1, 2),
+trend as (select *, case when a is null or a = 0 then 'stable' when (b - a) / a > 0.05 then 'increasing' when (b - a) / a < -0.05 then 'decreasing' else 'stable' end as trend, row_number() over (partition by equipment_id order by sensor) as place from tr),
+bad as (select *, row_number() over (partition by equipment_id order by ts desc, event_id desc) as place from r where quality <> 'GOOD'),
+ev as (select *, row_number() over (partition by equipment_id order by event_ts desc, kind, state_to) as place from e where kind <> 'none'),
+lines as (
+  select equipment_id as key, 0 as n, place, printf('- %s: %.2f (normal %.1f-%.1f) %s', sensor, value, cast(low as double), cast(high as double), status) as line from stat
+  union all select equipment_id, 1, place, printf('- %s: %.6f (%s)', sensor, round(b, 6), trend) from trend
+  union all select equipment_id, 2, place, printf('- %s %s %.2f %s', cast(cast(ts as date) as varchar), sensor, value, quality) from bad where place <= 5
+  union all select equipment_id, 3, place, printf('- %s %s: %s', cast(cast(event_ts as date) as varchar), kind, state_to) from ev where place <= 5
+),
+{_sections_sql(["Current Sensor Readings", "Sensors", "Anomaly History", "Maintenance History"])}
+select 'equipment_' || key as doc_id, text from documents_"""
+
+
+@query(_EQUIPMENT_DOCS)
 def equipment_documents(spark, sf):
     r = readings(spark, sf)
     score = r.groupBy("equipment_id").agg((F.floor(F.avg("value")) % 101).alias("score")).withColumn("label", equipment.health_label(F.col("score")))
-    return customer360.equipment_documents(score, equipment.split_half_trend(r))
+    ranges = F.broadcast(spark.createDataFrame(_SENSOR_RANGES, "sensor string, low double, high double"))  # a row a kind of sensor
+    return customer360.equipment_documents(score, customer360.equipment_sections(r, equipment_events(spark, sf), ranges))
 
 
-@query("""select 'product_' || p_partkey as doc_id, '{"material":' || p_partkey || ',"name":' || cast(to_json(p_name) as varchar) || ',"group":' || cast(to_json(p_brand) as varchar) || ',"type":' || cast(to_json(p_type) as varchar) || ',"size":' || p_size || ',"price":' || cast(cast(p_retailprice as decimal(18,2)) as varchar) || '}' as body from part""")
+_GROUPS = customer360.PRODUCT_GROUPS
+_USES = "case p_type " + " ".join(f"when '{g}' then {u}" for g, (u, _) in _GROUPS.items() if g) + f" else {_GROUPS[''][0]} end"
+_FINISH = "case p_type " + " ".join(f"when '{g}' then '{f}'" for g, (_, f) in _GROUPS.items() if g) + f" else '{_GROUPS[''][1]}' end"
+
+
+@query(f"""with p as (select *, {_USES} as uses, {_FINISH} as finish from part)
+select 'product_' || p_partkey as doc_id, '{{"material":' || p_partkey || ',"name":' || cast(to_json(p_name) as varchar) || ',"group":' || cast(to_json(p_brand) as varchar) || ',"type":' || cast(to_json(p_type) as varchar) || ',"size":' || p_size || ',"price":' || cast(cast(p_retailprice as decimal(18,2)) as varchar)
+  || ',"description":' || cast(to_json(p_name || ' is used in ' || array_to_string(uses, ', ') || ', with ' || finish || '.') as varchar) || ',"applications":' || cast(to_json(uses) as varchar) || ',"finish":' || cast(to_json(finish) as varchar) || '}}' as body from p""")
 def product_documents(spark, sf):
     return customer360.product_documents(table(spark, sf, "part"))
 
