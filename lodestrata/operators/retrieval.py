@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,28 +70,6 @@ def context(hits: DataFrame, order: str = "rank") -> DataFrame:
     return hits.agg(F.array_join(F.transform(ordered, part), "\n---\n").alias("context"))
 
 
-def hashing_embedder(dimensions: int = 64):
-    """A stand-in for a remote embedder: signed hashed words, normalised."""
-
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        import zlib
-
-        import numpy as np
-
-        def one(text):
-            v = np.zeros(dimensions, np.float32)
-            for w in (text or "").lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % dimensions] += 1 if h >> 31 else -1
-            n = np.linalg.norm(v)
-            return (v / n if n else v).tolist()
-
-        return texts.map(one)
-
-    return embed
-
-
 def json_contains(column: str, wanted: dict) -> Column:
     """Whether a JSON object has each key with an equal value of the same type; objects are
     compared key by key, a number equals another way to write it."""
