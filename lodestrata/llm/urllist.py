@@ -9,7 +9,9 @@ whose interval holds the time of the capture.  The most specific pattern decides
 allowance beats a block of the same pattern.
 
 Edge cases: a null or unparseable URL, or one without time, is under no entry and is
-not blocked; entries without kind, pattern or date are ignored; of several entries with
+not blocked; entries without kind, pattern or date are ignored; patterns may be written as URLs,
+with a leading dot or a final slash (``normalised``); hosts and paths are compared without case, as
+lists write them; of several entries with
 one date for the same pattern and category the last in the order remove, block, allow
 stands, and repeated ones count once; repeated captures each get a row, told apart by
 no more than their columns; a very long URL is split as a whole; an empty list blocks nothing,
@@ -23,11 +25,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def normalised(entries: DataFrame) -> DataFrame:
+    """(kind, pattern, category, verdict, since) with patterns as URLs are asked for: without scheme,
+    user, port, query, wildcard, outer dots and slashes, and in lower case.  A path entry that names no
+    path is one of its host; an entry that names no host is left out."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim("pattern"), "^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[?#][\s\S]*$", "")
+    site = F.regexp_extract(bare, r"^(?:[^/@]*@)?(?:\*\.|\.)*([^/:]*?)\.*(?::[0-9]*)?(?:/|$)", 1)
+    steps = F.filter(F.split(F.regexp_extract(bare, r"^[^/]*(/[\s\S]*)$", 1), "/"), lambda x: x != "")
+    deep = (F.col("kind") == "path") & (F.size(steps) > 0)
+    kind = F.when((F.col("kind") == "path") & ~deep, "host").otherwise(F.col("kind"))
+    pattern = F.lower(F.when(deep, F.concat_ws("/", site, F.array_join(steps, "/"))).otherwise(site))
+    return entries.where(site != "").select(kind.alias("kind"), pattern.alias("pattern"), "category", "verdict", "since")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(kind, pattern, category, verdict, valid_from, valid_to); an open end is null."""
     strength = F.when(F.col("verdict") == "allow", 2).when(F.col("verdict") == "block", 1).otherwise(0)
-    named = entries.where("kind is not null and pattern is not null and since is not null")
-    daily = named.groupBy("kind", F.lower("pattern").alias("pattern"), F.coalesce("category", F.lit("")).alias("category"), "since").agg(F.max(strength).alias("strength"))
+    named = normalised(entries.where("kind is not null and pattern is not null and since is not null"))
+    daily = named.groupBy("kind", "pattern", F.coalesce("category", F.lit("")).alias("category"), "since").agg(F.max(strength).alias("strength"))
     following = Window.partitionBy("kind", "pattern", "category").orderBy("since")
     ended = daily.withColumn("valid_to", F.lead("since").over(following)).where("strength > 0")
     return ended.select("kind", "pattern", "category", F.when(F.col("strength") == 2, "allow").otherwise("block").alias("verdict"), F.col("since").alias("valid_from"), "valid_to")

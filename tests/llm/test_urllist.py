@@ -43,3 +43,23 @@ def test_deep_path_entries(spark):
     got = {r.page_id: r for r in urllist.judged(spark.createDataFrame(captures, CAPTURE), spark.createDataFrame(entries, ENTRY)).collect()}
     assert {k: r.blocked for k, r in got.items()} == {1: True, 2: True, 3: False, 4: False}
     assert got[1].rule == deep and got[1].n_active == 2 and got[3].rule == "site.example/a/b" and got[4].rule is None
+
+
+def test_entries_are_normalised(spark):
+    written = {
+        ("path", "x.example/a/"): "http://x.example/a/b", ("domain", ".z.example"): "http://w.z.example/", ("host", "https://v.example"): "https://v.example/q", ("domain", "*.Star.example."): "http://star.example",
+        ("host", "http://u:p@port.example:8080/ignored?x#y"): "http://port.example/", ("path", "https://p.example//A//b/?q=1"): "http://p.example/a/b/c", ("path", "only.example/"): "http://only.example/z", ("domain", " spaced.example "): "http://spaced.example",
+    }
+    entries = [(k, p, "c", "block", T("2024-01-01")) for k, p in written] + [(k, p, "c", "block", T("2024-01-01")) for k, p in [("host", ""), ("domain", "..."), ("path", "/"), ("host", "https://"), ("unknown", "v.example")]]
+    captures = [(i, url, T("2024-02-01")) for i, url in enumerate(written.values())] + [(100, "http://z.examples", T("2024-02-01")), (101, "http://x.example/b", T("2024-02-01")), (102, "http://sub.v.example", T("2024-02-01"))]
+    got = {r.page_id: r for r in urllist.judged(spark.createDataFrame(captures, CAPTURE), spark.createDataFrame(entries, ENTRY)).collect()}
+    assert {k for k, r in got.items() if r.blocked} == set(range(len(written)))
+    assert got[5].rule == "p.example/a/b" and got[6].rule_kind == "host" and got[3].rule == "star.example"
+
+
+def test_long_urls(spark):
+    long = "http://" + ".".join(["l"] * 200) + ".long.example/" + "/".join(f"s{i}" for i in range(4000)) + "?" + "q" * 300_000
+    entries = [("domain", "long.example", "c", "block", T("2024-01-01")), ("path", "a.example/" + "/".join(["d"] * 50), "c", "block", T("2024-01-01"))]
+    captures = [(1, long, T("2024-02-01")), (2, "http://a.example/" + "d/" * 5000, T("2024-02-01"))]
+    got = {r.page_id: r for r in urllist.judged(spark.createDataFrame(captures, CAPTURE), spark.createDataFrame(entries, ENTRY)).collect()}
+    assert got[1].blocked and got[1].rule == "long.example" and got[2].blocked and got[2].rule_kind == "path"
