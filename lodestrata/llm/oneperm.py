@@ -98,8 +98,9 @@ def successors(keys: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its fingerprint, that of its edited text, and likenesses."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    given = given.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
-    keys = given.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max(F.length("text")).alias("n"))
+    # the id is part of the key, so that a collision of hashes can join no two ids
+    given = given.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("k"), "doc_id", "text")
+    keys = given.groupBy("k").agg(F.max(F.length("text")).alias("n")).select("k", "k.doc_id", "n")
     chain = stored(successors(keys))
     # both joins below read the texts in the same two columns, so that they share one shuffle
     own = given.select("k", "text")
