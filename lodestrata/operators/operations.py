@@ -94,7 +94,7 @@ def status_summary(runs: DataFrame, status: str, good: str) -> DataFrame:
     return runs.agg(F.count("*").alias("runs"), F.count_if(F.col(status) == good).alias("succeeded"), F.round(100.0 * F.count_if(F.col(status) == good) / F.count("*"), 1).alias("success_pct"))
 
 
-def status_counts(runs: DataFrame, status: str) -> DataFrame:
+def runs_by_status(runs: DataFrame, status: str) -> DataFrame:
     """(status, runs, share_pct): how many runs ended in each way."""
     counts = runs.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("runs"))
     return counts.withColumn("share_pct", F.round(100.0 * F.col("runs") / F.sum("runs").over(Window.partitionBy()), 1))

@@ -223,7 +223,7 @@ def pipeline_status(spark, sf):
 
 @query("select o_orderstatus as status, count(*) as runs, round(100.0 * count(*) / sum(count(*)) over (), 1) as share_pct from orders group by 1")
 def pipeline_status_counts(spark, sf):
-    return operations.status_counts(table(spark, sf, "orders"), "o_orderstatus")
+    return operations.runs_by_status(table(spark, sf, "orders"), "o_orderstatus")
 
 
 _CLASSES = ", ".join(f"case when regexp_matches(lower(column_name), '{'|'.join(p)}') then '{n}' end" for n, p in operations.COLUMN_CLASSES.items())

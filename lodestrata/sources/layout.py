@@ -75,10 +75,10 @@ def pack(spark: SparkSession, source: str, target: str, size: int) -> None:
     binned.repartitionById(count, F.col("_bin")).select("row.*").write.mode("overwrite").parquet(target)
 
 
-def upsert_buckets(incoming: DataFrame, root: str, key: str, content_hash: str, newest: str, buckets: int = BUCKETS, files: int = 1) -> dict[str, int]:
+def upsert_buckets(incoming: DataFrame, root: str, key: str, content_hash: str, newest: str, buckets: int = BUCKETS, files: int = 1, counted: bool = True) -> dict[str, int] | None:
     """Inserts and updates rows by ``key`` in a table kept in folders by a hash of the key; only the
     folders that incoming keys fall into are written anew.  Returns the counts of actions, which
-    the write itself observes.
+    the write itself observes, if they are ``counted`` (see ``writers.audited_append`` for what that takes).
 
     Of several incoming rows of a key the newest counts; one that is older than the stored row or
     has its hash is skipped, so a replay changes nothing.  Rows without a key are left out.
@@ -101,20 +101,21 @@ def upsert_buckets(incoming: DataFrame, root: str, key: str, content_hash: str,
     old = stored.select(F.col(key).alias("_key"), F.col(content_hash).alias("_hash"), F.col(newest).alias("_at"))
     stale = F.col("_hash").eqNullSafe(F.col(content_hash)) | F.coalesce(F.col("_at") > F.col(newest), F.lit(False))
     action = F.when(F.col("_key").isNull(), "insert").when(stale, "skip").otherwise("update")
-    seen = Observation()
     judged = rows.join(old, F.col(key) == F.col("_key"), "left").withColumn("_action", action)
-    judged = judged.observe(seen, *(F.count_if(F.col("_action") == a).alias(a) for a in counts))
+    seen = Observation() if counted else None
+    if seen is not None:
+        judged = judged.observe(seen, *(F.count_if(F.col("_action") == a).alias(a) for a in counts))
     changed = judged.where("_action <> 'skip'").select(*rows.columns)
     kept = stored.join(rows.join(old, (F.col(key) == F.col("_key")) & ~stale).select(F.col(key).alias("_new")), F.col(key) == F.col("_new"), "left_anti")
     merged = changed.unionByName(kept).repartition(len(touched) * files, "bucket", F.pmod(F.xxhash64(F.lit(1), key), F.lit(files)))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root)
-    return seen.get
+    return seen.get if seen is not None else None
 
 
 def bucketed_upsert(root: str, key: str, content_hash: str, newest: str, buckets: int = BUCKETS):
     """A ``merge`` for ``micro.upsert_sink`` that rewrites the touched buckets of each epoch."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        upsert_buckets(batch, root, key, content_hash, newest, buckets)
+        upsert_buckets(batch, root, key, content_hash, newest, buckets, counted=False)
 
     return merge

@@ -26,7 +26,12 @@ def audit(spark: SparkSession, rows: list[tuple], path: str) -> None:
 
 def audited_append(df: DataFrame, valid: Column, path: str, audit_path: str, run_id: str, name: str, finished_at) -> dict[str, int]:
     """Appends the valid rows and one audit row whose counts the write itself has observed, so
-    nothing is read twice.  A failed write leaves an audit row that says why, and raises."""
+    nothing is read twice.  A failed write leaves an audit row that says why, and raises.
+
+    In Spark 4.1 a session that has observed a write can no longer apply trained models (their tasks
+    hold the session, and its observations cannot be serialised): where both are needed, read
+    ``df`` in a session of its own, ``spark.newSession()``.
+    """
     seen, kept = Observation(), Observation()
     ok = F.coalesce(valid, F.lit(False))
     rows = df.observe(seen, F.count(F.lit(1)).alias("rows_read"), F.count_if(~ok).alias("rows_rejected")).where(ok)

@@ -39,7 +39,14 @@ def test_small_files_are_packed(spark, tmp_path):
     assert len(files) == 10 and sorted(spark.read.parquet(f"{tmp_path}/t").collect()) == sorted(df.collect())
 
 
-def test_upsert_rewrites_touched_buckets_alone(spark, tmp_path):
+@pytest.fixture
+def observing(spark):
+    """A session of its own, as observations stay in a session (see ``writers.audited_append``)."""
+    return spark.newSession()
+
+
+def test_upsert_rewrites_touched_buckets_alone(observing, tmp_path):
+    spark = observing
     schema, root = "k long, h string, at int, bucket2 string", f"{tmp_path}/t"
     first = spark.range(200).selectExpr("id as k", "'a' as h", "1 as at", "'x' as bucket2")
     assert layout.upsert_buckets(first.union(spark.createDataFrame([(None, "a", 1, "x")], schema)), root, "k", "h", "at", buckets=16) == {"insert": 200, "update": 0, "skip": 0}
@@ -67,9 +74,10 @@ def test_upsert_stream_by_bucket(spark, tmp_path):
     assert {(r.k, r.h) for r in spark.read.parquet(f"{tmp_path}/t").collect()} == {(1, "a"), (2, "b"), (3, "a")}
 
 
-def test_audit_counts_come_from_the_write(spark, tmp_path):
+def test_audit_counts_come_from_the_write(observing, tmp_path):
     import datetime
 
+    spark = observing
     df = spark.range(0, 1000, 1, 4).selectExpr("id", "if(id % 10 = 0, null, id) as v")
     sc, now = spark.sparkContext, datetime.datetime(2024, 1, 1)
     sc.setJobGroup("audited", "")
