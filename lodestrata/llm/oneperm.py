@@ -3,7 +3,8 @@
 Each shingle of five words is hashed once.  The top bits of a hash name its bin, and
 sorting the hashes of a text puts the least of each bin first.  An empty bin borrows
 from the first non-empty bin on its own probe sequence (optimal densification), and
-the low ``BITS`` bits of all bins, packed, are the fingerprint.  Two values agree by
+the low ``BITS`` bits of all bins, packed, are the fingerprint (the highest value of each bin marks its
+end and counts as no hash).  Two values agree by
 chance with probability 2^-BITS, and the likeness is corrected for that.
 
 Edge cases: a null text is empty; a text without words has the empty fingerprint,
@@ -45,37 +46,61 @@ def _ints(rows: list[list[int]]) -> Column:
     return F.expr("array(" + ",".join("array(" + ",".join(map(str, r)) + ")" for r in rows) + ")")
 
 
+def _longs(values: list[int]) -> Column:
+    return F.expr("array(" + ",".join(f"{v}L" for v in values) + ")")
+
+
+def _texts(values: list[str]) -> Column:
+    return F.expr("array(" + ",".join(f"'{v}'" for v in values) + ")")
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str, shingle: int = SHINGLE) -> DataFrame:
     """``df`` with the fingerprint of column ``text`` in column ``out``.
 
     Each step is a column of its own, as the lambdas of the next look into it often.
     """
-    w, s, m, b, d = (f"_{x}_{out}" for x in "wsmbd")
-    few, every = f"_few_{out}", f"_all_{out}"
+    w, s, d, f = (f"_{x}_{out}" for x in "wsdf")
     df = df.withColumn(w, F.array_remove(F.split(text, "[ \t-\r]+"), ""))
     grams = F.transform(F.sequence(F.lit(0), F.size(w) - shingle), lambda i: F.shiftrightunsigned(F.xxhash64(*(F.get(w, i + k) for k in range(shingle))), 1))
     whole = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(w, " ")), 1))
-    df = df.withColumn(s, F.sort_array(F.when(F.size(w) >= shingle, grams).when(F.size(w) > 0, whole).otherwise(F.array().cast("array<long>"))))
+    found = F.when(F.size(w) >= shingle, grams).when(F.size(w) > 0, whole).otherwise(F.array().cast("array<long>"))
     bin_of = 63 - BIN_BITS
+    # the highest value of each bin closes it, so that the first of every bin in sorted order is its least, or says that it is empty
+    df = df.withColumn(s, F.sort_array(F.concat(found, _longs([((b + 1) << bin_of) - 1 for b in range(BINS)]))))
     first = F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, bin_of) != F.shiftright(F.get(s, i - 1), bin_of)))
-    df = df.withColumn(m, first).withColumn(b, F.transform(m, lambda x: F.shiftright(x, bin_of).cast("int")))
-    df = df.withColumn(d, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.get(m, F.array_position(b, i) - 1)))
+    df = df.withColumn(d, F.transform(first, lambda x: F.when(x.bitwiseAND((1 << bin_of) - 1) != (1 << bin_of) - 1, x.bitwiseAND((1 << BITS) - 1).cast("int"))))
     table = probes()
-    df = df.withColumns({few: _ints([r[:FEW_PROBES] for r in table]), every: _ints(table)})
+    few, every = _ints([r[:FEW_PROBES] for r in table]), _ints(table)
+
+    def ask(order, i):
+        return F.get(d, F.get(F.filter(F.get(order, i), lambda t: F.get(d, t).isNotNull()), F.lit(0)))
+
+    df = df.withColumn(f, F.transform(d, lambda x, i: F.when(x.isNotNull(), x).otherwise(F.coalesce(ask(few, i), ask(every, i)))))
+    digits = _texts([f"{v:0{BITS // 4}x}" for v in range(1 << BITS)])
+    packed = F.array_join(F.transform(f, lambda x: F.get(digits, x)), "")
+    return df.withColumn(out, F.when(F.size(w) > 0, packed).otherwise("")).drop(w, s, d, f)
+
+
+def _folded(by: int):
+    return lambda x: x.bitwiseOR(F.shiftrightunsigned(x, by))
 
-    def ask(column):
-        return lambda i: F.get(d, F.get(F.filter(F.get(column, i), lambda t: F.get(d, t).isNotNull()), F.lit(0)))
 
-    filled = F.transform(d, lambda x, i: F.coalesce(x, ask(few)(i), ask(every)(i)))
-    packed = F.array_join(F.transform(filled, lambda x: F.lpad(F.hex(x.bitwiseAND((1 << BITS) - 1)), BITS // 4, "0")), "")
-    df = df.withColumn(out, F.when(F.size(w) > 0, F.lower(packed)).otherwise(""))
-    return df.drop(w, s, m, b, d, few, every)
+def differing(a: str, b: str) -> Column:
+    """How many bins differ, 64 bits of both fingerprints at a time: the bits of a bin in which
+    they differ are folded into its lowest one."""
+    digits = 16
+    longs = lambda c: F.transform(F.sequence(F.lit(1), F.lit(BINS * BITS // 4), F.lit(digits)), lambda i: F.conv(F.substr(F.col(c), i, F.lit(digits)), 16, -10).cast("long"))
+    bits, step = F.zip_with(longs(a), longs(b), lambda x, y: x.bitwiseXOR(y)), BITS // 2
+    while step:
+        bits = F.transform(bits, _folded(step))
+        step //= 2
+    lowest = sum(1 << k for k in range(0, 64, BITS))
+    return F.aggregate(bits, F.lit(0), lambda total, x: total + F.bit_count(x.bitwiseAND(lowest)))
 
 
 def likeness(a: str, b: str) -> Column:
     """Estimated resemblance of two fingerprints, corrected for chance agreement."""
-    width = BITS // 4
-    agree = F.size(F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.substr(F.col(a), i * width + 1, F.lit(width)) == F.substr(F.col(b), i * width + 1, F.lit(width))))
+    agree = BINS - differing(a, b)
     chance = 2.0**-BITS
     estimate = F.greatest(F.lit(0.0), (agree / F.lit(float(BINS)) - chance) / (1 - chance))
     return F.when(F.col(a) == F.col(b), 1.0).when((F.col(a) == "") | (F.col(b) == ""), 0.0).otherwise(estimate)
@@ -102,11 +127,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     given = given.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("k"), "doc_id", "text")
     keys = given.groupBy("k").agg(F.max(F.length("text")).alias("n")).select("k", "k.doc_id", "n")
     chain = stored(successors(keys))
-    # both joins below read the texts in the same two columns, so that they share one shuffle
-    own = given.select("k", "text")
+    # both joins below read the texts in the same two columns, so that they share one shuffle, whose
+    # partitions are not merged where they are small, as the work on a text is much more than its bytes
+    many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = given.select("k", "text").repartition(many, "k")
     quarter = F.floor(F.col("n") / 4).cast("int")
     asked = chain.select(F.col("next_k").alias("k"), F.col("k").alias("for_k"), "doc_id", quarter.alias("q"))
-    parts = own.join(asked, "k").select("for_k", "doc_id", F.expr("left(text, q)").alias("head"))
+    parts = own.join(asked, "k").select("for_k", "doc_id", F.expr("left(text, q)").alias("head")).repartition(many, "for_k")
     parts = parts.groupBy(F.col("for_k").alias("k")).agg(F.first("doc_id").alias("doc_id"), F.first("head").alias("head"))
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), "head")
