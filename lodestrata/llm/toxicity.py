@@ -37,7 +37,7 @@ from lodestrata.llm.folds import fold, held_out
 ORDER = 5
 WINDOW = 32
 DISCOUNT = 0.75
-MODEL_GRAMS = 3_000_000  # broadcast up to here; the rest is joined
+MODEL_GRAMS = 2_000_000  # broadcast up to here, in 50 MB each for n-grams and contexts; the rest is joined
 CALIBRATION_ROWS = 30_000
 CALIBRATION_FOLD = 4
 LABEL_ROWS = 1_000_000  # broadcast up to here; two numbers a row
@@ -144,10 +144,10 @@ def least_sent(df: DataFrame, most: int) -> int:
 
 class Lookup:
     """A hash table in two arrays, key -> value, with linear probing and a load of a
-    quarter at most."""
+    half at most."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        self.bits = max(10, int(np.ceil(np.log2(max(len(key), 1)))) + 2)
+        self.bits = max(10, int(np.ceil(np.log2(max(len(key), 1)))) + 1)
         self.key = np.full(1 << self.bits, -1, np.int64)
         self.value = np.zeros(1 << self.bits, np.float32)
         left, step = np.arange(len(key)), 0

@@ -1,5 +1,6 @@
+import zlib
 from collections import Counter, defaultdict
-from math import log
+from math import exp, log
 
 import numpy as np
 
@@ -96,3 +97,45 @@ def test_a_model_larger_than_what_is_sent_scores_the_same(spark):
     for r in got:
         assert abs(r.llr - brute_llr(rows, asked[r.i] or "")) < 1e-3
         assert r.n == whole[r.i].n and abs(r.peak - whole[r.i].peak) < 1e-6
+
+
+def brute_scores(docs, labels, order=5):
+    """All of ``toxicity`` with dictionaries and loops, but for the fit of the curve's five weights."""
+    fold = lambda d: zlib.crc32(str(d).encode()) % 5
+    marks = {}
+    for d, x in labels:
+        marks[d] = max(marks.get(d, 0), x)
+    taught = [(d, t, marks[d] > 0) for d, t in docs if d in marks and fold(d) != 0]
+    model = [(t, x) for d, t, x in taught if fold(d) != toxicity.CALIBRATION_FOLD]
+    known: dict = {}
+
+    def measures(text):
+        b = text.lower()
+        parts = [b[i : i + order] for i in range(len(b) - order + 1)]
+        v = [known[g] if g in known else known.setdefault(g, brute_llr(model, g)) for g in parts]
+        stretches = [sum(v[i : i + toxicity.WINDOW]) for i in range(len(v) - toxicity.WINDOW + 1)] or [sum(v)]
+        n = max(len(v), 1)
+        return [1, 100 * sum(v) / n, sum(v) / n**0.5, log(n), 10 * max(stretches) / toxicity.WINDOW]
+
+    judged = [(measures(t), x) for d, t, x in taught if fold(d) == toxicity.CALIBRATION_FOLD]
+    w = toxicity.calibrate(np.array([m for m, _ in judged]), np.array([float(x) for _, x in judged]))
+    return {d: 1 / (1 + exp(-sum(a * b for a, b in zip(w, measures(t))))) for d, t in docs}
+
+
+def test_score_and_peak_match_brute_force(spark):
+    docs, labels = corpus(80, seed=9)
+    docs = [(d, t[:150]) for d, t in docs]
+    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    want = brute_scores(docs, labels)
+    assert len(got) == len(want) and len(set(want.values())) > 60
+    for r in got:
+        assert abs(r.score / want[r.doc_id] - 1) < 1e-3
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_the_curve_is_where_its_gradient_is_zero():
+    rng = np.random.default_rng(2)
+    x = np.c_[np.ones(200), rng.normal(size=(200, 3))]
+    y = (x @ [0.3, 1.0, -2.0, 0.0] + rng.logistic(size=200) > 0).astype(float)
+    w = toxicity.calibrate(x, y)
+    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-x @ w))) - 1e-2 * w).max() < 1e-6
