@@ -37,9 +37,12 @@ SHARDS_AT_ONCE = 64  # shards that one row of a source text serves
 HOT_FROM = 500  # occurrences from which a gram is hot
 HOT_HERE = 4
 HOT_FLUSH = 4_000_000
+HOT_SHARE = 256  # of this many grams that are rarer than HOT_HERE in a flush, one is reported for all
+HOT_REPORTS = 8  # such reports from which they count
+HOT_TABLE = 1 << 25  # bytes that the flags of hot grams take at most
+ASKED_DOCS = 1_000_000  # documents asked for a passage up to which their ids are broadcast
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64((1 << 32) - 1)
-_TOP = np.uint64(1 << 63)
 
 _tables: dict = {}  # what a task has computed; a plain dict travels with the functions
 
@@ -168,7 +171,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def contexts(s: Symbols, window: int, gram: int, hot: np.ndarray | None = None):
     """(gram hash, text, first symbol, windows) of each anchor's context.
 
-    A gram is hot if the table ``hot`` (a power of two of flags) says so for its last bits;
+    A gram is hot if the table ``hot`` (a power of two of bytes, a flag in each bit) says so for its last bits;
     what anchors a window thus depends on nothing but the window.
     """
     none = np.zeros(0, np.int64)
@@ -177,7 +180,8 @@ def contexts(s: Symbols, window: int, gram: int, hot: np.ndarray | None = None):
     g = mixed(Prefix(s.value).grams(gram))
     key = g >> np.uint64(1)
     if hot is not None and len(hot):
-        key |= np.where(hot[g & np.uint64(len(hot) - 1)], _TOP, np.uint64(0))
+        flag = hot[(g >> np.uint64(3)) & np.uint64(len(hot) - 1)] >> (g & np.uint64(7)).astype(np.uint8) & 1
+        key |= flag.astype(np.uint64) << np.uint64(63)
     key = (key & ~_LOW) | np.arange(len(g), dtype=np.uint64)
     anchor = (sliding_min(key, window - gram + 1) & _LOW).astype(np.int64)
     doc = np.repeat(np.arange(len(s.first) - 1), np.diff(s.first))
@@ -191,12 +195,14 @@ def contexts(s: Symbols, window: int, gram: int, hot: np.ndarray | None = None):
 
 
 def hot_grams(docs: DataFrame, unit: Unit) -> tuple[np.ndarray, int]:
-    """The table of hot grams (a flag for each value of their last bits), and the bytes of all texts.
+    """The table of hot grams (a bit for each value of their last bits), and the bytes of all texts.
 
     A partition sends the grams that ``HOT_FLUSH`` of its grams have ``HOT_HERE`` times or more; most
-    are ruled out by a count per bucket of hashes.  A gram that is rarer everywhere stays below, which
-    costs time, not results.  The bound for a hot gram grows with the corpus beyond 16 GB, so
-    that no more than some millions are hot.
+    are ruled out by a count per bucket of hashes.  Of the rarer ones each flush reports one in
+    ``HOT_SHARE``, chosen by hash of the gram and the flush, so that a gram that is rare in every flush
+    but has very many of them is found, too.  One that is missed costs time, not results.
+    The bound for a hot gram is a power of two times ``HOT_FROM``: the first with which the table, of 64
+    bits or more for each hot gram, stays within ``HOT_TABLE`` bytes.
     """
     buckets = np.uint64((1 << 22) - 1)
 
@@ -206,9 +212,13 @@ def hot_grams(docs: DataFrame, unit: Unit) -> tuple[np.ndarray, int]:
         def often():
             g = np.concatenate(kept)
             full = np.bincount((g & buckets).view(np.int64), minlength=int(buckets) + 1) >= HOT_HERE
+            turn = mixed(g[:1] + np.uint64(len(g))) % np.uint64(HOT_SHARE)
+            rare = g[(g >> np.uint64(40)) % np.uint64(HOT_SHARE) == turn]
             g, n = np.unique(g[full[g & buckets]], return_counts=True)
             ok = n >= HOT_HERE
-            return pa.RecordBatch.from_arrays([pa.array(g[ok].view(np.int64)), pa.array(n[ok])], ["h", "n"])
+            rare, m = np.unique(rare[~np.isin(rare, g[ok])], return_counts=True)
+            exact = np.r_[n[ok], np.zeros(len(m), np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[g[ok], rare].view(np.int64)), pa.array(exact), pa.array(np.r_[np.zeros(len(n[ok]), np.int64), m])], ["h", "n", "m"])
 
         for b in batches:
             data, at = utf8(b.column(0))
@@ -223,14 +233,22 @@ def hot_grams(docs: DataFrame, unit: Unit) -> tuple[np.ndarray, int]:
                     kept, rows = [], 0
         if rows:
             yield often()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([size], pa.int64())], ["h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([size], pa.int64()), pa.array([0], pa.int64())], ["h", "n", "m"])
 
-    counts = stored(docs.where("doc_id is not null and text is not null").select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"h is null or n >= {HOT_FROM}"))
+    texts = docs.where("doc_id is not null and text is not null").select("text")
+    sums = texts.mapInArrow(run, "h long, n long, m long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    total = F.col("n") + F.when(F.col("m") >= HOT_REPORTS, F.col("m") * HOT_SHARE).otherwise(0)
+    counts = stored(sums.select("h", total.alias("n")).where(f"h is null or n >= {HOT_FROM}"))
     size = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
-    found = counts.where(f"h is not null and n >= {max(HOT_FROM, size >> 25)}").select("h").toArrow().column(0).to_numpy()
-    flags = np.zeros(1 << max(10, len(found).bit_length() + 6) if len(found) else 0, bool)
+    hot = counts.where("h is not null").select("h", F.floor(F.log2(F.col("n") / HOT_FROM)).alias("level"))
+    levels, most, least = {r.level: r["count"] for r in hot.groupBy("level").count().collect()}, HOT_TABLE // 8, 0
+    while sum(n for level, n in levels.items() if level >= least) > most:
+        least += 1
+    found = hot.where(F.col("level") >= least).select("h").toArrow().column(0).to_numpy().view(np.uint64)
+    flags = np.zeros(1 << max(10, len(found).bit_length() + 3) if len(found) else 0, np.uint8)
     if len(found):
-        flags[found.view(np.uint64) & np.uint64(len(flags) - 1)] = True
+        flags = flags[: max(HOT_TABLE, 1)]
+        np.bitwise_or.at(flags, (found >> np.uint64(3)) & np.uint64(len(flags) - 1), np.uint8(1) << (found & np.uint64(7)).astype(np.uint8))
     return flags, size
 
 
@@ -303,8 +321,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def cut(docs: DataFrame, asked: DataFrame, unit: Unit, carried: list[str]) -> DataFrame:
     """``asked`` (doc_id, th, lo, n, ...) -> its ``carried`` columns and body: the symbols of n
-    windows from lo on, words joined by one space.  Equal rows of ``docs`` answer once."""
+    windows from lo on, words joined by one space.  Equal rows of ``docs`` answer once.  Texts
+    that nothing is asked of are left out before the shuffle, if those asked are few enough to be told to all tasks."""
     names = ["doc_id", "th", "lo", "n", *carried]
+    few_docs = stored(asked.select("doc_id").distinct().limit(ASKED_DOCS + 1))
+    few_docs = few_docs if few_docs.count() <= ASKED_DOCS else None
     per_doc = asked.groupBy("doc_id", "th", *(["part"] if "part" in asked.columns else [])).agg(F.collect_list(F.struct("lo", "n", *carried)).alias("asked"))
     kind = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
 
@@ -325,7 +346,10 @@ def cut(docs: DataFrame, asked: DataFrame, unit: Unit, carried: list[str]) -> Da
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(flat.field(k) for k in range(2 + len(carried))), pa.array(body, pa.binary())], [*names, "body"])
 
-    texts = docs.where("doc_id is not null and text is not null").groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    texts = docs.where("doc_id is not null and text is not null")
+    if few_docs is not None:
+        texts = texts.join(F.broadcast(few_docs), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
     return texts.join(per_doc, ["doc_id", "th"]).select("doc_id", "th", "text", "asked").mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in names) + ", body binary")
 
 

@@ -151,3 +151,36 @@ def test_a_line_with_other_text_around_it_makes_no_large_group(spark, monkeypatc
     monkeypatch.setattr(repeats, "HOT_FROM", 20)
     assert largest() < 40
     assert sorted((tuple(r) for r in module.deduplicated(df).collect()), key=key) == want
+
+
+def test_hot_grams_across_flushes_and_within_the_table(spark, monkeypatch):
+    """A phrase that no flush holds often is found by its reports; a table that is full takes the more frequent."""
+    unit = phrases.unit_of(50)
+    line = " ".join(f"same{i}" for i in range(unit.gram))
+    other = " ".join(f"next{i}" for i in range(unit.gram))
+    rows = [(i, f"a{i} {line} b{i} " + (other if i % 8 == 0 else f"c{i}")) for i in range(2000)]
+    own = repeats.keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text")
+
+    def bits():
+        return int(np.unpackbits(repeats.hot_grams(own, unit)[0]).sum())
+
+    monkeypatch.setattr(repeats, "HOT_FROM", 100)
+    assert bits() == 2
+    monkeypatch.setattr(repeats, "HOT_TABLE", 8)  # room for one
+    assert bits() == 1
+    monkeypatch.undo()
+    monkeypatch.setattr(repeats, "HOT_FROM", 100)
+    monkeypatch.setattr(repeats, "HOT_HERE", 10**9)  # nothing is often in any flush
+    monkeypatch.setattr(repeats, "HOT_SHARE", 2)
+    monkeypatch.setattr(repeats, "HOT_FLUSH", 200)
+    assert bits() >= 2
+
+
+@pytest.mark.parametrize("asked", [0, 10**6])
+def test_texts_not_asked_for_may_be_left_out(spark, monkeypatch, asked):
+    monkeypatch.setattr(repeats, "ASKED_DOCS", asked)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(60))) for i in range(20)], "doc_id long, text string")
+    own = repeats.keyed(docs, "doc_id", "text")
+    want = own.where("doc_id in (3, 7)").selectExpr("doc_id", "th", "1 as lo", "2 as n")
+    got = {r.doc_id: bytes(r.body).decode() for r in repeats.cut(own, want, phrases.unit_of(50), []).collect()}
+    assert got == {d: " ".join(f"w{d}_{k}" for k in range(1, 52)) for d in (3, 7)}
