@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -83,10 +84,20 @@ def sectioned(heads: DataFrame, key: str, sections: dict[str, DataFrame]) -> Dat
     return heads.join(entries, F.col(key) == F.col("_key"), "left").select(key, text.alias("text"))
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many decimals, rounded from the exact value of the double as C does;
+    Java's ``%.nf`` rounds the shortest decimal that stands for it, so 0.15 becomes 0.2."""
+    d = value.cast("double")
+    finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf"))
+    return F.when(finite, F.call_function("format_number", d, F.lit("0." + "0" * places))).otherwise(d.cast("string"))
+
+
 def said(form: str, *columns: str | Column) -> Column:
     """The columns in a text; none where any of them is missing."""
     values = [F.col(c) if isinstance(c, str) else c for c in columns]
-    return F.when(reduce(lambda a, b: a & b, (v.isNotNull() for v in values)), F.format_string(form, *values))
+    places = re.findall(r"%(?:\.(\d+)f|[ds])", form.replace("%%", ""))
+    shown = [fixed(v, int(n)) if n else v for v, n in zip(values, places, strict=True)]
+    return F.when(reduce(lambda a, b: a & b, (v.isNotNull() for v in values)), F.format_string(re.sub(r"%\.\d+f", "%s", form), *shown))
 
 
 def customer_sections(orders: DataFrame, products: DataFrame, trend: DataFrame, opportunities: DataFrame, cases: DataFrame, contacts: DataFrame, as_of: str, days: int = 180, recent: int = 8) -> dict[str, DataFrame]:
