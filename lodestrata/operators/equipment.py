@@ -39,6 +39,17 @@ def health_label(score: Column, scale: str = "documents") -> Column:
     return banded(score, HEALTH_SCALES[scale])
 
 
+def health_score(readings: DataFrame) -> DataFrame:
+    """(equipment_id, score): the whole part of the mean value, within 0 to 100.
+
+    The mean is of decimals, so a whole one is whole in every order of the rows; values that
+    a decimal does not hold leave it to doubles.
+    """
+    exact = F.col("value").try_cast("decimal(28,10)")
+    mean = F.when(F.count(exact) == F.count("value"), F.floor(F.avg(exact)).cast("long")).otherwise(F.floor(F.avg("value")))
+    return readings.groupBy("equipment_id").agg((mean % 101).alias("score"))
+
+
 def week_end(ts: Column) -> Column:
     """The Sunday that ends the week."""
     return F.date_add(F.date_trunc("week", ts).cast("date"), 6)

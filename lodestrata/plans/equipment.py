@@ -114,7 +114,7 @@ _SCORE = "score as (select equipment_id, cast(floor(avg(value)) as bigint) % 101
 
 @query(READ_SQL + f", {_SCORE} select *, case when score < 25 then 'Critical' when score < 50 then 'Warning' when score < 75 then 'Good' else 'Excellent' end as label, case when score < 20 then 'Critical' when score < 40 then 'Poor' when score < 60 then 'Fair' when score < 80 then 'Good' else 'Excellent' end as agent_label from score")
 def health_label(spark, sf):
-    score = readings(spark, sf).groupBy("equipment_id").agg((F.floor(F.avg("value")) % 101).alias("score"))
+    score = equipment.health_score(readings(spark, sf))
     return score.select("*", equipment.health_label(F.col("score")).alias("label"), equipment.health_label(F.col("score"), "agent").alias("agent_label"))
 
 
