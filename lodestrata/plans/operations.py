@@ -134,7 +134,7 @@ select 'equipment_' || key as doc_id, text from documents_"""
 @query(_EQUIPMENT_DOCS)
 def equipment_documents(spark, sf):
     r = readings(spark, sf)
-    score = r.groupBy("equipment_id").agg((F.floor(F.avg("value")) % 101).alias("score")).withColumn("label", equipment.health_label(F.col("score")))
+    score = equipment.health_score(r).withColumn("label", equipment.health_label(F.col("score")))
     ranges = F.broadcast(spark.createDataFrame(_SENSOR_RANGES, "sensor string, low double, high double"))  # a row a kind of sensor
     return customer360.equipment_documents(score, customer360.equipment_sections(r, equipment_events(spark, sf), ranges))
 
