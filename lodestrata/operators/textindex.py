@@ -1,8 +1,8 @@
 """Keyword search over an inverted index: term -> (document, places), stored by term.
 
-``write`` stems every text once and lays the posting lists out in folders by a hash of the
-term, ranged and sorted by term and document, so that a list that is long is cut over several
-files.  ``search`` reads the folders and, by the files' statistics, the parts of its own terms
+``write`` stems every text once, makes its lists in the task that has it, and lays them out in
+folders by a hash of the term, by one shuffle; each folder's lists are cut by a hash of the
+document over several tasks and files, and sorted by term and document.  ``search`` reads the folders and, by the files' statistics, the parts of its own terms
 alone; no text is read or stemmed again.
 
 Edge cases: a null or empty text has no postings; a null id is left out; of repeated rows with
@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ from lodestrata.functions import english
 
 WORD_BREAK = r"[^\p{L}\p{M}\p{N}]+"
 BUCKETS = 64
+PARTS = 16
+WORDS_AT_ONCE = 1 << 19
 #: Fixed value: the weight of a term in a text without sections.
 WEIGHT = 0.1
 
@@ -38,40 +40,60 @@ def query_terms(text: str) -> list[str]:
     return list(dict.fromkeys(english.stem(w) for w in found if w not in english.STOP_WORDS))
 
 
-def stemmed(docs: DataFrame) -> DataFrame:
-    """(id, words) with each word's stem in its place; stop words are empty, so that places stay.
-
-    Only the different words of a batch are stemmed.
-    """
-    stops = frozenset(english.STOP_WORDS)
-
-    def run(batches):
-        for b in batches:
-            lists = b.column(1)
-            coded = lists.flatten().dictionary_encode()
-            stems = pa.array(["" if w in stops else english.stem(w) for w in coded.dictionary.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(_starts(lists), stems.take(coded.indices))], ["id", "words"])
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _starts(lists: pa.ListArray) -> pa.Array:
-    starts = lists.offsets
-    return pc.subtract(starts, starts[0]) if len(starts) else pa.array([0], pa.int32())
-
-
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """(term, id, places): the places of each term in each document, from 0 and in order."""
+    """(term, id, places): the places of each term in each text, from 0 and in order; stop words
+    are left out, but keep their places.  An id that several rows have has lists for each of them."""
     own = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words")).where("id is not null")
-    placed = stemmed(own).select("id", F.posexplode("words").alias("place", "term")).where("term <> ''")
-    return placed.groupBy("term", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return own.mapInArrow(_listed, own.select(F.lit("").alias("term"), "id", F.array(F.lit(0)).alias("places")).schema)
+
+
+def _listed(batches):
+    """Texts are taken up to ``WORDS_AT_ONCE`` words at a time; their different words alone are stemmed."""
+    stops = frozenset(english.STOP_WORDS)
+    for b in batches:
+        offsets = np.asarray(b.column(1).offsets).astype(np.int64)
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + WORDS_AT_ONCE, "right")) - 1)
+            yield from _lists_of(b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo).flatten(), np.diff(offsets[lo : hi + 1]), stops)
+            lo = hi
+
+
+def _lists_of(ids: pa.Array, flat: pa.Array, sizes: np.ndarray, stops: frozenset):
+    coded = flat.dictionary_encode()
+    terms: dict[str, int] = {}
+    number = np.array([-1 if w in stops else terms.setdefault(english.stem(w), len(terms)) for w in coded.dictionary.to_pylist()], np.int64)
+    if not terms:
+        return
+    term = number[coded.indices.to_numpy()]
+    place = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = np.flatnonzero(term >= 0)
+    key = (np.repeat(np.arange(len(sizes)), sizes) * len(terms) + term)[kept]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    row, of = np.divmod(key[first], len(terms))
+    places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)].astype(np.int32)), pa.array(place[kept][order].astype(np.int32)))
+    yield pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()).take(pa.array(of)), ids.take(pa.array(row)), places], ["term", "id", "places"])
+
+
+def _part() -> Column:
+    """A hash of the id within ``PARTS``: cuts the lists of a frequent term over as many tasks."""
+    return F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")
 
 
 def write(docs: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "overwrite", **columns) -> None:
     """Stores the lists of ``docs`` at ``path``; ``append`` adds the lists of more documents."""
-    rows = postings(docs, **columns).withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
-    order = ["bucket", "term", "id"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("bucket").parquet(path)
+    bucket = (F.crc32(F.col("term").cast("binary")) % buckets).cast("int")
+    rows = postings(docs, **columns).select("term", "id", "places", bucket.alias("bucket"), _part())
+    rows.repartition("bucket", "part").drop("part").sortWithinPartitions("bucket", "term", "id").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def dictionary(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """(term, documents, places): how many documents and places each term has."""
+    rows = postings(docs, id_col, text_col).select("term", "id", F.size("places").alias("n"), _part())
+    each = rows.repartition("term", "part").groupBy("term", "part", "id").agg(F.sum("n").alias("n"))
+    return each.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("places"))
 
 
 def lists(spark: SparkSession, path: str, terms: list[str], buckets: int = BUCKETS) -> DataFrame:

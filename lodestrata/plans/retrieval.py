@@ -125,8 +125,7 @@ def keyword_topk(spark, sf):
 @query(f"with {_keyword_sql()} select s as term, count(*) as documents, cast(sum(n) as bigint) as places from (select id, s, count(*) as n from spread join stems using (w) group by id, s) group by s")
 def text_index_terms(spark, sf):
     """The dictionary of the index: how many documents and places each term has."""
-    lists = textindex.postings(table(spark, sf, "documents"), "doc_id", "text")
-    return lists.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("places")).alias("places"))
+    return textindex.dictionary(table(spark, sf, "documents"), "doc_id", "text")
 
 
 def _hybrid_sql(candidates, least):

@@ -1,6 +1,7 @@
 import math
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,28 @@ def test_empty_table(spark, tmp_path):
     assert textindex.search(textindex.postings(none), "pump", 3).count() == 0
     assert retrieval.keyword(none, "pump", 3).count() == 0
     assert not math.isnan(sum(brute(TEXTS, "pump").values()))
+
+
+def test_repeated_ids_and_long_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "WORDS_AT_ONCE", 3)
+    texts = [(1, "pump leak pump"), (1, "the leak of a pump"), (2, "of the"), (3, None), (4, "leaking " * 9), (5, ""), (6, "pump")]
+    batch = pa.RecordBatch.from_pylist([{"id": i, "words": (t or "").split()} for i, t in texts], pa.schema([("id", pa.int64()), ("words", pa.list_(pa.string()))]))
+    found = [r for part in textindex._listed([batch.slice(0, 4), batch.slice(4)]) for r in part.to_pylist()]
+    assert [(r["term"], r["id"], r["places"]) for r in found] == [
+        ("pump", 1, [0, 2]), ("leak", 1, [1]), ("leak", 1, [1]), ("pump", 1, [4]), ("leak", 4, list(range(9))), ("pump", 6, [0]),
+    ]
+    df = spark.createDataFrame(texts, "id long, content string")
+    assert sorted(map(tuple, textindex.dictionary(df).collect())) == [("leak", 2, 11), ("pump", 2, 4)]
+    textindex.write(df, f"{tmp_path}/i")
+    assert {r.id for r in textindex.search_stored(spark, f"{tmp_path}/i", "pump leak", None).collect()} == {1}
+
+
+def test_texts_are_shuffled_once_and_stemmed_once(spark, tmp_path):
+    """Lists are made where the text is: no row a place, and no second pass for the bounds of ranges."""
+    seen = spark.sparkContext.accumulator(0)
+    docs = spark.createDataFrame(TEXTS, "id long, content string").coalesce(2)
+    count = lambda batches: (seen.add(b.num_rows) or b for b in batches)
+    textindex.write(docs.mapInArrow(count, docs.schema), f"{tmp_path}/i")
+    assert seen.value == len(TEXTS)
+    plan = textindex.postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
