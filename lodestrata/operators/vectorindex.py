@@ -23,8 +23,9 @@ from pyspark.sql.window import Window
 TRAIN_ROWS = 1 << 16
 MOST_CELLS = 4096
 PARTS = 16  # bytes of a code
-BLOCK_ROWS = 1 << 18
-QUERIES_AT_ONCE = 64
+BLOCK_ROWS = 1 << 16
+TURNS = 4  # tasks over which the queries of a block are dealt
+QUERIES_AT_ONCE = 32
 REFINE = 10  # candidates for each wanted row
 ROUNDS = 15
 
@@ -158,31 +159,46 @@ def search(queries: DataFrame, path: str, k: int, probes: int, id_col: str = "id
         return asked.selectExpr("id as query_id", "0 as rank", "0L as id", "0.0D as similarity").limit(0)
     wanted = k * refine
 
+    rows = spark.read.schema("id long, code binary, unit array<double>, cell int").parquet(f"{path}/rows")
+    counts = sorted((r[0], r[1]) for r in rows.groupBy("cell").agg(F.count(F.lit(1))).collect())  # a row a cell at most
+    first, blocks = _blocks(counts, block_rows, len(model.cells))
+    held_in = first >= 0
+
     def route(batches):
         for b in batches:
             at, x = directions(b.column(1), model.width)
             near = np.argsort(-(x @ model.cells.T), axis=1, kind="stable")[:, :probes]
-            ids = b.column(0).take(pa.array(np.repeat(at, near.shape[1])))
-            unit = np.repeat(x, near.shape[1], axis=0)
+            who, cell = np.repeat(np.arange(len(at)), near.shape[1]), near.ravel()
+            who, cell = who[held_in[cell]], cell[held_in[cell]]
+            times = blocks[cell]
+            block = np.repeat(first[cell] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            who, cell = np.repeat(who, times), np.repeat(cell, times)
+            order = np.lexsort((cell, block, who))
+            who, cell, block = who[order], cell[order], block[order]
+            new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (block[1:] != block[:-1])][: len(who)])
+            cells = pa.ListArray.from_arrays(pa.array(np.r_[new, len(who)].astype(np.int32)), pa.array(cell.astype(np.int32)))
+            unit = x[who[new]]
             units = pa.ListArray.from_arrays(pa.array((np.arange(len(unit) + 1) * model.width).astype(np.int32)), pa.array(unit.ravel()))
-            yield pa.RecordBatch.from_arrays([ids, units, pa.array(near.ravel().astype(np.int32))], ["id", "unit", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[who[new]])), units, cells, pa.array(block[new].astype(np.int32))], ["id", "unit", "cells", "block"])
 
-    routed = asked.mapInArrow(route, "id long, unit array<double>, cell int")
-    rows = spark.read.schema("id long, code binary, unit array<double>, cell int").parquet(f"{path}/rows")
-    needed = [r[0] for r in routed.select("cell").distinct().collect()]  # one row a cell at most: folders to read
-    rows = rows.where(F.col("cell").isin(needed)) if needed else rows.limit(0)
-    counts = {r[0]: -(-r[1] // block_rows) for r in rows.groupBy("cell").agg(F.count(F.lit(1))).collect()}
-    if not counts:
+    routed = asked.mapInArrow(route, "id long, unit array<double>, cells array<int>, block int")
+    needed = [r[0] for r in routed.select(F.explode("cells")).distinct().collect()]  # one row a cell at most: folders to read
+    if not needed:
         return asked.selectExpr("id as query_id", "0 as rank", "0L as id", "0.0D as similarity").limit(0)
-    blocks = F.create_map(*(F.lit(x) for kv in counts.items() for x in kv))
-    held = rows.selectExpr("cell", "0 as kind", "id", "code", "cast(null as array<double>) as unit").withColumn("block", F.pmod(F.xxhash64("id"), F.element_at(blocks, F.col("cell"))))
-    sent = routed.where(F.col("cell").isin(list(counts))).select("cell", F.lit(1).alias("kind"), "id", F.lit(None).cast("binary").alias("code"), "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(blocks, F.col("cell")).cast("long") - 1)).alias("block"))
-    both = held.unionByName(sent).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
+    rows = rows.where(F.col("cell").isin(needed))
+    own = lambda values: F.element_at(F.lit(values.tolist()), F.col("cell") + 1)
+    turn = F.pmod(F.xxhash64("id"), F.lit(TURNS)).cast("int").alias("turn")
+    held = rows.select(
+        (own(first) + F.pmod(F.xxhash64("id"), own(blocks))).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("turn"),
+        F.lit(0).alias("kind"), "id", "code", F.lit(None).cast("array<double>").alias("unit"), F.array("cell").alias("cells"),
+    )
+    sent = routed.select("block", turn, F.lit(1).alias("kind"), "id", F.lit(None).cast("binary").alias("code"), "unit", "cells")
+    both = held.unionByName(sent).repartition("block", "turn").sortWithinPartitions("block", "turn", "kind", "id")
     found = both.mapInArrow(_scanner(model, wanted), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     some = found.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= wanted)
     whole = rows.select(F.col("id").alias("row_id"), F.col("unit").alias("row_unit"))
-    units = routed.select(F.col("id").alias("own_id"), F.col("unit").alias("own_unit")).dropDuplicates(["own_id"])
+    units = asked.mapInArrow(_units(model.width), "own_id long, own_unit array<double>")
     exact = some.join(whole, F.col("id") == F.col("row_id")).join(units, F.col("query_id") == F.col("own_id"))
     product = F.aggregate(F.zip_with("row_unit", "own_unit", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     ranked = exact.groupBy("query_id", "id").agg(F.max(product).alias("similarity"))
@@ -190,36 +206,71 @@ def search(queries: DataFrame, path: str, k: int, probes: int, id_col: str = "id
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 
 
+def _units(width: int):
+    def run(batches):
+        for b in batches:
+            at, x = directions(b.column(1), width)
+            units = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * width).astype(np.int32)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), units], ["own_id", "own_unit"])
+
+    return run
+
+
+def _blocks(counts: list[tuple[int, int]], block_rows: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first block (-1: it has no rows) and the number of its blocks: cells share a
+    block of up to ``block_rows`` rows, a larger cell has several of its own."""
+    first, blocks, at, used = np.full(cells, -1), np.ones(cells, np.int64), 0, 0
+    for cell, n in counts:
+        if used and used + n > block_rows:
+            at, used = at + 1, 0
+        first[cell], blocks[cell] = at, -(-n // block_rows)
+        at, used = (at, used + n) if n <= block_rows else (at + blocks[cell], 0)
+    return first, blocks
+
+
 def _scanner(model: Model, wanted: int):
-    """Blocks come one after the other, a block's codes before its queries."""
+    """Blocks come one after the other, a block's codes before its queries; of a query and a block
+    the best rows go on, from those of its cells."""
     parts = len(model.books)
 
-    def scored(cell, ids, codes, asked):
+    def scored(cells, ids, codes, asked):
         at, x = directions(asked.column("unit"), model.width)
         tables = np.einsum("qpd,pkd->pqk", model.parts(x), model.books)
-        score = (x @ model.cells[cell])[:, None] + sum(tables[p][:, codes[:, p]] for p in range(parts))
+        here, own = np.unique(cells, return_inverse=True)
+        base = np.full((len(x), len(here)), -np.inf)
+        lists = asked.column("cells")
+        who, cell = np.repeat(np.arange(len(x)), np.diff(np.asarray(lists.offsets))), lists.flatten().to_numpy()
+        known = np.isin(cell, here)
+        who, cell = who[known], cell[known]
+        base[who, np.searchsorted(here, cell)] = np.einsum("nd,nd->n", x[who], model.cells[cell])
+        score = base[:, own]
+        for p in range(parts):
+            score += tables[p][:, codes[:, p]]
         top = np.argpartition(-score, min(wanted, len(ids)) - 1, axis=1)[:, :wanted]
-        who = asked.column("id").take(pa.array(np.repeat(at, top.shape[1])))
-        return pa.RecordBatch.from_arrays([who, pa.array(ids[top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel())], ["query_id", "id", "score"])
+        best = np.take_along_axis(score, top, 1).ravel()
+        ok = np.isfinite(best)
+        who = asked.column("id").take(pa.array(np.repeat(at, top.shape[1])[ok]))
+        return pa.RecordBatch.from_arrays([who, pa.array(ids[top].ravel()[ok]), pa.array(best[ok])], ["query_id", "id", "score"])
 
     def run(batches):
-        at, ids, codes = None, [], []
+        at, cells, ids, codes = None, [], [], []
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.stack([b.column("cell").to_numpy(), b.column("block").to_numpy(), b.column("kind").to_numpy()])
+            key = np.stack([b.column(c).to_numpy() for c in ("block", "turn", "kind")])
             starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
             for lo, hi in zip(starts, np.r_[starts[1:], b.num_rows]):
-                part, (cell, block, kind) = b.slice(lo, hi - lo), key[:, lo]
-                if (cell, block) != at:
-                    at, ids, codes = (cell, block), [], []
+                part, (block, turn, kind) = b.slice(lo, hi - lo), key[:, lo]
+                if (block, turn) != at:
+                    at, cells, ids, codes = (block, turn), [], [], []
                 if kind == 0:
+                    cells.append(part.column("cells").flatten().to_numpy())
                     ids.append(part.column("id").to_numpy())
                     codes.append(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(-1, parts))
                 elif ids:
                     if len(ids) > 1:
-                        ids, codes = [np.concatenate(ids)], [np.concatenate(codes)]
-                    for first in range(0, part.num_rows, QUERIES_AT_ONCE):
-                        yield scored(cell, ids[0], codes[0], part.slice(first, QUERIES_AT_ONCE))
+                        cells, ids, codes = [np.concatenate(cells)], [np.concatenate(ids)], [np.concatenate(codes)]
+                    for start in range(0, part.num_rows, QUERIES_AT_ONCE):
+                        yield scored(cells[0], ids[0], codes[0], part.slice(start, QUERIES_AT_ONCE))
 
     return run

@@ -66,3 +66,13 @@ def test_empty(spark, tmp_path):
     assert vectorindex.search(none, f"{tmp_path}/i", 3, 2).count() == 0
     vectorindex.add(spark.createDataFrame([(1, [1.0, 2.0])], "id long, embedding array<double>"), f"{tmp_path}/i")
     assert vectorindex.search(spark.createDataFrame([(9, [1.0, 2.0])], "id long, embedding array<double>"), f"{tmp_path}/i", 3, 2).first().id == 1
+
+
+def test_cells_share_blocks_and_a_query_goes_once_to_each(spark, tmp_path):
+    first, blocks = vectorindex._blocks([(0, 3), (2, 4), (3, 25), (4, 9), (5, 1)], 10, 7)
+    assert first.tolist() == [0, -1, 0, 1, 4, 4, -1] and blocks.tolist() == [1, 1, 1, 3, 1, 1, 1]
+    rows = vectors(300)
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    vectorindex.build(df, f"{tmp_path}/i", cells=12)
+    found = [sorted(map(tuple, vectorindex.search(df.where("id < 20"), f"{tmp_path}/i", 3, 5, refine=60, block_rows=n).collect())) for n in (7, 100, 1000)]
+    assert len(found[0]) == 60 and [r[:3] for r in found[0]] == [r[:3] for r in found[1]] == [r[:3] for r in found[2]]
