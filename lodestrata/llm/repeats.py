@@ -11,6 +11,8 @@ if it has no other gram.  So a line that a third of all texts share does not gat
 it: windows that reach beyond the line have their anchors there, and windows inside it are
 equal contexts, of which the first stands for all.  A gram with still more different
 contexts than a shard holds is settled window by window in one more shuffle.
+A text that repeats itself with a short period has one context per period, all of them equal:
+they are one row with their number, ``times``, so that no row is made for each period.
 
 Digests only say where to look.  ``claims`` are stretches of a text with the place where
 they are said to have occurred first; texts are dealt out to shards, each shard is
@@ -252,7 +254,14 @@ def hot_grams(docs: DataFrame, unit: Unit) -> tuple[np.ndarray, int]:
     return flags, size
 
 
-ANCHOR = "key long, h long, dg long, doc_id long, th int, lo int, n int, known boolean"
+ANCHOR = "key long, h long, dg long, doc_id long, th int, lo int, n int, times int, known boolean"
+
+
+def periods(h: np.ndarray, dg: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts in the order of the texts: the first of each run of equal ones (those of a text leave no
+    window out, so each begins ``n`` windows after the one before), and how many these are."""
+    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (dg[1:] != dg[:-1]) | (doc[1:] != doc[:-1]) | (n[1:] != n[:-1])][: len(h)])
+    return new, np.diff(np.r_[new, len(h)])
 
 
 def anchors(docs: DataFrame, unit: Unit, hot: np.ndarray) -> DataFrame:
@@ -273,10 +282,12 @@ def anchors(docs: DataFrame, unit: Unit, hot: np.ndarray) -> DataFrame:
             for lo, hi in pieces(at, SLICE):
                 s = symbols(data, at[lo : hi + 1], unit.words)
                 h, d, start, n = contexts(s, unit.window, unit.gram, held.value)
-                found.append((h, s.digests(start, start + n + (unit.window - 1)), d + lo, start - s.first[d], n))
+                dg = s.digests(start, start + n + (unit.window - 1))
+                new, times = periods(h, dg, d, n)
+                found.append((h[new], dg[new], d[new] + lo, (start - s.first[d])[new], n[new], times))
             if not found:
                 continue
-            h, dg, row, start, n = (np.concatenate(x) for x in zip(*found))
+            h, dg, row, start, n, times = (np.concatenate(x) for x in zip(*found))
             doc = b.column(0).to_numpy(zero_copy_only=False)[row]
             same = mixed(h.view(np.uint64) * np.uint64(3) ^ dg.view(np.uint64))
             order = np.lexsort((start, doc, same))
@@ -288,8 +299,8 @@ def anchors(docs: DataFrame, unit: Unit, hot: np.ndarray) -> DataFrame:
             own = mixed(doc.astype(np.uint64) << np.uint64(24) ^ start.astype(np.uint64)).view(np.int64)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(known, own, h)), pa.array(h), pa.array(dg), b.column(0).take(take), b.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(known)],
-                ["key", "h", "dg", "doc_id", "th", "lo", "n", "known"],
+                [pa.array(np.where(known, own, h)), pa.array(h), pa.array(dg), b.column(0).take(take), b.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (start, n, times)), pa.array(known)],
+                ["key", "h", "dg", "doc_id", "th", "lo", "n", "times", "known"],
             )
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(run, ANCHOR)
@@ -304,11 +315,11 @@ def recurring(rows: DataFrame) -> DataFrame:
     gram = Window.partitionBy("key")
     src = F.first(F.struct("doc_id", "th", "lo")).over(equal)
     marked = rows.repartition("key").withColumns({"src": src, "rank": F.row_number().over(equal)})
-    marked = marked.withColumn("copied", F.count("*").over(all_equal) > 1)
-    marked = marked.withColumns({"rows": F.count("*").over(gram), "several": F.min("dg").over(gram) != F.max("dg").over(gram)}).where("known or rows > 1")
+    marked = marked.withColumn("copied", F.sum("times").over(all_equal) > 1)
+    marked = marked.withColumns({"rows": F.sum("times").over(gram), "several": F.min("dg").over(gram) != F.max("dg").over(gram)}).where("known or rows > 1")
     of = lambda c: F.when(~F.col("known"), F.col(c))
     return marked.select(
-        "h", "dg", "doc_id", "th", "lo", "n", "known", of("src.doc_id").alias("src_doc"), of("src.th").alias("src_th"), of("src.lo").alias("src_lo"),
+        "h", "dg", "doc_id", "th", "lo", "n", "times", "known", of("src.doc_id").alias("src_doc"), of("src.th").alias("src_th"), of("src.lo").alias("src_lo"),
         of("rank").alias("rank"), of("copied").alias("copied"), of("several").alias("several"),
     )
 
@@ -426,18 +437,21 @@ FOUND = "h long, dg long, at int, n int, src_doc long, src_th int, src_lo int"
 
 
 def joined_runs(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, lo, n, src_doc, src_th, src_lo) with neighbouring ones made one where
-    their sources are neighbours too."""
+    """Rows (keys, lo, n, src_doc, src_th, src_lo, src_n) with neighbouring ones made one where
+    their sources are neighbours too; rows of more windows than their source (``src_n``) stay."""
     w = Window.partitionBy(*keys).orderBy("lo", "src_doc", "src_th", "src_lo")
     follows = (
         (F.lag(F.col("lo") + F.col("n")).over(w) == F.col("lo"))
         & (F.lag("src_doc").over(w) == F.col("src_doc"))
         & (F.lag("src_th").over(w) == F.col("src_th"))
         & (F.lag(F.col("src_lo") - F.col("lo")).over(w) == F.col("src_lo") - F.col("lo"))
+        & F.lag(F.col("n") == F.col("src_n")).over(w)
+        & (F.col("n") == F.col("src_n"))
     )
     run = F.sum(F.when(follows, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     parts = df.withColumn("run", run).groupBy(*keys, "run")
-    return parts.agg(F.min("lo").alias("lo"), F.sum("n").cast("int").alias("n"), F.first("src_doc").alias("src_doc"), F.first("src_th").alias("src_th"), F.min("src_lo").alias("src_lo")).drop("run")
+    total = [F.sum(c).cast("int").alias(c) for c in ("n", "src_n")]
+    return parts.agg(F.min("lo").alias("lo"), *total, F.first("src_doc").alias("src_doc"), F.first("src_th").alias("src_th"), F.min("src_lo").alias("src_lo")).drop("run")
 
 
 def by_window(bodies: DataFrame, unit: Unit) -> DataFrame:
@@ -466,8 +480,8 @@ def by_window(bodies: DataFrame, unit: Unit) -> DataFrame:
     if unit.same_text_counts:
         earlier = earlier | ((F.col("src.doc_id") == F.col("doc_id")) & (F.col("src.lo") < F.col("from") + F.col("at")))
     rows = windows.join(first, ["w1", "w2"]).where(earlier | F.col("copied"))
-    rows = rows.select("h", "dg", F.col("at").alias("lo"), F.lit(1).alias("n"), F.col("src.doc_id").alias("src_doc"), F.col("src.th").alias("src_th"), F.col("src.lo").alias("src_lo"))
-    return joined_runs(rows, ["h", "dg"]).withColumnRenamed("lo", "at")
+    rows = rows.select("h", "dg", F.col("at").alias("lo"), F.lit(1).alias("n"), F.col("src.doc_id").alias("src_doc"), F.col("src.th").alias("src_th"), F.col("src.lo").alias("src_lo"), F.lit(1).alias("src_n"))
+    return joined_runs(rows, ["h", "dg"]).drop("src_n").withColumnRenamed("lo", "at")
 
 
 def settled(docs: DataFrame, found: DataFrame, unit: Unit) -> DataFrame:
@@ -498,22 +512,26 @@ def settled(docs: DataFrame, found: DataFrame, unit: Unit) -> DataFrame:
 
 
 def claims(docs: DataFrame, unit: Unit) -> tuple[DataFrame, int]:
-    """(shard, doc_id, th, lo, n, src_doc, src_th, src_lo): n windows from lo on that are
-    said to have occurred first in src_doc from src_lo on; and the number of shards."""
+    """(shard, doc_id, th, lo, n, src_doc, src_th, src_lo, src_n): n windows from lo on that are
+    said to have occurred first among the src_n (all n, or the period in which they recur) of src_doc
+    from src_lo on; and the number of shards."""
     hot, size = hot_grams(docs, unit)
     shards = max(1, -(-size // SHARD_TEXT))
     found = stored(recurring(anchors(docs, unit, hot)))
     several = stored(settled(docs, found, unit))
     once = found.where("not known and not several and copied and rank = 1")
     verdict = several.unionByName(once.select("h", "dg", F.lit(0).alias("at"), "n", "src_doc", "src_th", "src_lo"))
-    direct = found.where("not known and not several and rank > 1").select("doc_id", "th", "lo", "n", "src_doc", "src_th", "src_lo")
-    asking = found.where("known or several").select("h", "dg", "doc_id", "th", F.col("lo").alias("from"))
-    answered = asking.join(verdict, ["h", "dg"]).select("doc_id", "th", (F.col("from") + F.col("at")).alias("lo"), "n", "src_doc", "src_th", "src_lo")
-    earlier = F.col("src_doc") < F.col("doc_id")
+    source = ["src_doc", "src_th", "src_lo", F.col("n").alias("src_n")]
+    direct = found.where("not known and not several and (rank > 1 or times > 1)").select("doc_id", "th", "lo", F.col("n").alias("step"), "times", *source)
+    asking = found.where("known or several").select("h", "dg", "doc_id", "th", F.col("lo").alias("from"), F.col("n").alias("step"), "times")
+    answered = asking.join(verdict, ["h", "dg"]).select("doc_id", "th", (F.col("from") + F.col("at")).alias("lo"), "step", "times", *source)
+    # of ``times`` contexts, ``step`` windows apart, those count that begin after the source
+    late = F.when(F.col("src_doc") < F.col("doc_id"), F.lit(0))
     if unit.same_text_counts:
-        earlier = earlier | ((F.col("src_doc") == F.col("doc_id")) & (F.col("src_lo") < F.col("lo")))
-    every = joined_runs(direct.unionByName(answered).where(earlier), ["doc_id", "th"])
-    return stored(every.withColumn("shard", shard_of(shards))), shards
+        late = late.when(F.col("src_doc") == F.col("doc_id"), F.greatest(F.lit(0), F.floor((F.col("src_lo") - F.col("lo")) / F.col("step")).cast("int") + 1))
+    every = direct.unionByName(answered).withColumn("late", late).where("late < times")
+    every = every.select("doc_id", "th", F.expr("lo + late * step as lo"), F.expr("(times - late - 1) * step + src_n as n"), "src_doc", "src_th", "src_lo", "src_n")
+    return stored(joined_runs(every, ["doc_id", "th"]).withColumn("shard", shard_of(shards))), shards
 
 
 def shard_of(shards: int):
@@ -522,7 +540,7 @@ def shard_of(shards: int):
 
 def passages(docs: DataFrame, claimed: DataFrame, unit: Unit) -> DataFrame:
     """(shard, doc_id, th, lo, n, body): the passages that the texts of each shard claim."""
-    asked = claimed.select("shard", F.col("src_doc").alias("doc_id"), F.col("src_th").alias("th"), F.col("src_lo").alias("lo"), "n").distinct()
+    asked = claimed.select("shard", F.col("src_doc").alias("doc_id"), F.col("src_th").alias("th"), F.col("src_lo").alias("lo"), F.col("src_n").alias("n")).distinct()
     return cut(docs, asked.withColumn("part", F.floor(F.col("shard") / SHARDS_AT_ONCE)), unit, ["shard"])
 
 

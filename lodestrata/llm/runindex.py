@@ -147,6 +147,16 @@ def pieced(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return which, at, np.minimum(PIECE, size[which] - at)
 
 
+def united(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (text, start, windows), those of one text that overlap or touch made one."""
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], (start + n)[order]
+    far = int(stop.max(initial=0)) + 1
+    reach = np.maximum.accumulate(row * far + stop)
+    new = np.flatnonzero(np.r_[True, row[1:] * far + start[1:] > reach[:-1]][: len(row)])
+    return row[new], start[new], np.maximum.reduceat(stop, new) - start[new] if len(new) else stop
+
+
 def indexed(bodies: list[bytes], source: np.ndarray, start: np.ndarray, window: int):
     """The index of passages, each of which lies at ``start`` of ``source``, and (source, start)
     of every position of its text.  Passages of one source that overlap are indexed once."""
@@ -174,8 +184,9 @@ def repeats_of(bodies, source, start, texts: list[bytes], docs: np.ndarray, aske
     if not bodies or not len(asked[0]):
         return none
     index, src, pos = indexed(bodies, source, start, window)
-    which, at, n = pieced(asked[2])
-    row, lo = asked[0][which], asked[1][which] + at
+    row, begin, size = united(*asked)
+    which, at, n = pieced(size)
+    row, lo = row[which], begin[which] + at
     pattern = np.frombuffer(b"".join(texts[r][a : a + k + window - 1] for r, a, k in zip(row.tolist(), lo.tolist(), n.tolist())), np.uint8)
     sizes = n + window - 1
     stop = np.cumsum(sizes)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lodestrata.llm import phrases, repeats, runindex
+from tests.llm.test_runindex import brute as brute_bytes
 
 
 def brute_words(rows, window=50):
@@ -184,3 +185,16 @@ def test_texts_not_asked_for_may_be_left_out(spark, monkeypatch, asked):
     want = own.where("doc_id in (3, 7)").selectExpr("doc_id", "th", "1 as lo", "2 as n")
     got = {r.doc_id: bytes(r.body).decode() for r in repeats.cut(own, want, phrases.unit_of(50), []).collect()}
     assert got == {d: " ".join(f"w{d}_{k}" for k in range(1, 52)) for d in (3, 7)}
+
+
+@pytest.mark.parametrize("module", [phrases, runindex])
+def test_a_short_period_makes_no_row_for_each_turn(spark, module):
+    """A line that texts repeat hundreds of times is one row of each, as are the claims that come of it."""
+    rows = [(i, f"start{i} " + "Is onhe. " * 300 + f"end{i}") for i in range(12)] + [(20, "Is onhe. " * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    unit = module.unit_of(module.WINDOW)
+    own = repeats.keyed(df, "doc_id", "text")
+    assert repeats.anchors(own, unit, np.zeros(0, np.uint8)).count() < 10 * len(rows)
+    assert repeats.claims(own, unit)[0].count() < 10 * len(rows)
+    brute = brute_words if module is phrases else brute_bytes
+    assert sorted(tuple(r) for r in module.deduplicated(df).collect()) == sorted(brute(rows))
