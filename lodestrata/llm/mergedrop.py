@@ -45,7 +45,7 @@ MOST_IDS = 8_000_000  # their pieces, likewise
 BYTES_AT_ONCE = 1 << 20
 _SEGMENT = re.compile(r" *[^ ]+| +")
 _ALL = (1 << 64) - 1
-_NO = np.int64(1) << 62
+_NO = np.int32((1 << 31) - 1)
 
 
 class Vocabulary:
@@ -67,7 +67,7 @@ class Vocabulary:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 plain[p] = i
                 self.bytes_of[i] = p.replace("▁", " ").encode()
-        self.char_id = np.full(0x110000, -1, np.int64)
+        self.char_id = np.full(0x110000, -1, np.int32)
         for p, i in plain.items():
             if len(p) == 1:
                 self.char_id[ord(p)] = i
@@ -81,7 +81,7 @@ class Vocabulary:
                 if a is not None and b is not None:
                     merges[a << 32 | b] = (rank[score[i]], i)
         self.key = np.array(sorted(merges), np.int64)
-        self.rank, self.merged = (np.array([merges[k][j] for k in self.key.tolist()], np.int64) for j in (0, 1))
+        self.rank, self.merged = (np.array([merges[k][j] for k in self.key.tolist()], np.int32) for j in (0, 1))
 
     def merges(self) -> dict[int, tuple[int, int]]:
         """Pair -> rank and merged piece."""
@@ -110,7 +110,7 @@ def _mix_one(x: int) -> int:
 
 
 def checksums(segments: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(s.encode()) for s in segments), np.uint64, len(segments))
+    return np.fromiter(map(zlib.crc32, map(str.encode, segments)), np.uint64, len(segments))
 
 
 def occurrence_keys(crc: np.ndarray, documents: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
@@ -187,49 +187,60 @@ def ragged(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pairs(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rank (``_NO`` if there is no merge) and merged piece of neighbours."""
-    pair = (left << 32) | right
+    pair = (left.astype(np.int64) << 32) | right
     at = np.minimum(np.searchsorted(v.key, pair), len(v.key) - 1)
     ok = (v.key[at] == pair) & (left >= 0) & (right >= 0)
     return np.where(ok, v.rank[at], _NO), v.merged[at]
 
 
+def edges(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin, as a mask."""
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
 def agendas(v: Vocabulary, segments: list[str], skips: np.ndarray, depth: np.ndarray):
     """Many agendas at once, each of which skips its own ``depth`` candidates (rows of ``skips``, in the
     order of their pops) and no others -> (segment, candidate) of all pops after the last
     skip, in order; and the pieces, with the number of each segment's."""
     chars = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
-    sizes = np.array([len(x) for x in segments])
-    own = np.repeat(np.arange(len(segments)), sizes)
-    start = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    stop, sym, point = start + 1, v.char_id[chars], chars.astype(np.int64)
-    rank, made = np.full(len(chars), _NO), np.zeros(len(chars), np.int64)
+    # arrays of 32 bits, as each pop moves them all; a character outside the vocabulary is in no pair, so it is where it was
+    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+    begin = np.cumsum(sizes) - sizes
+    own = np.repeat(np.arange(len(segments), dtype=np.int32), sizes)
+    start = (np.arange(len(chars)) - np.repeat(begin, sizes)).astype(np.int32)
+    stop, sym = start + np.int32(1), v.char_id[chars]
+    rank, made = np.full(len(chars), _NO), np.zeros(len(chars), np.int32)
     inner = np.flatnonzero(own[1:] == own[:-1])
     rank[inner], made[inner] = pairs(v, sym[inner], sym[inner + 1])
     seen, done, path = np.zeros(len(segments), np.int64), [], []
     while len(own):
-        new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        best = np.minimum.reduceat(rank, new)
-        least = np.repeat(best, np.diff(np.r_[new, len(own)]))
+        new = np.flatnonzero(edges(own))
+        least = np.repeat(np.minimum.reduceat(rank, new), np.diff(new, append=len(own)))
         over = least == _NO
         if over.any():
-            done.append((own[over], sym[over], point[over]))
-            own, start, stop, sym, point, rank, made, least = (x[~over] for x in (own, start, stop, sym, point, rank, made, least))
+            done.append((own[over], sym[over], start[over]))
+            left = np.flatnonzero(~over)
+            own, start, stop, sym, rank, made, least = (x.take(left) for x in (own, start, stop, sym, rank, made, least))
             if not len(own):
                 break
         pop = np.flatnonzero(rank == least)
-        pop = pop[np.r_[True, own[pop[1:]] != own[pop[:-1]]]]
+        pop = pop[edges(own[pop])]
         who = own[pop]
-        cand = start[pop] << 42 | start[pop + 1] << 21 | stop[pop + 1]
+        cand = start[pop].astype(np.int64) << 42 | start[pop + 1].astype(np.int64) << 21 | stop[pop + 1]
         skip = seen[who] < depth[who]
         if skips.shape[1]:
             skip &= skips[who, np.minimum(seen[who], skips.shape[1] - 1)] == cand
         else:
             skip[:] = False
-        rank[pop[skip]] = _NO
-        seen[who[skip]] += 1
-        pop, who, cand = pop[~skip], who[~skip], cand[~skip]
-        if not len(pop):
-            continue
+        if skip.any():
+            rank[pop[skip]] = _NO
+            seen[who[skip]] += 1
+            pop, who, cand = pop[~skip], who[~skip], cand[~skip]
+            if not len(pop):
+                continue
         after = seen[who] == depth[who]
         path.append((who[after], cand[after]))
         sym[pop], stop[pop] = made[pop], stop[pop + 1]
@@ -243,13 +254,14 @@ def agendas(v: Vocabulary, segments: list[str], skips: np.ndarray, depth: np.nda
         rank[a], made[a] = pairs(v, sym[a], sym[b])
         keep = np.ones(len(own), bool)
         keep[pop + 1] = False
-        own, start, stop, sym, point, rank, made = (x[keep] for x in (own, start, stop, sym, point, rank, made))
-    own, sym, point = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64),) * 3
+        keep = np.flatnonzero(keep)
+        own, start, stop, sym, rank, made = (x.take(keep) for x in (own, start, stop, sym, rank, made))
+    own, sym, start = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int32),) * 3
     order = np.argsort(own, kind="stable")
-    own, sym, point = own[order], sym[order], point[order]
+    own, sym, start = own[order], sym[order], start[order]
     odd = np.flatnonzero(sym < 0)
     if len(odd):  # characters outside the vocabulary become their bytes
-        spelt = [[v.byte_id[b] for b in chr(c).encode()] for c in point[odd].tolist()]
+        spelt = [[v.byte_id[b] for b in chr(c).encode()] for c in chars[begin[own[odd]] + start[odd]].tolist()]
         n = np.ones(len(own), np.int64)
         n[odd] = [len(x) for x in spelt]
         at = np.cumsum(n) - n
@@ -324,7 +336,7 @@ class Encoder:
         flat = [s for own in parts for s in own]
         new = set(flat).difference(self.number)
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         sizes = np.array([len(x) for x in parts], np.int64)
         which = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
         places, own = ragged(np.zeros(len(sizes), np.int64), sizes)

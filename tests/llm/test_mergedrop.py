@@ -108,3 +108,12 @@ def test_what_is_remembered_equals_the_agenda(texts, dropout):
             own = m._SEGMENT.findall(" " + t) if t else []
             keys = m.occurrence_keys(m.checksums(own), np.full(len(own), d, np.uint64), np.arange(len(own), dtype=np.uint64), 5).tolist()
             assert ids.tolist() == [i for s, k in zip(own, keys) for i in agenda(s, k, dropout)]
+
+
+def test_agendas_move_32_bits_and_spell_odd_characters_where_they_stand():
+    assert {x.dtype for x in (V.char_id, V.rank, V.merged)} == {np.dtype(np.int32)}
+    words = ["a😀b", "the", "😀z\x00", "internationalization", " 　é"]
+    none = np.zeros(len(words), np.int64)
+    who, cand, ids, n = m.agendas(V, words, np.zeros((len(words), 0), np.int64), none)
+    assert np.split(ids, np.cumsum(n)[:-1])[0].dtype == np.int32 and cand.dtype == np.int64
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [agenda(w, 0, 0.0) for w in words]
