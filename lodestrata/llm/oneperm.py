@@ -130,7 +130,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # both joins below read the texts in the same two columns, so that they share one shuffle, whose
     # partitions are not merged where they are small, as the work on a text is much more than its bytes
     many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = given.select("k", "text").repartition(many, "k")
+    # and whose key has the type of the stored one to the letter: a cast in a join would shuffle the texts once more
+    own = given.select(F.col("k").cast(chain.schema["k"].dataType).alias("k"), "text").repartition(many, "k")
     quarter = F.floor(F.col("n") / 4).cast("int")
     asked = chain.select(F.col("next_k").alias("k"), F.col("k").alias("for_k"), "doc_id", quarter.alias("q"))
     parts = own.join(asked, "k").select("for_k", "doc_id", F.expr("left(text, q)").alias("head")).repartition(many, "for_k")

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from lodestrata.llm import oneperm
+from lodestrata.llm.common import stored
 
 
 def true_likeness(a, b):
@@ -72,3 +73,16 @@ def test_repeated_rows_null_ids_and_small_tables(spark):
     alone = oneperm.fingerprints(spark.createDataFrame([(3, "only one document here now")], "doc_id long, text string")).first()
     assert alone.near_next == 1.0
     assert oneperm.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """The joins by key find the texts dealt out by it; a cast of the key would have them shuffled again."""
+    plans = []
+    monkeypatch.setattr(oneperm, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    oneperm.fingerprints(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    made = plans[-1]
+    assert "edited_sha256" in made and "SortMergeJoin" in made
+    assert made.count("ENSURE_REQUIREMENTS") == 1 and "cast(k" not in made  # that of the places asked
