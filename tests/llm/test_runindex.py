@@ -107,3 +107,9 @@ def test_long_text(spark):
 
 def test_empty_table(spark):
     assert runindex.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stretches_that_touch_are_streamed_once():
+    row, start, n = (np.array(x) for x in zip((1, 0, 40), (0, 5, 10), (1, 10, 30), (0, 15, 5), (0, 21, 2), (0, 6, 3), (2, 0, 1)))
+    assert [x.tolist() for x in runindex.united(row, start, n)] == [[0, 0, 1, 2], [5, 21, 0, 0], [15, 2, 40, 1]]
+    assert all(len(x) == 0 for x in runindex.united(*(np.zeros(0, np.int64),) * 3))
