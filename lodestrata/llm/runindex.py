@@ -6,9 +6,10 @@ dealt out to shards.  The passages that a shard's texts claim are indexed: their
 Burrows-Wheeler transform is kept as runs with the suffix positions sampled at both ends
 of each run.  The claimed stretches of all texts, copies included, are streamed backwards
 through it for their matching statistics, the length of the longest match of each
-position and one place of it.  A match is extended while the run holds the next byte;
-where it does not, the sampled ends of the neighbouring runs of that byte give the
-places whose match, cut back to what they share, goes on.  A string whose match reaches 100
+position and one place of it.  A match is extended while the byte before its place is the next
+one, many bytes at a time; where it is not, the sampled ends of the neighbouring runs of
+that byte give the places whose match, cut back to what they share, goes on.  So steps are
+taken for the places where matches break off, not for each byte.  A string whose match reaches 100
 bytes at a place of the corpus before its own is removed.  As places and lengths come from
 the bytes themselves, no hash removes anything.
 
@@ -34,6 +35,7 @@ WINDOW = 100
 GRAM = 16
 SHARD_BYTES = 1 << 18
 PIECE = 512  # windows of a passage that are indexed, or streamed, together
+COMPARED = 1 << 19  # bytes that are compared at once, about
 BORDER = 255  # never a byte of UTF-8
 
 
@@ -41,46 +43,48 @@ def unit_of(window: int) -> Unit:
     return Unit(False, window, min(GRAM, window), True, SHARD_BYTES)
 
 
-def suffix_ranks(text: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
-    """Dense ranks of all suffixes by their first ``depth`` bytes at least.  A suffix ends with its
-    border, ``left`` bytes from its start.  Three ranks of the first 8, 24, 72, ... bytes make
-    a key where they fit into 63 bits, two otherwise."""
+def suffix_order(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order, and the place of each in it.  A suffix ends with its border, ``left`` bytes
+    from its start; equal ones stand in the order of the text.  A round sorts only those that are
+    not told apart yet, by three ranks of the first 8, 24, 72, ... bytes where these fit
+    into 63 bits, by two otherwise."""
     n = len(text)
-    padded = np.r_[text, np.zeros(8, np.uint8)]
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = key << np.uint64(8) | np.where(left > i, padded[i : i + n], 0).astype(np.uint64)
+    first = np.ndarray(n, ">u8", np.r_[text, np.zeros(8, np.uint8)], strides=(1,)).astype(np.uint64)
+    key = first & (np.uint64((1 << 64) - 1) << (8 * (8 - np.minimum(left, 8))).astype(np.uint64))
     bits = (n + 1).bit_length()
     many, k = 3 if 3 * bits <= 63 else 2, 8
-    while True:
-        order = np.argsort(key)
-        own = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, own[1:] != own[:-1]])
-        if k >= depth or rank[order[-1]] == n - 1:
-            return rank
-        key = (rank + 1).astype(np.uint64)
-        for i in range(1, many):
-            key <<= np.uint64(bits)
-            if i * k < n:
-                key[: n - i * k] |= np.where(left[: n - i * k] > i * k, rank[i * k :] + 1, 0).astype(np.uint64)
+    order, rank = np.empty(n, np.int32), np.empty(n, np.int32)
+    slot = at = np.arange(n, dtype=np.int32)
+    while len(at):
+        by = np.argsort(key)
+        at, own = at[by], key[by]
+        new = np.r_[True, own[1:] != own[:-1]]
+        order[slot] = at
+        rank[at] = slot[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        tied = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        slot, at = slot[tied], at[tied]
+        # equal ones have all met their border, or none has
+        key = rank[at].astype(np.int64) << bits | np.where(left[at] > k, rank[np.minimum(at + k, n - 1)], at)
+        for i in range(2, many):
+            key = key << bits | np.where(left[at] > i * k, rank[np.minimum(at + i * k, n - 1)], 0)
         k *= many
+    return order, rank
 
 
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of texts that each end in a border; suffixes
     that are equal up to their borders stand in the order of the texts.
 
-    Held are the text, and of each run, in the order of their characters, then of
-    their rows: its character, first row and length, the number of characters that sort
-    before its own, and the suffix positions at its first and last row.
+    Held are the text, the row of each suffix, and of each run, in the order of their
+    characters, then of their rows: its character, first row and length, and the suffix
+    positions at its first and last row.
     """
 
     def __init__(self, text: np.ndarray):
         n = len(text)
         borders = np.flatnonzero(text == BORDER)
-        left = borders[np.searchsorted(borders, np.arange(n))] - np.arange(n) + 1
-        sa = np.argsort(suffix_ranks(text, left, int(left.max())) * n + np.arange(n))
+        left = np.repeat(borders, np.diff(np.r_[-1, borders])) - np.arange(n) + 1
+        sa, self.row = suffix_order(text, left)
         bwt = text[sa - 1]  # the first suffix is preceded by the last border
         edge = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         length = np.diff(np.r_[edge, n])
@@ -88,55 +92,52 @@ class RunIndex:
         self.text, self.n = text, n
         self.head, self.start, self.length = bwt[edge][by].astype(np.int64), edge[by], length[by]
         self.key = self.head * n + self.start
-        self.base = np.cumsum(self.length) - self.length
         self.first_sample, self.last_sample = sa[edge][by], sa[edge + length - 1][by]
 
-    def shared(self, pattern: np.ndarray, at: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Bytes that pattern[at:] and text[place:] share, up to ``most``."""
-        out, live, k = np.zeros(len(at), np.int64), np.flatnonzero(most > 0), 0
+    def shared(self, pattern: np.ndarray, at: np.ndarray, place: np.ndarray, most: np.ndarray, step: int = 1) -> np.ndarray:
+        """Bytes that pattern[at:] and text[place:] share, up to ``most``; with a ``step`` of -1, those
+        from at and place backwards."""
+        out, live, k, width = np.zeros(len(at), np.int64), np.flatnonzero(most > 0), 0, 8
         while len(live):
-            i = k + np.arange(32)
-            a = pattern[np.minimum(at[live, None] + i, len(pattern) - 1)]
-            b = self.text[np.minimum(place[live, None] + i, self.n - 1)]
+            i = k + np.arange(width)
+            a = pattern.take(at[live, None] + step * i, mode="clip")
+            b = self.text.take(place[live, None] + step * i, mode="wrap")  # what precedes the text is a border
             ok = (a == b) & (i < most[live, None])
-            n = np.where(ok.all(1), 32, ok.argmin(1))
+            n = np.where(ok.all(1), width, ok.argmin(1))
             out[live] += n
-            live, k = live[n == 32], k + 32
+            live, k = live[n == width], k + width
+            width = max(8, min(64, COMPARED // max(1, len(live))))
         return out
 
+    def stretches(self, pattern: np.ndarray, stop: np.ndarray, sizes: np.ndarray):
+        """Matching statistics of many patterns at once, each read backwards from ``stop``, in stretches
+        along which a match goes on: yields (patterns, first and last offset from the end, match length and a place
+        of the match at the first), where length and place go one up and one down with the offset."""
+        who = np.arange(len(stop))
+        k, size, place = np.zeros(len(stop), np.int64), np.zeros(len(stop), np.int64), np.full(len(stop), self.n - 1)
+        last = len(self.key) - 1
+        while len(who):
+            on = self.shared(pattern, stop[who] - k - 1, place - 1, sizes[who] - k, -1)
+            yield who, k, k + on, size, place
+            go = np.flatnonzero(k + on < sizes[who])
+            who, k, size, place = who[go], (k + on)[go], (size + on)[go], (place - on)[go]
+            begin = stop[who] - k
+            c = pattern[begin - 1].astype(np.int64)
+            at = np.searchsorted(self.key, c * self.n + self.row[place], "right") - 1
+            up, down = np.maximum(at, 0), np.minimum(at + 1, last)
+            has_up, has_down = (self.head[up] == c) & (at >= 0), self.head[down] == c
+            by_up = np.where(has_up, self.shared(pattern, begin, self.last_sample[up], np.where(has_up, size, 0)), -1)
+            by_down = np.where(has_down, self.shared(pattern, begin, self.first_sample[down], np.where(has_down, size, 0)), -1)
+            k, size = k + 1, np.maximum(by_up, by_down) + 1
+            place = np.where(by_down > by_up, self.first_sample[down], self.last_sample[up]) - 1
+            place[size == 0] = self.n - 1  # the byte is nowhere in the text
+
     def statistics(self, pattern: np.ndarray, stop: np.ndarray, sizes: np.ndarray):
-        """Matching statistics of many patterns at once, each read backwards from ``stop``:
-        yields (patterns, offset from the end, match length, a place of the match)."""
-        order = np.argsort(-sizes, kind="stable")
-        stop, sizes = stop[order], sizes[order]
-        row, place, size = np.zeros(len(order), np.int64), np.full(len(order), self.n - 1), np.zeros(len(order), np.int64)
-        last, live = len(self.key) - 1, len(order)
+        """The same, offset by offset: yields (patterns, offset from the end, match length, a place of the match)."""
+        who, first, last, size, place = (np.concatenate(x) for x in zip(*self.stretches(pattern, stop, sizes)))
         for k in range(1, int(sizes.max(initial=0)) + 1):
-            while live and sizes[live - 1] < k:
-                live -= 1
-            row, place, size = row[:live], place[:live], size[:live]
-            c = pattern[stop[:live] - k].astype(np.int64)
-            at = np.searchsorted(self.key, c * self.n + row, "right") - 1
-            above = np.maximum(at, 0)
-            inside = row - self.start[above]
-            ok = (self.head[above] == c) & (at >= 0) & (inside < self.length[above])
-            to, from_, long = self.base[above] + inside, place - 1, size + 1
-            i = np.flatnonzero(~ok)
-            if len(i):
-                up, down = above[i], np.minimum(at[i] + 1, last)
-                has_up, has_down = (self.head[up] == c[i]) & (at[i] >= 0), self.head[down] == c[i]
-                begin = stop[i] - k + 1
-                by_up = np.where(has_up, self.shared(pattern, begin, self.last_sample[up], np.where(has_up, size[i], 0)), -1)
-                by_down = np.where(has_down, self.shared(pattern, begin, self.first_sample[down], np.where(has_down, size[i], 0)), -1)
-                lower = by_down > by_up
-                run = np.where(lower, down, up)
-                to[i] = self.base[run] + np.where(lower, 0, self.length[run] - 1)
-                from_[i] = np.where(lower, self.first_sample[run], self.last_sample[run]) - 1
-                long[i] = np.maximum(by_up, by_down) + 1
-                lost = i[(by_up < 0) & (by_down < 0)]  # the byte is nowhere in the text
-                to[lost], from_[lost] = 0, self.n - 1
-            row, place, size = to, from_, long
-            yield order[:live], k, size, place
+            i = np.flatnonzero((first <= k) & (k <= last))
+            yield who[i], k, size[i] + k - first[i], place[i] - (k - first[i])
 
 
 def pieced(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,8 +159,8 @@ def united(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 
 
 def indexed(bodies: list[bytes], source: np.ndarray, start: np.ndarray, window: int):
-    """The index of passages, each of which lies at ``start`` of ``source``, and (source, start)
-    of every position of its text.  Passages of one source that overlap are indexed once."""
+    """The index of passages, each of which lies at ``start`` of ``source``, and of each of its texts where it
+    begins, its source and its start there.  Passages of one source that overlap are indexed once."""
     size = np.array([len(b) - window + 1 for b in bodies])
     merged: list[tuple[int, int, bytearray]] = []
     for i in np.lexsort((-size, start, source)).tolist():
@@ -173,8 +174,8 @@ def indexed(bodies: list[bytes], source: np.ndarray, start: np.ndarray, window:
     for i, a, k in zip(which.tolist(), at.tolist(), n.tolist()):
         text += merged[i][2][a : a + k + window - 1] + b"\xff"
     length = n + window
-    pos = np.repeat(np.array([m[1] for m in merged])[which] + at, length) + np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
-    return RunIndex(np.frombuffer(bytes(text), np.uint8)), np.repeat(np.array([m[0] for m in merged])[which], length), pos
+    src, lo = np.array([m[0] for m in merged])[which], np.array([m[1] for m in merged])[which] + at
+    return RunIndex(np.frombuffer(bytes(text), np.uint8)), np.cumsum(length) - length, src, lo
 
 
 def repeats_of(bodies, source, start, texts: list[bytes], docs: np.ndarray, asked: tuple, window: int):
@@ -183,30 +184,30 @@ def repeats_of(bodies, source, start, texts: list[bytes], docs: np.ndarray, aske
     none = (np.zeros(0, np.int64),) * 3
     if not bodies or not len(asked[0]):
         return none
-    index, src, pos = indexed(bodies, source, start, window)
+    index, begins, src, src_lo = indexed(bodies, source, start, window)
     row, begin, size = united(*asked)
     which, at, n = pieced(size)
     row, lo = row[which], begin[which] + at
     pattern = np.frombuffer(b"".join(texts[r][a : a + k + window - 1] for r, a, k in zip(row.tolist(), lo.tolist(), n.tolist())), np.uint8)
     sizes = n + window - 1
-    stop = np.cumsum(sizes)
-    rows, starts = [], []
-    for who, k, size, place in index.statistics(pattern, stop, sizes):
-        if k < window:
-            continue
-        there = np.flatnonzero(size >= window)
-        w, p = who[there], place[there]
-        own = lo[w] + sizes[w] - k
-        hit = (src[p] < docs[row[w]]) | ((src[p] == docs[row[w]]) & (pos[p] < own))
-        rows.append(row[w[hit]])
-        starts.append(own[hit])
-    row, begin = np.concatenate(rows or [none[0]]), np.concatenate(starts or [none[0]])
+    found = []
+    for who, first, last, size, place in index.stretches(pattern, np.cumsum(sizes), sizes):
+        first = first + np.maximum(window - size, 0)  # from here on the match is a window long
+        long = np.flatnonzero(first <= last)
+        w, own = who[long], (lo + sizes)[who[long]] - last[long]
+        # a stretch stays in one text of the index, and its place there moves with it
+        there = place[long] - (last - first + np.maximum(window - size, 0))[long]
+        text = np.searchsorted(begins, there, "right") - 1
+        pos = src_lo[text] + there - begins[text]
+        hit = (src[text] < docs[row[w]]) | ((src[text] == docs[row[w]]) & (pos < own))
+        found.append((row[w[hit]], own[hit], (last - first + 1)[long][hit]))
+    row, begin, n = (np.concatenate(x) for x in zip(*found))
     if not len(row):
         return none
     order = np.lexsort((begin, row))
-    row, begin = row[order], begin[order]
-    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (begin[1:] != begin[:-1] + 1)])
-    return row[new], begin[new], np.diff(np.r_[new, len(row)]) + window - 1
+    row, begin, n = row[order], begin[order], n[order]
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (begin[1:] != begin[:-1] + n[:-1])])
+    return row[new], begin[new], np.add.reduceat(n, new) + window - 1
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -113,3 +113,32 @@ def test_stretches_that_touch_are_streamed_once():
     row, start, n = (np.array(x) for x in zip((1, 0, 40), (0, 5, 10), (1, 10, 30), (0, 15, 5), (0, 21, 2), (0, 6, 3), (2, 0, 1)))
     assert [x.tolist() for x in runindex.united(row, start, n)] == [[0, 0, 1, 2], [5, 21, 0, 0], [15, 2, 40, 1]]
     assert all(len(x) == 0 for x in runindex.united(*(np.zeros(0, np.int64),) * 3))
+
+
+@pytest.mark.parametrize("letters", ["abcdé €", "ab", "\0a"])
+def test_suffixes_in_order(letters):
+    rng = np.random.default_rng(6)
+    say = lambda n: "".join(rng.choice(list(letters), int(n))).encode()
+    bodies = [say(n) for n in rng.integers(1, 90, 12)]
+    raw = b"\xff".join([*bodies, bodies[3], *bodies[:2], letters[:1].encode() * 300]) + b"\xff"
+    text = np.frombuffer(raw, np.uint8)
+    left = np.array([raw.index(b"\xff", i) - i + 1 for i in range(len(raw))])
+    order, row = runindex.suffix_order(text, left)
+    assert order.tolist() == sorted(range(len(raw)), key=lambda i: (raw[i : i + left[i]], i))
+    assert row[order].tolist() == list(range(len(raw)))
+
+
+def test_a_match_that_goes_on_is_one_stretch():
+    """Steps are taken for places where a match breaks off, not for each byte."""
+    rng = np.random.default_rng(7)
+    body = rng.integers(97, 123, 4000, np.uint8).tobytes()
+    raw = body[:2000] + b"\xff" + body[1000:] + b"\xff"
+    index = runindex.RunIndex(np.frombuffer(raw, np.uint8))
+    patterns = [body[50:1950], body[300:900] + body[1200:3900], b"?" + body[:40]]
+    flat, sizes = np.frombuffer(b"".join(patterns), np.uint8), np.array([len(p) for p in patterns])
+    rows = [r for part in index.stretches(flat, np.cumsum(sizes), sizes) for r in zip(*(x.tolist() for x in part))]
+    assert len(rows) < 60 and all(last - first < sizes[w] for w, first, last, _, _ in rows)
+    for w, first, last, size, place in rows:
+        rest = patterns[w][len(patterns[w]) - last :]
+        assert size == 0 or raw[place - last + first :].startswith(rest[: size + last - first])
+    assert sum(last - max(first, 1) + 1 for _, first, last, _, _ in rows) == sizes.sum()
